@@ -86,6 +86,7 @@ def one_level(all_levels: DataFrame, level: str) -> DataFrame:
 def minute_kpi(
     enriched: DataFrame,
     *,
+    minute: Column | None = None,
     count_null_keys: bool = True,
     downtime_estimate: bool = False,
     interval_seconds: int = EVENT_INTERVAL_SECONDS,
@@ -95,11 +96,13 @@ def minute_kpi(
     Alerts are counted in the same pass as the rest. ``count_null_keys=False`` gives the counts of
     the older rule, a join of KPIs and alert counts on plain equality, under which rows with a NULL
     key show no alerts. Downtime columns hold event counts; ``downtime_estimate`` adds seconds
-    derived from them and the nominal interval between events.
+    derived from them and the nominal interval between events. ``minute`` replaces the grouping
+    column, for streams, which must group by a time window.
     """
     value = F.col("reading_value")
     down, planned = F.col("is_downtime"), F.col("planned_downtime")
-    kpi = enriched.groupBy(F.col(MINUTE).alias(KPI_MINUTE), *KPI_KEYS).agg(
+    minute = F.col(MINUTE) if minute is None else minute
+    kpi = enriched.groupBy(minute.alias(KPI_MINUTE), *KPI_KEYS).agg(
         F.avg(value).alias("avg_reading"),
         F.max(value).alias("max_reading"),
         F.min(value).alias("min_reading"),

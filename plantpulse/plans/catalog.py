@@ -390,8 +390,7 @@ def history_union(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     """Raw readings, arriving as rows of the events table."""
-    schema = td.table(spark, sf, "events").schema
-    events = use_utc(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = use_utc(spark).readStream.schema(td.TABLES["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
     return td.readings_from(events)
 
 

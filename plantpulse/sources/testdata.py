@@ -8,64 +8,67 @@ keys are NULL and some times do not parse, on purpose.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from plantpulse.constants import EVENT_TIME_PATTERN
 from plantpulse.session import use_utc
 
+AS_OF = "2024-01-01 02:00:00"
+LOOKBACK = 90
 FOLD_START_US = 1_704_067_200_000_000  # 2024-01-01 00:00:00
 FOLD_US = 7_200_000_000
 SHIFT_US = 3_600_000_000
 RUN_US = 420_000_000
-AS_OF = "2024-01-01 02:00:00"
-LOOKBACK = 90
-SENSOR_OF_EVENT = {"view": 1, "click": 2, "purchase": 3, "signup": 4, "error": 5}
 SENSORS = [  # id, code, name, unit, least, greatest; type 5 has no limits
     (1, "TEMP", "Temperature", "C", 3.0, 140.0),
     (2, "VIB", "Vibration", "mm/s", 2.5, 150.0),
     (3, "CURR", "Current", "A", 2.5, 140.0),
     (4, "HUM", "Humidity", "%", 2.5, 150.0),
 ]
+TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return use_utc(spark).read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def code(prefix: str, number: Column, digits: int = 10) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), digits, "0"))
+def _code(prefix: str, number: str, digits: int = 10) -> str:
+    return f"concat('{prefix}', lpad(string({number}), {digits}, '0'))"
 
 
-def choice(number: Column, *names: str) -> Column:
+def _choice(number: str, *names: str) -> str:
     """``names[number % len(names)]``."""
-    return F.element_at(F.array(*map(F.lit, names)), (number % len(names) + 1).cast("int"))
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"element_at(array({listed}), int({number} % {len(names)} + 1))"
 
 
 def readings_from(events: DataFrame, *, fold: bool = True) -> DataFrame:
     """Raw readings from rows of ``events``, batch or stream."""
-    event, user = F.col("event_id"), F.col("user_id")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    within = us % FOLD_US
-    unit = F.floor(user / 10)
-    when = F.timestamp_micros(F.lit(FOLD_START_US) + within) if fold else F.timestamp_micros(us)
-    machine = code("MAC", unit * 8)
-    sensor = F.lit(None).cast("int")
-    for name, number in SENSOR_OF_EVENT.items():
-        sensor = F.when(F.col("event_type") == name, number).otherwise(sensor)
-    factory = F.get_json_object("props", "$.k").cast("int") % 25
-    shift = F.floor(within / SHIFT_US)
-    return events.select(
-        event.cast("string").alias("_id"),
-        code("FCT", factory, 3).alias("factory_id"),
-        F.when(event % 7 == 0, F.concat(F.lit(" "), F.lower(machine), F.lit(" "))).otherwise(machine).alias("machine_id"),
-        sensor.alias("sensor_type_id"),
-        F.when(event % 97 != 0, code("OPR", (unit + shift) * 125)).alias("operator_id"),
-        F.when(event % 101 != 0, F.floor(within / RUN_US).cast("int")).alias("product_id"),
-        F.when(event % 211 == 0, "bad").otherwise(F.date_format(when, EVENT_TIME_PATTERN)).alias("event_timestamp"),
-        F.col("value").alias("reading_value"),
-        (event % 33 == 0).alias("is_downtime"),
-        (event % 66 == 0).alias("planned_downtime"),
+    us = "unix_micros(timestamp(ts))"
+    within = f"({us} % {FOLD_US})"
+    when = f"timestamp_micros({FOLD_START_US} + {within})" if fold else "timestamp(ts)"
+    machine = _code("MAC", "user_id div 10 * 8")
+    operator = _code("OPR", f"(user_id div 10 + {within} div {SHIFT_US}) * 125")
+    return events.selectExpr(
+        "string(event_id) AS _id",
+        _code("FCT", "int(get_json_object(props, '$.k')) % 25", 3) + " AS factory_id",
+        f"CASE WHEN event_id % 7 = 0 THEN concat(' ', lower({machine}), ' ') ELSE {machine} END AS machine_id",
+        "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 "
+        "WHEN 'signup' THEN 4 WHEN 'error' THEN 5 END AS sensor_type_id",
+        f"CASE WHEN event_id % 97 <> 0 THEN {operator} END AS operator_id",
+        f"CASE WHEN event_id % 101 <> 0 THEN int({within} div {RUN_US}) END AS product_id",
+        f"CASE WHEN event_id % 211 = 0 THEN 'bad' ELSE date_format({when}, '{EVENT_TIME_PATTERN}') END "
+        "AS event_timestamp",
+        "value AS reading_value",
+        "event_id % 33 = 0 AS is_downtime",
+        "event_id % 66 = 0 AS planned_downtime",
     )
 
 
@@ -74,61 +77,55 @@ def readings(spark: SparkSession, sf_dir: str, *, fold: bool = True) -> DataFram
 
 
 def dim_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, balance = F.col("s_suppkey"), F.col("s_acctbal")
-    line = (key % 5).cast("string")
-    return table(spark, sf_dir, "supplier").select(
-        code("MAC", key).alias("machine_id"),
-        F.col("s_name").alias("machine_name"),
-        F.concat(F.lit("L"), line).alias("line_code"),
-        F.concat(F.lit("Line "), line).alias("line_name"),
-        choice(key, "Biscuit", "Wafer", "Snack").alias("product_family"),
-        code("FCT", F.col("s_nationkey"), 3).alias("factory_id"),
-        choice(key, "Oven", "Mixer", "Cutter", "Packer").alias("machine_type"),
-        choice(key, "North", "South").alias("vendor"),
-        F.date_add(F.lit("2015-01-01").cast("date"), (key % 3000).cast("int")).alias("install_date"),
-        F.when(balance < 2500, "Low").when(balance < 7000, "Medium").otherwise("High").alias("criticality"),
+    return table(spark, sf_dir, "supplier").selectExpr(
+        _code("MAC", "s_suppkey") + " AS machine_id",
+        "s_name AS machine_name",
+        "concat('L', s_suppkey % 5) AS line_code",
+        "concat('Line ', s_suppkey % 5) AS line_name",
+        _choice("s_suppkey", "Biscuit", "Wafer", "Snack") + " AS product_family",
+        _code("FCT", "s_nationkey", 3) + " AS factory_id",
+        _choice("s_suppkey", "Oven", "Mixer", "Cutter", "Packer") + " AS machine_type",
+        _choice("s_suppkey", "North", "South") + " AS vendor",
+        "date_add(DATE '2015-01-01', int(s_suppkey % 3000)) AS install_date",
+        "CASE WHEN s_acctbal < 2500 THEN 'Low' WHEN s_acctbal < 7000 THEN 'Medium' ELSE 'High' END AS criticality",
     )
 
 
 def dim_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    key = F.col("n_nationkey")
-    return nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        code("FCT", key, 3).alias("factory_id"),
-        F.concat(F.lit("Plant "), F.col("n_name")).alias("factory_name"),
-        F.col("n_name").alias("city"),
-        F.col("r_name").alias("country"),
-        F.lit("UTC").alias("timezone"),
-        choice(key, "Small", "Medium", "Large").alias("capacity_class"),
+    return nations.join(regions, nations["n_regionkey"] == regions["r_regionkey"]).selectExpr(
+        _code("FCT", "n_nationkey", 3) + " AS factory_id",
+        "concat('Plant ', n_name) AS factory_name",
+        "n_name AS city",
+        "r_name AS country",
+        "'UTC' AS timezone",
+        _choice("n_nationkey", "Small", "Medium", "Large") + " AS capacity_class",
     )
 
 
 def dim_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
-        code("OPR", key).alias("operator_id"),
-        F.col("c_name").alias("operator_name"),
-        choice(key, "Junior", "Mid", "Senior").alias("experience_level"),
-        choice(key, "Morning only", "Evening only", "Night only", "Rotational").alias("shift_pattern"),
-        code("FCT", F.col("c_nationkey"), 3).alias("factory_id"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        _code("OPR", "c_custkey") + " AS operator_id",
+        "c_name AS operator_name",
+        _choice("c_custkey", "Junior", "Mid", "Senior") + " AS experience_level",
+        _choice("c_custkey", "Morning only", "Evening only", "Night only", "Rotational") + " AS shift_pattern",
+        _code("FCT", "c_nationkey", 3) + " AS factory_id",
     )
 
 
 def dim_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").cast("int").alias("product_id"),
-        F.concat(F.lit("SKU-"), F.col("p_partkey").cast("string")).alias("sku"),
-        F.col("p_name").alias("product_name"),
-        F.col("p_type").alias("category"),
-        F.col("p_brand").alias("brand"),
-        F.col("p_size").alias("pack_size_g"),
+    return table(spark, sf_dir, "part").selectExpr(
+        "int(p_partkey) AS product_id",
+        "concat('SKU-', p_partkey) AS sku",
+        "p_name AS product_name",
+        "p_type AS category",
+        "p_brand AS brand",
+        "p_size AS pack_size_g",
     )
 
 
 def dim_sensor_type(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(
-        f"({i}, '{c}', '{n}', '{u}', {lo}D, {hi}D)" for i, c, n, u, lo, hi in SENSORS
-    )
+    rows = ", ".join(f"({i}, '{c}', '{n}', '{u}', {lo}D, {hi}D)" for i, c, n, u, lo, hi in SENSORS)
     names = "sensor_type_id, sensor_type_code, sensor_type_name, unit, typical_min, typical_max"
     return use_utc(spark).sql(f"SELECT * FROM VALUES {rows} AS s({names})")
 

@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plantpulse.constants import KPI_KEYS
 from plantpulse.functions.timing import EVENT_TIME
-from plantpulse.operators.enrich import MINUTE
 from plantpulse.operators.kpi import KPI_MINUTE, minute_kpi
 from plantpulse.sinks.hot import write_hot_batch
 from plantpulse.sinks.tables import upsert
@@ -39,8 +38,10 @@ def live_minute_kpi(enriched: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
     Run it in update mode into ``upsert_each``, so that open minutes are visible at once.
     """
-    tumbling = F.window(EVENT_TIME, "1 minute")
-    return minute_kpi(enriched.withWatermark(EVENT_TIME, lateness).withColumn(MINUTE, tumbling["start"]))
+    # grouped by the window itself: only that column tells Spark which groups the watermark has passed
+    kpi = minute_kpi(enriched.withWatermark(EVENT_TIME, lateness), minute=F.window(EVENT_TIME, "1 minute"))
+    return kpi.withColumn(KPI_MINUTE, F.col(KPI_MINUTE)["start"])
+
 
 
 def kpi_table_rows(kpi: DataFrame) -> DataFrame:

@@ -1,0 +1,193 @@
+import glob
+import json
+
+import pytest
+
+from plantpulse.operators import retention
+from plantpulse.operators.retention import SizePolicy
+from plantpulse.plans import jobs
+from plantpulse.schemas import MANIFEST, READING
+from plantpulse.sinks.hot import delete_hot, open_hot, write_hot_batch
+from plantpulse.sources.readings import read_archive, read_ndjson
+
+AT = "2024-01-01 12:00:00"
+
+
+def ids(df):
+    return sorted(r["_id"] for r in df.select("_id").collect())
+
+
+def every_minute(n, start_hour=10, **extra):
+    return [
+        {"_id": f"r{i:03d}", "event_timestamp": f"2024-01-01 {start_hour + i // 60:02d}:{i % 60:02d}:00", **extra}
+        for i in range(n)
+    ]
+
+
+@pytest.fixture
+def hot(spark, make, tmp_path):
+    path = str(tmp_path / "hot")
+    rows = every_minute(90)
+    write_hot_batch(make(*rows[:50]), path, 0)
+    write_hot_batch(make(*rows[50:], {"_id": "odd", "event_timestamp": "bad"}), path, 1)
+    return path
+
+
+def test_policy_is_due_only_above_its_threshold():
+    p = SizePolicy(threshold_mb=1)
+    assert not p.due(1024 * 1024) and p.due(1024 * 1024 + 1)
+    assert SizePolicy().run_cap == 200_000
+
+
+def test_cutoff_follows_the_newest_parsed_event_and_stays_itself(make):
+    raw = make(
+        {"event_timestamp": "2024-01-01 10:00:00"}, {"event_timestamp": "2024-01-01 09:45:00"},
+        {"event_timestamp": "2024-01-01 09:44:59"}, {"event_timestamp": "bad"}, {"event_timestamp": None},
+    )
+    cutoff = retention.newest_cutoff(raw, 15)
+    assert cutoff == "2024-01-01 09:45:00"
+    assert ids(retention.older_than(raw, cutoff)) == ["3"]
+    assert retention.newest_cutoff(raw.where("_id > 3"), 15) is None
+    assert retention.age_cutoff("2024-01-01 10:00:00") == "2024-01-01 09:00:00"
+
+
+@pytest.mark.parametrize("cap", [1, 2, 3, 4, 5, 6, 7, 60])
+def test_oldest_equals_a_full_sort(make, cap):
+    times = ["10:00:00", "10:00:00", "10:00:00", "10:59:59", "11:00:00", "09:00:00", "9"]
+    rows = [{"_id": f"{9 - i}", "event_timestamp": f"2024-01-01 {t}"} for i, t in enumerate(times)]
+    raw = make(*rows)
+    want = sorted((r["event_timestamp"], r["_id"]) for r in rows)[:cap]
+    got = sorted((r["event_timestamp"], r["_id"]) for r in retention.oldest(raw, cap).collect())
+    assert got == want
+
+
+def test_a_hot_batch_written_again_replaces_itself(spark, make, hot):
+    before = ids(open_hot(spark, hot))
+    write_hot_batch(make(*every_minute(50)), hot, 0)
+    assert ids(open_hot(spark, hot)) == before and len(before) == 91
+
+
+def test_delete_empties_whole_hours_and_leaves_the_rest(spark, make, hot):
+    gone = open_hot(spark, hot).where("event_timestamp < '2024-01-01 11:10:00'").select(READING.names)
+    assert delete_hot(spark, hot, gone) == 70
+    assert ids(open_hot(spark, hot)) == sorted(["odd", *(f"r{i:03d}" for i in range(70, 90))])
+
+
+def test_delete_does_not_touch_partitions_without_archived_readings(spark, make, hot):
+    untouched = glob.glob(f"{hot}/event_date=2024-01-01/event_hour=11/**/*.parquet", recursive=True)
+    delete_hot(spark, hot, make(*every_minute(5)))
+    assert untouched and set(untouched) == set(
+        glob.glob(f"{hot}/event_date=2024-01-01/event_hour=11/**/*.parquet", recursive=True)
+    )
+    assert open_hot(spark, hot).count() == 86
+
+
+def test_readings_without_time_can_be_deleted(spark, make, hot):
+    assert delete_hot(spark, hot, make({"_id": "odd", "event_timestamp": "bad"})) == 1
+    assert "odd" not in ids(open_hot(spark, hot))
+
+
+def run_archive(spark, hot, tmp_path, run_id, **policy):
+    return jobs.run_size_archive(
+        spark, hot, str(tmp_path / "raw"), str(tmp_path / "meta"), run_id=run_id, archived_at=AT,
+        policy=SizePolicy(**{"threshold_mb": 0, **policy}),
+    )
+
+
+def test_size_archive_moves_the_oldest_and_describes_itself(spark, hot, tmp_path):
+    everything = ids(open_hot(spark, hot))
+    result = run_archive(spark, hot, tmp_path, "run1", keep_minutes=15, chunk_docs=10, max_chunks=3)
+    assert result.archived and (result.docs_archived, result.docs_deleted) == (30, 30)
+    archived = read_ndjson(spark, result.files)
+    assert ids(archived) == [f"r{i:03d}" for i in range(30)]
+    assert sorted(ids(archived) + ids(open_hot(spark, hot))) == everything
+    for part in glob.glob(f"{result.files}/*.json"):
+        assert sum(1 for _ in open(part)) <= 10
+    (meta,) = [json.loads(line) for f in glob.glob(str(tmp_path / "meta/run_id=run1/*.json")) for line in open(f)]
+    assert set(meta) == set(MANIFEST.names)
+    assert (meta["docs_archived"], meta["docs_deleted"], meta["cutoff_str"]) == (30, 30, "2024-01-01 11:14:00")
+    assert (meta["min_event_timestamp"], meta["max_event_timestamp"]) == ("2024-01-01 10:00:00", "2024-01-01 10:29:00")
+    assert sorted(p.split("/")[-1] for p in meta["data_paths"]) == sorted(
+        p.split("/")[-1] for p in glob.glob(f"{result.files}/*.json")
+    )
+    row = spark.read.schema(MANIFEST).json(str(tmp_path / "meta/run_id=run1")).first()
+    assert row["docs_archived"] == 30
+
+
+def test_size_archive_runs_until_only_the_newest_minutes_are_left(spark, hot, tmp_path):
+    moved = []
+    for n in range(5):
+        result = run_archive(spark, hot, tmp_path, f"run{n}", keep_minutes=15, chunk_docs=20, max_chunks=2)
+        if not result.archived:
+            break
+        moved += ids(read_ndjson(spark, result.files))
+    assert result.reason == "no_older_than_cutoff"
+    assert ids(open_hot(spark, hot)) == sorted(["odd", *(f"r{i:03d}" for i in range(74, 90))])
+    assert sorted(moved) == [f"r{i:03d}" for i in range(74)]
+
+
+def test_size_archive_guards(spark, make, hot, tmp_path):
+    assert run_archive(spark, hot, tmp_path, "a", threshold_mb=300).reason == "below_threshold"
+    empty = str(tmp_path / "odd")
+    write_hot_batch(make({"event_timestamp": "bad"}), empty, 0)
+    assert run_archive(spark, empty, tmp_path, "b").reason == "no_data"
+
+
+def test_age_dump_and_conversion(spark, hot, tmp_path):
+    everything = ids(open_hot(spark, hot))
+    dumps, archive = str(tmp_path / "dumps"), str(tmp_path / "archive")
+    result = jobs.run_age_dump(spark, hot, dumps, run_id="d1", as_of=AT, hours=1)
+    assert result.docs_archived == result.docs_deleted == 60
+    assert jobs.run_to_parquet(spark, result.files, archive) == 60
+    assert jobs.run_to_parquet(spark, result.files, archive) == 60
+    table = read_archive(spark, archive)
+    assert table.count() == 60
+    assert sorted(ids(table) + ids(open_hot(spark, hot))) == everything
+    assert jobs.run_age_dump(spark, hot, dumps, run_id="d2", as_of=AT).reason == "no_older_than_cutoff"
+
+
+def test_conversion_takes_archive_chunks_and_empty_input(spark, make, hot, tmp_path):
+    result = run_archive(spark, hot, tmp_path, "run1")
+    assert jobs.run_to_parquet(spark, result.files, str(tmp_path / "p")) == result.docs_archived
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    (empty / "x.json").write_text("")
+    assert jobs.run_to_parquet(spark, str(empty), str(tmp_path / "q")) == 0
+
+
+def test_archive_layout_and_pruning(spark, make, tmp_path):
+    path = str(tmp_path / "archive")
+    dump = str(tmp_path / "dump")
+    rows = [{**r, "factory_id": f"F{i % 2}"} for i, r in enumerate(every_minute(180, 9))]
+    make(*rows, {"_id": "odd", "event_timestamp": "bad"}).write.json(dump)
+    jobs.run_to_parquet(spark, dump, path)
+    assert glob.glob(f"{path}/factory_id=F1/year=2024/month=1/day=1/hour=9/*.parquet")
+    assert read_archive(spark, path).count() == 181
+    part = read_archive(spark, path, start="2024-01-01 10:30:00", end="2024-01-01 11:00:00", factories=["F0"])
+    assert part.count() == 15
+    # the other hours and factories are not even opened
+    kept = f"{path}/factory_id=F0/year=2024/month=1/day=1/hour=10/"
+    for f in glob.glob(f"{path}/**/*.parquet", recursive=True):
+        if not f.startswith(kept):
+            open(f, "w").write("no parquet")
+    assert part.count() == 15 and part.where("hour <> 10").count() == 0
+
+
+
+def test_counts_that_differ_stop_a_run():
+    jobs.reconcile(3, 3, 3)
+    with pytest.raises(jobs.ReconcileError):
+        jobs.reconcile(3, 3, 2)
+
+
+def test_nothing_is_deleted_when_the_copy_is_incomplete(spark, hot, tmp_path, monkeypatch):
+    before = ids(open_hot(spark, hot))
+    real = jobs.write_chunks
+
+    def lossy(rows, *args, **kwargs):
+        return real(rows.where("_id <> 'r003'"), *args, **kwargs)
+
+    monkeypatch.setattr(jobs, "write_chunks", lossy)
+    with pytest.raises(jobs.ReconcileError, match="nothing deleted"):
+        run_archive(spark, hot, tmp_path, "run1")
+    assert ids(open_hot(spark, hot)) == before

@@ -1,0 +1,152 @@
+import json
+import os
+
+import pytest
+
+from plantpulse.schemas import DIMENSIONS, READING
+from plantpulse.sources import dimensions as dim
+from plantpulse.sources.readings import (
+    decode_messages,
+    history,
+    read_hot,
+    read_ndjson,
+    store_bytes,
+    topic_options,
+    unique_readings,
+)
+from plantpulse.sources.warehouse import Warehouse
+
+
+def test_ndjson_bad_field_is_null_and_bad_line_is_all_null(spark, tmp_path):
+    good = {"_id": "1", "machine_id": "MAC1", "sensor_type_id": 2, "reading_value": 4.12, "is_downtime": False}
+    lines = [json.dumps(good), json.dumps({**good, "_id": "2", "sensor_type_id": "x"}), "{broken"]
+    path = tmp_path / "dump.json"
+    path.write_text("\n".join(lines) + "\n")
+    rows = sorted(read_ndjson(spark, str(path)).collect(), key=lambda r: str(r["_id"]))
+    assert rows[0].asDict() == {**{c: None for c in READING.names}, **good}
+    assert rows[1]["sensor_type_id"] is None and rows[1]["machine_id"] == "MAC1"
+    assert all(v is None for v in rows[2])
+
+
+def test_read_hot_takes_format_and_options(spark, make, tmp_path):
+    make({}).write.json(str(tmp_path / "hot"))
+    assert read_hot(spark, str(tmp_path / "hot"), "json", {"mode": "FAILFAST"}).count() == 1
+
+
+def test_topic_options():
+    options = topic_options(["b1:9092", "b2:9092"], maxOffsetsPerTrigger="10")
+    assert options == {
+        "kafka.bootstrap.servers": "b1:9092,b2:9092",
+        "subscribe": "iot_sensor_stream",
+        "startingOffsets": "earliest",
+        "maxOffsetsPerTrigger": "10",
+    }
+
+
+def test_messages_without_identity_are_named_by_their_place(spark):
+    body = json.dumps({"machine_id": "MAC1", "reading_value": 1.5, "product_id": 3})
+    records = spark.createDataFrame(
+        [(body.encode(), "t", 0, 7), (json.dumps({"_id": "x"}).encode(), "t", 0, 8), (b"{nonsense", "t", 1, 0)],
+        "value binary, topic string, partition int, offset bigint",
+    )
+    rows = decode_messages(records).collect()
+    assert [r["_id"] for r in rows] == ["t-0-7", "x", "t-1-0"]
+    assert (rows[0]["machine_id"], rows[0]["reading_value"], rows[0]["product_id"]) == ("MAC1", 1.5, 3)
+    assert decode_messages(records.select("value")).columns == READING.names
+
+
+def test_store_bytes_equals_bytes_on_disk(spark, make, tmp_path):
+    path = str(tmp_path / "t")
+    make(*({"machine_id": f"MAC{i % 3}"} for i in range(20))).write.partitionBy("machine_id").parquet(path)
+    on_disk = [
+        os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")
+    ]
+    row = store_bytes(spark, path).first()
+    assert (row["bytes"], row["files"]) == (sum(on_disk), len(on_disk))
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "dim_factory.csv"
+    path.write_text("city,factory_id,capacity_class,timezone,country,factory_name\nX,F1,Small,UTC,Y,Plant\n")
+    row = dim.read_csv(spark, "dim_factory", str(path)).first()
+    assert row.asDict() == {
+        "factory_id": "F1", "factory_name": "Plant", "city": "X", "country": "Y", "timezone": "UTC",
+        "capacity_class": "Small",
+    }
+
+
+def test_csv_types_follow_the_schema_and_missing_columns_are_refused(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text("sensor_type_id,sensor_type_code,sensor_type_name,unit,typical_min,typical_max\n1,T,Temp,C,1.5,oops\n")
+    df = dim.read_csv(spark, "dim_sensor_type", str(path))
+    assert df.schema == DIMENSIONS["dim_sensor_type"]
+    assert (df.first()["typical_min"], df.first()["typical_max"]) == (1.5, None)
+    with pytest.raises(ValueError, match="missing columns"):
+        dim.read_csv(spark, "dim_product", str(path))
+
+
+def test_json_records_and_replacement(spark, tmp_path):
+    path, stored = tmp_path / "p.json", str(tmp_path / "stored")
+    record = {"product_id": 1, "sku": "S", "product_name": "P", "category": "Snack", "brand": "B", "pack_size_g": 45}
+    path.write_text(json.dumps([record, {**record, "product_id": 2}], indent=2))
+    df = dim.read_json_records(spark, "dim_product", str(path))
+    dim.replace_dimension(df, "dim_product", stored)
+    dim.replace_dimension(df.where("product_id = 2"), "dim_product", stored)
+    assert [r.asDict() for r in dim.read_table(spark, "dim_product", stored).collect()] == [{**record, "product_id": 2}]
+
+
+def test_warehouse_options(monkeypatch):
+    w = Warehouse("jdbc:postgresql://host/db", "u", "secret")
+    assert "secret" not in repr(w)
+    assert w.write_properties(replace=False) == {
+        "user": "u", "password": "secret", "driver": "org.postgresql.Driver", "batchsize": "5000",
+    }
+    assert w.write_properties(replace=True)["truncate"] == "true"
+    calls = []
+
+    class Writer:
+        def jdbc(self, *args, **kwargs):
+            calls.append((args, kwargs["mode"], kwargs["properties"]))
+
+    class Frame:
+        write = Writer()
+
+    w.append(Frame(), "alert_events")
+    w.replace(Frame(), "minute_kpi")
+    assert [(a[1], mode) for a, mode, _ in calls] == [("alert_events", "append"), ("minute_kpi", "overwrite")]
+
+
+def test_warehouse_reads_in_parallel_when_split():
+    calls = []
+
+    class Reader:
+        def jdbc(self, *args, **kwargs):
+            calls.append((args, kwargs))
+
+    class Session:
+        read = Reader()
+
+    w = Warehouse("url", "u", "p")
+    w.read(Session(), "dim_machine")
+    w.read(Session(), "alert_events", split_on="alert_id", lower=1, upper=100, partitions=8)
+    assert "column" not in calls[0][1]
+    assert (calls[1][1]["column"], calls[1][1]["numPartitions"]) == ("alert_id", 8)
+
+
+def test_unique_readings_keeps_rows_without_identity(make):
+    raw = make({"_id": "a"}, {"_id": "a"}, {"_id": None}, {"_id": None}, {"_id": "b", "reading_value": 2.0},
+               {"_id": "b", "reading_value": 1.0})
+    rows = unique_readings(raw).collect()
+    assert sorted(str(r["_id"]) for r in rows) == ["None", "None", "a", "b"]
+    assert [r["reading_value"] for r in rows if r["_id"] == "b"] == [1.0]
+
+
+def test_history_looks_up_only_the_hours_it_needs(spark, make, tmp_path):
+    from plantpulse.sinks.archive import append_archive
+    from plantpulse.sources.readings import read_archive
+
+    old = [{"_id": f"o{h}", "event_timestamp": f"2024-01-01 0{h}:30:00"} for h in range(5)]
+    append_archive(spark, make(*old, {"_id": "odd", "event_timestamp": "bad"}), str(tmp_path / "a"))
+    hot = make(old[4], {"_id": "new", "event_timestamp": "2024-01-01 04:45:00"}, {"_id": "odd", "event_timestamp": "bad"})
+    both = history(hot, read_archive(spark, str(tmp_path / "a")))
+    assert sorted(r["_id"] for r in both.collect()) == ["new", "o0", "o1", "o2", "o3", "o4", "odd"]
