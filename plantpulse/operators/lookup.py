@@ -57,3 +57,13 @@ def attach(
     salted_fact = fact.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
     salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_fact.hint("merge").join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
+
+
+def without_identities(readings: DataFrame, ids: DataFrame) -> DataFrame:
+    """``readings`` whose ``_id`` is not in ``ids`` (rows without identity stay).
+
+    Both sides can be large and identities are close to unique, so repeating one side per salt
+    would cost more than it helps. The choice is left to AQE: it broadcasts ``ids`` if they turn
+    out small, and splits a partition that a reading delivered very often has made large.
+    """
+    return readings.join(ids.select("_id"), "_id", "left_anti")

@@ -18,7 +18,7 @@ from plantpulse.constants import (
     EVENT_TIME_PATTERN,
 )
 from plantpulse.functions.timing import RAW_TIME, as_utc, event_text, parse_event_time
-from plantpulse.operators.lookup import attach
+from plantpulse.operators.lookup import without_identities
 
 
 @dataclass(frozen=True)
@@ -95,4 +95,4 @@ def _bucket_past(rows: DataFrame, bucket: Column, before: int, cap: int) -> tupl
 
 def remaining(hot: DataFrame, archived: DataFrame) -> DataFrame:
     """Hot readings whose identity has not been archived."""
-    return attach(hot, archived.select("_id"), "_id", how="left_anti")
+    return without_identities(hot, archived)

@@ -19,7 +19,8 @@ from plantpulse.operators.conform import (
     within_lookback,
 )
 from plantpulse.operators.enrich import enrich
-from plantpulse.plans.jobs import enriched_readings, run_to_parquet
+from plantpulse.plans.jobs import enriched_readings, run_minute_kpi, run_to_parquet
+from plantpulse.plans.publish import read_kpi_table
 from plantpulse.session import use_utc, work_path
 from plantpulse.sinks.archive import archive_layout, manifest, write_chunks, write_snapshot
 from plantpulse.sources import testdata as td
@@ -172,6 +173,17 @@ def kpi_freshness(spark: SparkSession, sf: str) -> DataFrame:
     return kpi.freshness(_kpi(spark, sf))
 
 
+@query
+def kpi_table_range(spark: SparkSession, sf: str) -> DataFrame:
+    """The KPI table as the job stores it, twice over, read back for a time range."""
+    out = work_path(spark, "tables")
+    for _ in range(2):
+        run_minute_kpi(
+            spark, td.readings(spark, sf), td.dimensions(spark, sf), td.AS_OF, out, td.LOOKBACK, normalise=True
+        )
+    return _rounded(read_kpi_table(spark, f"{out}/minute_kpi", BI_START, BI_END), "avg_reading")
+
+
 # --- data quality --------------------------------------------------------------------------------
 
 

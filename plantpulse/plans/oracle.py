@@ -233,6 +233,9 @@ SELECT machine_id, real_date AS event_date, round(avg(reading_value), 6) AS avg_
 FROM readings GROUP BY machine_id, real_date"""),
         "kpi_freshness": _sql(
             'SELECT max(kpi_minute_start_utc) AS latest_minute, count(*) AS "rows" FROM kpi', True, _KPI),
+        "kpi_table_range": _sql(f"""
+SELECT * FROM kpi WHERE kpi_minute_start_utc >= TIMESTAMP '{c.BI_START}'
+  AND kpi_minute_start_utc < TIMESTAMP '{c.BI_END}'""", True, _KPI),
         "dq_report": _sql(f"""
 SELECT count(*) AS total_rows, count(*) FILTER (event_timestamp_utc IS NULL) AS unparsed_time,
        count(*) FILTER (reading_value IS NULL) AS missing_value, count(*) FILTER (isnan(reading_value)) AS nan_value,

@@ -41,17 +41,16 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local master, where driver and executors are one process, may fall back to a
-    temporary folder; the choice is then stored in the session so that all callers agree.
+    Only a local master, where driver and executors are one process, may fall back to a temporary
+    folder; it becomes the session's checkpoint folder, so that all callers agree on it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="plantpulse-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plantpulse-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def work_path(spark: SparkSession, label: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.constants import ARCHIVE_CHUNK_DOCS, ARCHIVE_MAX_CHUNKS
 from plantpulse.functions.timing import calendar_parts
-from plantpulse.operators.lookup import attach
+from plantpulse.operators.lookup import without_identities
 from plantpulse.schemas import READING
 from plantpulse.sinks.tables import append, read_if_exists
 from plantpulse.sources.readings import (
@@ -34,12 +34,12 @@ def write_chunks(
 ) -> str:
     """JSON lines of one run, at most ``chunk_docs`` per file; the same run replaces its own files.
 
-    With ``max_files`` the rows are gathered into that many tasks, for runs whose size is capped.
+    With ``max_files`` the rows are dealt out to that many tasks, for runs whose size is capped.
     """
     target = run_path(root, run_id)
     rows = readings.select(*READING.fieldNames())
     if max_files is not None:
-        rows = rows.coalesce(max_files)
+        rows = rows.repartition(max_files, "_id")
     rows.write.mode("overwrite").option("maxRecordsPerFile", chunk_docs).option("ignoreNullFields", False).json(target)
     return target
 
@@ -65,7 +65,7 @@ def append_archive(spark: SparkSession, raw: DataFrame, path: str) -> None:
     rows = archive_layout(unique_readings(raw))
     if read_if_exists(spark, path) is not None:
         past = read_archive(spark, path).where(span_hours(time_span(rows, "event_ts")))
-        rows = attach(rows, past.select("_id"), "_id", how="left_anti")
+        rows = without_identities(rows, past)
     append(rows, path, ARCHIVE_PARTITIONS)
 
 

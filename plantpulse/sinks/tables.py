@@ -73,3 +73,14 @@ def upsert(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], p
     kept = affected.join(new, same_keys(affected, new, keys), "left_anti")
     kept.unionByName(new).write.partitionBy(*partitions).parquet(f"{staged}/merged")
     replace_partitions(spark.read.schema(df.schema).parquet(f"{staged}/merged").select(df.columns), path, partitions)
+
+
+def new_rows(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose ``keys`` the table at ``path`` does not have yet; only the partitions
+    that ``df`` has rows for are read."""
+    if read_if_exists(spark, path) is None:
+        return df
+    touched = df.select(*partitions).distinct()
+    old = spark.read.schema(df.schema).parquet(path)
+    old = old.join(F.broadcast(touched), list(partitions), "left_semi")
+    return df.join(old, same_keys(df, old, keys), "left_anti")

@@ -17,7 +17,7 @@ from plantpulse.functions.timing import (
     parse_event_time,
     timestamp_literal,
 )
-from plantpulse.operators.lookup import attach
+from plantpulse.operators.lookup import without_identities
 from plantpulse.schemas import READING
 
 HOT_PARTITIONS = ("event_date", "event_hour", "ingest_batch")
@@ -129,8 +129,8 @@ def history(hot: DataFrame, archive: DataFrame) -> DataFrame:
     """
     columns = [f.name for f in READING.fields]
     overlap = span_hours(time_span(hot.select(parse_event_time(RAW_TIME).alias("ts")), "ts"))
-    new = attach(hot.select(columns), archive.where(overlap).select("_id"), "_id", how="left_anti")
-    return archive.select(columns).unionByName(new)
+    new = without_identities(hot.select(columns), archive.where(overlap))
+    return archive.select(columns).unionByName(new.select(columns))
 
 
 def time_span(df: DataFrame, ts: str) -> tuple[datetime, datetime] | None:
