@@ -208,14 +208,13 @@ def _verify_and_delete(spark: SparkSession, hot: str, files: str, selected: int,
     return ArchiveResult(True, "", written, deleted, cutoff, files)
 
 
-def run_to_parquet(spark: SparkSession, files: str | list[str], archive: str) -> int:
-    """Convert JSON lines (dumps or archive chunks) to the columnar archive; returns rows read.
+def run_to_parquet(spark: SparkSession, files: str | list[str], archive: str) -> bool:
+    """Convert JSON lines (dumps or archive chunks) to the columnar archive; False if there are none.
 
     Running again on the same files adds nothing.
     """
     raw = read_ndjson(spark, files)
     if raw.isEmpty():
-        return 0
+        return False
     append_archive(spark, raw, archive)
-    return raw.count()
-
+    return True

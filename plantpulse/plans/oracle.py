@@ -45,7 +45,7 @@ dim_machine AS (
   SELECT 'MAC' || lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS machine_id,
          'FCT' || lpad(CAST(s_nationkey AS VARCHAR), 3, '0') AS factory_id,
          'Line ' || CAST(s_suppkey % 5 AS VARCHAR) AS line_name,
-         CASE s_suppkey % 4 WHEN 0 THEN 'Oven' WHEN 1 THEN 'Mixer' WHEN 2 THEN 'Cutter' ELSE 'Packer' END AS machine_type,
+         CASE (s_suppkey // 8) % 4 WHEN 0 THEN 'Oven' WHEN 1 THEN 'Mixer' WHEN 2 THEN 'Cutter' ELSE 'Packer' END AS machine_type,
          CASE WHEN s_acctbal < 2500 THEN 'Low' WHEN s_acctbal < 7000 THEN 'Medium' ELSE 'High' END AS criticality
   FROM supplier
 ),

@@ -9,7 +9,7 @@ from plantpulse.constants import ARCHIVE_CHUNK_DOCS, ARCHIVE_MAX_CHUNKS
 from plantpulse.functions.timing import calendar_parts
 from plantpulse.operators.lookup import without_identities
 from plantpulse.schemas import READING
-from plantpulse.sinks.tables import append, read_if_exists
+from plantpulse.sinks.tables import append, open_table
 from plantpulse.sources.readings import (
     ARCHIVE_PARTITIONS,
     read_archive,
@@ -63,8 +63,8 @@ def append_archive(spark: SparkSession, raw: DataFrame, path: str) -> None:
     not read.
     """
     rows = archive_layout(unique_readings(raw))
-    if read_if_exists(spark, path) is not None:
-        past = read_archive(spark, path).where(span_hours(time_span(rows, "event_ts")))
+    if open_table(spark, path, rows.schema) is not None:
+        past = read_archive(spark, path).where(span_hours(time_span(with_archive_time(raw), "event_ts")))
         rows = without_identities(rows, past)
     append(rows, path, ARCHIVE_PARTITIONS)
 

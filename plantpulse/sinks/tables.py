@@ -7,16 +7,17 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plantpulse.session import work_path
 
 
-def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
+def open_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
     """The Parquet table at ``path``; None before its first write."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
@@ -57,30 +58,48 @@ def upsert(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], p
     """Insert the rows of ``df``, replacing rows with equal ``keys`` (NULLs count as equal).
 
     ``df`` holds each key once; ``partitions`` must follow from the keys. Only partitions that
-    receive rows are read and rewritten. The merged rows are first written below the shared folder:
-    the target is then never read and replaced at once, and a lost executor costs only its tasks.
+    receive rows are read and rewritten. What goes into them is first written below the shared
+    folder: ``df`` is computed once, the target is never read and replaced at the same time, and a
+    lost executor costs only its tasks.
     """
-    staged = work_path(spark, "upsert")
-    clustered(df, partitions).write.partitionBy(*partitions).parquet(f"{staged}/new")
-    new = spark.read.schema(df.schema).parquet(f"{staged}/new").select(df.columns)
-    if read_if_exists(spark, path) is None:
-        replace_partitions(new, path, partitions)
+    old = open_table(spark, path, df.schema)
+    if old is None:
+        replace_partitions(df, path, partitions)
         return
-    # partitions come from the file listing, so finding the touched ones reads no data
-    touched = new.select(*partitions).distinct()
-    old = spark.read.schema(df.schema).parquet(path)
-    affected = old.join(F.broadcast(touched), list(partitions), "left_semi").select(df.columns)
+    staged = work_path(spark, "upsert")
+    df.write.parquet(f"{staged}/new")
+    new = spark.read.schema(df.schema).parquet(f"{staged}/new")
+    affected = _touched_by(new, old, partitions)
     kept = affected.join(new, same_keys(affected, new, keys), "left_anti")
-    kept.unionByName(new).write.partitionBy(*partitions).parquet(f"{staged}/merged")
-    replace_partitions(spark.read.schema(df.schema).parquet(f"{staged}/merged").select(df.columns), path, partitions)
+    kept.select(df.columns).write.parquet(f"{staged}/kept")
+    both = spark.read.schema(df.schema).parquet(f"{staged}/kept").unionByName(new)
+    replace_partitions(both, path, partitions)
+
+
+def _touched_by(new: DataFrame, old: DataFrame, partitions: Sequence[str]) -> DataFrame:
+    """Rows of ``old`` in partitions that ``new`` has rows for.
+
+    The ranges of the partition columns, fetched as one row, prune the directories of ``old``; the
+    join with the short list of partitions then is exact, NULL partitions included.
+    """
+    ends = [f(p).alias(f"{p} {f.__name__}") for p in partitions for f in (F.min, F.max)]
+    found = new.agg(*ends).first()
+    for p in partitions:
+        low, high = found[f"{p} min"], found[f"{p} max"]
+        known = F.lit(False) if low is None else F.col(p).between(F.lit(low), F.lit(high))
+        old = old.where(known | F.col(p).isNull())
+    touched = new.select(*[F.col(p).alias(f"_{p}") for p in partitions]).distinct()
+    same = F.lit(True)
+    for p in partitions:
+        same = same & old[p].eqNullSafe(touched[f"_{p}"])
+    return old.join(F.broadcast(touched), same, "left_semi")
 
 
 def new_rows(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str]) -> DataFrame:
     """Rows of ``df`` whose ``keys`` the table at ``path`` does not have yet; only the partitions
     that ``df`` has rows for are read."""
-    if read_if_exists(spark, path) is None:
+    old = open_table(spark, path, df.schema)
+    if old is None:
         return df
-    touched = df.select(*partitions).distinct()
-    old = spark.read.schema(df.schema).parquet(path)
-    old = old.join(F.broadcast(touched), list(partitions), "left_semi")
+    old = _touched_by(df, old, partitions)
     return df.join(old, same_keys(df, old, keys), "left_anti")

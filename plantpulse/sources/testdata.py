@@ -46,7 +46,7 @@ def _code(prefix: str, number: str, digits: int = 10) -> str:
 def _choice(number: str, *names: str) -> str:
     """``names[number % len(names)]``."""
     listed = ", ".join(f"'{n}'" for n in names)
-    return f"element_at(array({listed}), int({number} % {len(names)} + 1))"
+    return f"element_at(array({listed}), int(({number}) % {len(names)} + 1))"
 
 
 def readings_from(events: DataFrame, *, fold: bool = True) -> DataFrame:
@@ -84,7 +84,7 @@ def dim_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('Line ', s_suppkey % 5) AS line_name",
         _choice("s_suppkey", "Biscuit", "Wafer", "Snack") + " AS product_family",
         _code("FCT", "s_nationkey", 3) + " AS factory_id",
-        _choice("s_suppkey", "Oven", "Mixer", "Cutter", "Packer") + " AS machine_type",
+        _choice("s_suppkey div 8", "Oven", "Mixer", "Cutter", "Packer") + " AS machine_type",
         _choice("s_suppkey", "North", "South") + " AS vendor",
         "date_add(DATE '2015-01-01', int(s_suppkey % 3000)) AS install_date",
         "CASE WHEN s_acctbal < 2500 THEN 'Low' WHEN s_acctbal < 7000 THEN 'Medium' ELSE 'High' END AS criticality",

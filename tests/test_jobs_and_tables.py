@@ -5,7 +5,7 @@ from plantpulse.operators import quality, star
 from plantpulse.operators.conform import conform_machines, conform_readings
 from plantpulse.plans import jobs
 from plantpulse.session import shared_dir, work_path
-from plantpulse.sinks.tables import append, read_if_exists, replace_partitions, upsert
+from plantpulse.sinks.tables import append, open_table, replace_partitions, upsert
 
 AS_OF = "2024-01-01 12:00:00"
 
@@ -24,12 +24,28 @@ def test_upsert_replaces_by_key_with_nulls_equal(spark, tmp_path):
     assert got == sorted(map(str, [("a", 1, 1), (None, 1, 20), ("e", 1, 5), ("c", 2, 3), ("d", None, 40)]))
 
 
+def test_upsert_keeps_other_rows_of_a_null_partition_and_reads_no_other_days(spark, tmp_path):
+    import glob
+
+    path, ddl = str(tmp_path / "t"), "k string, d date, v int"
+    days = "SELECT k, CAST(d AS date) AS d, v FROM VALUES ('a', NULL, 1), ('b', NULL, 2), ('c', '2024-01-01', 3), ('d', '2024-01-05', 4) AS t(k, d, v)"
+    upsert(spark, spark.sql(days), path, ("k", "d"), ("d",))
+    for f in glob.glob(f"{path}/d=2024-01-05/*.parquet"):
+        kept = open(f, "rb").read()
+        open(f, "w").write("no parquet")
+        upsert(spark, spark.createDataFrame([("a", None, 10)], ddl), path, ("k", "d"), ("d",))
+        upsert(spark, spark.sql("SELECT 'e' AS k, DATE'2024-01-01' AS d, 5 AS v"), path, ("k", "d"), ("d",))
+        open(f, "wb").write(kept)
+    got = {r["k"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert got == {"a": 10, "b": 2, "c": 3, "d": 4, "e": 5}
+
+
 def test_replace_partitions_leaves_others_alone(spark, tmp_path):
     path = str(tmp_path / "t")
     append(spark.createDataFrame([(1, 1), (2, 2)], "v int, p int"), path, ["p"])
     replace_partitions(spark.createDataFrame([(9, 2)], "v int, p int"), path, ["p"])
     assert sorted((r["p"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, 1), (2, 9)]
-    assert read_if_exists(spark, str(tmp_path / "none")) is None
+    assert open_table(spark, str(tmp_path / "none"), spark.read.parquet(path).schema) is None
 
 
 def test_work_paths_lie_below_the_shared_folder(spark):
