@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DateType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DateType, IntegerType, StringType, StructField, StructType
 
 from plantpulse.functions.timing import RAW_TIME, parse_event_time
 from plantpulse.operators.lookup import attach
@@ -25,20 +25,20 @@ HOT_SCHEMA = StructType(
         StructField("emptied", BooleanType()),
         StructField("event_date", DateType()),
         StructField("event_hour", IntegerType()),
-        StructField("ingest_batch", LongType()),
+        StructField("ingest_batch", StringType()),
     ]
 )
 
 
-def write_hot_batch(raw: DataFrame, path: str, batch: int) -> None:
-    """Store one batch of raw readings; the same batch again replaces itself."""
+def write_hot_batch(raw: DataFrame, path: str, batch: str) -> None:
+    """Store one batch of raw readings; a batch of the same name replaces the earlier one."""
     ts = parse_event_time(RAW_TIME)
     rows = raw.select(
         *READING.fieldNames(),
         F.lit(None).cast("boolean").alias("emptied"),
         F.to_date(ts).alias("event_date"),
         F.hour(ts).alias("event_hour"),
-        F.lit(batch).cast("bigint").alias("ingest_batch"),
+        F.lit(batch).alias("ingest_batch"),
     )
     replace_partitions(rows, path, HOT_PARTITIONS)
 

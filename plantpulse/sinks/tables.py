@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from plantpulse.operators.lookup import BROADCAST_BYTES
 from plantpulse.session import work_path
 
 
@@ -80,19 +81,18 @@ def _touched_by(new: DataFrame, old: DataFrame, partitions: Sequence[str]) -> Da
     """Rows of ``old`` in partitions that ``new`` has rows for.
 
     The ranges of the partition columns, fetched as one row, prune the directories of ``old``; the
-    join with the short list of partitions then is exact, NULL partitions included.
+    join with the list of partitions then is exact, NULL partitions included.
     """
+    touched = new.select(*partitions).distinct()
     ends = [f(p).alias(f"{p} {f.__name__}") for p in partitions for f in (F.min, F.max)]
-    found = new.agg(*ends).first()
+    found = touched.agg(*ends, F.sum(F.octet_length(F.to_json(F.struct(*partitions)))).alias("bytes")).first()
     for p in partitions:
         low, high = found[f"{p} min"], found[f"{p} max"]
         known = F.lit(False) if low is None else F.col(p).between(F.lit(low), F.lit(high))
         old = old.where(known | F.col(p).isNull())
-    touched = new.select(*[F.col(p).alias(f"_{p}") for p in partitions]).distinct()
-    same = F.lit(True)
-    for p in partitions:
-        same = same & old[p].eqNullSafe(touched[f"_{p}"])
-    return old.join(F.broadcast(touched), same, "left_semi")
+    if (found["bytes"] or 0) <= BROADCAST_BYTES:
+        touched = F.broadcast(touched)
+    return old.join(touched, same_keys(old, touched, partitions), "left_semi")
 
 
 def new_rows(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str]) -> DataFrame:

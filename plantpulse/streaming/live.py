@@ -70,11 +70,17 @@ def _start(writer, checkpoint: str, cadence: str | None) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def store_stream(raw: DataFrame, path: str, checkpoint: str, cadence: str | None = CADENCE) -> StreamingQuery:
-    """Raw readings into the hot store, by day and hour; each micro-batch is stored once."""
+def store_stream(
+    raw: DataFrame, path: str, checkpoint: str, cadence: str | None = CADENCE, name: str = "s0"
+) -> StreamingQuery:
+    """Raw readings into the hot store, by day and hour; each micro-batch is stored once.
+
+    Batches are named by ``name`` and their number. Numbers start over with a new checkpoint, so a
+    stream that gets one also needs a new name.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        write_hot_batch(batch, path, number)
+        write_hot_batch(batch, path, f"{name}-{number}")
 
     return _start(raw.writeStream.outputMode("append").foreachBatch(write), checkpoint, cadence)
 

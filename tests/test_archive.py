@@ -28,8 +28,8 @@ def every_minute(n, start_hour=10, **extra):
 def hot(spark, make, tmp_path):
     path = str(tmp_path / "hot")
     rows = every_minute(90)
-    write_hot_batch(make(*rows[:50]), path, 0)
-    write_hot_batch(make(*rows[50:], {"_id": "odd", "event_timestamp": "bad"}), path, 1)
+    write_hot_batch(make(*rows[:50]), path, "a-0")
+    write_hot_batch(make(*rows[50:], {"_id": "odd", "event_timestamp": "bad"}), path, "a-1")
     return path
 
 
@@ -63,7 +63,7 @@ def test_oldest_equals_a_full_sort(make, cap):
 
 def test_a_hot_batch_written_again_replaces_itself(spark, make, hot):
     before = ids(open_hot(spark, hot))
-    write_hot_batch(make(*every_minute(50)), hot, 0)
+    write_hot_batch(make(*every_minute(50)), hot, "a-0")
     assert ids(open_hot(spark, hot)) == before and len(before) == 91
 
 
@@ -129,7 +129,7 @@ def test_size_archive_runs_until_only_the_newest_minutes_are_left(spark, hot, tm
 def test_size_archive_guards(spark, make, hot, tmp_path):
     assert run_archive(spark, hot, tmp_path, "a", threshold_mb=300).reason == "below_threshold"
     empty = str(tmp_path / "odd")
-    write_hot_batch(make({"event_timestamp": "bad"}), empty, 0)
+    write_hot_batch(make({"event_timestamp": "bad"}), empty, "a-0")
     assert run_archive(spark, empty, tmp_path, "b").reason == "no_data"
 
 

@@ -151,11 +151,20 @@ def test_a_batch_delivered_again_changes_nothing(spark, make, enriched, tmp_path
     assert sorted(map(repr, spark.read.parquet(out).collect())) == first and len(first) == 3
 
 
-def test_streams_run_once_a_minute_by_default(feed, tmp_path):
-    feed.add({"_id": "1", "event_timestamp": at(0)})
-    query = live.append_stream(conform_readings(feed.stream()), str(tmp_path / "o"), str(tmp_path / "c"))
-    try:
-        query.processAllAvailable()
-        assert query.isActive and live.CADENCE == "1 minute"
-    finally:
-        query.stop()
+def test_trigger_is_a_minute_by_default_and_once_without_cadence():
+    seen = {}
+
+    class Writer:
+        def option(self, key, value):
+            seen[key] = value
+            return self
+
+        def trigger(self, **kwargs):
+            seen.update(kwargs)
+            return self
+
+        def start(self):
+            return dict(seen)
+
+    assert live._start(Writer(), "ck", live.CADENCE) == {"checkpointLocation": "ck", "processingTime": "1 minute"}
+    assert live._start(Writer(), "ck", None)["availableNow"] is True
