@@ -11,18 +11,22 @@ from plantpulse.operators.lookup import BROADCAST_BYTES, attach, measured_bytes
 MINUTE = "minute_ts"
 
 
-def join_dimensions(
+def with_limits(readings: DataFrame, sensors: DataFrame, *, broadcast: bool | None = None) -> DataFrame:
+    """Readings with name, unit and limits of their sensor type, and the minute they fall in."""
+    limited = attach(readings, sensors, "sensor_type_id", broadcast=broadcast)
+    return limited.withColumn(MINUTE, minute_of(EVENT_TIME))
+
+
+def with_factories(
     readings: DataFrame,
     machines: DataFrame,
-    sensors: DataFrame,
     *,
-    max_bytes: int = BROADCAST_BYTES,
+    broadcast: bool | None = None,
+    known_only: bool = True,
 ) -> DataFrame:
-    """Left joins on machine and sensor type. The reading's own factory is not reliable and goes."""
-    size = measured_bytes({"machines": machines, "sensors": sensors})
-    facts = readings.drop("factory_id")
-    facts = attach(facts, machines, "machine_id", broadcast=size["machines"] <= max_bytes)
-    return attach(facts, sensors, "sensor_type_id", broadcast=size["sensors"] <= max_bytes)
+    """Readings with their machine's factory; the factory they carry is not reliable and goes."""
+    joined = attach(readings.drop("factory_id"), machines, "machine_id", broadcast=broadcast)
+    return joined.where(F.col("factory_id").isNotNull()) if known_only else joined
 
 
 def enrich(
@@ -31,7 +35,14 @@ def enrich(
     sensors: DataFrame,
     *,
     max_bytes: int = BROADCAST_BYTES,
+    known_only: bool = True,
 ) -> DataFrame:
-    """Joined readings of known machines, with the minute they fall in."""
-    joined = join_dimensions(readings, machines, sensors, max_bytes=max_bytes)
-    return joined.where(F.col("factory_id").isNotNull()).withColumn(MINUTE, minute_of(EVENT_TIME))
+    """Readings of known machines (or of all) with factory, limits and minute.
+
+    Sensor types come first, so that a later filter on the limits is applied before the machines.
+    """
+    size = measured_bytes({"machines": machines, "sensors": sensors})
+    limited = with_limits(readings, sensors, broadcast=size["sensors"] <= max_bytes)
+    return with_factories(
+        limited, machines, broadcast=size["machines"] <= max_bytes, known_only=known_only
+    )

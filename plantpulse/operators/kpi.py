@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plantpulse.constants import EVENT_INTERVAL_SECONDS, KPI_KEYS
 from plantpulse.functions.thresholds import breached
 from plantpulse.functions.timing import EVENT_TIME
-from plantpulse.operators.enrich import MINUTE
+from plantpulse.operators.enrich import MINUTE, with_factories
 
 KPI_MINUTE = "kpi_minute_start_utc"
 
@@ -23,13 +23,6 @@ MINUTE_LEVELS = {
 }
 
 
-def _flag_count(*conditions: Column) -> Column:
-    both = conditions[0]
-    for c in conditions[1:]:
-        both = both & c
-    return F.count_if(both)
-
-
 def minute_stats(enriched: DataFrame, level: str) -> DataFrame:
     """Event count and average, least and greatest value per minute at one of MINUTE_LEVELS."""
     keys = MINUTE_LEVELS[level]
@@ -43,21 +36,30 @@ def minute_stats(enriched: DataFrame, level: str) -> DataFrame:
     )
 
 
-def minute_stats_all_levels(enriched: DataFrame, levels: Sequence[str] = tuple(MINUTE_LEVELS)) -> DataFrame:
+def minute_stats_all_levels(
+    readings: DataFrame,
+    levels: Sequence[str] = tuple(MINUTE_LEVELS),
+    *,
+    machines: DataFrame | None = None,
+) -> DataFrame:
     """All ``minute_stats`` tables from one pass over the readings, told apart by ``level``.
 
     Readings are first reduced to partial sums at the finest grain; only those few rows are then
-    expanded to the grouping sets.
+    expanded to the grouping sets. With ``machines``, readings are not joined with them yet: the
+    partial sums are, which is the way for a machine table too large to broadcast.
     """
     grain = [MINUTE, "factory_id", "machine_id", "product_id"]
+    first = grain if machines is None else [c for c in grain if c != "factory_id"]
     value = F.col("reading_value")
-    partial = enriched.groupBy(*grain).agg(
+    partial = readings.groupBy(*first).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(value).alias("n_value"),
         F.sum(value).alias("total"),
         F.min(value).alias("least"),
         F.max(value).alias("greatest"),
     )
+    if machines is not None:
+        partial = with_factories(partial, machines, broadcast=False)
     sets = [[MINUTE, *MINUTE_LEVELS[level]] for level in levels]
     # grouping_id has one bit per grain column, set where the column is aggregated away
     ids = {sum(1 << (len(grain) - 1 - i) for i, c in enumerate(grain) if c not in s): level
@@ -83,9 +85,25 @@ def one_level(all_levels: DataFrame, level: str) -> DataFrame:
     )
 
 
+def _per_minute(readings: DataFrame, minute: Column | None, keys: Sequence[str]) -> DataFrame:
+    value = F.col("reading_value")
+    down, planned = F.col("is_downtime"), F.col("planned_downtime")
+    minute = F.col(MINUTE) if minute is None else minute
+    return readings.groupBy(minute.alias(KPI_MINUTE), *keys).agg(
+        F.avg(value).alias("avg_reading"),
+        F.max(value).alias("max_reading"),
+        F.min(value).alias("min_reading"),
+        F.count(F.lit(1)).alias("num_events"),
+        F.count_if(down & planned).cast("int").alias("planned_downtime_sec"),
+        F.count_if(down & ~planned).cast("int").alias("unplanned_downtime_sec"),
+        F.count_if(breached()).alias("num_alerts"),
+    )
+
+
 def minute_kpi(
-    enriched: DataFrame,
+    readings: DataFrame,
     *,
+    machines: DataFrame | None = None,
     minute: Column | None = None,
     count_null_keys: bool = True,
     downtime_estimate: bool = False,
@@ -98,19 +116,16 @@ def minute_kpi(
     key show no alerts. Downtime columns hold event counts; ``downtime_estimate`` adds seconds
     derived from them and the nominal interval between events. ``minute`` replaces the grouping
     column, for streams, which must group by a time window.
+
+    With ``machines``, readings are not joined with them yet: as a machine has one factory, its
+    groups are joined instead, and only they are shuffled for it. This is the way for a machine
+    table too large to broadcast.
     """
-    value = F.col("reading_value")
-    down, planned = F.col("is_downtime"), F.col("planned_downtime")
-    minute = F.col(MINUTE) if minute is None else minute
-    kpi = enriched.groupBy(minute.alias(KPI_MINUTE), *KPI_KEYS).agg(
-        F.avg(value).alias("avg_reading"),
-        F.max(value).alias("max_reading"),
-        F.min(value).alias("min_reading"),
-        F.count(F.lit(1)).alias("num_events"),
-        _flag_count(down, planned).cast("int").alias("planned_downtime_sec"),
-        _flag_count(down, ~planned).cast("int").alias("unplanned_downtime_sec"),
-        F.count_if(breached()).alias("num_alerts"),
-    )
+    if machines is None:
+        kpi = _per_minute(readings, minute, KPI_KEYS)
+    else:
+        groups = _per_minute(readings, minute, [k for k in KPI_KEYS if k != "factory_id"])
+        kpi = with_factories(groups, machines, broadcast=False)
     if not count_null_keys:
         known = F.lit(True)
         for key in KPI_KEYS:

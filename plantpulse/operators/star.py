@@ -35,19 +35,32 @@ def between(kpi: DataFrame, start: datetime | str | None, end: datetime | str |
     return kpi
 
 
-def star(kpi: DataFrame, dims: Mapping[str, DataFrame], attributes: Sequence[str] | None = None) -> DataFrame:
-    """KPI rows with the asked-for attributes; only the dimensions that hold them are joined."""
-    wanted = list(_OWNER) if attributes is None else list(attributes)
-    parts = {}
-    for dim in dict.fromkeys(_OWNER[a] for a in wanted):
-        key, _ = ATTRIBUTES[dim]
-        parts[dim] = dims[dim].select(key, *[a for a in wanted if _OWNER[a] == dim])
-    sizes = measured_bytes(parts) if parts else {}
-    out = kpi
+def _parts(dims: Mapping[str, DataFrame], attributes: Sequence[str]) -> dict[str, DataFrame]:
+    """Key and wanted attributes of every dimension that holds some."""
+    owners = dict.fromkeys(_OWNER[a] for a in attributes)
+    return {d: dims[d].select(ATTRIBUTES[d][0], *[a for a in attributes if _OWNER[a] == d]) for d in owners}
+
+
+def _joined(fact: DataFrame, parts: Mapping[str, DataFrame], small: Mapping[str, bool]) -> DataFrame:
     for dim, part in parts.items():
-        key, _ = ATTRIBUTES[dim]
-        out = attach(out, part, key, broadcast=sizes[dim] <= BROADCAST_BYTES)
-    return out
+        fact = attach(fact, part, ATTRIBUTES[dim][0], broadcast=small[dim])
+    return fact
+
+
+def _small(parts: Mapping[str, DataFrame], max_bytes: int) -> dict[str, bool]:
+    return {dim: size <= max_bytes for dim, size in measured_bytes(parts).items()} if parts else {}
+
+
+def star(
+    kpi: DataFrame,
+    dims: Mapping[str, DataFrame],
+    attributes: Sequence[str] | None = None,
+    *,
+    max_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """KPI rows with the asked-for attributes; only the dimensions that hold them are joined."""
+    parts = _parts(dims, list(_OWNER) if attributes is None else attributes)
+    return _joined(kpi, parts, _small(parts, max_bytes))
 
 
 def measures() -> dict[str, Column]:
@@ -63,6 +76,16 @@ def measures() -> dict[str, Column]:
     }
 
 
+def _combined() -> dict[str, Column]:
+    """The same facts from rows that hold them already for parts of a group."""
+    how = {"min_reading": F.min, "max_reading": F.max}
+    return {name: how.get(name, F.sum)(name) for name in measures()}
+
+
+def _aggregate(rows: DataFrame, by: Sequence[str], facts: Mapping[str, Column]) -> DataFrame:
+    return rows.groupBy(*by).agg(*[fact.alias(name) for name, fact in facts.items()])
+
+
 def summarise(
     kpi: DataFrame,
     dims: Mapping[str, DataFrame],
@@ -71,11 +94,24 @@ def summarise(
     where: Column | None = None,
     where_on: Sequence[str] = (),
     having: Column | None = None,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Measures grouped by attributes; ``where_on`` names the attributes ``where`` needs besides."""
-    attributes = [a for a in dict.fromkeys([*by, *where_on]) if a in _OWNER]
-    rows = star(kpi, dims, attributes)
+    """Measures grouped by attributes or KPI keys; ``where`` filters on those and on the attributes
+    named by ``where_on``.
+
+    With small dimensions, KPI rows are joined and grouped in one shuffle. If one is too large to
+    broadcast, rows are first summed up per combination of the join keys, and only the sums go
+    through the joins.
+    """
+    parts = _parts(dims, [a for a in dict.fromkeys([*by, *where_on]) if a in _OWNER])
+    small = _small(parts, max_bytes)
+    rows, facts = kpi, measures()
+    if not all(small.values()):
+        plain = [c for c in [*by, *where_on] if c not in _OWNER]
+        keys = dict.fromkeys([*[ATTRIBUTES[d][0] for d in parts], *plain])
+        rows, facts = _aggregate(kpi, list(keys), facts), _combined()
+    rows = _joined(rows, parts, small)
     if where is not None:
         rows = rows.where(where)
-    out = rows.groupBy(*by).agg(*[m.alias(name) for name, m in measures().items()])
+    out = _aggregate(rows, by, facts)
     return out if having is None else out.where(having)

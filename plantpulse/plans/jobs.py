@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantpulse.constants import LOOKBACK_MINUTES
+from plantpulse.functions.thresholds import breached
 from plantpulse.operators.alerts import threshold_alerts
 from plantpulse.operators.conform import (
     conform_machines,
@@ -18,8 +19,9 @@ from plantpulse.operators.conform import (
     conform_sensors,
     within_lookback,
 )
-from plantpulse.operators.enrich import MINUTE, enrich
+from plantpulse.operators.enrich import MINUTE, enrich, with_factories, with_limits
 from plantpulse.operators.kpi import MINUTE_LEVELS, daily_machine, minute_kpi, minute_stats_all_levels, one_level
+from plantpulse.operators.lookup import BROADCAST_BYTES, measured_bytes
 from plantpulse.operators.retention import SizePolicy, age_cutoff, newest_cutoff, older_than, oldest
 from plantpulse.sinks.archive import append_archive, manifest, write_chunks, write_manifest, write_snapshot
 from plantpulse.sinks.hot import delete_hot, open_hot
@@ -41,18 +43,47 @@ def enriched_readings(
     lookback: int = LOOKBACK_MINUTES,
     *,
     normalise: bool = True,
-    whole_minutes: bool = False,
 ) -> DataFrame:
     """Conformed, recent, joined readings: the input of KPIs and alerts."""
-    recent = within_lookback(
-        conform_readings(raw, normalise=normalise), as_of, lookback, whole_minutes=whole_minutes
-    )
+    recent = within_lookback(conform_readings(raw, normalise=normalise), as_of, lookback)
     machines = conform_machines(dims["dim_machine"], normalise=normalise)
     return enrich(recent, machines, conform_sensors(dims["dim_sensor_type"]))
 
 
-def _alert_rows(enriched: DataFrame, style: str) -> DataFrame:
-    return alert_table_rows(threshold_alerts(enriched, style, with_reading_id=True))
+@dataclass(frozen=True)
+class _Inputs:
+    """Recent readings with limits, whole minutes only, and the machines to join them with."""
+
+    limited: DataFrame
+    machines: DataFrame
+    small: bool
+
+    def alert_rows(self, style: str) -> DataFrame:
+        """Alerts; only readings in breach are joined with the machines."""
+        known = with_factories(self.limited.where(breached()), self.machines, broadcast=self.small)
+        return alert_table_rows(threshold_alerts(known, style, with_reading_id=True))
+
+    def aggregate(self, operator: Callable[..., DataFrame]) -> DataFrame:
+        """``operator`` over readings joined with small machines, or with large ones after grouping."""
+        if self.small:
+            return operator(with_factories(self.limited, self.machines, broadcast=True))
+        return operator(self.limited, machines=self.machines)
+
+
+def _inputs(
+    raw: DataFrame,
+    dims: Mapping[str, DataFrame],
+    as_of: datetime | str,
+    lookback: int,
+    normalise: bool,
+    max_bytes: int,
+) -> _Inputs:
+    recent = within_lookback(conform_readings(raw, normalise=normalise), as_of, lookback, whole_minutes=True)
+    machines = conform_machines(dims["dim_machine"], normalise=normalise)
+    sensors = conform_sensors(dims["dim_sensor_type"])
+    size = measured_bytes({"machines": machines, "sensors": sensors})
+    limited = with_limits(recent, sensors, broadcast=size["sensors"] <= max_bytes)
+    return _Inputs(limited, machines, size["machines"] <= max_bytes)
 
 
 def run_minute_tables(
@@ -62,15 +93,17 @@ def run_minute_tables(
     as_of: datetime | str,
     out: str,
     lookback: int = LOOKBACK_MINUTES,
+    *,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> None:
     """The four per-minute tables and the machine alert table, brought up to date below ``out``.
 
     The readings are scanned once for all four tables and once for the alerts. Minutes are
     recomputed whole (the lookback starts on a minute), so running again changes nothing.
     """
-    enriched = enriched_readings(raw, dims, as_of, lookback, whole_minutes=True)
-    # only the aggregated rows are kept for the four writes, on disk and memory of the executors
-    levels = minute_stats_all_levels(enriched).persist(StorageLevel.MEMORY_AND_DISK)
+    inputs = _inputs(raw, dims, as_of, lookback, True, max_bytes)
+    # only the aggregated rows are kept for the four writes, in memory and on disk of the executors
+    levels = inputs.aggregate(minute_stats_all_levels).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for level, keys in MINUTE_LEVELS.items():
             rows = one_level(levels, level).withColumn("minute_date", F.to_date(MINUTE))
@@ -79,7 +112,7 @@ def run_minute_tables(
         levels.unpersist()
     upsert(
         spark,
-        _alert_rows(enriched, "machine"),
+        inputs.alert_rows("machine"),
         f"{out}/fact_machine_alert_events",
         ("reading_id", *ALERT_TABLE_PARTITIONS),
         ALERT_TABLE_PARTITIONS,
@@ -95,23 +128,24 @@ def run_minute_kpi(
     lookback: int = LOOKBACK_MINUTES,
     *,
     normalise: bool = False,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> None:
     """The KPI table and its alerts, brought up to date below ``out``.
 
     Only hours with recomputed minutes are rewritten: older KPIs stay when their readings have left
     the hot store.
     """
-    enriched = enriched_readings(raw, dims, as_of, lookback, normalise=normalise, whole_minutes=True)
+    inputs = _inputs(raw, dims, as_of, lookback, normalise, max_bytes)
     upsert(
         spark,
-        kpi_table_rows(minute_kpi(enriched)),
+        kpi_table_rows(inputs.aggregate(minute_kpi)),
         f"{out}/minute_kpi",
         (*KPI_TABLE_KEYS, *KPI_TABLE_PARTITIONS),
         KPI_TABLE_PARTITIONS,
     )
     upsert(
         spark,
-        _alert_rows(enriched, "kpi"),
+        inputs.alert_rows("kpi"),
         f"{out}/alert_events",
         ("reading_id", *ALERT_TABLE_PARTITIONS),
         ALERT_TABLE_PARTITIONS,

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantpulse.operators.conform import conform_machines, conform_readings, within_lookback
-from plantpulse.operators.enrich import join_dimensions
+from plantpulse.operators.enrich import enrich
 from plantpulse.operators.lookup import attach, fits_broadcast, measured_bytes
 
 
@@ -94,5 +94,6 @@ def test_large_lookup_spreads_a_hot_key(spark):
 def test_enrich_by_shuffle_equals_enrich_by_broadcast(make, dims):
     raw = make(*({"machine_id": m} for m in ("MAC1", "MAC2", "MAC3", "MAC9", None) for _ in range(5)))
     args = (conform_readings(raw), conform_machines(dims["dim_machine"]), dims["dim_sensor_type"])
-    small, large = join_dimensions(*args), join_dimensions(*args, max_bytes=0)
+    small, large = enrich(*args, known_only=False), enrich(*args, known_only=False, max_bytes=0)
+    assert small.count() == 25
     assert sorted(map(repr, small.collect())) == sorted(map(repr, large.select(small.columns).collect()))

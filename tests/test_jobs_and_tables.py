@@ -98,6 +98,31 @@ def test_minute_tables_job_twice(spark, raw, dims, tmp_path):
     assert totals["agg_product_minute"] == raw.where("product_id is not null").count()
 
 
+@pytest.mark.parametrize("job", [jobs.run_minute_kpi, jobs.run_minute_tables])
+def test_jobs_with_a_large_machine_table_give_the_same_tables(spark, raw, dims, tmp_path, job):
+    for name, limit in (("small", 10**6), ("large", 0)):
+        job(spark, raw, dims, AS_OF, f"{tmp_path}/{name}", max_bytes=limit)
+    names = sorted(p.name for p in (tmp_path / "small").iterdir())
+    assert names == sorted(p.name for p in (tmp_path / "large").iterdir())
+    for n in names:
+        small, large = (spark.read.parquet(f"{tmp_path}/{side}/{n}") for side in ("small", "large"))
+        assert sorted(map(repr, small.collect())) == sorted(map(repr, large.select(small.columns).collect()))
+
+
+def test_summary_with_large_dimensions_is_the_same(spark, make, enriched, dims):
+    from plantpulse.operators.kpi import minute_kpi
+
+    rows = [{"machine_id": f"MAC{i % 2 + 1}", "reading_value": float(i), "event_timestamp": f"2024-01-01 10:0{i % 5}:00"}
+            for i in range(40)]
+    kpi = minute_kpi(enriched(make(*rows)))
+    args = (kpi, dims, ["criticality", "product_id"])
+    options = {"where": F.col("sensor_type_name") == "Temperature", "where_on": ["sensor_type_name"]}
+    small = star.summarise(*args, **options)
+    large = star.summarise(*args, **options, max_bytes=0)
+    assert sorted(map(repr, small.collect())) == sorted(map(repr, large.select(small.columns).collect()))
+    assert small.agg(F.sum("num_events")).first()[0] == 40
+
+
 def test_daily_job(spark, raw, tmp_path):
     jobs.run_daily(raw, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/daily_machine").agg(F.sum("total_readings")).first()[0] == 200

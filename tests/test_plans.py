@@ -49,6 +49,15 @@ def test_time_filter_reaches_the_scan_and_columns_are_pruned(stored, spark):
     assert read[1] == {"machine_id", "sensor_type_id", "product_id", "event_timestamp", "reading_value"}
 
 
+def test_with_large_machines_only_groups_are_shuffled_for_the_join(spark, make, dims):
+    from plantpulse.operators.enrich import with_limits
+
+    recent = within_lookback(conform_readings(make({})), "2024-01-01 12:00:00", 6000)
+    kpi = minute_kpi(with_limits(recent, dims["dim_sensor_type"]), machines=conform_machines(dims["dim_machine"]))
+    text = plan(kpi)
+    assert text.index("SortMergeJoin") < text.index("HashAggregate")  # printed top down
+
+
 def test_all_levels_take_one_scan_and_expand_only_aggregated_rows(stored):
     text = plan(minute_stats_all_levels(stored))
     assert text.count("FileScan parquet") == 1
