@@ -201,7 +201,8 @@ def run_size_archive(
     cutoff = newest_cutoff(readings, policy.keep_minutes)
     if cutoff is None:
         return ArchiveResult(False, "no_data")
-    leaving = oldest(older_than(readings, cutoff), policy.run_cap)
+    # a reading without identity could not be deleted again, so it stays
+    leaving = oldest(older_than(readings, cutoff).where(F.col("_id").isNotNull()), policy.run_cap)
     if leaving.isEmpty():
         return ArchiveResult(False, "no_older_than_cutoff", cutoff=cutoff)
     files = write_chunks(leaving, archive, run_id, policy.chunk_docs, policy.max_chunks)
@@ -225,7 +226,7 @@ def run_age_dump(
 ) -> ArchiveResult:
     """Dump all readings older than ``hours`` as JSON lines and delete them from the hot store."""
     cutoff = age_cutoff(as_of, hours)
-    leaving = older_than(open_hot(spark, hot), cutoff)
+    leaving = older_than(open_hot(spark, hot), cutoff).where(F.col("_id").isNotNull())
     if leaving.isEmpty():
         return ArchiveResult(False, "no_older_than_cutoff", cutoff=cutoff)
     files = write_snapshot(leaving, dumps, run_id)

@@ -7,16 +7,18 @@ batch that arrives meanwhile.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, IntegerType, StringType, StructField, StructType
 
 from plantpulse.functions.timing import RAW_TIME, parse_event_time
-from plantpulse.operators.lookup import attach
+from plantpulse.operators.lookup import only_identities, without_identities
 from plantpulse.schemas import READING
 from plantpulse.session import work_path
-from plantpulse.sinks.tables import replace_partitions
-from plantpulse.sources.readings import HOT_PARTITIONS
+from plantpulse.sinks.tables import in_same_partitions, replace_partitions
+from plantpulse.sources.readings import HOT_PARTITIONS, time_span
 
 #: ``emptied`` is set only in rows that stand for a partition without readings.
 HOT_SCHEMA = StructType(
@@ -51,27 +53,36 @@ def open_hot(spark: SparkSession, path: str) -> DataFrame:
 def delete_hot(spark: SparkSession, path: str, archived: DataFrame) -> int:
     """Delete the readings whose identity is in ``archived`` (raw schema, safely stored).
 
-    Returns how many rows were deleted. Only days with archived readings are read, and only
-    partitions that lose rows are rewritten, from a copy below the shared folder. A dynamic
-    overwrite leaves a partition alone that gets no rows, so each rewritten one also gets an
-    ``emptied`` row, which ``open_hot`` skips.
+    Returns how many rows were deleted. Only hours with archived readings are read, and only
+    partitions that lose rows are rewritten, from a copy of what stays in them below the shared
+    folder. A dynamic overwrite leaves a partition alone that gets no rows, so each rewritten one
+    also gets an ``emptied`` row, which ``open_hot`` skips.
     """
-    day = F.col("event_date")
-    dates = archived.select(F.to_date(parse_event_time(RAW_TIME)).alias("event_date"))
-    span = dates.agg(F.min(day).alias("first"), F.max(day).alias("last")).first()
-    in_span = day.isNull()
-    if span["first"] is not None:
-        in_span = in_span | day.between(F.lit(span["first"]), F.lit(span["last"]))
-    ids = archived.select("_id").distinct().withColumn("gone", F.lit(True))
-    marked = attach(open_hot(spark, path).where(in_span), ids, "_id")
-    place = F.to_json(F.struct(*HOT_PARTITIONS))
-
-    staged = work_path(spark, "hot-rewrite")
-    marked.withColumn("place", place).write.parquet(staged)
-    rows = spark.read.schema(StructType([*marked.schema.fields, StructField("place", StringType())])).parquet(staged)
-    losing = rows.where("gone").select("place", *HOT_PARTITIONS).distinct()
-    keep = attach(rows, losing.select("place"), "place", how="left_semi").where(F.col("gone").isNull())
-    marks = losing.withColumn("emptied", F.lit(True))
-    rewritten = keep.unionByName(marks, allowMissingColumns=True).select(*HOT_SCHEMA.fieldNames())
+    staged = work_path(spark, "hot-delete")
+    times = archived.select("_id", parse_event_time(RAW_TIME).alias("ts"))
+    times.write.parquet(f"{staged}/ids")
+    ids = spark.read.schema(times.schema).parquet(f"{staged}/ids")
+    hot = open_hot(spark, path).where(_hours_of(time_span(ids, "ts")))
+
+    hits = only_identities(hot.select("_id", *HOT_PARTITIONS), ids)
+    counts = hits.groupBy(*HOT_PARTITIONS).agg(F.count(F.lit(1)).alias("deleted"))
+    counts.write.parquet(f"{staged}/losing")
+    losing = spark.read.schema(counts.schema).parquet(f"{staged}/losing")
+
+    kept = without_identities(in_same_partitions(hot, losing, HOT_PARTITIONS), ids)
+    kept.write.parquet(f"{staged}/kept")
+    marks = losing.select(*HOT_PARTITIONS, F.lit(True).alias("emptied"))
+    stays = spark.read.schema(kept.schema).parquet(f"{staged}/kept")
+    rewritten = stays.unionByName(marks, allowMissingColumns=True).select(*HOT_SCHEMA.fieldNames())
     replace_partitions(rewritten, path, HOT_PARTITIONS)
-    return rows.where("gone").count()
+    return losing.agg(F.coalesce(F.sum("deleted"), F.lit(0))).first()[0]
+
+
+def _hours_of(span: tuple[datetime, datetime] | None) -> Column:
+    """Partitions that can hold readings from ``span``, and that of unparsed times."""
+    keep = F.col("event_date").isNull()
+    if span is None:
+        return keep
+    hour = F.struct("event_date", "event_hour")
+    first, last = (F.struct(F.lit(t.date()).alias("event_date"), F.lit(t.hour).alias("event_hour")) for t in span)
+    return keep | hour.between(first, last)

@@ -70,14 +70,14 @@ def upsert(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], p
     staged = work_path(spark, "upsert")
     df.write.parquet(f"{staged}/new")
     new = spark.read.schema(df.schema).parquet(f"{staged}/new")
-    affected = _touched_by(new, old, partitions)
+    affected = in_same_partitions(old, new, partitions)
     kept = affected.join(new, same_keys(affected, new, keys), "left_anti")
     kept.select(df.columns).write.parquet(f"{staged}/kept")
     both = spark.read.schema(df.schema).parquet(f"{staged}/kept").unionByName(new)
     replace_partitions(both, path, partitions)
 
 
-def _touched_by(new: DataFrame, old: DataFrame, partitions: Sequence[str]) -> DataFrame:
+def in_same_partitions(old: DataFrame, new: DataFrame, partitions: Sequence[str]) -> DataFrame:
     """Rows of ``old`` in partitions that ``new`` has rows for.
 
     The ranges of the partition columns, fetched as one row, prune the directories of ``old``; the
@@ -101,5 +101,5 @@ def new_rows(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str],
     old = open_table(spark, path, df.schema)
     if old is None:
         return df
-    old = _touched_by(df, old, partitions)
+    old = in_same_partitions(old, df, partitions)
     return df.join(old, same_keys(df, old, keys), "left_anti")

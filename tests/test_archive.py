@@ -126,6 +126,13 @@ def test_size_archive_runs_until_only_the_newest_minutes_are_left(spark, hot, tm
     assert sorted(moved) == [f"r{i:03d}" for i in range(74)]
 
 
+def test_readings_without_identity_stay_in_the_hot_store(spark, make, hot, tmp_path):
+    write_hot_batch(make({"_id": None, "event_timestamp": "2024-01-01 10:00:00"}), hot, "a-2")
+    result = run_archive(spark, hot, tmp_path, "run1")
+    assert result.docs_archived == result.docs_deleted == 74
+    assert open_hot(spark, hot).where("_id IS NULL").count() == 1
+
+
 def test_size_archive_guards(spark, make, hot, tmp_path):
     assert run_archive(spark, hot, tmp_path, "a", threshold_mb=300).reason == "below_threshold"
     empty = str(tmp_path / "odd")
