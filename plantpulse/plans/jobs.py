@@ -203,10 +203,15 @@ def run_size_archive(
         return ArchiveResult(False, "no_data")
     # a reading without identity could not be deleted again, so it stays
     leaving = oldest(older_than(readings, cutoff).where(F.col("_id").isNotNull()), policy.run_cap)
-    if leaving.isEmpty():
-        return ArchiveResult(False, "no_older_than_cutoff", cutoff=cutoff)
-    files = write_chunks(leaving, archive, run_id, policy.chunk_docs, policy.max_chunks)
-    result = _verify_and_delete(spark, hot, files, leaving.count(), cutoff)
+    # at most the run's cap of rows, used for the check, the copy and its count
+    leaving = leaving.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if leaving.isEmpty():
+            return ArchiveResult(False, "no_older_than_cutoff", cutoff=cutoff)
+        files = write_chunks(leaving, archive, run_id, policy.chunk_docs, policy.max_chunks)
+        result = _verify_and_delete(spark, hot, files, leaving.count(), cutoff)
+    finally:
+        leaving.unpersist()
     row = manifest(
         spark,
         files,
