@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantpulse.llm import exact_dedup, revisits, url_reputation
+from plantpulse.llm import bpe, exact_dedup, language_id, revisits, toxicity, url_reputation
 from plantpulse.session import work_path
 
+#: Vocabulary of the token query; the file is read by the driver alone.
+VOCABULARY = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
@@ -35,6 +38,46 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index)
 
 
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learnt from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.held_out(4, 2)
+    model = language_id.train(docs.where(~out))
+    predicted = language_id.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from labels of four fifths of them."""
+    docs, out = table(spark, sf_dir, "documents"), language_id.held_out(5, 0)
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels").where(~out))
+    return toxicity.score(docs, machine).select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def vocabulary() -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.Vocabulary.from_file(public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    words = vocabulary()
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), words)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return bpe.decode(encoded, words).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """Web-archive records of the pages: each was captured once in full and once as not modified.
 
