@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantpulse.llm import bpe, exact_dedup, language_id, revisits, toxicity, url_reputation
+from plantpulse.llm import bpe, exact_dedup, jaccard_join, language_id, revisits, toxicity, url_reputation
 from plantpulse.session import work_path
 
 #: Vocabulary of the token query; the file is read by the driver alone.
@@ -48,6 +48,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by 4-word shingles at a similarity of 0.85."""
+    groups = jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, learnt from labels of four fifths of them."""
