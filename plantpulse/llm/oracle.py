@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plantpulse.llm import revisits, url_reputation
+from plantpulse.llm import line_dedup, revisits, url_reputation
 
 _IGNORED = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -14,6 +14,20 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 """
 
+_LINE_DEDUP = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, len(ls) AS n, unnest(range(0, len(ls))) AS i, unnest(ls) AS line FROM d),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l),
+p AS (SELECT *, coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) AS before FROM h),
+e AS (SELECT *, i = n - 1 OR xor(h, ((before << 7) & 4294967295) | (before >> 25)) % {line_dedup.MEAN_LINES} = 0 AS ends FROM p),
+g AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
+c AS (SELECT doc_id, chunk, min(i) AS start, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS text FROM g GROUP BY doc_id, chunk),
+r AS (SELECT *, size >= {line_dedup.LEAST_LINES} AND row_number() OVER (PARTITION BY text, size ORDER BY doc_id NULLS LAST, start) > 1 AS gone FROM c)
+SELECT doc_id, sum(size)::BIGINT AS n_lines, coalesce(sum(size) FILTER (gone), 0)::BIGINT AS removed_lines,
+       sha256(coalesce(string_agg(text, chr(10) ORDER BY start) FILTER (NOT gone), '')) AS text_sha256
+FROM r GROUP BY doc_id
+"""
+
 _JACCARD = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
@@ -124,6 +138,7 @@ FROM p JOIN r USING (host)
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": _EXACT_DEDUP,
+        "op4_line_dedup": _LINE_DEDUP,
         "op5_jaccard_join": _JACCARD,
         "op7_warc_revisits": _WARC,
         "op9_url_reputation": _url_reputation(),

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantpulse.llm import bpe, exact_dedup, jaccard_join, language_id, revisits, toxicity, url_reputation
+from plantpulse.llm import (
+    bpe,
+    decontamination,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    revisits,
+    toxicity,
+    url_reputation,
+)
 from plantpulse.session import work_path
 
 #: Vocabulary of the token query; the file is read by the driver alone.
@@ -48,6 +58,26 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against the whole benchmark."""
+    return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: lines before and after, and the digest of what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(line_dedup.lines_of()).alias("n_lines"))
+    cleaned = line_dedup.remove_repeated(docs)
+    lost = F.aggregate("removed", F.lit(0), lambda total, c: total + c["size"])
+    return cleaned.select(
+        "doc_id",
+        F.col("n_lines").cast("bigint").alias("n_lines"),
+        lost.cast("bigint").alias("removed_lines"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 @query
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by 4-word shingles at a similarity of 0.85."""
