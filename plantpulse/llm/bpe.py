@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -91,7 +92,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes and decodes with one vocabulary. Built once in each Python worker."""
+    """Encodes with one vocabulary. Built once in each Python worker."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -183,11 +184,26 @@ class Encoder:
             at = m.end()
         return np.frombuffer(b"".join([*found, self._plain(text[at:])]), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        """Tokens as the vocabulary writes them, joined by spaces; special ones included, numbers
-        without a token left out."""
-        tokens, size = self.vocabulary.tokens, len(self.vocabulary.tokens)
-        return " ".join([tokens[i] for i in ids if 0 <= i < size and tokens[i]])
+
+class Decoder:
+    """Decodes with one vocabulary: tokens as it writes them, joined by spaces, special ones included."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.size = len(vocabulary.tokens)
+        self.tokens = pa.array([t or None for t in vocabulary.tokens], pa.string())
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """Texts of lists of ids. Null lists are empty texts; null and unknown ids are left out."""
+        offsets = lists.offsets.to_numpy()
+        ids = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).cast(pa.int64()).fill_null(-1).to_numpy()
+        tokens = self.tokens.take(pa.array(np.where((ids >= 0) & (ids < self.size), ids, 0)))
+        known = tokens.is_valid().to_numpy(zero_copy_only=False) & (ids >= 0) & (ids < self.size)
+        starts = offsets - offsets[0]
+        if not known.all():
+            starts = np.concatenate([[0], np.cumsum(known)])[starts].astype(offsets.dtype)
+            tokens = tokens.filter(pa.array(known))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), tokens), " ")
+        return pc.if_else(lists.is_valid(), joined, "")
 
 
 class _Memo(dict):
@@ -259,11 +275,11 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     place = others.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        decoder = Decoder(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [encoder.decode([i for i in ids or () if i is not None]) for ids in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*others, "decoded"])
+                texts = decoder.decode(part.column(place))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*others, "decoded"])
 
     return frame.mapInArrow(run, f"{fields}, decoded string")
