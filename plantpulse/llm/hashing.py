@@ -123,3 +123,11 @@ def rows_of_lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     np.cumsum([len(p) for p in parts], out=offsets[1:])
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat).cast(kind))
+
+
+def runs(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the ``size`` values from each start on; all of them must exist."""
+    up, down = _powers(len(hashes))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[starts + size] - sums[starts]) * down[starts] ^ np.uint64(size))

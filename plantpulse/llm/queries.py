@@ -15,6 +15,7 @@ from plantpulse.llm import (
     language_id,
     line_dedup,
     revisits,
+    suffix_dedup,
     toxicity,
     url_reputation,
 )
@@ -163,6 +164,12 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved.withColumn("headers", F.array_join(F.array_sort(lines), "\n"))
 
 
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share passages of 50 words, with the places of these."""
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages; a page's outcome is the quality label under its number (0: bad)."""
