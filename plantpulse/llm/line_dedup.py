@@ -103,6 +103,7 @@ def _different(docs: DataFrame) -> DataFrame:
     )
     compared = compared.select(_KEY, "c.start", "c.digest", "c.stays", _text_of(F.col("c")).alias("chunk"))
     firsts = compared.where("stays").select("digest", F.col("chunk").alias("first_chunk")).dropDuplicates(["digest"])
+    firsts = staged(firsts, "chunks-first")  # so that the join below is one of two shuffles, which can be split
     others = compared.where("NOT stays").join(firsts, "digest")
     return others.where("chunk <> first_chunk").select(_KEY, "start").distinct()
 
