@@ -1,0 +1,82 @@
+"""Benchmark items in texts."""
+
+import random
+
+from plantpulse.llm import decontamination as dc
+
+DOCS, ITEMS = "doc_id bigint, text string, item_id string", "item_id bigint, text string, doc_id string"
+
+
+def edits(pattern, text):
+    """Fewest edits between the pattern and any stretch of the text."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, c in enumerate(text, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (p != c)))
+        row = new
+    return min(row)
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdeo") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+def spoiled(rng, text, n):
+    for _ in range(n):
+        at = rng.randrange(len(text))
+        text = text[:at] + rng.choice(["", "z", text[at] + "y"]) + text[at + 1 :]
+    return text
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(2)
+    items = [(i, words(rng, rng.randint(3, 40)), "x") for i in range(12)]
+    docs = []
+    for i in range(60):
+        inside = spoiled(rng, rng.choice(items)[1], rng.randint(0, 14)) if i % 2 else ""
+        docs.append((i, words(rng, 20) + " " + inside + " " + words(rng, 20), "x"))
+    want = set()
+    for d, text, _ in docs:
+        for k, item, _ in items:
+            own = dc.Item.of(k, item)
+            n = edits(own.text, dc.normalised(text))
+            if n <= own.budget:
+                want.add((d, k, n))
+    args = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    for characters in (dc.BLOCK_CHARACTERS, 100):
+        got = dc.contaminations(*args, characters).collect()
+        assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == want and len(got) == len(want)
+        left = {r["doc_id"] for r in dc.decontaminate(*args, characters).collect()}
+        assert left == {d for d, *_ in docs} - {d for d, *_ in want}
+    assert any(n for *_, n in want) and len(want) < 40
+
+
+def test_place_is_that_of_the_item():
+    rng = random.Random(3)
+    for _ in range(40):
+        item = dc.Item.of(1, words(rng, 30))
+        text = dc.normalised(words(rng, 15) + " " + spoiled(rng, item.text, item.budget) + " " + words(rng, 15))
+        for _, distance, start, end in dc.Block([item]).matches(text):
+            assert edits(item.text, text[start:end]) == distance <= item.budget
+            assert abs(end - start - len(item.text)) <= distance
+
+
+def test_case_punctuation_and_spacing_do_not_matter(spark):
+    item = "The quick brown fox, jumps over the lazy dog: every morning at seven."
+    docs = [(1, "x " + item.upper().replace(" ", "\n") + "!", ""), (2, "the quick brown fox", "")]
+    got = dc.contaminations(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(7, item, "")], ITEMS)).collect()
+    assert [(r["doc_id"], r["item_id"], r["distance"]) for r in got] == [(1, 7, 0)]
+
+
+def test_nulls_empties_short_items_and_repeats(spark):
+    docs = spark.createDataFrame([(1, None, ""), (2, "", ""), (None, "abc def", ""), (3, "abc def", ""), (3, "abc def", "")], DOCS)
+    items = spark.createDataFrame([(None, "c d", ""), (1, None, ""), (2, "?", ""), (3, "nowhere", "")], ITEMS)
+    got = dc.contaminations(docs, items)
+    assert sorted((str(r["doc_id"]), r["item_id"], r["start"], r["end"]) for r in got.collect()) == [
+        ("3", None, 2, 5), ("3", None, 2, 5), ("None", None, 2, 5),
+    ]
+    assert dc.contaminations(docs, items.limit(0)).count() == 0
+    assert dc.contaminations(docs.limit(0), items).count() == 0
+    assert dc.decontaminate(docs, items.limit(0)).count() == 5
+    assert dc.decontaminate(docs, items).columns == docs.columns
