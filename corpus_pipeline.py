@@ -69,7 +69,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the texts, with digests of the ids and of what they decode to."""
     words = vocabulary()
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return bpe.decode(bpe.encode(docs, words), words).select(
+    return bpe.encode(docs, words, decoded=True).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         "ids",

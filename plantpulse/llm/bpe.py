@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from plantpulse.llm.hashing import rows_of_lists
+
 # --- Fixed values: how vocabulary files of this kind say they are to be read. ---
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 WHITE_SPACE = r"\s+"
@@ -33,8 +35,11 @@ WORD_END = "</w>"
 #: Separators for str.split that white space does not include.
 _INNER_SEPARATORS = regex.compile("[\x1c-\x1f]")
 _SPACES = regex.compile("[\t-\r \x85\xa0  -     　]+")
-#: Encodings of words, and of chunks between white space, that a Python worker remembers: at most twice as many each.
-MEMO_ENTRIES = 200_000
+#: Encodings of words, and of chunks between white space, that a task remembers: at most twice as many each. A
+#: word takes longer to encode than a chunk of known words.
+MEMO_WORDS, MEMO_CHUNKS = 150_000, 100_000
+#: Pairs of tokens for which a task remembers whether they go together.
+MEMO_PAIRS = 150_000
 
 
 def byte_letters() -> str:
@@ -92,7 +97,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes with one vocabulary. Built once in each Python worker."""
+    """Encodes with one vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -116,8 +121,13 @@ class Encoder:
         self.special = (
             regex.compile("|".join(regex.escape(s) for s in sorted(names, key=len, reverse=True))) if names else None
         )
-        self.known_words = _Memo(self.word)
-        self.chunks = _Memo(self.chunk)
+        self.known_words = _Memo(self.word, MEMO_WORDS)
+        self.chunks = _Memo(self.chunk, MEMO_CHUNKS)
+
+    def forget(self) -> None:
+        """Gives the memory of the memos back: the worker may live on for other work."""
+        for memo in (self.known_words, self.known_words.old, self.chunks, self.chunks.old, self.compatible):
+            memo.clear()
 
     def goes_with(self, left: int, right: int) -> bool:
         """Whether two adjacent tokens stay apart: no merge across their seam comes before the
@@ -125,7 +135,7 @@ class Encoder:
         key = (left << 32) | right
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) >= 2 * MEMO_ENTRIES:
+            if len(self.compatible) >= MEMO_PAIRS:
                 self.compatible.clear()
             known = self.compatible[key] = self._stay_apart(left, right)
         return known
@@ -210,35 +220,35 @@ class _Memo(dict):
     """Results of a function by text. Full, it becomes the old generation, from which what is
     still asked for is taken over; what was old before is forgotten."""
 
-    def __init__(self, function):
+    def __init__(self, function, most: int):
         super().__init__()
-        self.function, self.old = function, {}
+        self.function, self.most, self.old = function, most, {}
 
     def __missing__(self, text: str) -> bytes:
         found = self.old.get(text)
         if found is None:
             found = self.function(text)
         if len(text) <= 64:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[text] = found
         return found
 
 
-_ENCODERS: dict[int, Encoder] = {}
+#: The encoder of a Python worker, with the vocabulary it was made from.
+_HELD: list = [None, None]
 
 
-def _encoder(shared) -> Encoder:
-    """The worker's encoder for a broadcast vocabulary; one is held at a time."""
-    if shared.value is not _ENCODERS.get("vocabulary"):
-        _ENCODERS.clear()
-        _ENCODERS.update(vocabulary=shared.value, encoder=Encoder(shared.value))
-    return _ENCODERS["encoder"]
+def _encoder(vocabulary: Vocabulary) -> Encoder:
+    if _HELD[0] is not vocabulary:
+        _HELD[:] = [vocabulary, Encoder(vocabulary)]
+    return _HELD[1]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, ids) of every row; ids is an array of int.
+def encode(docs: DataFrame, vocabulary: Vocabulary, *, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) of every row; ids is an array of int. With ``decoded`` also the text they decode to, in the
+    same pass.
 
     Every whole text is encoded on its own, without a shuffle. The vocabulary is broadcast: its size is
     that of its file. Null text and text without words: an empty array. Rows are neither merged nor
@@ -246,21 +256,20 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     key = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "ids", "decoded"] if decoded else ["doc_id", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder, decoder = _encoder(shared.value), Decoder(shared.value)
         for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, len(texts), 500):
-                part = texts.slice(at, 500)
-                found = [encoder.encode(t or "") for t in part.to_pylist()]
-                offsets = np.zeros(len(found) + 1, np.int32)
-                np.cumsum([len(f) for f in found], out=offsets[1:])
-                flat = np.concatenate(found)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), ids], ["doc_id", "ids"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                ids = rows_of_lists([encoder.encode(t or "") for t in part.column(1).to_pylist()], pa.int32())
+                columns = [part.column(0), ids, *([decoder.decode(ids)] if decoded else [])]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        encoder.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, ids array<int>")
+    fields = f"doc_id {key}, ids array<int>" + ", decoded string" * decoded
+    return docs.select("doc_id", "text").mapInArrow(run, fields)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -277,8 +286,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 texts = decoder.decode(part.column(place))
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*others, "decoded"])
 

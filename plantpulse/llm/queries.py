@@ -106,9 +106,8 @@ def vocabulary() -> bpe.Vocabulary:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again."""
     words = vocabulary()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), words)
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return bpe.decode(encoded, words).select(
+    return bpe.encode(table(spark, sf_dir, "documents"), words, decoded=True).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
