@@ -15,6 +15,9 @@ ARCHIVE_THRESHOLD_MB = 300
 ARCHIVE_KEEP_MINUTES = 15
 ARCHIVE_CHUNK_DOCS = 20_000
 ARCHIVE_MAX_CHUNKS = 10
+ARCHIVE_POLICY_TEXT = (
+    "archive if size > {mb}MB; keep newest {minutes} min; chunk={docs} docs/file; max_chunks_per_run={chunks}"
+)
 DUMP_MIN_AGE_HOURS = 1
 EVENT_INTERVAL_SECONDS = 5
 # --- End of fixed values. ---

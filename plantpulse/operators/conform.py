@@ -51,11 +51,12 @@ def within_lookback(
 
 
 def conform_machines(dim: DataFrame, *, normalise: bool = True) -> DataFrame:
-    """Machine -> factory lookup."""
+    """Machine -> factory lookup, one row per machine: of codes that are equal once cleaned the least factory counts."""
     machine, factory = F.col("machine_id").cast("string"), F.col("factory_id").cast("string")
     if normalise:
         machine, factory = clean_code(machine), F.trim(factory)
-    return dim.select(machine.alias("machine_id"), factory.alias("factory_id"))
+    rows = dim.select(machine.alias("machine_id"), factory.alias("factory_id"))
+    return rows.groupBy("machine_id").agg(F.min("factory_id").alias("factory_id"))
 
 
 def conform_sensors(dim: DataFrame) -> DataFrame:

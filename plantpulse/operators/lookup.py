@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 #: Largest lookup table, in bytes of JSON text, that is sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
-#: Shares a key's rows are split into when the lookup is too large for that.
-SALTS = 64
 
 
 def measured_bytes(tables: Mapping[str, DataFrame]) -> dict[str, int]:
@@ -37,14 +35,12 @@ def attach(
     how: str = "left",
     broadcast: bool | None = None,
     max_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join of ``fact`` with ``lookup``: ``how`` is left, inner, left_semi or left_anti.
 
-    ``broadcast=None`` measures the lookup. Small: broadcast, the fact is not shuffled. Large:
-    both sides are shuffled on key and salt, with the lookup repeated per salt, so that a key
-    holding a large share of the fact is spread over ``salts`` tasks. The salt mixes in the input
-    partition, which a retried task keeps, so it is stable and also splits identical rows.
+    ``broadcast=None`` measures the lookup. Small: broadcast, the fact is not shuffled. Large: both sides are shuffled
+    once by key, as they are; adaptive execution splits the partition of a key that holds a large share of the fact,
+    from sizes it has measured.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("left", "inner", "left_semi", "left_anti"):
@@ -53,10 +49,7 @@ def attach(
         broadcast = fits_broadcast(lookup, max_bytes)
     if broadcast:
         return fact.join(F.broadcast(lookup), keys, how)
-    spread = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in fact.columns])
-    salted_fact = fact.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
-    salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_fact.hint("merge").join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
+    return fact.hint("merge").join(lookup, keys, how)
 
 
 def without_identities(readings: DataFrame, ids: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantpulse.functions.timing import EVENT_TIME, lookback_start, timestamp_literal
@@ -45,20 +46,20 @@ def unmatched_machines(readings: DataFrame, machines: DataFrame, top: int = 20)
 def orphan_keys(readings: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:
     """Per dimension key: readings whose (non-NULL) key has no row in its dimension.
 
-    ``dims`` maps a key column to the table holding it. Counting per key value first makes the
-    readings one scan and one small shuffle per key, whatever the skew.
+    ``dims`` maps a key column to the table holding it. The readings are scanned once for all keys and counted per
+    key and value before anything is joined, whatever the skew.
     """
-    out = None
-    for key, dim in dims.items():
-        counted = readings.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        lost = attach(counted, dim.select(key), key, how="left_anti")
-        line = lost.agg(
-            F.lit(key).alias("key_column"),
-            F.count(F.lit(1)).alias("orphan_keys"),
-            F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("orphan_events"),
-        )
-        out = line if out is None else out.unionAll(line)
-    return out
+    def values(key: str) -> list[Column]:
+        return [F.lit(key).alias("key_column"), F.col(key).cast("string").alias("value")]
+
+    each = readings.select(F.explode(F.array(*[F.struct(*values(key)) for key in dims])).alias("k")).select("k.*")
+    counted = each.where("value IS NOT NULL").groupBy("key_column", "value").agg(F.count(F.lit(1)).alias("n"))
+    known = reduce(DataFrame.unionAll, [dim.select(*values(key)) for key, dim in dims.items()])
+    lost = attach(counted, known, ["key_column", "value"], how="left_anti")
+    none = readings.sparkSession.createDataFrame([(key, None, 0) for key in dims], lost.schema)
+    return lost.unionAll(none).groupBy("key_column").agg(
+        F.count("value").alias("orphan_keys"), F.sum("n").alias("orphan_events")
+    )
 
 
 def first_machines(machines: DataFrame, n: int = 10) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from plantpulse.constants import (
     ARCHIVE_CHUNK_DOCS,
     ARCHIVE_KEEP_MINUTES,
-    ARCHIVE_MAX_CHUNKS,
+    ARCHIVE_POLICY_TEXT,
     ARCHIVE_THRESHOLD_MB,
     DUMP_MIN_AGE_HOURS,
     EVENT_TIME_PATTERN,
@@ -23,24 +23,26 @@ from plantpulse.operators.lookup import without_identities
 
 @dataclass(frozen=True)
 class SizePolicy:
-    """Archive when the hot store exceeds a size; keep its newest minutes; cap each run."""
+    """Archive when the hot store exceeds a size; keep its newest minutes.
+
+    ``max_chunks`` caps each run for callers that ask for it; without it a run takes all candidates.
+    """
 
     threshold_mb: int = ARCHIVE_THRESHOLD_MB
     keep_minutes: int = ARCHIVE_KEEP_MINUTES
     chunk_docs: int = ARCHIVE_CHUNK_DOCS
-    max_chunks: int = ARCHIVE_MAX_CHUNKS
+    max_chunks: int | None = None
 
     @property
-    def run_cap(self) -> int:
-        return self.chunk_docs * self.max_chunks
+    def run_cap(self) -> int | None:
+        return None if self.max_chunks is None else self.chunk_docs * self.max_chunks
 
     def due(self, size_bytes: int) -> bool:
         return size_bytes > self.threshold_mb * 1024 * 1024
 
     def describe(self) -> str:
-        return (
-            f"archive if size > {self.threshold_mb}MB; keep newest {self.keep_minutes} min; "
-            f"chunk={self.chunk_docs} docs/file; max_chunks_per_run={self.max_chunks}"
+        return ARCHIVE_POLICY_TEXT.format(
+            mb=self.threshold_mb, minutes=self.keep_minutes, docs=self.chunk_docs, chunks=self.max_chunks
         )
 
 
@@ -49,6 +51,11 @@ def newest_cutoff(hot: DataFrame, keep_minutes: int) -> str | None:
 
     The clock of the events decides, not the wall clock: events may run behind it.
     """
+    if {"event_date", "event_hour"} <= set(hot.columns):
+        # the newest hour follows from the names of partitions; only its files are read
+        (last,) = hot.where("event_date IS NOT NULL").agg(F.max(F.struct("event_date", "event_hour"))).first()
+        if last is not None:
+            hot = hot.where((F.col("event_date") == F.lit(last[0])) & (F.col("event_hour") == F.lit(last[1])))
     newest = F.date_format(F.max(parse_event_time(RAW_TIME)), EVENT_TIME_PATTERN)
     (text,) = hot.agg(newest).first()
     return None if text is None else event_text(as_utc(text) - timedelta(minutes=keep_minutes))
@@ -61,17 +68,25 @@ def age_cutoff(as_of: datetime | str, hours: int = DUMP_MIN_AGE_HOURS) -> str:
 
 def older_than(hot: DataFrame, cutoff: str) -> DataFrame:
     """Readings before ``cutoff``, which itself stays. Texts are compared, as the format sorts as
-    time, so the file scan can skip row groups."""
+    time, so the file scan can skip row groups; the store's later hours are not opened."""
+    if {"event_date", "event_hour"} <= set(hot.columns):
+        last = as_utc(cutoff)
+        day = F.lit(last.date())
+        within = (F.col("event_date") < day) | ((F.col("event_date") == day) & (F.col("event_hour") <= last.hour))
+        hot = hot.where(F.col("event_date").isNull() | within)
     return hot.where(F.col(RAW_TIME) < cutoff)
 
 
-def oldest(readings: DataFrame, cap: int) -> DataFrame:
-    """Exactly the ``cap`` oldest readings by event text and identity; all of them if fewer.
+def oldest(readings: DataFrame, cap: int | None) -> DataFrame:
+    """The ``cap`` oldest readings by event text and identity; all of them if fewer, or without a cap. Copies
+    of the last one with the same time come with it.
 
     Nothing is sorted as a whole: counts per hour and then per second tell in which second the cap
     falls; readings before it are all taken, and only that second's are ranked.
     """
     timed = readings.where(F.col(RAW_TIME).isNotNull())
+    if cap is None:
+        return timed
     hour = F.substring(RAW_TIME, 1, 13)
     full = _bucket_past(timed, hour, 0, cap)
     if full is None:
@@ -79,8 +94,9 @@ def oldest(readings: DataFrame, cap: int) -> DataFrame:
     in_hour = timed.where(F.col(RAW_TIME).startswith(full[0]) & (hour == full[0]))
     second, before = _bucket_past(in_hour, F.col(RAW_TIME), full[1], cap)
     earlier = timed.where(F.col(RAW_TIME) < second)
-    tied = timed.where(F.col(RAW_TIME) == second).orderBy("_id").limit(cap - before)
-    return earlier.unionByName(tied)
+    tied = timed.where(F.col(RAW_TIME) == second)
+    (last,) = tied.select("_id").orderBy("_id").limit(cap - before).agg(F.max("_id")).first()
+    return earlier.unionByName(tied.where(F.col("_id") <= F.lit(last)))
 
 
 def _bucket_past(rows: DataFrame, bucket: Column, before: int, cap: int) -> tuple[str, int] | None:

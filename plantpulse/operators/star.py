@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +87,15 @@ def _aggregate(rows: DataFrame, by: Sequence[str], facts: Mapping[str, Column])
     return rows.groupBy(*by).agg(*[fact.alias(name) for name, fact in facts.items()])
 
 
+def _resolves(condition: Column, rows: DataFrame) -> bool:
+    """Whether ``condition`` can be told from the columns of ``rows``."""
+    try:
+        rows.where(condition)
+    except AnalysisException:
+        return False
+    return True
+
+
 def summarise(
     kpi: DataFrame,
     dims: Mapping[str, DataFrame],
@@ -101,14 +111,14 @@ def summarise(
 
     With small dimensions, KPI rows are joined and grouped in one shuffle. If one is too large to
     broadcast, rows are first summed up per combination of the join keys, and only the sums go
-    through the joins.
+    through the joins; unless ``where`` speaks of single KPI rows, as a filter on a measure does.
     """
     parts = _parts(dims, [a for a in dict.fromkeys([*by, *where_on]) if a in _OWNER])
     small = _small(parts, max_bytes)
     rows, facts = kpi, measures()
-    if not all(small.values()):
-        plain = [c for c in [*by, *where_on] if c not in _OWNER]
-        keys = dict.fromkeys([*[ATTRIBUTES[d][0] for d in parts], *plain])
+    plain = [c for c in [*by, *where_on] if c not in _OWNER]
+    keys = dict.fromkeys([*[ATTRIBUTES[d][0] for d in parts], *plain])
+    if not all(small.values()) and (where is None or _resolves(where, _joined(kpi.select(*keys), parts, small))):
         rows, facts = _aggregate(kpi, list(keys), facts), _combined()
     rows = _joined(rows, parts, small)
     if where is not None:

@@ -19,16 +19,29 @@ from plantpulse.operators.conform import (
     within_lookback,
 )
 from plantpulse.operators.enrich import enrich
-from plantpulse.plans.jobs import enriched_readings, run_minute_kpi, run_to_parquet
+from plantpulse.plans.jobs import (
+    ArchiveResult,
+    enriched_readings,
+    live_kpi,
+    run_age_dump,
+    run_minute_kpi,
+    run_size_archive,
+    run_to_parquet,
+)
 from plantpulse.plans.publish import read_kpi_table
+from plantpulse.schemas import MANIFEST
 from plantpulse.session import use_utc, work_path
-from plantpulse.sinks.archive import archive_layout, manifest, write_chunks, write_snapshot
+from plantpulse.sinks.archive import archive_layout, write_chunks, write_snapshot
+from plantpulse.sinks.hot import open_hot, write_hot_batch
 from plantpulse.sources import testdata as td
+from plantpulse.sources.dimensions import read_csv, read_json_records
 from plantpulse.sources.readings import (
+    archived_readings,
     decode_messages,
     history,
     read_archive,
     read_ndjson,
+    store_bytes,
     unique_readings,
 )
 from plantpulse.streaming import live
@@ -39,6 +52,8 @@ _QUERIES: dict[str, Query] = {}
 # Parameters of the archive queries, shared with their SQL.
 RUN_ID = "20240101T020000Z_fixture"
 KEEP_MINUTES = 15
+ALL_POLICY = retention.SizePolicy(threshold_mb=0)
+SIZE_POLICY = retention.SizePolicy(threshold_mb=1)
 RUN_POLICY = retention.SizePolicy(threshold_mb=0, chunk_docs=250, max_chunks=10)
 READ_START, READ_END = "2024-01-01 00:20:00", "2024-01-01 01:10:00"
 READ_FACTORIES = ["FCT003", "FCT007", "FCT011"]
@@ -254,7 +269,7 @@ def bi_machine_criticality(spark: SparkSession, sf: str) -> DataFrame:
         _kpi(spark, sf),
         td.dimensions(spark, sf),
         ["criticality", "machine_type"],
-        where=F.col("capacity_class") != "Small",
+        where=F.col("capacity_class") != "Pilot",
         where_on=["capacity_class"],
     )
 
@@ -312,26 +327,105 @@ def archive_run_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def retention_remaining(spark: SparkSession, sf: str) -> DataFrame:
-    batch = retention.oldest(_leaving(spark, sf)[0], RUN_POLICY.run_cap)
-    return retention.remaining(td.readings(spark, sf), batch)
+    """What is left once all candidates have gone."""
+    return retention.remaining(td.readings(spark, sf), _leaving(spark, sf)[0])
+
+
+def _hot(spark: SparkSession, sf: str) -> str:
+    """All readings in a hot store of two ingest batches, rows without time included."""
+    raw, path = td.readings(spark, sf), work_path(spark, "hot")
+    odd = F.crc32(F.col("_id").cast("binary")) % 2 == 1
+    write_hot_batch(raw.where(odd), path, "a-0")
+    write_hot_batch(raw.where(~odd), path, "a-1")
+    return path
+
+
+def _size_run(spark: SparkSession, hot: str, policy: retention.SizePolicy) -> tuple[ArchiveResult, str]:
+    """The real job, called twice as after a lost scheduler; its result and the folder of manifests."""
+    archive, manifests = work_path(spark, "chunks"), work_path(spark, "manifests")
+    args = {"run_id": RUN_ID, "archived_at": td.AS_OF, "policy": policy}
+    first = run_size_archive(spark, hot, archive, manifests, **args)
+    again = run_size_archive(spark, hot, archive, manifests, **args)
+    if first != again:
+        raise RuntimeError(f"{first} != {again}")
+    return first, manifests
 
 
 @query
 def archive_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    """The manifest of a run that takes all candidates, without the paths."""
-    leaving, cutoff = _leaving(spark, sf)
-    files = write_chunks(leaving, work_path(spark, "chunks"), RUN_ID, max_files=None)
-    row = manifest(
-        spark,
-        files,
-        run_id=RUN_ID,
-        archived_at=td.AS_OF,
-        source="sensor_readings",
-        policy=retention.SizePolicy().describe(),
-        cutoff=cutoff,
-        docs_deleted=leaving.count(),
+    """The manifest of a real run that takes all candidates, without the paths."""
+    _, manifests = _size_run(spark, _hot(spark, sf), ALL_POLICY)
+    return spark.read.schema(MANIFEST).json(f"{manifests}/run_id={RUN_ID}").drop("data_paths", "run_id").select(
+        F.lit(RUN_ID).alias("run_id"), "*"
+    )
+
+
+def _run_counts(spark: SparkSession, hot: str, result: ArchiveResult) -> DataFrame:
+    stored = read_ndjson(spark, result.files)
+    counts = open_hot(spark, hot).agg(F.count(F.lit(1)).alias("hot_rows"))
+    return counts.select(
+        F.lit(result.docs_archived).cast("bigint").alias("docs_archived"),
+        F.lit(result.docs_deleted).cast("bigint").alias("docs_deleted"),
+        F.lit(result.docs_left).cast("bigint").alias("docs_left"),
+        F.lit(stored.select("_id").distinct().count()).cast("bigint").alias("stored_ids"),
+        "hot_rows",
     )
-    return row.drop("data_paths")
+
+
+@query
+def size_archive_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of a capped run of the real job on a hot store of files."""
+    hot = _hot(spark, sf)
+    return _run_counts(spark, hot, _size_run(spark, hot, RUN_POLICY)[0])
+
+
+@query
+def age_dump_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of a run of the real dump job, called twice."""
+    hot, dumps = _hot(spark, sf), work_path(spark, "dumps")
+    for _ in range(2):
+        result = run_age_dump(spark, hot, dumps, run_id=RUN_ID, as_of=td.AS_OF)
+    return _run_counts(spark, hot, result)
+
+
+@query
+def kpi_after_archive(spark: SparkSession, sf: str) -> DataFrame:
+    """The KPI table after KPI run, capped archive run and KPI run: as if nothing had been archived."""
+    hot, out, dims = _hot(spark, sf), work_path(spark, "tables"), td.dimensions(spark, sf)
+    args = (dims, td.AS_OF, out, td.LOOKBACK)
+    run_minute_kpi(spark, open_hot(spark, hot), *args, normalise=True)
+    result, _ = _size_run(spark, hot, RUN_POLICY)
+    gone = archived_readings(spark, chunks=[result.files])
+    run_minute_kpi(spark, open_hot(spark, hot), *args, normalise=True, archived=gone)
+    table = spark.read.parquet(f"{out}/minute_kpi").drop("kpi_date", "kpi_hour")
+    return _rounded(table, "avg_reading")
+
+
+@query
+def dim_csv_load(spark: SparkSession, sf: str) -> DataFrame:
+    """The machine table written as CSV with a header and loaded."""
+    path = work_path(spark, "dim")
+    td.dim_machine(spark, sf).write.option("header", True).csv(path)
+    return read_csv(spark, "dim_machine", path).select("machine_id", "factory_id", "line_name", "criticality")
+
+
+@query
+def dim_json_load(spark: SparkSession, sf: str) -> DataFrame:
+    """The product table written as JSON arrays of records, one file per thousand products, and loaded."""
+    path, block = work_path(spark, "dim"), F.floor(F.col("product_id") / 1000).alias("block")
+    records = td.dim_product(spark, sf).groupBy(block).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    records.write.partitionBy("block").text(path)
+    return read_json_records(spark, "dim_product", path).select("product_id", "category", "brand")
+
+
+@query
+def store_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Size and policy of a store of JSON lines, whose bytes are those of its texts."""
+    path = work_path(spark, "store")
+    td.readings(spark, sf).select(F.concat_ws(",", "_id", "machine_id", "event_timestamp").alias("value")).write.text(path)
+    size = store_bytes(spark, path, "*.txt").select("bytes")
+    (found,) = size.first()
+    return size.select("bytes", F.lit(SIZE_POLICY.due(found)).alias("due"))
 
 
 @query
@@ -387,13 +481,16 @@ def archive_read_pruned(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def history_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Hot and archived readings together, where the archive run has not yet deleted anything."""
+    """Hot store, columnar archive and JSON lines together: some readings are in two of them, some in one alone."""
     raw = td.readings(spark, sf)
-    leaving, _ = _leaving(spark, sf)
-    dump = write_snapshot(leaving, work_path(spark, "dump"), RUN_ID)
+    leaving, cutoff = _leaving(spark, sf)
+    part = F.crc32(F.col("_id").cast("binary")) % 3
+    dump = write_snapshot(leaving.where(part == 0), work_path(spark, "dump"), RUN_ID)
+    more = write_snapshot(leaving.where(part <= 1), work_path(spark, "dump"), RUN_ID)
     path = work_path(spark, "archive")
     run_to_parquet(spark, dump, path)
-    return history(raw, read_archive(spark, path))
+    hot = raw.where(F.coalesce(F.col("event_timestamp") >= cutoff, F.lit(True)) | (part == 2) | (part == 0))
+    return history(hot, read_archive(spark, path), read_ndjson(spark, more))
 
 
 # --- streams -------------------------------------------------------------------------------------
@@ -453,5 +550,21 @@ def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
     out = work_path(spark, "stream")
     rows = alerts.threshold_alerts(_enriched_stream(spark, sf), "kpi", with_reading_id=True)
     live.alert_stream(rows, f"{out}/table", f"{out}/checkpoint", cadence=None).awaitTermination()
-    return spark.read.parquet(f"{out}/table").drop("alert_date")
+    return spark.read.parquet(f"{out}/table").drop("alert_date", "alert_hour")
+
+
+@query
+def stream_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages, some delivered twice and some without identity, through the hot store into the KPI table."""
+    nameless = F.col("_id").cast("bigint") % 13 == 0
+    once = _stream(spark, sf).withColumn("_id", F.when(~nameless, F.col("_id")))
+    messages = once.unionAll(_stream(spark, sf).where(~nameless)).select(F.to_json(F.struct("*")).alias("value"))
+    out = work_path(spark, "chain")
+    run = live_kpi(
+        decode_messages(messages), td.dimensions(spark, sf), f"{out}/hot", f"{out}/tables", f"{out}/checkpoint", cadence=None
+    )
+    run.awaitTermination()
+    start = F.lit(td.AS_OF).cast("timestamp") - F.make_interval(mins=F.lit(td.LOOKBACK))
+    table = spark.read.parquet(f"{out}/tables/minute_kpi").where(F.col("kpi_minute_start_utc") >= start)
+    return _rounded(table.drop("kpi_date", "kpi_hour"), "avg_reading")
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from plantpulse.constants import LOOKBACK_MINUTES
+from plantpulse.functions.timing import RAW_TIME, lookback_start, parse_event_time
 from plantpulse.functions.thresholds import breached
 from plantpulse.operators.alerts import threshold_alerts
 from plantpulse.operators.conform import (
@@ -20,19 +23,22 @@ from plantpulse.operators.conform import (
     within_lookback,
 )
 from plantpulse.operators.enrich import MINUTE, enrich, with_factories, with_limits
-from plantpulse.operators.kpi import MINUTE_LEVELS, daily_machine, minute_kpi, minute_stats_all_levels, one_level
-from plantpulse.operators.lookup import BROADCAST_BYTES, measured_bytes
+from plantpulse.operators.kpi import KPI_MINUTE, MINUTE_LEVELS, daily_machine, minute_kpi, minute_stats_all_levels, one_level
+from plantpulse.operators.lookup import BROADCAST_BYTES, measured_bytes, only_identities
 from plantpulse.operators.retention import SizePolicy, age_cutoff, newest_cutoff, older_than, oldest
 from plantpulse.sinks.archive import append_archive, manifest, write_chunks, write_manifest, write_snapshot
-from plantpulse.sinks.hot import delete_hot, open_hot
-from plantpulse.sinks.tables import upsert
-from plantpulse.sources.readings import read_ndjson, store_bytes
+from plantpulse.schemas import READING
+from plantpulse.session import scratch
+from plantpulse.sinks.hot import ReconcileError, delete_hot, hot_hours, open_hot, write_hot_batch
+from plantpulse.sinks.tables import in_same_partitions, replace_partitions, upsert
+from plantpulse.sources.readings import read_ndjson, store_bytes, unique_readings, with_archived
 from plantpulse.streaming.live import (
     ALERT_TABLE_PARTITIONS,
-    KPI_TABLE_KEYS,
+    CADENCE,
     KPI_TABLE_PARTITIONS,
     alert_table_rows,
     kpi_table_rows,
+    start,
 )
 
 
@@ -77,7 +83,12 @@ def _inputs(
     lookback: int,
     normalise: bool,
     max_bytes: int,
+    archived: DataFrame | None,
 ) -> _Inputs:
+    if {"event_date", "event_hour"} <= set(raw.columns):
+        raw = raw.where(hot_hours(lookback_start(as_of, lookback, True)))
+    minute = F.date_trunc("minute", parse_event_time(RAW_TIME))
+    raw = with_archived(raw, archived, minute)
     recent = within_lookback(conform_readings(raw, normalise=normalise), as_of, lookback, whole_minutes=True)
     machines = conform_machines(dims["dim_machine"], normalise=normalise)
     sensors = conform_sensors(dims["dim_sensor_type"])
@@ -94,20 +105,22 @@ def run_minute_tables(
     out: str,
     lookback: int = LOOKBACK_MINUTES,
     *,
+    archived: DataFrame | None = None,
     max_bytes: int = BROADCAST_BYTES,
 ) -> None:
     """The four per-minute tables and the machine alert table, brought up to date below ``out``.
 
     The readings are scanned once for all four tables and once for the alerts. Minutes are
-    recomputed whole (the lookback starts on a minute), so running again changes nothing.
+    recomputed and replaced whole (the lookback starts on a minute), so running again changes nothing. ``archived``:
+    readings that have left ``raw`` (see ``archived_readings``), for minutes that are there only in part.
     """
-    inputs = _inputs(raw, dims, as_of, lookback, True, max_bytes)
+    inputs = _inputs(raw, dims, as_of, lookback, True, max_bytes, archived)
     # only the aggregated rows are kept for the four writes, in memory and on disk of the executors
     levels = inputs.aggregate(minute_stats_all_levels).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for level, keys in MINUTE_LEVELS.items():
+        for level in MINUTE_LEVELS:
             rows = one_level(levels, level).withColumn("minute_date", F.to_date(MINUTE))
-            upsert(spark, rows, f"{out}/agg_{level}_minute", (MINUTE, "minute_date", *keys), ("minute_date",))
+            upsert(spark, rows, f"{out}/agg_{level}_minute", (MINUTE, "minute_date"), ("minute_date",))
     finally:
         levels.unpersist()
     upsert(
@@ -128,19 +141,21 @@ def run_minute_kpi(
     lookback: int = LOOKBACK_MINUTES,
     *,
     normalise: bool = False,
+    archived: DataFrame | None = None,
     max_bytes: int = BROADCAST_BYTES,
 ) -> None:
     """The KPI table and its alerts, brought up to date below ``out``.
 
-    Only hours with recomputed minutes are rewritten: older KPIs stay when their readings have left
-    the hot store.
+    Minutes are replaced whole, so a machine that has moved leaves no old row. Only hours with recomputed minutes
+    are rewritten: older KPIs stay when their readings have left the hot store. ``archived``: as in
+    ``run_minute_tables``; without it, no minute of ``raw`` may have lost a part of its readings.
     """
-    inputs = _inputs(raw, dims, as_of, lookback, normalise, max_bytes)
+    inputs = _inputs(raw, dims, as_of, lookback, normalise, max_bytes, archived)
     upsert(
         spark,
         kpi_table_rows(inputs.aggregate(minute_kpi)),
         f"{out}/minute_kpi",
-        (*KPI_TABLE_KEYS, *KPI_TABLE_PARTITIONS),
+        (KPI_MINUTE, *KPI_TABLE_PARTITIONS),
         KPI_TABLE_PARTITIONS,
     )
     upsert(
@@ -152,14 +167,80 @@ def run_minute_kpi(
     )
 
 
-def run_daily(raw: DataFrame, out: str) -> None:
-    """Daily figures per machine, all days recomputed."""
-    daily_machine(conform_readings(raw, normalise=False)).write.mode("overwrite").parquet(f"{out}/daily_machine")
+def update_minute_kpi(
+    spark: SparkSession,
+    hot: str,
+    dims: Mapping[str, DataFrame],
+    out: str,
+    batch: DataFrame,
+    *,
+    normalise: bool = True,
+    archived: DataFrame | None = None,
+    max_bytes: int = BROADCAST_BYTES,
+) -> None:
+    """Recompute the KPIs of those minutes that ``batch`` (raw readings, already in the hot store) touches.
+
+    Only the hours of these minutes are read from the store and rewritten in the table, and copies of a reading count
+    once; so the cost of a batch does not grow with the store, late readings count, and a batch may come again.
+    """
+    minute = F.date_trunc("minute", parse_event_time(RAW_TIME))
+    touched = batch.select(minute.alias("_minute")).where("_minute IS NOT NULL").distinct()
+    with scratch(spark, "touched") as staged:
+        touched.write.parquet(staged)
+        touched = spark.read.schema(touched.schema).parquet(staged)
+        hours = touched.select(
+            F.to_date("_minute").alias("event_date"), F.hour("_minute").alias("event_hour")
+        ).distinct()
+        recent = in_same_partitions(open_hot(spark, hot), hours, ("event_date", "event_hour"))
+        recent = recent.select(*READING.fieldNames()).withColumn("_minute", minute).join(touched, "_minute", "left_semi")
+        raw = unique_readings(with_archived(recent.drop("_minute"), archived, minute))
+        machines = conform_machines(dims["dim_machine"], normalise=normalise)
+        sensors = conform_sensors(dims["dim_sensor_type"])
+        size = measured_bytes({"machines": machines, "sensors": sensors})
+        limited = with_limits(
+            conform_readings(raw, normalise=normalise), sensors, broadcast=size["sensors"] <= max_bytes
+        )
+        inputs = _Inputs(limited, machines, size["machines"] <= max_bytes)
+        rows = kpi_table_rows(inputs.aggregate(minute_kpi))
+        upsert(spark, rows, f"{out}/minute_kpi", (KPI_MINUTE, *KPI_TABLE_PARTITIONS), KPI_TABLE_PARTITIONS)
+
+
+def live_kpi(
+    raw: DataFrame,
+    dims: Mapping[str, DataFrame],
+    hot: str,
+    out: str,
+    checkpoint: str,
+    cadence: str | None = CADENCE,
+    name: str = "s0",
+    **options,
+) -> StreamingQuery:
+    """A stream of raw readings into the hot store and, minute by minute, into the KPI table below ``out``.
+
+    ``options`` go to ``update_minute_kpi``. The stream is the only writer of that table while it runs.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        write_hot_batch(batch, hot, f"{name}-{number}")
+        update_minute_kpi(batch.sparkSession, hot, dims, out, batch, **options)
+
+    return start(raw.writeStream.outputMode("append").foreachBatch(write), checkpoint, cadence)
+
+
+def run_daily(raw: DataFrame, out: str, archived: DataFrame | None = None) -> None:
+    """Daily figures per machine, of the days that ``raw`` has readings of; other days stay.
+
+    ``archived``: readings that have left ``raw``, for days that are there only in part.
+    """
+    day = F.to_date(parse_event_time(RAW_TIME))
+    rows = daily_machine(conform_readings(with_archived(raw, archived, day), normalise=False))
+    replace_partitions(rows, f"{out}/daily_machine", ("event_date",))
 
 
 @dataclass(frozen=True)
 class ArchiveResult:
-    """What an archive run did; ``reason`` says why nothing was archived."""
+    """What an archive run did; ``reason`` says why nothing was archived, ``docs_left`` how many candidates a
+    capped run left for the next, ``size_bytes`` what the size policy measured."""
 
     archived: bool
     reason: str = ""
@@ -167,15 +248,31 @@ class ArchiveResult:
     docs_deleted: int = 0
     cutoff: str | None = None
     files: str | None = None
+    docs_left: int = 0
+    size_bytes: int | None = None
+
+
+_RECORD = "docs_archived bigint, cutoff string, files string, docs_left bigint, size_bytes bigint"
+
+
+def _record_path(root: str, run_id: str, state: str) -> str:
+    """Where a run notes that its files are complete (``stored``) and that it is over (``done``)."""
+    return f"{root.rstrip('/')}.runs/run_id={run_id}/{state}"
 
 
-class ReconcileError(RuntimeError):
-    """Written, archived and deleted counts of a run differ."""
+def _recorded(spark: SparkSession, root: str, run_id: str, state: str) -> ArchiveResult | None:
+    try:
+        row = spark.read.schema(_RECORD).json(_record_path(root, run_id, state)).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        row = None
+    return None if row is None else ArchiveResult(True, docs_deleted=row["docs_archived"], **row.asDict())
 
 
-def reconcile(written: int, archived: int, deleted: int) -> None:
-    if not written == archived == deleted:
-        raise ReconcileError(f"written={written} archived={archived} deleted={deleted}")
+def _record(spark: SparkSession, root: str, run_id: str, state: str, result: ArchiveResult) -> None:
+    row = (result.docs_archived, result.cutoff, result.files, result.docs_left, result.size_bytes)
+    spark.createDataFrame([row], _RECORD).coalesce(1).write.mode("overwrite").json(_record_path(root, run_id, state))
 
 
 def run_size_archive(
@@ -186,66 +283,106 @@ def run_size_archive(
     *,
     run_id: str,
     archived_at: str,
+    policy: SizePolicy,
     source: str = "sensor_readings",
-    policy: SizePolicy = SizePolicy(),
 ) -> ArchiveResult:
-    """When the hot store is too large, move its oldest readings to JSON lines and describe the run.
+    """When the hot store is larger than ``policy`` allows, move its older readings to JSON lines and describe the run.
 
-    Order: write, count what was written, delete by identity, compare counts, write the manifest.
-    A run that stops before the delete leaves everything in the hot store.
+    All candidates are taken, or the oldest up to the policy's cap, if it has one. Order: write, count what was
+    written, note that the files are complete, compare counts, delete by identity, write the manifest, note that
+    the run is over. So a run can be called again with its ``run_id`` at any point: before the first note it starts
+    anew, between the notes it deletes what is left to delete, after the second it returns its result.
     """
-    (size,) = store_bytes(spark, hot).select("bytes").first()
-    if not policy.due(size):
-        return ArchiveResult(False, "below_threshold")
-    readings = open_hot(spark, hot)
-    cutoff = newest_cutoff(readings, policy.keep_minutes)
-    if cutoff is None:
-        return ArchiveResult(False, "no_data")
-    # a reading without identity could not be deleted again, so it stays
-    leaving = oldest(older_than(readings, cutoff).where(F.col("_id").isNotNull()), policy.run_cap)
-    # at most the run's cap of rows, used for the check, the copy and its count
-    leaving = leaving.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if leaving.isEmpty():
-            return ArchiveResult(False, "no_older_than_cutoff", cutoff=cutoff)
-        files = write_chunks(leaving, archive, run_id, policy.chunk_docs, policy.max_chunks)
-        result = _verify_and_delete(spark, hot, files, leaving.count(), cutoff)
-    finally:
-        leaving.unpersist()
+    if done := _recorded(spark, archive, run_id, "done"):
+        return done
+    stored = _recorded(spark, archive, run_id, "stored")
+    resumed = stored is not None
+    if not resumed:
+        (size,) = store_bytes(spark, hot).select("bytes").first()
+        if not policy.due(size):
+            return ArchiveResult(False, "below_threshold", size_bytes=size)
+        readings = open_hot(spark, hot)
+        cutoff = newest_cutoff(readings, policy.keep_minutes)
+        if cutoff is None:
+            return ArchiveResult(False, "no_data", size_bytes=size)
+        stored = _store(
+            spark, readings, archive, run_id, cutoff, policy.run_cap, policy.chunk_docs, policy.max_chunks
+        )
+        stored = replace(stored, size_bytes=size)
+        if not stored.archived:
+            return stored
+        _record(spark, archive, run_id, "stored", stored)
+    result = _delete_stored(spark, hot, stored, resumed)
     row = manifest(
         spark,
-        files,
+        result.files,
         run_id=run_id,
         archived_at=archived_at,
         source=source,
         policy=policy.describe(),
-        cutoff=cutoff,
+        cutoff=result.cutoff,
         docs_deleted=result.docs_deleted,
     )
     write_manifest(row, manifests, run_id)
+    _record(spark, archive, run_id, "done", result)
     return result
 
 
 def run_age_dump(
     spark: SparkSession, hot: str, dumps: str, *, run_id: str, as_of: datetime | str, hours: int = 1
 ) -> ArchiveResult:
-    """Dump all readings older than ``hours`` as JSON lines and delete them from the hot store."""
-    cutoff = age_cutoff(as_of, hours)
-    leaving = older_than(open_hot(spark, hot), cutoff).where(F.col("_id").isNotNull())
-    if leaving.isEmpty():
-        return ArchiveResult(False, "no_older_than_cutoff", cutoff=cutoff)
-    files = write_snapshot(leaving, dumps, run_id)
-    return _verify_and_delete(spark, hot, files, leaving.count(), cutoff)
+    """Dump all readings older than ``hours`` as JSON lines and delete them from the hot store.
+
+    Can be called again with its ``run_id`` like ``run_size_archive``.
+    """
+    if done := _recorded(spark, dumps, run_id, "done"):
+        return done
+    stored = _recorded(spark, dumps, run_id, "stored")
+    resumed = stored is not None
+    if not resumed:
+        stored = _store(spark, open_hot(spark, hot), dumps, run_id, age_cutoff(as_of, hours), None, 0, None)
+        if not stored.archived:
+            return stored
+        _record(spark, dumps, run_id, "stored", stored)
+    result = _delete_stored(spark, hot, stored, resumed)
+    _record(spark, dumps, run_id, "done", result)
+    return result
 
 
-def _verify_and_delete(spark: SparkSession, hot: str, files: str, selected: int, cutoff: str) -> ArchiveResult:
-    stored = read_ndjson(spark, files)
-    written = stored.count()
+def _store(
+    spark: SparkSession,
+    readings: DataFrame,
+    root: str,
+    run_id: str,
+    cutoff: str,
+    cap: int | None,
+    chunk_docs: int,
+    max_files: int | None,
+) -> ArchiveResult:
+    """Write the readings before ``cutoff``, or the oldest ``cap`` of them, with all their copies."""
+    # a reading without identity could not be deleted again, so it stays
+    candidates = older_than(readings, cutoff).where(F.col("_id").isNotNull())
+    chosen = oldest(candidates, cap) if cap is not None else candidates
+    if chosen.isEmpty():
+        return ArchiveResult(False, "no_older_than_cutoff", cutoff=cutoff)
+    with scratch(spark, "leaving") as staged:
+        # identities leave whole: what is deleted by identity later must have been written
+        only_identities(readings, chosen.select("_id").distinct()).write.parquet(staged)
+        leaving = spark.read.schema(readings.schema).parquet(staged)
+        selected = leaving.count()
+        files = write_chunks(leaving, root, run_id, chunk_docs, max_files)
+    written = read_ndjson(spark, files).count()
     if written != selected:
         raise ReconcileError(f"selected={selected} written={written}; nothing deleted")
-    deleted = delete_hot(spark, hot, stored)
-    reconcile(written, selected, deleted)
-    return ArchiveResult(True, "", written, deleted, cutoff, files)
+    left = 0 if cap is None else max(0, candidates.count() - written)
+    return ArchiveResult(True, "", written, 0, cutoff, files, left)
+
+
+def _delete_stored(spark: SparkSession, hot: str, stored: ArchiveResult, resumed: bool) -> ArchiveResult:
+    """Delete what a run has stored. A first attempt must find as many rows as were written; a later one
+    deletes what an earlier one has left."""
+    delete_hot(spark, hot, read_ndjson(spark, stored.files), None if resumed else stored.docs_archived)
+    return replace(stored, docs_deleted=stored.docs_archived)
 
 
 def run_to_parquet(spark: SparkSession, files: str | list[str], archive: str) -> bool:

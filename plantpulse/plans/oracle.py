@@ -51,14 +51,14 @@ dim_machine AS (
 ),
 dim_factory AS (
   SELECT 'FCT' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS factory_id, n_name AS city, r_name AS country,
-         CASE n_nationkey % 3 WHEN 0 THEN 'Small' WHEN 1 THEN 'Medium' ELSE 'Large' END AS capacity_class
+         CASE n_nationkey % 3 WHEN 0 THEN 'Pilot' WHEN 1 THEN 'Line' ELSE 'Campus' END AS capacity_class
   FROM nation JOIN region ON n_regionkey = r_regionkey
 ),
 dim_operator AS (
   SELECT 'OPR' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS operator_id,
-         CASE c_custkey % 3 WHEN 0 THEN 'Junior' WHEN 1 THEN 'Mid' ELSE 'Senior' END AS experience_level,
-         CASE c_custkey % 4 WHEN 0 THEN 'Morning only' WHEN 1 THEN 'Evening only'
-                            WHEN 2 THEN 'Night only' ELSE 'Rotational' END AS shift_pattern
+         CASE c_custkey % 3 WHEN 0 THEN 'Trainee' WHEN 1 THEN 'Skilled' ELSE 'Lead' END AS experience_level,
+         CASE c_custkey % 4 WHEN 0 THEN 'Early' WHEN 1 THEN 'Late'
+                            WHEN 2 THEN 'Night' ELSE 'Mixed' END AS shift_pattern
   FROM customer
 ),
 dim_product AS (
@@ -265,7 +265,7 @@ ORDER BY event_timestamp_utc DESC, _id LIMIT 10"""),
             "HAVING sum(num_events) > 10"),
         "bi_operator_shift": _bi("experience_level, shift_pattern"),
         "bi_product_category": _bi("category, brand"),
-        "bi_machine_criticality": _bi("criticality, machine_type", "WHERE capacity_class <> 'Small'"),
+        "bi_machine_criticality": _bi("criticality, machine_type", "WHERE capacity_class <> 'Pilot'"),
         "bi_downtime_having": _bi(
             "country, line_name, sensor_type_name", "",
             "HAVING sum(unplanned_downtime_sec) > 0 AND sum(num_alerts) > 0"),
@@ -279,10 +279,10 @@ FROM breaches b LEFT JOIN dim_factory f ON b.factory_id = f.factory_id GROUP BY
             f"strftime(TIMESTAMP '{td.AS_OF}' - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S')"),
         "archive_run_batch": _sql(f"{_RAW} batch", True, _NEWEST_CUTOFF, _LEAVING, _BATCH),
         "retention_remaining": _sql(
-            f"{_RAW} readings WHERE _id NOT IN (SELECT _id FROM batch)", True, _NEWEST_CUTOFF, _LEAVING, _BATCH),
+            f"{_RAW} readings WHERE _id NOT IN (SELECT _id FROM leaving)", True, _NEWEST_CUTOFF, _LEAVING),
         "archive_manifest": _sql(f"""
 SELECT '{c.RUN_ID}' AS run_id, TIMESTAMP '{td.AS_OF}' AS archived_at_utc, 'sensor_readings' AS source,
-       'archive if size > 300MB; keep newest 15 min; chunk=20000 docs/file; max_chunks_per_run=10' AS policy,
+       '{c.ALL_POLICY.describe()}' AS policy,
        (SELECT t FROM cutoff) AS cutoff_str, count(*) AS docs_archived, count(*) AS docs_deleted,
        min(event_timestamp) AS min_event_timestamp, max(event_timestamp) AS max_event_timestamp
 FROM leaving""", True, _NEWEST_CUTOFF, _LEAVING),
@@ -290,6 +290,22 @@ FROM leaving""", True, _NEWEST_CUTOFF, _LEAVING),
 SELECT (SELECT count(*) FROM readings) AS docs_before, count(*) AS docs_selected, count(*) AS docs_written,
        (SELECT count(*) FROM readings) - count(*) AS docs_left, TRUE AS balanced
 FROM leaving""", True, _NEWEST_CUTOFF, _LEAVING),
+        "size_archive_run": _sql("""
+SELECT (SELECT count(*) FROM batch) AS docs_archived, (SELECT count(*) FROM batch) AS docs_deleted,
+       (SELECT count(*) FROM leaving) - (SELECT count(*) FROM batch) AS docs_left,
+       (SELECT count(*) FROM batch) AS stored_ids,
+       (SELECT count(*) FROM readings) - (SELECT count(*) FROM batch) AS hot_rows""", True, _NEWEST_CUTOFF, _LEAVING, _BATCH),
+        "age_dump_run": _sql(f"""
+SELECT count(*) AS docs_archived, count(*) AS docs_deleted, CAST(0 AS BIGINT) AS docs_left, count(*) AS stored_ids,
+       (SELECT count(*) FROM readings) - count(*) AS hot_rows
+FROM readings WHERE event_timestamp < strftime(TIMESTAMP '{td.AS_OF}' - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S')"""),
+        "kpi_after_archive": minute_kpi,
+        "dim_csv_load": _sql("SELECT machine_id, factory_id, line_name, criticality FROM dim_machine"),
+        "dim_json_load": _sql("SELECT product_id, category, brand FROM dim_product"),
+        "store_size": _sql("""
+SELECT CAST(sum(strlen(concat_ws(',', _id, machine_id, event_timestamp)) + 1) AS BIGINT) AS bytes,
+       sum(strlen(concat_ws(',', _id, machine_id, event_timestamp)) + 1) > 1024 * 1024 AS due FROM readings"""),
+        "stream_chain": minute_kpi,
         "archive_ndjson_scan": raw,
         "archive_layout_columns": _sql("SELECT * FROM archived", True, _ARCHIVED),
         "archive_partitioned": _sql("SELECT * FROM archived", True, _ARCHIVED),

@@ -14,8 +14,7 @@ from plantpulse.sources.readings import (
     ARCHIVE_PARTITIONS,
     read_archive,
     read_ndjson,
-    span_hours,
-    time_span,
+    touched_hours,
     unique_readings,
     with_archive_time,
 )
@@ -34,16 +33,29 @@ def write_chunks(
 ) -> str:
     """JSON lines of one run, at most ``chunk_docs`` per file; the same run replaces its own files.
 
-    With ``max_files`` the rows are dealt out to that many tasks, for runs whose size is capped.
+    With ``max_files`` the rows, which must be staged so that they are the same each time they are read, are
+    numbered across tasks and cut into full chunks, so that there are no more files than full chunks need.
     """
     target = run_path(root, run_id)
     rows = readings.select(*READING.fieldNames())
     if max_files is not None:
-        rows = rows.repartition(max_files, "_id")
+        rows = _dealt(rows, chunk_docs, max_files)
     rows.write.mode("overwrite").option("maxRecordsPerFile", chunk_docs).option("ignoreNullFields", False).json(target)
     return target
 
 
+def _dealt(rows: DataFrame, chunk_docs: int, max_files: int) -> DataFrame:
+    """Chunks of exactly ``chunk_docs`` rows but for the last, each whole in one task."""
+    place = F.monotonically_increasing_id()  # task and place within it
+    numbered = rows.withColumns({"_task": F.shiftright(place, 33), "_row": place.bitwiseAND((1 << 33) - 1)})
+    offsets, total = {}, 0
+    for task, n in sorted(map(tuple, numbered.groupBy("_task").count().collect())):  # a row per task
+        offsets[task], total = total, total + n
+    starts = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair]) if offsets else F.lit(None)
+    chunk = F.floor((F.try_element_at(starts, F.col("_task")) + F.col("_row")) / chunk_docs) if offsets else F.lit(0)
+    return numbered.withColumn("_chunk", chunk).repartition(max_files, "_chunk").drop("_task", "_row", "_chunk")
+
+
 def write_snapshot(readings: DataFrame, root: str, run_id: str) -> str:
     """All rows of one run as JSON lines, in a folder of its own: an earlier dump stays until it
     has been converted."""
@@ -59,12 +71,12 @@ def archive_layout(raw: DataFrame) -> DataFrame:
 def append_archive(spark: SparkSession, raw: DataFrame, path: str) -> None:
     """Add raw readings to the columnar archive, each identity once, also over repeated runs.
 
-    Only archived readings from the time span of ``raw`` are compared; the rest of the archive is
+    Only archived readings from the hours of ``raw`` are compared; the rest of the archive is
     not read.
     """
     rows = archive_layout(unique_readings(raw))
     if open_table(spark, path, rows.schema) is not None:
-        past = read_archive(spark, path).where(span_hours(time_span(with_archive_time(raw), "event_ts")))
+        past = read_archive(spark, path).where(touched_hours(with_archive_time(raw), "event_ts"))
         rows = without_identities(rows, past)
     append(rows, path, ARCHIVE_PARTITIONS)
 

@@ -8,6 +8,7 @@ batch that arrives meanwhile.
 from __future__ import annotations
 
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql.types import BooleanType, DateType, IntegerType, StringType, St
 from plantpulse.functions.timing import RAW_TIME, parse_event_time
 from plantpulse.operators.lookup import only_identities, without_identities
 from plantpulse.schemas import READING
-from plantpulse.session import work_path
+from plantpulse.session import remove_if_empty, remove_path, scratch
 from plantpulse.sinks.tables import in_same_partitions, replace_partitions
 from plantpulse.sources.readings import HOT_PARTITIONS, time_span
 
@@ -50,39 +51,68 @@ def open_hot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HOT_SCHEMA).parquet(path).where(F.col("emptied").isNull()).drop("emptied")
 
 
-def delete_hot(spark: SparkSession, path: str, archived: DataFrame) -> int:
+class ReconcileError(RuntimeError):
+    """Written, archived and deleted counts of a run differ."""
+
+
+def delete_hot(spark: SparkSession, path: str, archived: DataFrame, expected: int | None = None) -> int:
     """Delete the readings whose identity is in ``archived`` (raw schema, safely stored).
 
-    Returns how many rows were deleted. Only hours with archived readings are read, and only
-    partitions that lose rows are rewritten, from a copy of what stays in them below the shared
-    folder. A dynamic overwrite leaves a partition alone that gets no rows, so each rewritten one
-    also gets an ``emptied`` row, which ``open_hot`` skips.
+    Returns how many rows were deleted; if that would not be ``expected``, nothing is deleted and
+    ReconcileError raised. Only hours with archived readings are read, and only partitions that lose rows
+    are rewritten, from a copy of what stays in them below the shared folder. A dynamic overwrite leaves a
+    partition alone that gets no rows, so each rewritten one also gets an ``emptied`` row, which ``open_hot``
+    skips; partitions with nothing else are then removed.
     """
-    staged = work_path(spark, "hot-delete")
-    times = archived.select("_id", parse_event_time(RAW_TIME).alias("ts"))
-    times.write.parquet(f"{staged}/ids")
-    ids = spark.read.schema(times.schema).parquet(f"{staged}/ids")
-    hot = open_hot(spark, path).where(_hours_of(time_span(ids, "ts")))
-
-    hits = only_identities(hot.select("_id", *HOT_PARTITIONS), ids)
-    counts = hits.groupBy(*HOT_PARTITIONS).agg(F.count(F.lit(1)).alias("deleted"))
-    counts.write.parquet(f"{staged}/losing")
-    losing = spark.read.schema(counts.schema).parquet(f"{staged}/losing")
-
-    kept = without_identities(in_same_partitions(hot, losing, HOT_PARTITIONS), ids)
-    kept.write.parquet(f"{staged}/kept")
-    marks = losing.select(*HOT_PARTITIONS, F.lit(True).alias("emptied"))
-    stays = spark.read.schema(kept.schema).parquet(f"{staged}/kept")
-    rewritten = stays.unionByName(marks, allowMissingColumns=True).select(*HOT_SCHEMA.fieldNames())
-    replace_partitions(rewritten, path, HOT_PARTITIONS)
-    return losing.agg(F.coalesce(F.sum("deleted"), F.lit(0))).first()[0]
+    with scratch(spark, "hot-delete") as staged:
+        times = archived.select("_id", parse_event_time(RAW_TIME).alias("ts"))
+        times.write.parquet(f"{staged}/ids")
+        ids = spark.read.schema(times.schema).parquet(f"{staged}/ids")
+        hot = open_hot(spark, path).where(_hours_of(time_span(ids, "ts")))
+
+        hits = only_identities(hot.select("_id", *HOT_PARTITIONS), ids)
+        counts = hits.groupBy(*HOT_PARTITIONS).agg(F.count(F.lit(1)).alias("deleted"))
+        counts.write.parquet(f"{staged}/losing")
+        losing = spark.read.schema(counts.schema).parquet(f"{staged}/losing")
+        deleted = losing.agg(F.coalesce(F.sum("deleted"), F.lit(0))).first()[0]
+        if expected is not None and deleted != expected:
+            raise ReconcileError(f"expected={expected} found={deleted}; nothing deleted")
+
+        kept = without_identities(in_same_partitions(hot, losing, HOT_PARTITIONS), ids)
+        kept.write.parquet(f"{staged}/kept")
+        marks = losing.select(*HOT_PARTITIONS, F.lit(True).alias("emptied"))
+        stays = spark.read.schema(kept.schema).parquet(f"{staged}/kept")
+        rewritten = stays.unionByName(marks, allowMissingColumns=True).select(*HOT_SCHEMA.fieldNames())
+        replace_partitions(rewritten, path, HOT_PARTITIONS)
+        _remove_emptied(spark, path, losing)
+    return deleted
+
+
+def _remove_emptied(spark: SparkSession, path: str, losing: DataFrame) -> None:
+    """Remove the folders of those partitions in ``losing`` that have no readings left."""
+    folder = F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1)
+    stored = spark.read.schema(HOT_SCHEMA).parquet(path).select("*", folder.alias("folder"))
+    stored = in_same_partitions(stored, losing, HOT_PARTITIONS)
+    empty = stored.groupBy("folder").agg(F.count_if(F.col("emptied").isNull()).alias("n")).where("n = 0")
+    for row in empty.select("folder").toLocalIterator():  # one row per folder, never a reading
+        folder = unquote(row["folder"])
+        remove_path(spark, folder)
+        for _ in HOT_PARTITIONS[1:]:  # the hour's and the day's folder
+            folder = folder.rpartition("/")[0]
+            remove_if_empty(spark, folder)
+
+
+def hot_hours(first: datetime | None = None, last: datetime | None = None) -> Column:
+    """Partitions that can hold readings from ``first`` to ``last``, and that of unparsed times."""
+    keep = F.lit(True)
+    if first is not None:
+        day = F.lit(first.date())
+        keep = keep & ((F.col("event_date") > day) | ((F.col("event_date") == day) & (F.col("event_hour") >= first.hour)))
+    if last is not None:
+        day = F.lit(last.date())
+        keep = keep & ((F.col("event_date") < day) | ((F.col("event_date") == day) & (F.col("event_hour") <= last.hour)))
+    return F.col("event_date").isNull() | keep
 
 
 def _hours_of(span: tuple[datetime, datetime] | None) -> Column:
-    """Partitions that can hold readings from ``span``, and that of unparsed times."""
-    keep = F.col("event_date").isNull()
-    if span is None:
-        return keep
-    hour = F.struct("event_date", "event_hour")
-    first, last = (F.struct(F.lit(t.date()).alias("event_date"), F.lit(t.hour).alias("event_hour")) for t in span)
-    return keep | hour.between(first, last)
+    return F.col("event_date").isNull() if span is None else hot_hours(*span)

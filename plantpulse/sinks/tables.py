@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from plantpulse.operators.lookup import BROADCAST_BYTES
-from plantpulse.session import work_path
+from plantpulse.session import scratch
 
 
 def open_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
@@ -58,7 +58,9 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 def upsert(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str]) -> None:
     """Insert the rows of ``df``, replacing rows with equal ``keys`` (NULLs count as equal).
 
-    ``df`` holds each key once; ``partitions`` must follow from the keys. Only partitions that
+    If several rows of ``df`` have one key, they replace together what the table has under it: with a
+    minute as key, whole minutes are replaced. ``partitions`` must follow from the keys. One writer at a time per
+    table: two at once would each put back what they have read. Only partitions that
     receive rows are read and rewritten. What goes into them is first written below the shared
     folder: ``df`` is computed once, the target is never read and replaced at the same time, and a
     lost executor costs only its tasks.
@@ -67,14 +69,15 @@ def upsert(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], p
     if old is None:
         replace_partitions(df, path, partitions)
         return
-    staged = work_path(spark, "upsert")
-    df.write.parquet(f"{staged}/new")
-    new = spark.read.schema(df.schema).parquet(f"{staged}/new")
-    affected = in_same_partitions(old, new, partitions)
-    kept = affected.join(new, same_keys(affected, new, keys), "left_anti")
-    kept.select(df.columns).write.parquet(f"{staged}/kept")
-    both = spark.read.schema(df.schema).parquet(f"{staged}/kept").unionByName(new)
-    replace_partitions(both, path, partitions)
+    with scratch(spark, "upsert") as staged:
+        df.write.parquet(f"{staged}/new")
+        new = spark.read.schema(df.schema).parquet(f"{staged}/new")
+        affected = in_same_partitions(old, new, partitions)
+        replaced = new.select(*keys).distinct()
+        kept = affected.join(replaced, same_keys(affected, replaced, keys), "left_anti")
+        kept.select(df.columns).write.parquet(f"{staged}/kept")
+        both = spark.read.schema(df.schema).parquet(f"{staged}/kept").unionByName(new)
+        replace_partitions(both, path, partitions)
 
 
 def in_same_partitions(old: DataFrame, new: DataFrame, partitions: Sequence[str]) -> DataFrame:

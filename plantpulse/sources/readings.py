@@ -119,18 +119,44 @@ def _archive_schema() -> StructType:
     return StructType([*READING.fields, StructField("event_ts", TimestampType()), *parts])
 
 
-def history(hot: DataFrame, archive: DataFrame) -> DataFrame:
+def history(hot: DataFrame, archive: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """Hot and archived readings as one table, each identity once, in the raw schema.
 
-    A reading is in both stores only while an archive run is under way (written, not yet deleted),
-    so only archived readings from the hot store's time span are looked up by identity; the bulk
-    of the archive is scanned without a shuffle. Each store is taken to hold an identity once, as
-    ``unique_readings`` leaves it.
+    ``chunks``: JSON lines of archive runs, converted to the columnar archive or not. A reading is in two stores while
+    a run is under way or its files are kept, so archived readings are looked up by identity, in those hours alone that
+    the other store has readings of; the bulk of the archive is scanned without a shuffle. Hot store and archive are
+    taken to hold an identity once each, as ``unique_readings`` leaves it.
     """
     columns = [f.name for f in READING.fields]
-    overlap = span_hours(time_span(hot.select(parse_event_time(RAW_TIME).alias("ts")), "ts"))
-    new = without_identities(hot.select(columns), archive.where(overlap))
-    return archive.select(columns).unionByName(new.select(columns))
+    hot = hot.select(columns)
+    if chunks is not None:
+        chunks = unique_readings(chunks.select(columns))
+        chunks = without_identities(chunks, archive.where(touched_hours(with_archive_time(chunks), "event_ts")))
+        hot = without_identities(hot, chunks)
+    new = without_identities(hot, archive.where(touched_hours(with_archive_time(hot), "event_ts")))
+    parts = archive.select(columns).unionByName(new)
+    return parts if chunks is None else parts.unionByName(chunks)
+
+
+def archived_readings(spark: SparkSession, archive: str | None = None, chunks: list[str] = ()) -> DataFrame | None:
+    """Readings outside the hot store, in the raw schema: the columnar archive and JSON lines that have not been
+    converted yet; None without either. A reading that is in both comes twice."""
+    parts = [] if archive is None else [read_archive(spark, archive).select(*READING.fieldNames())]
+    if chunks:
+        parts.append(read_ndjson(spark, list(chunks)))
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0] if parts else None
+
+
+def with_archived(raw: DataFrame, archived: DataFrame | None, period: Column) -> DataFrame:
+    """``raw`` completed by those ``archived`` readings, each identity once, whose ``period`` (a minute or day, from
+    the raw event time) ``raw`` has readings of."""
+    if archived is None:
+        return raw
+    columns = READING.fieldNames()
+    touched = raw.select(period.alias("_period")).where("_period IS NOT NULL").distinct()
+    same = archived.select(*columns).withColumn("_period", period).join(touched, "_period", "left_semi")
+    rest = without_identities(unique_readings(same.select(*columns)), raw)
+    return raw.select(*columns).unionByName(rest)
 
 
 def time_span(df: DataFrame, ts: str) -> tuple[datetime, datetime] | None:
@@ -147,6 +173,22 @@ def span_hours(span: tuple[datetime, datetime] | None) -> Column:
     return keep if span is None else keep | archive_hours(span[0], span[1] + timedelta(seconds=1))
 
 
+#: Hours that are listed one by one; of more, only the first and last count.
+LISTED_HOURS = 10_000
+
+
+def touched_hours(df: DataFrame, ts: str) -> Column:
+    """Archive partitions that can hold copies of the readings of ``df``: the hours it has readings of, and the
+    partition of readings whose time does not parse. A few outliers in time add their own hours only."""
+    hour = F.date_format(ts, "yyyyMMddHH").cast("bigint").alias("hour")
+    found = df.select(hour).where("hour IS NOT NULL").distinct().limit(LISTED_HOURS + 1).collect()
+    if len(found) > LISTED_HOURS:
+        return span_hours(time_span(df, ts))
+    year, month, day, of_day = (F.col(c).cast("bigint") for c in ("year", "month", "day", "hour"))
+    place = ((year * 100 + month) * 100 + day) * 100 + of_day
+    return F.col("year").isNull() | place.isin([r["hour"] for r in found])
+
+
 def unique_readings(readings: DataFrame) -> DataFrame:
     """Each identity once; copies that differ resolve to the least row, so runs repeat.
 

@@ -20,10 +20,10 @@ FOLD_US = 7_200_000_000
 SHIFT_US = 3_600_000_000
 RUN_US = 420_000_000
 SENSORS = [  # id, code, name, unit, least, greatest; type 5 has no limits
-    (1, "TEMP", "Temperature", "C", 3.0, 140.0),
-    (2, "VIB", "Vibration", "mm/s", 2.5, 150.0),
-    (3, "CURR", "Current", "A", 2.5, 140.0),
-    (4, "HUM", "Humidity", "%", 2.5, 150.0),
+    (1, "S-HEAT", "Oven heat", "degC", 3.0, 140.0),
+    (2, "S-SHAKE", "Bearing shake", "um", 2.5, 150.0),
+    (3, "S-LOAD", "Motor load", "kW", 2.5, 140.0),
+    (4, "S-DAMP", "Dough damp", "g/kg", 2.5, 150.0),
 ]
 TABLES = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
@@ -99,7 +99,7 @@ def dim_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_name AS city",
         "r_name AS country",
         "'UTC' AS timezone",
-        _choice("n_nationkey", "Small", "Medium", "Large") + " AS capacity_class",
+        _choice("n_nationkey", "Pilot", "Line", "Campus") + " AS capacity_class",
     )
 
 
@@ -107,8 +107,8 @@ def dim_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr(
         _code("OPR", "c_custkey") + " AS operator_id",
         "c_name AS operator_name",
-        _choice("c_custkey", "Junior", "Mid", "Senior") + " AS experience_level",
-        _choice("c_custkey", "Morning only", "Evening only", "Night only", "Rotational") + " AS shift_pattern",
+        _choice("c_custkey", "Trainee", "Skilled", "Lead") + " AS experience_level",
+        _choice("c_custkey", "Early", "Late", "Night", "Mixed") + " AS shift_pattern",
         _code("FCT", "c_nationkey", 3) + " AS factory_id",
     )
 

@@ -25,31 +25,40 @@ CADENCE = "1 minute"
 
 KPI_TABLE_KEYS = (KPI_MINUTE, *KPI_KEYS)
 KPI_TABLE_PARTITIONS = ("kpi_date", "kpi_hour")
-ALERT_TABLE_PARTITIONS = ("alert_date",)
+ALERT_TABLE_PARTITIONS = ("alert_date", "alert_hour")
 
 
 def without_redeliveries(readings: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Each identity once, as long as its copies arrive within ``lateness``; state is bounded by it."""
-    return readings.withWatermark(EVENT_TIME, lateness).dropDuplicatesWithinWatermark(["_id"])
+    """Each identity once, as long as its copies arrive within ``lateness``; state is bounded by it.
+
+    Rows without identity are no copies of each other, and rows whose time does not parse cannot be placed: both
+    pass as they are. The result carries the watermark.
+    """
+    readings = readings.withWatermark(EVENT_TIME, lateness)
+    known = F.col("_id").isNotNull() & F.col(EVENT_TIME).isNotNull()
+    return readings.where(known).dropDuplicatesWithinWatermark(["_id"]).unionByName(readings.where(~known))
 
 
-def live_minute_kpi(enriched: DataFrame, lateness: str = LATENESS) -> DataFrame:
+def live_minute_kpi(enriched: DataFrame, lateness: str | None = LATENESS) -> DataFrame:
     """``minute_kpi`` as a stream; minutes older than ``lateness`` leave the state.
 
-    Run it in update mode into ``upsert_each``, so that open minutes are visible at once.
+    Run it in update mode into ``upsert_each``, so that open minutes are visible at once. ``lateness=None``: the input
+    has its watermark already, as after ``without_redeliveries``; then only append mode is possible, which
+    shows a minute once it is over. ``plans.jobs.live_kpi`` shows it at once, and counts late readings too.
     """
+    if lateness is not None:
+        enriched = enriched.withWatermark(EVENT_TIME, lateness)
     # grouped by the window itself: only that column tells Spark which groups the watermark has passed
-    kpi = minute_kpi(enriched.withWatermark(EVENT_TIME, lateness), minute=F.window(EVENT_TIME, "1 minute"))
+    kpi = minute_kpi(enriched, minute=F.window(EVENT_TIME, "1 minute"))
     return kpi.withColumn(KPI_MINUTE, F.col(KPI_MINUTE)["start"])
 
 
-
 def kpi_table_rows(kpi: DataFrame) -> DataFrame:
     return kpi.withColumns({"kpi_date": F.to_date(KPI_MINUTE), "kpi_hour": F.hour(KPI_MINUTE)})
 
 
 def alert_table_rows(alerts: DataFrame) -> DataFrame:
-    return alerts.withColumn("alert_date", F.to_date("alert_time_utc"))
+    return alerts.withColumns({"alert_date": F.to_date("alert_time_utc"), "alert_hour": F.hour("alert_time_utc")})
 
 
 def upsert_each(path: str, keys: tuple[str, ...], partitions: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
@@ -64,7 +73,7 @@ def upsert_each(path: str, keys: tuple[str, ...], partitions: tuple[str, ...]) -
     return write
 
 
-def _start(writer, checkpoint: str, cadence: str | None) -> StreamingQuery:
+def start(writer, checkpoint: str, cadence: str | None) -> StreamingQuery:
     """``cadence=None`` processes what is there and stops."""
     trigger = {"availableNow": True} if cadence is None else {"processingTime": cadence}
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
@@ -82,27 +91,33 @@ def store_stream(
     def write(batch: DataFrame, number: int) -> None:
         write_hot_batch(batch, path, f"{name}-{number}")
 
-    return _start(raw.writeStream.outputMode("append").foreachBatch(write), checkpoint, cadence)
+    return start(raw.writeStream.outputMode("append").foreachBatch(write), checkpoint, cadence)
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str, cadence: str | None = CADENCE) -> StreamingQuery:
     """Rows of a stateless stream into a Parquet folder."""
     writer = rows.writeStream.format("parquet").option("path", path).outputMode("append")
-    return _start(writer, checkpoint, cadence)
+    return start(writer, checkpoint, cadence)
 
 
-def kpi_stream(enriched: DataFrame, path: str, checkpoint: str, cadence: str | None = CADENCE) -> StreamingQuery:
-    """Per-minute KPIs, kept up to date in the table at ``path``."""
-    rows = kpi_table_rows(live_minute_kpi(enriched))
-    writer = rows.writeStream.outputMode("update").foreachBatch(
+def kpi_stream(
+    enriched: DataFrame,
+    path: str,
+    checkpoint: str,
+    cadence: str | None = CADENCE,
+    lateness: str | None = LATENESS,
+) -> StreamingQuery:
+    """Per-minute KPIs, kept up to date in the table at ``path``; ``lateness`` as in ``live_minute_kpi``."""
+    rows = kpi_table_rows(live_minute_kpi(enriched, lateness))
+    writer = rows.writeStream.outputMode("append" if lateness is None else "update").foreachBatch(
         upsert_each(path, KPI_TABLE_KEYS, KPI_TABLE_PARTITIONS)
     )
-    return _start(writer, checkpoint, cadence)
+    return start(writer, checkpoint, cadence)
 
 
 def alert_stream(alerts: DataFrame, path: str, checkpoint: str, cadence: str | None = CADENCE) -> StreamingQuery:
     """Alerts (with reading identity) into the table at ``path``, each reading once."""
     writer = alert_table_rows(alerts).writeStream.outputMode("append").foreachBatch(
-        upsert_each(path, ("reading_id", "alert_date"), ALERT_TABLE_PARTITIONS)
+        upsert_each(path, ("reading_id", *ALERT_TABLE_PARTITIONS), ALERT_TABLE_PARTITIONS)
     )
-    return _start(writer, checkpoint, cadence)
+    return start(writer, checkpoint, cadence)

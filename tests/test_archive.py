@@ -36,7 +36,7 @@ def hot(spark, make, tmp_path):
 def test_policy_is_due_only_above_its_threshold():
     p = SizePolicy(threshold_mb=1)
     assert not p.due(1024 * 1024) and p.due(1024 * 1024 + 1)
-    assert SizePolicy().run_cap == 200_000
+    assert SizePolicy().run_cap is None and SizePolicy(max_chunks=10).run_cap == 200_000
 
 
 def test_cutoff_follows_the_newest_parsed_event_and_stays_itself(make):
