@@ -252,6 +252,11 @@ class ArchiveResult:
     size_bytes: int | None = None
 
 
+def reconcile(written: int, archived: int, deleted: int) -> None:
+    if not written == archived == deleted:
+        raise ReconcileError(f"written={written} archived={archived} deleted={deleted}")
+
+
 _RECORD = "docs_archived bigint, cutoff string, files string, docs_left bigint, size_bytes bigint"
 
 
@@ -381,7 +386,10 @@ def _store(
 def _delete_stored(spark: SparkSession, hot: str, stored: ArchiveResult, resumed: bool) -> ArchiveResult:
     """Delete what a run has stored. A first attempt must find as many rows as were written; a later one
     deletes what an earlier one has left."""
-    delete_hot(spark, hot, read_ndjson(spark, stored.files), None if resumed else stored.docs_archived)
+    expected = None if resumed else stored.docs_archived
+    deleted = delete_hot(spark, hot, read_ndjson(spark, stored.files), expected)
+    if not resumed:
+        reconcile(stored.docs_archived, stored.docs_archived, deleted)
     return replace(stored, docs_deleted=stored.docs_archived)
 
 

@@ -33,27 +33,30 @@ def write_chunks(
 ) -> str:
     """JSON lines of one run, at most ``chunk_docs`` per file; the same run replaces its own files.
 
-    With ``max_files`` the rows, which must be staged so that they are the same each time they are read, are
-    numbered across tasks and cut into full chunks, so that there are no more files than full chunks need.
+    With ``max_files``, for runs capped at as many chunks, the rows, which must be staged so that they are the same
+    each time they are read, are numbered across tasks and cut into full chunks: no file is left half full.
     """
     target = run_path(root, run_id)
     rows = readings.select(*READING.fieldNames())
     if max_files is not None:
-        rows = _dealt(rows, chunk_docs, max_files)
+        rows = _dealt(rows, chunk_docs)
     rows.write.mode("overwrite").option("maxRecordsPerFile", chunk_docs).option("ignoreNullFields", False).json(target)
     return target
 
 
-def _dealt(rows: DataFrame, chunk_docs: int, max_files: int) -> DataFrame:
-    """Chunks of exactly ``chunk_docs`` rows but for the last, each whole in one task."""
+def _dealt(rows: DataFrame, chunk_docs: int) -> DataFrame:
+    """Chunks of exactly ``chunk_docs`` rows but for the last, each one task of its own."""
     place = F.monotonically_increasing_id()  # task and place within it
     numbered = rows.withColumns({"_task": F.shiftright(place, 33), "_row": place.bitwiseAND((1 << 33) - 1)})
     offsets, total = {}, 0
     for task, n in sorted(map(tuple, numbered.groupBy("_task").count().collect())):  # a row per task
         offsets[task], total = total, total + n
-    starts = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair]) if offsets else F.lit(None)
-    chunk = F.floor((F.try_element_at(starts, F.col("_task")) + F.col("_row")) / chunk_docs) if offsets else F.lit(0)
-    return numbered.withColumn("_chunk", chunk).repartition(max_files, "_chunk").drop("_task", "_row", "_chunk")
+    if not total:
+        return rows
+    starts = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
+    chunk = F.floor((F.try_element_at(starts, F.col("_task")) + F.col("_row")) / chunk_docs).cast("int")
+    chunks = -(-total // chunk_docs)
+    return numbered.withColumn("_chunk", chunk).repartitionById(chunks, "_chunk").drop("_task", "_row", "_chunk")
 
 
 def write_snapshot(readings: DataFrame, root: str, run_id: str) -> str:

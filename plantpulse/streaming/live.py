@@ -31,11 +31,11 @@ ALERT_TABLE_PARTITIONS = ("alert_date", "alert_hour")
 def without_redeliveries(readings: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Each identity once, as long as its copies arrive within ``lateness``; state is bounded by it.
 
-    Rows without identity are no copies of each other, and rows whose time does not parse cannot be placed: both
-    pass as they are. The result carries the watermark.
+    Rows without identity are no copies of each other and pass as they are. Of rows whose time does not parse copies are
+    dropped within a micro-batch at least; they have no place in time. The result carries the watermark.
     """
     readings = readings.withWatermark(EVENT_TIME, lateness)
-    known = F.col("_id").isNotNull() & F.col(EVENT_TIME).isNotNull()
+    known = F.col("_id").isNotNull()
     return readings.where(known).dropDuplicatesWithinWatermark(["_id"]).unionByName(readings.where(~known))
 
 

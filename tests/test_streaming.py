@@ -166,5 +166,5 @@ def test_trigger_is_a_minute_by_default_and_once_without_cadence():
         def start(self):
             return dict(seen)
 
-    assert live._start(Writer(), "ck", live.CADENCE) == {"checkpointLocation": "ck", "processingTime": "1 minute"}
-    assert live._start(Writer(), "ck", None)["availableNow"] is True
+    assert live.start(Writer(), "ck", live.CADENCE) == {"checkpointLocation": "ck", "processingTime": "1 minute"}
+    assert live.start(Writer(), "ck", None)["availableNow"] is True
