@@ -1,9 +1,9 @@
 """Similarity join of word-shingle sets with token-combination prefixes.
 
-Shingles have one global order: rare ones first, by hash within rare and frequent. If two sets
+Shingles have one global order: by how often they occur, then by hash. If two sets
 are similar enough, the first few shingles of either (its prefix) cannot all be missing from the
-other. A rare shingle of the prefix is an index key by itself. Frequent shingles are index keys only in pairs; the
-prefix is extended until leaving out as many shingles as the threshold allows still leaves a key.
+other. A shingle of few documents is an index key by itself, those of many are keys only in pairs; the prefix is
+extended until leaving out as many shingles as the threshold allows still leaves a key.
 Sets that share a key are compared exactly.
 
 Equal sets are merged first. Within the sets of a key, all are compared with one leader; only
@@ -24,18 +24,20 @@ from pyspark.sql import functions as F
 
 from plantpulse.llm.components import components
 from plantpulse.llm.hashing import SPACE, Words, combine, rows_of_lists, shingles, slices
-from plantpulse.llm.staging import staged
+from plantpulse.llm.staging import staged, staged_ids
 
-#: A shingle is frequent if at least so many documents have it ...
-FREQUENT_DOCUMENTS = 32
+#: A shingle is frequent if at least so many documents are seen to have it ...
+FREQUENT_DOCUMENTS = 8
 #: ... and at least this share of all shingle occurrences is its own: so there are at most as many frequent
-#: shingles (of 8 bytes each), whatever the size of the corpus.
+#: shingles (of 9 bytes each), whatever the size of the corpus.
 MOST_FREQUENT = 1 << 21
-#: Occurrences that are counted together before rare ones are left out.
-_WINDOW = 1 << 21
-_LEAST_IN_WINDOW = 3
-#: Pairs are formed among frequent shingles of a residue class of about this many.
-_CLASS_SIZE = 8
+#: Occurrences that are counted together before those without a second one are left out.
+_WINDOW = 1 << 22
+_LEAST_IN_WINDOW = 2
+#: Shingles of so many documents are index keys in pairs only.
+PAIRED_DOCUMENTS = 256
+#: Pairs are formed among shingles of a residue class of about this many.
+_CLASS_SIZE = 4
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -43,11 +45,37 @@ def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
         yield from shingles(Words(data, offsets, SPACE), words)
 
 
-def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of frequent shingles, counted over all documents.
+#: 64-bit words of the bit maps that go with every key of a set.
+SMALL_MAP = 32
+#: Leaders that are tried for a key at most before all its members in different components are compared.
+STAR_TURNS = 8
 
-    A task leaves out shingles with fewer than three occurrences among two million, so a count
-    may fall short; whether a shingle is treated as frequent or rare never changes results.
+
+class Frequent:
+    """Frequent shingles by hash, and the level of each: the logarithm of its count."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.levels = np.log2(np.maximum(counts[order], 1)).astype(np.uint8)
+
+    def split(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted ``tokens`` by level, then hash, in two: those that are keys alone and those that are in pairs."""
+        if not len(self.hashes):
+            return tokens, tokens[:0]
+        at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
+        levels = np.where(self.hashes[at] == tokens, self.levels[at], 0)
+        order = np.argsort(levels, kind="stable")
+        alone = int((levels < PAIRED_DOCUMENTS.bit_length() - 1).sum())
+        return tokens[order[:alone]], tokens[order[alone:]]
+
+
+def frequent_shingles(docs: DataFrame, words: int) -> Frequent:
+    """Frequent shingles, counted over all documents.
+
+    A task leaves out shingles that occur once among four million, so a count may fall short, and
+    a shingle spread evenly over a corpus of ``n`` tasks is seen from about the square root of ``n`` documents on. How
+    often a shingle is taken to occur decides its place in the order and the kind of its keys, never a result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +104,8 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
     counts = staged(counts.groupBy("shingle").agg(F.sum("n").alias("n")), "shingle-counts")
     total = counts.where("shingle IS NULL").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     least = max(FREQUENT_DOCUMENTS, total // MOST_FREQUENT)
-    found = counts.where((F.col("n") >= least) & F.col("shingle").isNotNull()).select("shingle").toArrow()
-    return np.sort(found["shingle"].to_numpy().view(np.uint64))
+    found = counts.where((F.col("n") >= least) & F.col("shingle").isNotNull()).toArrow()
+    return Frequent(found["shingle"].to_numpy().view(np.uint64), found["n"].to_numpy())
 
 
 def _allowed(n: int, percent: int) -> int:
@@ -85,16 +113,11 @@ def _allowed(n: int, percent: int) -> int:
     return n - -(-n * percent // 100)
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+def index_keys(tokens: np.ndarray, frequent: Frequent, percent: int) -> np.ndarray:
     """Index keys of a set of sorted shingle hashes. Two similar sets have one in common, unless they are equal."""
     n = len(tokens)
     need = _allowed(n, percent) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        common = frequent[at] == tokens
-        rare, often = tokens[~common], tokens[common]
-    else:
-        rare, often = tokens, tokens[:0]
+    rare, often = frequent.split(tokens)
     if len(rare) >= need:
         return rare[:need]
     need -= len(rare)
@@ -114,12 +137,27 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
         cuts = np.flatnonzero(np.diff(residue[:end][order])) + 1
         for group in np.split(tokens_by_class, cuts):
             i, j = np.triu_indices(len(group), 1)
-            keys.append(combine(group[i], group[j], np.uint64(tag)))
+            keys.append(combine(group[i], group[j], np.full(len(i), tag, np.uint64)))
     return np.concatenate(keys)
 
 
+def parity_bits(tokens: np.ndarray) -> np.ndarray:
+    """Bit map of a set, as 64-bit words: bit ``i`` tells whether an odd number of shingles hash to ``i``.
+
+    Two sets differ in at least as many shingles as their maps differ in bits. A map has 2 to 4 bits per shingle.
+    """
+    size = max(64, 2 << int(len(tokens)).bit_length())
+    odd = (np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """A bit map of at most ``SMALL_MAP`` words, which bounds differences as well, only not as closely."""
+    return bits if len(bits) <= SMALL_MAP else np.bitwise_xor.reduce(bits.reshape(-1, SMALL_MAP), axis=0)
+
+
 def _fingerprints(docs: DataFrame, words: int, percent: int, carry: Sequence[str]) -> DataFrame:
-    """doc_id, ``carry``, n, identity of the set (128 bits; null if it is empty), its index keys."""
+    """doc_id, ``carry``, n, identity of the set (128 bits; null if it is empty), its index keys and bit map, row number."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
     kept = ["doc_id", *carry]
     frame = docs.select("text", *kept)
@@ -128,37 +166,61 @@ def _fingerprints(docs: DataFrame, words: int, percent: int, carry: Sequence[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for batch in batches:
-            sizes, identities, keys = [], [], []
+            sizes, identities, keys, bits, small = [], [], [], [], []
             for found in _sets(batch.column(0), words):
                 sizes.append(len(found))
                 identities.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 keys.append(index_keys(found, frequent, percent).view(np.int64) if len(found) else np.zeros(0, np.int64))
-            columns = [pa.array(sizes, pa.int64()), pa.array(identities, pa.binary()), rows_of_lists(keys, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*kept, "n", "identity", "keys"])
+                bits.append(parity_bits(found))
+                small.append(folded(bits[-1]))
+            columns = [pa.array(sizes, pa.int64()), pa.array(identities, pa.binary())]
+            columns += [rows_of_lists(lists, pa.int64()) for lists in (keys, bits, small)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*kept, *(c.split()[0] for c in own)])
 
-    return staged(frame.mapInArrow(run, f"{fields}, n bigint, identity binary, keys array<bigint>"), "fingerprints")
+    own = ["n bigint", "identity binary", "keys array<bigint>", "bits array<bigint>", "small array<bigint>"]
+    found = frame.mapInArrow(run, ", ".join([fields, *own]))
+    return staged(found.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
 
 
-def _token_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(node, n, tokens) of the ``needed`` (node, rep, identity): texts are read again for these only."""
-    wanted = needed.select("node", "rep", "identity")
+def _token_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(node, tokens) of the nodes in ``pairs``: texts are read again for these only."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = staged_ids(nodes.join(needed, "node").select("node", "rep", "identity"), "wanted")
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # nodes of this task
         for batch in batches:
-            sets = list(_sets(batch.column(0), words))
-            same = [
-                i
-                for i, (found, identity) in enumerate(zip(sets, batch.column(2).to_pylist()))
-                if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == identity
-            ]
-            chosen = [sets[i].view(np.int64) for i in same]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1).take(pa.array(same, pa.int64())), rows_of_lists(chosen, pa.int64())], ["node", "tokens"]
-            )
+            nodes, chosen = [], []
+            rows = zip(_sets(batch.column(0), words), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            for found, node, identity in rows:
+                # not for a repeated row, nor for another text under the same doc_id
+                if node not in seen and hashlib.blake2b(found.tobytes(), digest_size=16).digest() == identity:
+                    seen.add(node)
+                    nodes.append(node)
+                    chosen.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), rows_of_lists(chosen, pa.int64())], ["node", "tokens"])
 
     found = texts.select("text", "node", "identity").mapInArrow(run, "node bigint, tokens array<bigint>")
-    return staged(found.dropDuplicates(["node"]), "token-sets")
+    return staged(found, "token-sets")
+
+
+def _most_differing(n: Column, m: Column, percent: int) -> Column:
+    """Shingles in one alone of two similar sets of these sizes, at most."""
+    return n + m - 2 * F.ceil((n + m) * percent / F.lit(100 + percent) - F.lit(1e-9))
+
+
+def _differing_bits(x: Column, y: Column) -> Column:
+    """Bits in which two maps differ; the larger one is folded to the size of the other."""
+
+    def folded(a: Column, b: Column) -> Column:
+        half = F.size(b)
+        return F.when(
+            F.size(a) > half, F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        ).otherwise(a)
+
+    unlike = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(unlike, F.lit(0), lambda total, n: total + n)
 
 
 def _close(n: Column, m: Column, percent: int) -> Column:
@@ -166,6 +228,20 @@ def _close(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _maybe_similar(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b), each once, but for those that sizes or bit maps rule out: the small maps first, as they
+    are what most pairs are joined with."""
+    left = pairs.distinct()
+    for bits in ("small", "bits"):
+        first = maps.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col(bits).alias("x"))
+        second = maps.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col(bits).alias("y"))
+        both = left.join(first, "a").join(second, "b")
+        most = _most_differing(F.col("an"), F.col("bn"), percent)
+        both = both.where(_close(F.col("an"), F.col("bn"), percent))
+        left = both.where(_differing_bits(F.col("x"), F.col("y")) <= most).select("a", "b")
+    return left
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the ``pairs`` (a, b) whose sets are similar, compared shingle by shingle."""
     first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("s"))
@@ -177,6 +253,67 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * 100 >= union * percent).select("a", "b")
 
 
+def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of the ``pairs`` (a, b) that lie in two components of ``found``."""
+    first = found.select(F.col("node").alias("a"), F.col("component").alias("ac"))
+    second = found.select(F.col("node").alias("b"), F.col("component").alias("bc"))
+    placed = pairs.join(first, "a", "left").join(second, "b", "left")
+    return placed.where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
+
+
+def _without_twins(members: DataFrame) -> DataFrame:
+    """Of keys with the same members one each; the members of near copies share many keys. Sets of members are
+    compared by size, ends and 128 bits of a hash."""
+    same = [F.min("node"), F.max("node"), F.count("*")]
+    same += [F.expr(f"bit_xor(xxhash64(node, {seed}))") for seed in (1, 2)]
+    names = ["lo", "hi", "size", "x", "y"]
+    lists = members.groupBy("key").agg(*[c.alias(name) for c, name in zip(same, names)])
+    return members.join(lists.groupBy(*names).agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of keys that have nodes of several components: key, node, n, component, the key's ``main``
+    component, that of most of its members, and how many pairs ``_cross_pairs`` looks at for the key."""
+    placed = members.join(found, "node", "left").select(
+        "key", "node", "n", F.coalesce("component", "node").alias("component")
+    )
+    placed = staged(placed, "members-placed")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("members"))
+    keys = parts.groupBy("key").agg(
+        F.sum("members").alias("all"), F.max(F.struct("members", "component")).alias("most"), F.count("*").alias("parts")
+    )
+    work = (F.col("all") - F.col("most.members")) * F.col("all")
+    keys = keys.where("parts > 1").select("key", F.col("most.component").alias("main"), work.alias("work"))
+    return staged(placed.join(keys, "key"), "members-unsettled")
+
+
+def _star_pairs(unsettled: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs of one member of each key, another in each turn, with the key's members of other components."""
+    drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("draw"), "node", "n", "component"))
+    leaders = unsettled.groupBy("key").agg(drawn.alias("o"))
+    leaders = leaders.select("key", F.col("o.node").alias("o"), F.col("o.n").alias("on"), F.col("o.component").alias("oc"))
+    met = unsettled.join(leaders, "key").where(
+        (F.col("oc") != F.col("component")) & _close(F.col("n"), F.col("on"), percent)
+    )
+    return met.select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b"))
+
+
+def _cross_pairs(unsettled: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """All pairs of members of a key that lie in two components, but for those that sizes or small bit maps
+    rule out: every node outside the main component meets all others. The maps are compared within the join,
+    as many keys may bring the same two nodes together."""
+    mapped = unsettled.join(maps.select("node", "small"), "node")
+    others = mapped.where("component <> main").select(
+        "key", F.col("node").alias("o"), F.col("n").alias("on"), F.col("component").alias("oc"), F.col("small").alias("other")
+    )
+    # two outsiders meet once
+    once = (F.col("component") == F.col("main")) | (F.col("o") < F.col("node"))
+    apart = (F.col("oc") != F.col("component")) & _close(F.col("n"), F.col("on"), percent)
+    alike = _differing_bits(F.col("small"), F.col("other")) <= _most_differing(F.col("n"), F.col("on"), percent)
+    met = others.join(mapped, "key").where(once & apart & alike)
+    return met.select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b"))
+
+
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``carry``, n_shingles, component_id, group.
 
@@ -192,48 +329,46 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, carry: Se
     if not 60 <= percent <= 100:
         raise ValueError("percent must be 60 to 100")
     prints = _fingerprints(docs, words, percent, carry)
-    nodes = prints.where("n > 0").groupBy("identity").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    posted = prints.join(
-        nodes.select("identity", "rep", "node"),
-        (prints["identity"] == nodes["identity"]) & prints["doc_id"].eqNullSafe(nodes["rep"]),
-    ).select(F.explode("keys").alias("key"), "node", "n")
-    leaders = posted.groupBy("key").agg(F.min(F.struct("node", "n")).alias("leader"), F.max("node").alias("last"))
-    leaders = leaders.where("leader.node < last").select(
-        "key", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")
+    # documents with equal sets are one node, named by the row of the least doc_id
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    nodes = prints.where("n > 0").groupBy("identity").agg(F.min(order).alias("first"))
+    nodes = staged(
+        nodes.select("identity", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("node")), "nodes"
     )
-    members = staged(posted.join(leaders, "key").distinct(), "members")
-    close = _close(F.col("n"), F.col("leader_n"), percent)
-    pairs = members.where(close & (F.col("node") != F.col("leader"))).select(
-        F.col("leader").alias("a"), F.col("node").alias("b")
-    )
-    needed = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    sets = _token_sets(docs, needed, words)
-    links = staged(_similar(pairs.distinct(), sets, percent), "links")
+    posted = prints.select(F.col("row").alias("node"), "n", "keys").join(nodes.select("node"), "node")
+    posted = posted.select(F.explode("keys").alias("key"), "node", "n")
+    leaders = posted.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
+    members = staged(posted.join(leaders.where("leader < last").select("key", "leader"), "key"), "members")
+    members = staged(_without_twins(members), "members")
+    involved = members.select("node").distinct()
+    maps = prints.select(F.col("row").alias("node"), "n", "bits", "small").join(involved, "node", "left_semi")
+    maps = staged(maps, "bit-maps")
+
+    pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    pairs = staged(_maybe_similar(pairs, maps, percent), "pairs")
+    sets = _token_sets(docs, nodes, pairs, words)
+    # one pair of each node first; others only where that leaves two components
+    some = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = staged(_similar(some, sets, percent), "links")
     found = staged(components(links), "components")
-
-    # what a leader did not join: keys whose members are not in one component
-    placed = members.join(found, "node", "left").select(
-        "key", "node", "n", "leader", F.coalesce("component", "node").alias("component")
-    )
-    heads = placed.where("node = leader").select("key", F.col("component").alias("main"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_keys = open_keys.where("lo < hi").select("key").join(heads, "key")
-    placed = staged(placed.join(open_keys, "key"), "members-open")
-    others = placed.where("component <> main AND node <> leader").select(
-        "key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac")
-    )
-    rest = placed.where("node <> leader").select(
-        "key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"), "main"
-    )
-    # two members outside the main component meet once
-    once = (F.col("bc") == F.col("main")) | (F.col("a") < F.col("b"))
-    rest_pairs = others.join(rest, "key").where(
-        (F.col("ac") != F.col("bc")) & once & _close(F.col("an"), F.col("bn"), percent)
-    )
-    rest_pairs = rest_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = staged(_similar(rest_pairs, sets, percent), "links")
-    found = components(found.toDF("a", "b").union(more))
+    more = staged(_similar(_across(pairs.exceptAll(some), found), sets, percent), "links")
+    found = staged(components(found.toDF("a", "b").union(more)), "components")
+    # further leaders, as long as they find links in plenty and comparing everyone with everyone outside the main
+    # components is more than a few times the members; then that
+    idle = False
+    for turn in range(STAR_TURNS + 1):
+        unsettled = _unsettled(members, found)
+        work, size = unsettled.groupBy("key").agg(F.first("work").alias("work"), F.count("*").alias("size")).agg(
+            F.coalesce(F.sum("work"), F.lit(0)), F.count("*") + F.coalesce(F.sum("size"), F.lit(0))
+        ).first()
+        last = turn == STAR_TURNS or work <= 4 * size or idle
+        drawn = _cross_pairs(unsettled, maps, percent) if last else _star_pairs(unsettled, percent, turn)
+        rest = staged(_maybe_similar(drawn, maps, percent), "pairs")
+        more = staged(_similar(rest, _token_sets(docs, nodes, rest, words), percent), "links")
+        found = staged(components(found.toDF("a", "b").union(more)), "components")
+        if last:
+            break
+        idle = 100 * more.count() < found.count()
 
     # the smallest doc_id of each component, by identity of the sets
     placed = nodes.join(found, "node", "left").select(

@@ -19,5 +19,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that may be broadcast; one row takes 100 bytes or so.
+BROADCAST_ROWS = 200_000
+
+
+def staged_ids(df: DataFrame, label: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, rows of a few ids, staged and marked for broadcast if they are counted to be few enough.
+
+    Joined with texts, many ids cost a shuffle of the texts, few do not.
+    """
+    ids = staged(df, label)
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

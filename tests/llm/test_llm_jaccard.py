@@ -67,7 +67,10 @@ def test_against_brute_force(spark, size, percent):
     assert result(spark, rows, words=size, percent=percent) == brute(rows, size, percent)
 
 
-def test_one_group_of_near_copies_with_frequent_shingles(spark):
+@pytest.mark.parametrize("paired", [8, 256])
+def test_one_group_of_near_copies_with_frequent_shingles(spark, monkeypatch, paired):
+    made = jaccard_join.Frequent.__init__
+    monkeypatch.setattr(jaccard_join.Frequent, "__init__", lambda self, h, n: made(self, h, n * 256 // paired))
     rng = random.Random(5)
     base = [f"w{i}" for i in range(100)]
     rows = []
@@ -116,7 +119,7 @@ def test_similar_sets_share_a_key(percent):
 
 def test_keys_of_frequent_shingles_grow_with_the_set_not_its_square():
     tokens = np.sort(np.random.default_rng(1).integers(0, 2**63, 20_000, dtype=np.uint64))
-    assert len(index_keys(tokens, Frequent(tokens, np.full(len(tokens), 9)), 85)) < 5 * len(tokens)
+    assert len(index_keys(tokens, Frequent(tokens, np.full(len(tokens), 999)), 85)) < 5 * len(tokens)
 
 
 def test_bit_maps_bound_the_difference(spark):
