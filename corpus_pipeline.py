@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.llm import bpe, decontamination, jaccard_join, language_id, line_dedup
 from plantpulse.llm.queries import table, vocabulary
-from plantpulse.llm.staging import staged
+from plantpulse.llm.staging import staged, staged_ids
 
 #: Least confidence in a document's language.
 LEAST_CONFIDENCE = 0.2
@@ -22,12 +22,38 @@ LEAST_CONFIDENCE = 0.2
 _KEY = "__row_key"
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    parts = F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    return docs.withColumn(_KEY, F.unhex(F.md5(parts.cast("binary"))))
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """Of documents with the same text the one with the smallest doc_id (null last) stays.
+
+    Repeated rows (doc_id and text) all stay. Null texts are no copies. Digests alone are shuffled; texts are only if the
+    copies are too many to be broadcast as ids.
+    """
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
+    places = _keyed(docs.select("doc_id", "text")).where("text IS NOT NULL").select("doc_id", _KEY, digest)
+    places = staged(places, "text-digests")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    repeated = places.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    repeated = staged(repeated.where("first <> last").select("digest", "first"), "texts-repeated")
+    # keys tell rows apart by doc_id and text
+    copies = places.join(repeated, "digest").where(order != F.col("first")).select(_KEY)
+    return _keyed(docs).join(staged_ids(copies, "text-copies"), _KEY, "left_anti").select(*docs.columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters, or less than ``LEAST_CONFIDENCE`` in any.
 
+    Exact copies go before that: line dedup would leave those of their lines that its chunk rule does not remove, too
+    little to be found similar to the original. Texts alone decide about the language, so none is lost.
+
     The model learns from the rows of ``docs`` that have a ``lang``. The column itself stays as it is.
     """
     model = language_id.train(docs)
+    docs = without_copies(docs)
     marked = language_id.predict(docs.withColumnsRenamed({"lang_pred": "__lang_pred", "score": "__score"}), model)
     kept = marked.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_CONFIDENCE))
     return kept.drop("lang_pred", "score").withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"})
@@ -49,8 +75,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents (5-word shingles, 0.8) the smallest doc_id stays, once."""
-    parts = F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn(_KEY, F.unhex(F.md5(parts.cast("binary"))))
+    keyed = _keyed(docs)
     groups = jaccard_join.jaccard_groups(keyed, carry=[_KEY])
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", _KEY)
     first = groups.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(order)[_KEY].alias(_KEY))
