@@ -25,18 +25,23 @@ PASSAGE = 50
 RUN, WINDOW = 8, 32
 #: Words that suffixes must share before they are compared: what a passage has right of its first minimiser.
 BLOCK = PASSAGE - WINDOW + 1
-#: Suffixes with the same first words are dealt into groups of about this many.
+#: More suffixes with the same first words than this are not compared in one group, but by their windows of ``PASSAGE`` words.
 GROUP = 1000
 
 
-def minimisers(hashes: np.ndarray) -> np.ndarray:
-    """Kept places of a text, from the hashes of its words. A passage of ``PASSAGE`` words has one among its first ``WINDOW``."""
+def _anchors(hashes: np.ndarray) -> np.ndarray:
+    """Minimiser of each place's ``WINDOW`` runs. It depends on the ``PASSAGE`` words from the place on alone."""
     many = len(hashes) - RUN + 1
     if len(hashes) < PASSAGE:
         return np.zeros(0, np.int64)
     least = runs(hashes, np.arange(many), RUN)
     views = np.lib.stride_tricks.sliding_window_view(least, WINDOW)
-    places = np.unique(views.argmin(axis=1) + np.arange(len(views)))
+    return views.argmin(axis=1) + np.arange(len(views))
+
+
+def minimisers(hashes: np.ndarray) -> np.ndarray:
+    """Kept places of a text, from the hashes of its words. A passage of ``PASSAGE`` words has one among its first ``WINDOW``."""
+    places = np.unique(_anchors(hashes))
     return places[places + BLOCK <= len(hashes)]
 
 
@@ -76,9 +81,9 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Words left and right of every suffix of ``wanted`` (rep, identity, node, suffixes), read from the texts again."""
-    fields = "block bigint, salt int, node bigint, doc_id {}, place int, left string, right string"
+    fields = "block bigint, node bigint, doc_id {}, place int, left string, right string"
     key = docs.schema["doc_id"].dataType.simpleString()
-    names = ["block", "salt", "node", "doc_id", "place", "left", "right"]
+    names = ["block", "node", "doc_id", "place", "left", "right"]
     texts = docs.select(F.col("doc_id").alias("rep_id"), "text").join(wanted, F.col("rep_id").eqNullSafe(F.col("rep")))
 
     def of_slice(seen: set, batch: pa.RecordBatch, i: int, j: int, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
@@ -94,13 +99,12 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for s in batch.column(4)[d].as_py():
                 p = s["place"]
                 left, right = own[max(0, p - WINDOW + 1) : p], own[p : p + PASSAGE]
-                rows.append((s["block"], s["salt"], p, b" ".join(left).decode(), b" ".join(right).decode()))
+                rows.append((s["block"], p, b" ".join(left).decode(), b" ".join(right).decode()))
                 where.append(d)
-        block, salt, place, left, right = zip(*rows) if rows else ((),) * 5
+        block, place, left, right = zip(*rows) if rows else ((),) * 4
         of = pa.array(where, pa.int64())
         columns = [
             pa.array(block, pa.int64()),
-            pa.array(salt, pa.int32()),
             batch.column(3).take(of),
             batch.column(0).take(of),
             pa.array(place, pa.int32()),
@@ -118,6 +122,75 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.select("rep_id", "text", "identity", "node", "suffixes").mapInArrow(run, fields.format(key))
 
 
+def _windows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(window, doc_id, identity, start): digests of the windows of ``PASSAGE`` words whose minimiser has one of the blocks ``hot``, in order.
+
+    Equal windows have equal minimisers, so all holders of a window are found.
+    """
+    key = docs.schema["doc_id"].dataType.simpleString()
+    names = ["window", "doc_id", "identity", "start"]
+    shared = docs.sparkSession.sparkContext.broadcast(hot)  # one number for every GROUP suffixes at most
+
+    def of_slice(batch: pa.RecordBatch, i: int, j: int, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        words, lower, hot = Words(data, offsets, SPACE), FOLD[data].tobytes(), shared.value
+        windows, identities, starts, where = [], [], [], []
+        for d in range(i, j):
+            hashes = words.hashes[words.first[d - i] : words.first[d - i + 1]]
+            anchors = _anchors(hashes)[: max(0, len(hashes) - PASSAGE + 1)]
+            places, of = np.unique(anchors, return_inverse=True)
+            blocks = runs(hashes, places, BLOCK).view(np.int64)
+            found = np.flatnonzero((hot[np.minimum(np.searchsorted(hot, blocks), len(hot) - 1)] == blocks)[of])
+            if not len(found):
+                continue
+            own = lower[offsets[d - i] : offsets[d - i + 1]].split()
+            windows += [hashlib.blake2b(b" ".join(own[s : s + PASSAGE]), digest_size=16).digest() for s in found.tolist()]
+            identities += [_identity(hashes)] * len(found)
+            starts.append(found)
+            where.append(np.full(len(found), d))
+        none = np.zeros(0, np.int64)
+        columns = [
+            pa.array(windows, pa.binary()),
+            batch.column(0).take(pa.array(np.concatenate(where or [none]))),
+            pa.array(identities, pa.binary()),
+            pa.array(np.concatenate(starts or [none])),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(1)):
+                yield of_slice(batch, *part)
+
+    fields = f"window binary, doc_id {key}, identity binary, start bigint"
+    return docs.select("doc_id", "text").mapInArrow(run, fields)
+
+
+def _hot_matches(docs: DataFrame, nodes: DataFrame, hot: np.ndarray) -> DataFrame:
+    """What ``_matches`` returns, for suffixes of the blocks ``hot``.
+
+    A window's least document comes from an aggregate, so that a window that a large part of all documents have is one row
+    per task; the join back is of two written tables, which can be split.
+    """
+    windows = staged(_windows(docs, hot), "hot-windows")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "identity")
+    holders = windows.groupBy("window").agg(
+        F.min(order).alias("least"), F.min("identity").alias("lo"), F.max("identity").alias("hi")
+    )
+    holders = staged(holders.where("lo < hi").select("window", F.col("least.identity").alias("keeper")), "hot-shared")
+    held = windows.join(holders, "window")
+    span = F.struct("start", (F.col("start") + PASSAGE).alias("end"))
+    # a document's own; copies give the same ones
+    spans = held.groupBy("identity").agg(
+        _union(F.collect_set(span)).alias("spans"),
+        _union(F.collect_set(F.when(F.col("identity") != F.col("keeper"), span))).alias("removable"),
+    )
+    flagged = F.concat(
+        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(False).alias("removable"))),
+        F.transform("removable", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(True).alias("removable"))),
+    )
+    return nodes.select("identity", "node").join(spans, "identity").select("node", F.explode(flagged).alias("s")).select("node", "s.*")
+
+
 def _common(a: list[str], b: list[str]) -> int:
     n = 0
     for x, y in zip(a, b):
@@ -195,10 +268,10 @@ def _matches(contexts: DataFrame) -> DataFrame:
 
         group, at, out = [], None, []
         for batch in batches:
-            for block, salt, node, doc_id, place, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                if (block, salt) != at:
+            for block, node, doc_id, place, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != at:
                     out += compare(group) if len(group) > 1 else []
-                    group, at = [], (block, salt)
+                    group, at = [], block
                 group.append((node, doc_id, place, left.split(" ") if left else [], right.split(" ")))
             if len(out) > 10_000:
                 yield emitted(out)
@@ -206,7 +279,7 @@ def _matches(contexts: DataFrame) -> DataFrame:
         out += compare(group) if len(group) > 1 else []
         yield emitted(out)
 
-    ordered = contexts.repartition("block", "salt").sortWithinPartitions("block", "salt", "right", "node", "place")
+    ordered = contexts.repartition("block").sortWithinPartitions("block", "right", "node", "place")
     return ordered.mapInArrow(run, "node bigint, start bigint, end bigint, removable boolean")
 
 
@@ -235,8 +308,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     Documents with the same words throughout are merged first; all but the least doc_id are removable as a whole. A span
     reaches as far as a neighbour in the sorted order agrees, within ``WINDOW`` words left and ``PASSAGE`` words right of a
-    kept suffix; spans of one document are joined. First words that a large part of all documents have are dealt
-    into groups of about ``GROUP`` suffixes, each of which finds its neighbours within its group.
+    kept suffix; spans of one document are joined. Of first words that more than ``GROUP`` suffixes have, all windows of
+    ``PASSAGE`` words are looked up by digest among all documents; the least doc_id of each window keeps it.
 
     Null and empty texts and texts of fewer words: no row. Repeated rows are copies of each other. Null doc_ids come
     last. Empty table: no rows. Other columns are ignored.
@@ -258,12 +331,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     repeated = posted.groupBy("block").agg(
         F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")
     )
-    repeated = repeated.where("lo < hi").select("block", F.ceil(F.col("n") / GROUP).cast("int").alias("groups"))
-    salt = F.pmod(F.xxhash64("node", "place"), F.col("groups")).cast("int")
-    suffixes = posted.join(repeated, "block").select("node", F.struct("block", salt.alias("salt"), "place").alias("s"))
+    repeated = staged(repeated.where("lo < hi").select("block", "n"), "suffix-blocks")
+    few = repeated.where(F.col("n") <= GROUP).select("block")
+    suffixes = posted.join(few, "block").select("node", F.struct("block", "place").alias("s"))
     per_node = suffixes.groupBy("node").agg(F.collect_list("s").alias("suffixes"))  # a document's own
     wanted = nodes.select("node", "rep", "identity").join(per_node, "node")
     found = staged(_matches(_contexts(docs, wanted)), "suffix-matches")
+    # one of GROUP suffixes at most
+    hot = repeated.where(F.col("n") > GROUP).select("block").toArrow()["block"].to_numpy()
+    if len(hot):
+        found = found.unionByName(_hot_matches(docs, nodes, np.sort(hot)))
     span = F.struct("start", "end")
     spans = found.groupBy("node").agg(
         _union(F.collect_list(span)).alias("spans"),

@@ -102,3 +102,25 @@ def test_hot_first_words_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP", 20)
     rows = corpus(random.Random(9))
     assert [d for d, _ in result(spark, rows)] == [d for d, _ in brute(rows)]
+
+
+def test_hot_passages_lose_no_match(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", 20)
+    rng = random.Random(11)
+
+    def own(n):
+        return [f"o{rng.randrange(10**9)}" for _ in range(n)]
+
+    # a short text that all have hides the pairs that share more, and 60 have a whole passage
+    shared, more, passage = own(45), [own(10) for _ in range(20)], own(70)
+    rows = [(i, " ".join(own(40) + shared + (more[i % 20] if i < 40 else own(10)) + own(40))) for i in range(100)]
+    rows += [(100 + i, " ".join(own(30) + passage + own(30))) for i in range(60)] + [(None, " ".join(own(9) + passage))]
+    rows += [(300, rows[120][1]), (301, rows[120][1].upper())]
+    named = [r for r in rows if r[0] is not None and r[0] < 300]
+    assert result(spark, named) == brute(named)
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], FIELDS)
+    got = {r["doc_id"]: r for r in repeated_passages(docs).collect()}
+    lost = {d: sum(s["end"] - s["start"] for s in r["removable"]) for d, r in got.items()}
+    assert [d for d in range(40) if lost[d]] == list(range(20, 40))
+    assert [d for d in range(100, 160) if lost[d] != 70] == [100] and lost[100] == 0 and lost[None] == 70
+    assert lost[300] == lost[301] == 130
