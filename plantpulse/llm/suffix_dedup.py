@@ -2,8 +2,8 @@
 
 Of all suffixes of the corpus only those are kept that start at a minimiser: the place of the least hash
 among ``WINDOW`` neighbouring runs of words. Which places these are follows from the words alone, so two copies of
-a passage keep the same suffixes. The kept suffixes are brought together by the hash of their first words, sorted, and
-compared with their neighbours; matches are then extended to the left and to the right.
+a passage keep the same suffixes. The kept suffixes are brought together by the hash of their first words, and all
+windows of ``PASSAGE`` words around them are compared.
 """
 
 from __future__ import annotations
@@ -191,68 +191,47 @@ def _hot_matches(docs: DataFrame, nodes: DataFrame, hot: np.ndarray) -> DataFram
     return nodes.select("identity", "node").join(spans, "identity").select("node", F.explode(flagged).alias("s")).select("node", "s.*")
 
 
-def _common(a: list[str], b: list[str]) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
 def compare(group: list[tuple]) -> list[tuple[int, int, int, bool]]:
     """(node, start, end, removable) of the repeated passages among suffixes with the same first words.
 
-    ``group`` has (node, doc_id, place, left words, right words), sorted by the words to the right. Each suffix is compared with its
-    neighbours of other documents. If the words to the left hide a match from neighbours, it is found by the windows of
-    ``PASSAGE`` words that suffixes have in common. In a chain of matches all but the least doc_id are removable.
+    ``group`` has (node, doc_id, place, left words, right words). All windows of ``PASSAGE`` words around the places are
+    compared; those that several nodes have are repeated, and removable in all but the least doc_id. Consecutive ones
+    are joined.
     """
-    best: dict[int, tuple[int, int]] = {}  # words to the left and to the right
-    chain = list(range(len(group)))
-
-    def top(i: int) -> int:
-        while chain[i] != i:
-            chain[i] = chain[chain[i]]
-            i = chain[i]
-        return i
-
-    def match(i: int, j: int) -> None:
-        a, b = group[i], group[j]
-        right, left = _common(a[4], b[4]), _common(a[3][::-1], b[3][::-1])
-        if left + right >= PASSAGE:
-            for k in (i, j):
-                known = best.get(k, (0, 0))
-                best[k] = (max(left, known[0]), max(right, known[1]))
-            chain[top(i)] = top(j)
-
-    run, before = [0], None
-    for i in range(1, len(group)):
-        if group[i][0] == group[run[0]][0]:
-            if before is not None:
-                match(i, before)
-            run.append(i)
-        else:
-            for j in run:
-                match(i, j)
-            before, run = run[-1], [i]
-    if len(best) < len(group) and len(group) > 2:
-        seen: dict[str, int] = {}
-        for i, (node, _, _, left, right) in enumerate(group):
-            words = left + right
-            for at in range(max(0, len(words) - PASSAGE + 1)):
-                window = " ".join(words[at : at + PASSAGE])
-                j = seen.setdefault(window, i)
-                if group[j][0] != node and not (i in best and j in best):
-                    match(i, j)
-    least: dict[int, tuple] = {}
-    for i in best:
-        order = (group[i][1] is None, group[i][1], group[i][0])
-        least[top(i)] = min(least.get(top(i), order), order)
+    # numbers of sequences of words, by the number of the sequence without its last word, and that word
+    longer: dict[tuple[int, str], int] = {}
+
+    def prefixes(start: int, words: list[str]) -> list[int]:
+        numbers = [start]
+        for word in words:
+            numbers.append(longer.setdefault((numbers[-1], word), len(longer) + 2))
+        return numbers
+
+    holders: dict[tuple[int, int], list] = {}  # least order, first node, whether others have it
+    windows = []
+    for node, doc_id, _, left, right in group:
+        order = (doc_id is None, doc_id, node)
+        to_left, to_right = prefixes(0, left[::-1]), prefixes(1, right[:PASSAGE])
+        own = [(k, (to_left[k], to_right[PASSAGE - k])) for k in range(max(0, PASSAGE + 1 - len(to_right)), len(to_left))]
+        for _, window in own:
+            known = holders.setdefault(window, [order, node, False])
+            known[2] |= known[1] != node
+            known[0] = min(known[0], order)
+        windows.append(own)
     found = []
-    for i, (left, right) in best.items():
-        node, doc_id, place = group[i][:3]
-        found.append((node, place - left, place + right, (doc_id is None, doc_id, node) != least[top(i)]))
-    return found
+    for (node, doc_id, place, _, _), own in zip(group, windows):
+        order, last = (doc_id is None, doc_id, node), None
+        for k, window in own:
+            least, _, repeated = holders[window]
+            if not repeated:
+                continue
+            start, removable = place - k, least != order
+            if last and last[1] == start + 1 and last[3] == removable:
+                last[1] = start
+            else:
+                last = [node, start, start + PASSAGE, removable]
+                found.append(last)
+    return [tuple(f) for f in found]
 
 
 def _matches(contexts: DataFrame) -> DataFrame:
@@ -279,7 +258,7 @@ def _matches(contexts: DataFrame) -> DataFrame:
         out += compare(group) if len(group) > 1 else []
         yield emitted(out)
 
-    ordered = contexts.repartition("block").sortWithinPartitions("block", "right", "node", "place")
+    ordered = contexts.repartition("block").sortWithinPartitions("block")
     return ordered.mapInArrow(run, "node bigint, start bigint, end bigint, removable boolean")
 
 
@@ -306,10 +285,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Words are runs of other characters than ASCII white space, A-Z in lower case. Repeats within one document do not
     count.
 
-    Documents with the same words throughout are merged first; all but the least doc_id are removable as a whole. A span
-    reaches as far as a neighbour in the sorted order agrees, within ``WINDOW`` words left and ``PASSAGE`` words right of a
-    kept suffix; spans of one document are joined. Of first words that more than ``GROUP`` suffixes have, all windows of
-    ``PASSAGE`` words are looked up by digest among all documents; the least doc_id of each window keeps it.
+    Documents with the same words throughout are merged first; all but the least doc_id are removable as a whole. Else a span
+    is made of windows of ``PASSAGE`` words that another document has, and the least doc_id of each window keeps it; spans
+    of one document are joined. Windows are compared word by word among suffixes with the same first words, or by digest
+    where more than ``GROUP`` suffixes have these.
 
     Null and empty texts and texts of fewer words: no row. Repeated rows are copies of each other. Null doc_ids come
     last. Empty table: no rows. Other columns are ignored.

@@ -98,6 +98,51 @@ def test_match_hidden_by_a_neighbour():
     assert sorted(compare(group)) == [(1, 74, 129, False), (3, 74, 129, True)]
 
 
+def test_nested_passages():
+    r, more = [f"r{i}" for i in range(50)], [f"m{i}" for i in range(20)]
+    # A and C share 20 words more to the left than B
+    group = [(1, 1, 70, ["a", *more], r), (2, 2, 70, ["b"], r), (3, 3, 70, ["c", *more], r)]
+    assert covered(compare(group)) == {(1, False): {*range(50, 120)}, (2, True): {*range(70, 120)}, (3, True): {*range(50, 120)}}
+    # B and C share 20 words more to the right than A: B keeps these
+    group = [(n, n, 9, [], r + tail) for n, tail in ((1, ["a"]), (2, more), (3, more))]
+    group = [(n, d, p, ["x"] * 5 + [str(n)], right[: PASSAGE]) for n, d, p, _, right in group]
+    group += [(n, n, 29, r[:20][-WINDOW + 1 :], r[20:] + more) for n in (2, 3)]
+    got = covered(compare(group))
+    assert got[1, False] == {*range(9, 59)} and got[3, True] == {*range(9, 79)}
+    # two pairs with different words to the left, and the same 50 to the right
+    group = [(n, n, 70, [side], r) for n, side in ((1, "p"), (2, "p"), (3, "q"), (4, "q"))]
+    assert [n for n, removable in sorted(covered(compare(group))) if not removable and n > 2] == [3]
+
+
+def covered(found):
+    out = {}
+    for node, start, end, removable in found:
+        out.setdefault((node, removable), set()).update(range(start, end))
+    return out
+
+
+def test_hidden_pairs_are_chained(spark):
+    """Removable words are those of windows that a smaller doc_id has; repeated words are as in the brute force."""
+    rng = random.Random(12)
+
+    def own(n):
+        return [f"o{rng.randrange(10**9)}" for _ in range(n)]
+
+    common, sides, tails = own(52), [own(25) for _ in range(3)], [own(25) for _ in range(3)]
+    rows = []
+    for i in range(40):
+        rows.append((i, " ".join(own(20) + rng.choice(sides)[rng.choice([0, 9, 25]) :] + common + rng.choice(tails)[: rng.choice([0, 9, 25])] + own(20))))
+    assert result(spark, rows) == brute(rows)
+    first, wanted = {}, {}
+    for d, text in rows:
+        w = words_of(text)
+        for i in range(len(w) - PASSAGE + 1):
+            if first.setdefault(tuple(w[i : i + PASSAGE]), d) != d:
+                wanted.setdefault(d, set()).update(range(i, i + PASSAGE))
+    got = repeated_passages(spark.createDataFrame([(d, t, "x") for d, t in rows], FIELDS)).collect()
+    assert {r["doc_id"]: {k for s in r["removable"] for k in range(s["start"], s["end"])} for r in got if r["removable"]} == wanted
+
+
 def test_hot_first_words_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP", 20)
     rows = corpus(random.Random(9))
