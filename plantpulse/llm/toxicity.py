@@ -25,7 +25,7 @@ BEGINNINGS = (4, 5)
 #: Most training texts, toxic and others.
 TOXIC_TEXTS, OTHER_TEXTS = 4000, 12_000
 #: A term gets weights if so many training texts have it and its texts' labels differ so much from
-#: those of all texts, as a chi-squared statistic.
+#: those of all texts, as a chi-squared statistic, or if it tells something together with another term.
 LEAST_TEXTS = 3
 LEAST_CHI_SQUARED = 20.0
 
@@ -77,9 +77,54 @@ def telling(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.flatnonzero((seen >= LEAST_TEXTS) & (chi_squared >= LEAST_CHI_SQUARED))
 
 
+def meeting(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Buckets of the terms that say something about the label together with another one, beyond what each says alone.
+
+    Of each two terms the toxic among their common texts are held against the number that adding up the terms' own
+    log-odds makes likely, by a likelihood ratio. All pairs are tried: the ratio must be ``LEAST_CHI_SQUARED`` and twice the
+    logarithm of their number, which chance exceeds next to never. Terms too rare to reach this are left out before.
+    """
+    lowest = 0.01  # of expected shares
+    found = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+    seen = np.bincount(found, minlength=BUCKETS)
+    many = int((seen >= LEAST_TEXTS).sum())
+    limit = LEAST_CHI_SQUARED + 2 * np.log(max(1, many * (many - 1) // 2))
+    least = max(LEAST_TEXTS, int(np.ceil(limit / (-2 * np.log(lowest)))))
+    places = np.flatnonzero(seen >= least)
+    to_place = np.full(BUCKETS, -1)
+    to_place[places] = np.arange(len(places))
+    rows = [p[p >= 0] for p in (to_place[t] for t in texts)]
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    holders = owner[np.argsort(flat, kind="stable")]  # texts by term
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(places)))])
+    toxic = np.bincount(flat, labels[owner], len(places))
+    share = np.clip(labels.mean() if len(labels) else 0.5, lowest, 1 - lowest)
+    alone = (toxic + share) / (np.diff(cuts) + 1)
+    odds = np.log(alone / (1 - alone))
+    base = np.log(share / (1 - share))
+    chosen = np.zeros(len(places), bool)
+    for i in range(len(places)):
+        own = holders[cuts[i] : cuts[i + 1]]
+        n, x = np.zeros((2, len(places) - i - 1))
+        for label in (0.0, 1.0):
+            part = [r[np.searchsorted(r, i + 1) :] for r in (rows[k] for k in own[labels[own] == label])]
+            counts = np.bincount(np.concatenate(part) - i - 1, minlength=len(n)) if part else 0
+            n += counts
+            x += label * counts
+        others = np.flatnonzero(n >= least)
+        n, x = n[others], x[others]
+        p = np.clip(1 / (1 + np.exp(base - odds[i] - odds[others + i + 1])), lowest, 1 - lowest)
+        ratio = 2 * (x * np.log(np.maximum(x, 1) / (n * p)) + (n - x) * np.log(np.maximum(n - x, 1) / (n * (1 - p))))
+        strong = others[ratio >= limit] + i + 1
+        chosen[strong] = True
+        chosen[i] |= len(strong) > 0
+    return places[chosen]
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, steps: int = 1500, batch: int = 256) -> Machine:
-    """``steps`` of adaptive gradient descent on the log loss, with decay, over the telling terms."""
-    places = telling(texts, labels)  # training works on these alone
+    """``steps`` of adaptive gradient descent on the log loss, with decay, over the terms that tell something alone or with another."""
+    places = np.union1d(telling(texts, labels), meeting(texts, labels))  # training works on these alone
     to_place = np.full(BUCKETS, -1)
     to_place[places] = np.arange(len(places))
     rows = [p[p >= 0] for p in (to_place[t] for t in texts)]
