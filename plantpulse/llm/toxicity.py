@@ -96,7 +96,8 @@ def meeting(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     rows = [p[p >= 0] for p in (to_place[t] for t in texts)]
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    holders = owner[np.argsort(flat, kind="stable")]  # texts by term
+    where = np.argsort(flat, kind="stable")  # places in ``flat`` by term
+    ends = np.cumsum([len(r) for r in rows])
     cuts = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(places)))])
     toxic = np.bincount(flat, labels[owner], len(places))
     share = np.clip(labels.mean() if len(labels) else 0.5, lowest, 1 - lowest)
@@ -105,18 +106,20 @@ def meeting(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     base = np.log(share / (1 - share))
     chosen = np.zeros(len(places), bool)
     for i in range(len(places)):
-        own = holders[cuts[i] : cuts[i + 1]]
-        n, x = np.zeros((2, len(places) - i - 1))
+        own = where[cuts[i] : cuts[i + 1]]
+        n = x = np.zeros(len(places), np.int64)
         for label in (0.0, 1.0):
-            part = [r[np.searchsorted(r, i + 1) :] for r in (rows[k] for k in own[labels[own] == label])]
-            counts = np.bincount(np.concatenate(part) - i - 1, minlength=len(n)) if part else 0
-            n += counts
-            x += label * counts
+            held = own[labels[owner[own]] == label]
+            # terms are in order, so those after this one are the rest of the text
+            part = [flat[a:b] for a, b in zip((held + 1).tolist(), ends[owner[held]].tolist())]
+            if part:
+                counts = np.bincount(np.concatenate(part), minlength=len(places))
+                n, x = n + counts, counts if label else x
         others = np.flatnonzero(n >= least)
         n, x = n[others], x[others]
-        p = np.clip(1 / (1 + np.exp(base - odds[i] - odds[others + i + 1])), lowest, 1 - lowest)
+        p = np.clip(1 / (1 + np.exp(base - odds[i] - odds[others])), lowest, 1 - lowest)
         ratio = 2 * (x * np.log(np.maximum(x, 1) / (n * p)) + (n - x) * np.log(np.maximum(n - x, 1) / (n * (1 - p))))
-        strong = others[ratio >= limit] + i + 1
+        strong = others[ratio >= limit]
         chosen[strong] = True
         chosen[i] |= len(strong) > 0
     return places[chosen]
