@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plantpulse.llm.staging import staged
+
 # --- Fixed values: rules as (action, host, path), and suffixes of two labels. ---
 RULES = (
     ("block", "net", "/"),
@@ -90,17 +92,20 @@ def reputations(outcomes: DataFrame, policy: Policy = Policy()) -> DataFrame:
     Columns: host, n, bad, rate (posterior mean) and bound (posterior mean minus ``z`` standard
     deviations), rounded to nine places. Pages are summed per host before anything is shuffled;
     later levels work on one row per host. A host without labels takes its domain's prior; without any label
-    at all the rate is 1/2.
+    at all the rate is 1/2. Each level is staged (one row per host, suffix or domain): the plan of the next starts there,
+    so plans do not nest.
     """
     hosts = outcomes.groupBy("host").agg(
         F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("bigint")), F.lit(0)).alias("bad")
     ).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = staged(hosts, "url-hosts")
     total = hosts.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.5)))
     level = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     level = level.withColumn("parent_rate", total.scalar())
-    level = _shrunk(level, policy).select("suffix", F.col("rate").alias("parent_rate"))
+    level = staged(_shrunk(level, policy).select("suffix", F.col("rate").alias("parent_rate")), "url-suffixes")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     level = _shrunk(domains.join(level, "suffix"), policy).select("domain", F.col("rate").alias("parent_rate"))
+    level = staged(level, "url-domains")
     final = _shrunk(hosts.join(level, "domain"), policy)
     a, b = F.col("rate") * F.col("weight"), (1 - F.col("rate")) * F.col("weight")
     deviation = F.sqrt(a * b / (F.pow(F.col("weight"), F.lit(2.0)) * (F.col("weight") + 1)))

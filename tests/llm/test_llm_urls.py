@@ -66,3 +66,9 @@ def test_repeats_nulls_and_empty_tables(spark):
     assert len(rows) == 3 and {r["n_labels"] for r in rows} == {2}
     assert judge(pages.limit(0), labels).count() == 0
     assert {r["bad_rate"] for r in judge(pages, labels.limit(0)).collect()} == {0.5}
+
+
+def test_plan_does_not_nest_levels(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/", "x")], PAGES)
+    plan = judge(pages, spark.createDataFrame([(1, True)], OUTCOMES))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 60
