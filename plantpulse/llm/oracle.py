@@ -134,6 +134,25 @@ SELECT page_id, host, path, {_rule_case("text")} AS rule,
 FROM p JOIN r USING (host)
 """
 
+_HARD_NEGATIVES = """
+WITH e AS (
+  SELECT row_number() OVER () AS no, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.no, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id IS DISTINCT FROM b.vec_id),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY no ORDER BY score DESC, id NULLS LAST) AS place
+  FROM s WHERE same QUALIFY place <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+       row_number() OVER (PARTITION BY p.no, p.place ORDER BY s.score DESC, s.id NULLS LAST)::INTEGER AS rank,
+       s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.no = s.no AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -142,4 +161,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_jaccard_join": _JACCARD,
         "op7_warc_revisits": _WARC,
         "op9_url_reputation": _url_reputation(),
+        "op11_hard_negatives": _HARD_NEGATIVES,
     }

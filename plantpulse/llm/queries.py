@@ -11,6 +11,7 @@ from plantpulse.llm import (
     bpe,
     decontamination,
     exact_dedup,
+    hard_negatives,
     jaccard_join,
     language_id,
     line_dedup,
@@ -175,3 +176,11 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
     return url_reputation.judge(table(spark, sf_dir, "pages"), outcomes)
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors; labels of some are moved on first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
