@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from plantpulse.llm import (
     bpe,
+    chat_format,
+    conversation_repair,
     decontamination,
     exact_dedup,
     hard_negatives,
@@ -184,3 +186,21 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule and repaired at least cost."""
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.reports(conversation_repair.repairs(rows))
+
+
+@query
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that speaks in control strings, formatted and read back."""
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_format.summaries(chat_format.read_turns(chat_format.format_turns(rows)))

@@ -11,7 +11,7 @@ from plantpulse.llm.queries import queries
 
 
 def test_names():
-    assert [re.match(r"op(\d+)_", n)[1] for n in sorted(queries(), key=lambda n: int(re.match(r"op(\d+)", n)[1]))] == [str(n) for n in range(1, 11)]
+    assert [re.match(r"op(\d+)_", n)[1] for n in sorted(queries(), key=lambda n: int(re.match(r"op(\d+)", n)[1]))] == [str(n) for n in range(1, 14)]
     assert set(oracle_sql()) <= set(queries())
 
 
