@@ -29,10 +29,10 @@ from plantpulse.plans.jobs import (
     run_to_parquet,
 )
 from plantpulse.plans.publish import read_kpi_table
-from plantpulse.schemas import MANIFEST
+from plantpulse.schemas import MANIFEST, READING
 from plantpulse.session import use_utc, work_path
 from plantpulse.sinks.archive import archive_layout, write_chunks, write_snapshot
-from plantpulse.sinks.hot import open_hot, write_hot_batch
+from plantpulse.sinks.hot import compact_hot, delete_hot, hot_version, open_hot, write_hot_batch
 from plantpulse.sources import testdata as td
 from plantpulse.sources.dimensions import read_csv, read_json_records
 from plantpulse.sources.readings import (
@@ -401,6 +401,38 @@ def kpi_after_archive(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(table, "avg_reading")
 
 
+def _hundredth(raw: DataFrame) -> DataFrame:
+    return raw.where(F.col("_id").cast("bigint") % 100 == 0)
+
+
+@query
+def hot_snapshot_read(spark: SparkSession, sf: str) -> DataFrame:
+    """All readings as a version before a delete shows them, and whether the present one still has them."""
+    hot = _hot(spark, sf)
+    before = hot_version(spark, hot)
+    delete_hot(spark, hot, _hundredth(td.readings(spark, sf)), keep_minutes=60)
+    now = open_hot(spark, hot).select("_id", F.lit(True).alias("kept"))
+    old = open_hot(spark, hot, before).select(*READING.fieldNames()).join(now, "_id", "left")
+    return old.withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+@query
+def hot_merge_on_read(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left after a delete of every hundredth reading that wrote identities only."""
+    hot = _hot(spark, sf)
+    delete_hot(spark, hot, _hundredth(td.readings(spark, sf)))
+    return open_hot(spark, hot).select(*READING.fieldNames())
+
+
+@query
+def hot_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The same after the lists of deleted readings have been folded in."""
+    hot = _hot(spark, sf)
+    delete_hot(spark, hot, _hundredth(td.readings(spark, sf)))
+    compact_hot(spark, hot)
+    return open_hot(spark, hot).select(*READING.fieldNames())
+
+
 @query
 def dim_csv_load(spark: SparkSession, sf: str) -> DataFrame:
     """The machine table written as CSV with a header and loaded."""

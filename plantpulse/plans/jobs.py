@@ -29,9 +29,9 @@ from plantpulse.operators.retention import SizePolicy, age_cutoff, newest_cutoff
 from plantpulse.sinks.archive import append_archive, manifest, write_chunks, write_manifest, write_snapshot
 from plantpulse.schemas import READING
 from plantpulse.session import scratch
-from plantpulse.sinks.hot import ReconcileError, delete_hot, hot_hours, open_hot, write_hot_batch
+from plantpulse.sinks.hot import READERS_MINUTES, ReconcileError, delete_hot, hot_bytes, hot_hours, open_hot, write_hot_batch
 from plantpulse.sinks.tables import in_same_partitions, replace_partitions, upsert
-from plantpulse.sources.readings import read_ndjson, store_bytes, unique_readings, with_archived
+from plantpulse.sources.readings import read_ndjson, unique_readings, with_archived
 from plantpulse.streaming.live import (
     ALERT_TABLE_PARTITIONS,
     CADENCE,
@@ -221,7 +221,7 @@ def live_kpi(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        write_hot_batch(batch, hot, f"{name}-{number}")
+        write_hot_batch(batch, hot, f"{name}-{number}", keep_minutes=READERS_MINUTES)
         update_minute_kpi(batch.sparkSession, hot, dims, out, batch, **options)
 
     return start(raw.writeStream.outputMode("append").foreachBatch(write), checkpoint, cadence)
@@ -303,7 +303,7 @@ def run_size_archive(
     stored = _recorded(spark, archive, run_id, "stored")
     resumed = stored is not None
     if not resumed:
-        (size,) = store_bytes(spark, hot).select("bytes").first()
+        size = hot_bytes(spark, hot)
         if not policy.due(size):
             return ArchiveResult(False, "below_threshold", size_bytes=size)
         readings = open_hot(spark, hot)
@@ -387,7 +387,7 @@ def _delete_stored(spark: SparkSession, hot: str, stored: ArchiveResult, resumed
     """Delete what a run has stored. A first attempt must find as many rows as were written; a later one
     deletes what an earlier one has left."""
     expected = None if resumed else stored.docs_archived
-    deleted = delete_hot(spark, hot, read_ndjson(spark, stored.files), expected)
+    deleted = delete_hot(spark, hot, read_ndjson(spark, stored.files), expected, keep_minutes=READERS_MINUTES)
     if not resumed:
         reconcile(stored.docs_archived, stored.docs_archived, deleted)
     return replace(stored, docs_deleted=stored.docs_archived)

@@ -300,6 +300,9 @@ SELECT count(*) AS docs_archived, count(*) AS docs_deleted, CAST(0 AS BIGINT) AS
        (SELECT count(*) FROM readings) - count(*) AS hot_rows
 FROM readings WHERE event_timestamp < strftime(TIMESTAMP '{td.AS_OF}' - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S')"""),
         "kpi_after_archive": minute_kpi,
+        "hot_snapshot_read": _sql("SELECT r.*, CAST(_id AS BIGINT) % 100 <> 0 AS kept FROM (" + f"{_RAW} readings" + ") r"),
+        "hot_merge_on_read": _sql(f"{_RAW} readings WHERE CAST(_id AS BIGINT) % 100 <> 0"),
+        "hot_compacted": _sql(f"{_RAW} readings WHERE CAST(_id AS BIGINT) % 100 <> 0"),
         "dim_csv_load": _sql("SELECT machine_id, factory_id, line_name, criticality FROM dim_machine"),
         "dim_json_load": _sql("SELECT product_id, category, brand FROM dim_product"),
         "store_size": _sql("""

@@ -66,14 +66,6 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def remove_if_empty(spark: SparkSession, path: str) -> None:
-    """Delete a folder that holds nothing."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(target) and not len(files.listStatus(target)):
-        files.delete(target, True)
-
-
 @contextmanager
 def scratch(spark: SparkSession, label: str) -> Iterator[str]:
     """A work path that is deleted at the end, also after a failure."""

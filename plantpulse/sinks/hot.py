@@ -1,105 +1,316 @@
 """The hot store as files: raw readings by day and hour of event time and by ingest batch.
 
-The batch is part of the layout for two reasons: a batch delivered again replaces exactly its own
-files, and deleting archived readings rewrites only files of finished batches, never those of a
-batch that arrives meanwhile.
+Every write makes folders of its own, ``event_date=/event_hour=/write=``; which of them count is said by (see ``sinks.versions``). So a batch delivered again replaces itself, readers see a write or a delete as a whole
+or not at all, and writers do not disturb each other. Deleting readings drops folders that lose all rows and
+notes the identities that others lose; reads leave those out until ``compact_hot`` folds them in.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Callable
 from datetime import datetime
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DateType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType
 
 from plantpulse.functions.timing import RAW_TIME, parse_event_time
-from plantpulse.operators.lookup import only_identities, without_identities
+from plantpulse.operators.lookup import only_identities
 from plantpulse.schemas import READING
-from plantpulse.session import remove_if_empty, remove_path, scratch
-from plantpulse.sinks.tables import in_same_partitions, replace_partitions
-from plantpulse.sources.readings import HOT_PARTITIONS, time_span
-
-#: ``emptied`` is set only in rows that stand for a partition without readings.
-HOT_SCHEMA = StructType(
-    [
-        *READING.fields,
-        StructField("emptied", BooleanType()),
-        StructField("event_date", DateType()),
-        StructField("event_hour", IntegerType()),
-        StructField("ingest_batch", StringType()),
-    ]
+from plantpulse.session import scratch
+from plantpulse.sinks import versions
+from plantpulse.sinks.tables import replace_partitions
+from plantpulse.sinks.versions import Conflict, Folder, Version
+from plantpulse.sources.readings import HOT_PARTITIONS, LISTED_HOURS, time_span
+
+#: Folder level and column that tells writes apart.
+WRITE = "write"
+_PLACE = [StructField("event_date", DateType()), StructField("event_hour", IntegerType())]
+HOT_SCHEMA = StructType([*READING.fields, StructField("ingest_batch", StringType()), *_PLACE, StructField(WRITE, StringType())])
+#: Deleted readings: identity, and the write that holds them. ``write`` is that of the list itself.
+GONE_SCHEMA = StructType(
+    [StructField("_id", StringType()), StructField("holder", StringType()), *_PLACE, StructField(WRITE, StringType())]
 )
+_GONE = "_gone"
+_LEVELS = ("event_date", "event_hour", WRITE)
+#: How long jobs and streams leave replaced files to those who read them.
+READERS_MINUTES = 60
+#: Steps of either axis of the curve that compacted rows follow; a power of two.
+CURVE = 256
+
+
+Change = tuple[list[Folder], list[Folder], list[Folder]]
 
 
-def write_hot_batch(raw: DataFrame, path: str, batch: str) -> None:
-    """Store one batch of raw readings; a batch of the same name replaces the earlier one."""
+def write_hot_batch(raw: DataFrame, path: str, batch: str, *, keep_minutes: float = 0) -> None:
+    """Store one batch of raw readings; a batch of the same name replaces the earlier one, all or nothing.
+
+    ``keep_minutes``: how long replaced files stay for those who read them. Should the earlier one have been compacted
+    together with others, those folders are rewritten without it.
+    """
+    spark = raw.sparkSession
     ts = parse_event_time(RAW_TIME)
     rows = raw.select(
         *READING.fieldNames(),
-        F.lit(None).cast("boolean").alias("emptied"),
+        F.lit(batch).alias("ingest_batch"),
         F.to_date(ts).alias("event_date"),
         F.hour(ts).alias("event_hour"),
-        F.lit(batch).alias("ingest_batch"),
     )
-    replace_partitions(rows, path, HOT_PARTITIONS)
+    added = _written(spark, rows, path, lambda place: (batch,))
+
+    def change(base: Version) -> Change:
+        same = [f for f in base.rows() if batch in f.batches]
+        mixed = [f for f in same if f.batches != (batch,)]
+        return added + _rewritten(spark, path, base, mixed, without=batch), same, []
+
+    _commit(spark, path, change, keep_minutes, batch)
+
+
+def open_hot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Readings of the hot store, with its partition columns; of the present version, or of an earlier one that is kept."""
+    found = versions.version(spark, path, version)
+    if found is None:
+        return spark.read.schema(HOT_SCHEMA).parquet(path).drop(WRITE)  # says that nothing is there
+    return _rows(spark, path, found, found.rows()).drop(WRITE)
+
 
+def hot_version(spark: SparkSession, path: str) -> int | None:
+    """Number of the present version."""
+    found = versions.numbers(spark, path)
+    return found[-1] if found else None
 
-def open_hot(spark: SparkSession, path: str) -> DataFrame:
-    """Readings of the hot store, with its partition columns."""
-    return spark.read.schema(HOT_SCHEMA).parquet(path).where(F.col("emptied").isNull()).drop("emptied")
+
+def hot_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the files that count, from the version alone: nothing is listed or opened."""
+    found = versions.version(spark, path)
+    return sum(f.bytes for f in found.folders) if found else 0
 
 
 class ReconcileError(RuntimeError):
     """Written, archived and deleted counts of a run differ."""
 
 
-def delete_hot(spark: SparkSession, path: str, archived: DataFrame, expected: int | None = None) -> int:
-    """Delete the readings whose identity is in ``archived`` (raw schema, safely stored).
+def delete_hot(
+    spark: SparkSession, path: str, archived: DataFrame, expected: int | None = None, *, keep_minutes: float = 0
+) -> int:
+    """Delete the readings whose identity is in ``archived`` (raw schema, safely stored), all or nothing.
 
     Returns how many rows were deleted; if that would not be ``expected``, nothing is deleted and
-    ReconcileError raised. Only hours with archived readings are read, and only partitions that lose rows
-    are rewritten, from a copy of what stays in them below the shared folder. A dynamic overwrite leaves a
-    partition alone that gets no rows, so each rewritten one also gets an ``emptied`` row, which ``open_hot``
-    skips; partitions with nothing else are then removed.
+    ReconcileError raised. Only hours with archived readings are read, and of them only identities. No reading is
+    rewritten: folders that lose all their rows are dropped, for others the lost identities are written.
     """
     with scratch(spark, "hot-delete") as staged:
         times = archived.select("_id", parse_event_time(RAW_TIME).alias("ts"))
         times.write.parquet(f"{staged}/ids")
         ids = spark.read.schema(times.schema).parquet(f"{staged}/ids")
-        hot = open_hot(spark, path).where(_hours_of(time_span(ids, "ts")))
-
-        hits = only_identities(hot.select("_id", *HOT_PARTITIONS), ids)
-        counts = hits.groupBy(*HOT_PARTITIONS).agg(F.count(F.lit(1)).alias("deleted"))
-        counts.write.parquet(f"{staged}/losing")
-        losing = spark.read.schema(counts.schema).parquet(f"{staged}/losing")
-        deleted = losing.agg(F.coalesce(F.sum("deleted"), F.lit(0))).first()[0]
-        if expected is not None and deleted != expected:
-            raise ReconcileError(f"expected={expected} found={deleted}; nothing deleted")
-
-        kept = without_identities(in_same_partitions(hot, losing, HOT_PARTITIONS), ids)
-        kept.write.parquet(f"{staged}/kept")
-        marks = losing.select(*HOT_PARTITIONS, F.lit(True).alias("emptied"))
-        stays = spark.read.schema(kept.schema).parquet(f"{staged}/kept")
-        rewritten = stays.unionByName(marks, allowMissingColumns=True).select(*HOT_SCHEMA.fieldNames())
-        replace_partitions(rewritten, path, HOT_PARTITIONS)
-        _remove_emptied(spark, path, losing)
-    return deleted
-
-
-def _remove_emptied(spark: SparkSession, path: str, losing: DataFrame) -> None:
-    """Remove the folders of those partitions in ``losing`` that have no readings left."""
-    folder = F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1)
-    stored = spark.read.schema(HOT_SCHEMA).parquet(path).select("*", folder.alias("folder"))
-    stored = in_same_partitions(stored, losing, HOT_PARTITIONS)
-    empty = stored.groupBy("folder").agg(F.count_if(F.col("emptied").isNull()).alias("n")).where("n = 0")
-    for row in empty.select("folder").toLocalIterator():  # one row per folder, never a reading
-        folder = unquote(row["folder"])
-        remove_path(spark, folder)
-        for _ in HOT_PARTITIONS[1:]:  # the hour's and the day's folder
-            folder = folder.rpartition("/")[0]
-            remove_if_empty(spark, folder)
+        hours = _hours_of(ids)
+        ids = ids.where("_id IS NOT NULL").select("_id").distinct()
+        deleted = 0
+
+        def change(base: Version) -> Change:
+            nonlocal deleted
+            stored = _rows(spark, path, base, base.rows()).where(hours).select("_id", "event_date", "event_hour", WRITE)
+            hits = stored.join(ids.withColumn("hit", F.lit(1)), "_id", "left")
+            counts = hits.groupBy("event_date", "event_hour", WRITE).agg(
+                F.count("hit").alias("lost"), F.count(F.lit(1)).alias("held")
+            )
+            losing = {}
+            for r in counts.where("lost > 0").collect():  # a row per folder
+                day = None if r["event_date"] is None else str(r["event_date"])
+                losing[r[WRITE], day, r["event_hour"]] = r
+            deleted = sum(r["lost"] for r in losing.values())
+            if expected is not None and deleted != expected:
+                raise ReconcileError(f"expected={expected} found={deleted}; nothing deleted")
+            touched = [(f, losing[f.write, *f.place]) for f in base.rows() if (f.write, *f.place) in losing]
+            emptied = [f for f, r in touched if r["lost"] == r["held"]]
+            partly = [f for f, r in touched if r["lost"] < r["held"]]
+            return _noted(spark, path, base, partly, ids), emptied, partly
+
+        _commit(spark, path, change, keep_minutes)
+        return deleted
+
+
+def compact_hot(
+    spark: SparkSession,
+    path: str,
+    *,
+    before: datetime | None = None,
+    most_files: int = 4,
+    file_bytes: int = 128 << 20,
+    keep_minutes: float = 0,
+) -> int:
+    """Rewrite hours that have more than ``most_files`` files, or lists of deleted readings, into few files of about
+    ``file_bytes``; returns how many.
+
+    ``before``: only hours that ended by then, to leave hours alone that are still filling. Rows follow a curve through
+    machine and time (bits of both in turn), so that files and row groups can be skipped for either. Readers
+    and writers go on meanwhile: a batch that arrives is not touched, and if one of the hours changes the work is
+    done again.
+    """
+    done = 0
+
+    def change(base: Version) -> Change:
+        nonlocal done
+        places: dict[tuple, list[Folder]] = {}
+        for f in base.folders:
+            places.setdefault(f.place, []).append(f)
+        picked = []
+        for (day, hour), folders in places.items():
+            over = before is None or day is None or datetime.fromisoformat(f"{day}T{hour:02d}:59:59") < before
+            rows = [f for f in folders if f.kind == "rows"]
+            # a large hour that was cut has a file or two more than its size calls for
+            many = sum(f.files for f in rows) > max(most_files, 2 * sum(f.bytes for f in rows) // file_bytes + 1)
+            if over and (many or any(f.kind == "gone" for f in folders)):
+                picked += folders
+        done = len({f.place for f in picked})
+        rows = [f for f in picked if f.kind == "rows"]
+        return _rewritten(spark, path, base, rows, file_bytes=file_bytes), picked, []
+
+    _commit(spark, path, change, keep_minutes)
+    return done
+
+
+def sweep_hot(spark: SparkSession, path: str, hours: float = 24) -> int:
+    """Delete folders that writers left which died before they published; younger ones than ``hours`` stay."""
+    return sum(versions.sweep(spark, path, f"{root}event_date=*/event_hour=*/{WRITE}=*", hours) for root in ("", f"{_GONE}/"))
+
+
+def _commit(
+    spark: SparkSession,
+    path: str,
+    change: Callable[[Version], Change],
+    keep_minutes: float,
+    batch: str | None = None,
+) -> None:
+    """Publish what ``change`` makes of the present version: (folders to add, to drop, that must not be replaced)."""
+    for _ in range(versions.TRIES):
+        base = versions.version(spark, path) or Version(-1, ())
+        add, drop, needs = change(base)
+        try:
+            if add or drop or base.number < 0:
+                versions.commit(spark, path, base, add, drop, needs, batch)
+        except Conflict:
+            continue
+        versions.expire(spark, path, keep_minutes)
+        return
+    raise Conflict(f"overtaken {versions.TRIES} times")
+
+
+def _read(spark: SparkSession, root: str, schema: StructType, folders: list[Folder], prefix: str = "") -> DataFrame:
+    paths = [f"{root.rstrip('/')}/{f.path}" for f in folders]
+    found = spark.read.schema(schema).option("basePath", f"{root.rstrip('/')}/{prefix}").parquet(*paths)
+    return found.select(*schema.fieldNames())
+
+
+def _rows(spark: SparkSession, path: str, base: Version, folders: list[Folder]) -> DataFrame:
+    """Readings in ``folders``, without deleted ones; only folders that have lost some are joined with the lists."""
+    columns = [*READING.fieldNames(), *HOT_PARTITIONS, WRITE]
+    if not folders:
+        return spark.createDataFrame([], HOT_SCHEMA).select(*columns)
+    lists = [g for g in base.gone() if any(f.place == g.place and f.write in g.batches for f in folders)]
+    holders = {(g.place, w) for g in lists for w in g.batches}
+    whole = [f for f in folders if (f.place, f.write) not in holders]
+    losing = [f for f in folders if (f.place, f.write) in holders]
+    parts = [_read(spark, path, HOT_SCHEMA, whole)] if whole else []
+    if losing:
+        rows, gone = _read(spark, path, HOT_SCHEMA, losing), _read(spark, path, GONE_SCHEMA, lists, f"{_GONE}/")
+        same = (rows["_id"] == gone["_id"]) & (rows[WRITE] == gone["holder"])
+        for c in ("event_date", "event_hour"):
+            same = same & rows[c].eqNullSafe(gone[c])
+        parts.append(rows.join(gone, same, "left_anti"))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return found.select(*columns)
+
+
+def _folders(
+    spark: SparkSession, path: str, kind: str, prefix: str, write: str, batches: Callable[[tuple], tuple[str, ...]]
+) -> list[Folder]:
+    """What a write has made."""
+    found = []
+    for made in versions.written(spark, path, f"{prefix}event_date=*/event_hour=*/{WRITE}={write}"):
+        day, hour = re.search(r"event_date=([^/]*)/event_hour=([^/]*)/", made).groups()
+        place = (day, int(hour)) if hour.isdigit() else (None, None)
+        size, files = versions.measured(spark, path, made)
+        found.append(Folder(kind, made, *place, batches(place), write, size, files))
+    return found
+
+
+def _written(spark: SparkSession, rows: DataFrame, path: str, batches: Callable[[tuple], tuple[str, ...]]) -> list[Folder]:
+    write = versions.new_write()
+    replace_partitions(rows.withColumn(WRITE, F.lit(write)), path, _LEVELS)
+    return _folders(spark, path, "rows", "", write, batches)
+
+
+def _noted(spark: SparkSession, path: str, base: Version, folders: list[Folder], ids: DataFrame) -> list[Folder]:
+    """Lists of those identities in ``folders`` that are among ``ids``."""
+    if not folders:
+        return []
+    lost = only_identities(_rows(spark, path, base, folders).select("_id", "event_date", "event_hour", WRITE), ids)
+    write = versions.new_write()
+    rows = lost.select("_id", F.col(WRITE).alias("holder"), "event_date", "event_hour", F.lit(write).alias(WRITE))
+    replace_partitions(rows, f"{path.rstrip('/')}/{_GONE}", _LEVELS)
+    holders = lambda place: tuple(sorted(f.write for f in folders if f.place == place))
+    return _folders(spark, path, "gone", f"{_GONE}/", write, holders)
+
+
+def _rewritten(
+    spark: SparkSession, path: str, base: Version, folders: list[Folder], *, without: str | None = None, file_bytes: int = 128 << 20
+) -> list[Folder]:
+    """The rows of ``folders`` (but those of batch ``without``) anew, in order of the curve.
+
+    Hours below ``file_bytes`` become one file each; larger ones are cut along the curve, at places Spark samples.
+    """
+    sizes: dict[tuple, int] = {}
+    for f in folders:
+        sizes[f.place] = sizes.get(f.place, 0) + f.bytes
+    made = []
+    for large in (False, True):
+        part = [f for f in folders if (sizes[f.place] > file_bytes) == large]
+        if not part:
+            continue
+        rows = _rows(spark, path, base, part).drop(WRITE)
+        if without is not None:
+            rows = rows.where(F.col("ingest_batch") != without)
+        write = versions.new_write()
+        placed = _on_curve(rows.withColumn(WRITE, F.lit(write)))
+        places = {f.place for f in part}
+        if large:
+            cuts = sum(math.ceil(sizes[p] / file_bytes) for p in places)
+            placed = placed.repartitionByRange(cuts, "event_date", "event_hour", "_curve")
+        else:
+            placed = placed.repartition(len(places), "event_date", "event_hour")
+        ordered = placed.sortWithinPartitions(*_LEVELS, "_curve").select(*HOT_SCHEMA.fieldNames())
+        writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*_LEVELS).parquet(path)
+
+        def batches(place: tuple) -> tuple[str, ...]:
+            return tuple(sorted({b for f in folders if f.place == place for b in f.batches} - {without}))
+
+        made += _folders(spark, path, "rows", "", write, batches)
+    return made
+
+
+def _on_curve(rows: DataFrame) -> DataFrame:
+    """Adds ``_curve``: bits of machine and of time within the hour in turn, so that near places are near in both.
+
+    Machines are numbered by ranges of their names, dealt by Spark's range partitioning over distinct names; a
+    machine with a third of all readings takes one number, time still splits it.
+    """
+    names = rows.select("machine_id").distinct().repartitionByRange(CURVE, "machine_id")
+    names = names.select(F.col("machine_id").alias("_name"), F.spark_partition_id().alias("_x"))
+    (last,) = names.agg(F.max("_x")).first()  # few machines take few numbers: spread them over the axis
+    names = names.withColumn("_x", F.floor(F.col("_x") * CURVE / ((last or 0) + 1)).cast("int"))
+    ts = parse_event_time(RAW_TIME)
+    second = F.coalesce(F.minute(ts) * 60 + F.second(ts), F.lit(0))
+    y = F.floor(second * CURVE / 3600).cast("int")
+    joined = rows.join(names, rows["machine_id"].eqNullSafe(names["_name"])).withColumn("_y", y)
+    place = F.lit(0)
+    for bit in range(CURVE.bit_length() - 1):
+        for axis, shift in (("_y", 2 * bit), ("_x", 2 * bit + 1)):
+            place = place + F.shiftleft(F.shiftright(axis, bit).bitwiseAND(F.lit(1)), shift)
+    return joined.withColumn("_curve", place).drop("_name", "_x", "_y")
 
 
 def hot_hours(first: datetime | None = None, last: datetime | None = None) -> Column:
@@ -114,5 +325,12 @@ def hot_hours(first: datetime | None = None, last: datetime | None = None) -> Co
     return F.col("event_date").isNull() | keep
 
 
-def _hours_of(span: tuple[datetime, datetime] | None) -> Column:
-    return F.col("event_date").isNull() if span is None else hot_hours(*span)
+def _hours_of(ids: DataFrame) -> Column:
+    """Partitions of the hours in ``ids`` (_id, ts), listed one by one up to ``LISTED_HOURS``, and that of unparsed times."""
+    hour = F.date_format("ts", "yyyyMMddHH").cast("bigint").alias("hour")
+    found = ids.select(hour).where("hour IS NOT NULL").distinct().limit(LISTED_HOURS + 1).collect()
+    if len(found) > LISTED_HOURS:
+        return hot_hours(*time_span(ids, "ts"))
+    day = F.year("event_date") * 10_000 + F.month("event_date") * 100 + F.dayofmonth("event_date")
+    place = day.cast("bigint") * 100 + F.col("event_hour")
+    return F.col("event_date").isNull() | place.isin([r["hour"] for r in found])

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from plantpulse.constants import KPI_KEYS
 from plantpulse.functions.timing import EVENT_TIME
 from plantpulse.operators.kpi import KPI_MINUTE, minute_kpi
-from plantpulse.sinks.hot import write_hot_batch
+from plantpulse.sinks.hot import READERS_MINUTES, write_hot_batch
 from plantpulse.sinks.tables import upsert
 
 #: How far behind the newest event a reading may arrive and still count in the stream. Later ones
@@ -89,7 +89,7 @@ def store_stream(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        write_hot_batch(batch, path, f"{name}-{number}")
+        write_hot_batch(batch, path, f"{name}-{number}", keep_minutes=READERS_MINUTES)
 
     return start(raw.writeStream.outputMode("append").foreachBatch(write), checkpoint, cadence)
 
