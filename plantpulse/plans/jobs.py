@@ -30,7 +30,7 @@ from plantpulse.sinks.archive import append_archive, manifest, write_chunks, wri
 from plantpulse.schemas import READING
 from plantpulse.session import scratch
 from plantpulse.sinks.hot import READERS_MINUTES, ReconcileError, delete_hot, hot_bytes, hot_hours, open_hot, write_hot_batch
-from plantpulse.sinks.tables import in_same_partitions, replace_partitions, upsert
+from plantpulse.sinks.tables import in_same_partitions, swap_partitions, upsert
 from plantpulse.sources.readings import read_ndjson, unique_readings, with_archived
 from plantpulse.streaming.live import (
     ALERT_TABLE_PARTITIONS,
@@ -234,7 +234,7 @@ def run_daily(raw: DataFrame, out: str, archived: DataFrame | None = None) -> No
     """
     day = F.to_date(parse_event_time(RAW_TIME))
     rows = daily_machine(conform_readings(with_archived(raw, archived, day), normalise=False))
-    replace_partitions(rows, f"{out}/daily_machine", ("event_date",))
+    swap_partitions(rows, f"{out}/daily_machine", ("event_date",))
 
 
 @dataclass(frozen=True)
