@@ -141,6 +141,50 @@ def minute_kpi(
     return kpi
 
 
+#: Grain of ``kpi_partials``: a machine has one factory, which is joined when KPIs are read from them.
+PARTIAL_KEYS = (KPI_MINUTE, *(k for k in KPI_KEYS if k != "factory_id"))
+_MERGES = {
+    "n": F.sum, "n_value": F.sum, "total": F.sum, "least": F.min, "greatest": F.max,
+    "planned": F.sum, "unplanned": F.sum, "alerts": F.sum,
+}
+
+
+def kpi_partials(limited: DataFrame) -> DataFrame:
+    """Sums, counts and extremes per minute, machine, product, operator and sensor type, which can be added up later."""
+    value = F.col("reading_value")
+    down, planned = F.col("is_downtime"), F.col("planned_downtime")
+    return limited.where(F.col(MINUTE).isNotNull()).groupBy(F.col(MINUTE).alias(KPI_MINUTE), *PARTIAL_KEYS[1:]).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(value).alias("n_value"),
+        F.sum(value).alias("total"),
+        F.min(value).alias("least"),
+        F.max(value).alias("greatest"),
+        F.count_if(down & planned).alias("planned"),
+        F.count_if(down & ~planned).alias("unplanned"),
+        F.count_if(breached()).alias("alerts"),
+    )
+
+
+def merged_partials(partials: DataFrame) -> DataFrame:
+    """Partials of the same minute and keys as one row."""
+    return partials.groupBy(*PARTIAL_KEYS).agg(*[f(c).alias(c) for c, f in _MERGES.items()])
+
+
+def kpi_from_partials(partials: DataFrame, machines: DataFrame, *, broadcast: bool | None = None) -> DataFrame:
+    """``minute_kpi`` of the readings that merged ``partials`` were made from."""
+    return with_factories(partials, machines, broadcast=broadcast).select(
+        KPI_MINUTE,
+        *KPI_KEYS,
+        F.try_divide("total", "n_value").alias("avg_reading"),
+        F.col("greatest").alias("max_reading"),
+        F.col("least").alias("min_reading"),
+        F.col("n").alias("num_events"),
+        F.col("planned").cast("int").alias("planned_downtime_sec"),
+        F.col("unplanned").cast("int").alias("unplanned_downtime_sec"),
+        F.col("alerts").alias("num_alerts"),
+    )
+
+
 def alerts_per_minute(alerts: DataFrame) -> DataFrame:
     """Alert rows per minute and KPI key."""
     minute = F.date_trunc("minute", "alert_time_utc").alias(KPI_MINUTE)

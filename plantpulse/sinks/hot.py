@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,7 +59,7 @@ def write_hot_batch(raw: DataFrame, path: str, batch: str, *, keep_minutes: floa
         F.to_date(ts).alias("event_date"),
         F.hour(ts).alias("event_hour"),
     )
-    added = _written(spark, rows, path, lambda place: (batch,))
+    added = _written(spark, rows, path, batch)
 
     def change(base: Version) -> Change:
         same = [f for f in base.rows() if batch in f.batches]
@@ -82,6 +83,11 @@ def hot_version(spark: SparkSession, path: str) -> int | None:
     return found[-1] if found else None
 
 
+def hot_rows(spark: SparkSession, path: str, base: Version, folders: list[Folder]) -> DataFrame:
+    """Readings of some of the folders of a version, with partition columns."""
+    return _rows(spark, path, base, folders).drop(WRITE)
+
+
 def hot_bytes(spark: SparkSession, path: str) -> int:
     """Size of the files that count, from the version alone: nothing is listed or opened."""
     found = versions.version(spark, path)
@@ -224,23 +230,21 @@ def _rows(spark: SparkSession, path: str, base: Version, folders: list[Folder])
     return found.select(*columns)
 
 
-def _folders(
-    spark: SparkSession, path: str, kind: str, prefix: str, write: str, batches: Callable[[tuple], tuple[str, ...]]
-) -> list[Folder]:
-    """What a write has made."""
+def _folders(spark: SparkSession, path: str, kind: str, prefix: str, write: str) -> list[Folder]:
+    """What a write has made; what it was made from is left to the caller."""
     found = []
     for made in versions.written(spark, path, f"{prefix}event_date=*/event_hour=*/{WRITE}={write}"):
         day, hour = re.search(r"event_date=([^/]*)/event_hour=([^/]*)/", made).groups()
         place = (day, int(hour)) if hour.isdigit() else (None, None)
         size, files = versions.measured(spark, path, made)
-        found.append(Folder(kind, made, *place, batches(place), write, size, files))
+        found.append(Folder(kind, made, *place, (), (), write, size, files))
     return found
 
 
-def _written(spark: SparkSession, rows: DataFrame, path: str, batches: Callable[[tuple], tuple[str, ...]]) -> list[Folder]:
+def _written(spark: SparkSession, rows: DataFrame, path: str, batch: str) -> list[Folder]:
     write = versions.new_write()
     replace_partitions(rows.withColumn(WRITE, F.lit(write)), path, _LEVELS)
-    return _folders(spark, path, "rows", "", write, batches)
+    return [replace(f, batches=(batch,), sources=((write, batch),)) for f in _folders(spark, path, "rows", "", write)]
 
 
 def _noted(spark: SparkSession, path: str, base: Version, folders: list[Folder], ids: DataFrame) -> list[Folder]:
@@ -251,8 +255,8 @@ def _noted(spark: SparkSession, path: str, base: Version, folders: list[Folder],
     write = versions.new_write()
     rows = lost.select("_id", F.col(WRITE).alias("holder"), "event_date", "event_hour", F.lit(write).alias(WRITE))
     replace_partitions(rows, f"{path.rstrip('/')}/{_GONE}", _LEVELS)
-    holders = lambda place: tuple(sorted(f.write for f in folders if f.place == place))
-    return _folders(spark, path, "gone", f"{_GONE}/", write, holders)
+    made = _folders(spark, path, "gone", f"{_GONE}/", write)
+    return [replace(g, batches=tuple(sorted(f.write for f in folders if f.place == g.place))) for g in made]
 
 
 def _rewritten(
@@ -284,11 +288,9 @@ def _rewritten(
         ordered = placed.sortWithinPartitions(*_LEVELS, "_curve").select(*HOT_SCHEMA.fieldNames())
         writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(*_LEVELS).parquet(path)
-
-        def batches(place: tuple) -> tuple[str, ...]:
-            return tuple(sorted({b for f in folders if f.place == place for b in f.batches} - {without}))
-
-        made += _folders(spark, path, "rows", "", write, batches)
+        for f in _folders(spark, path, "rows", "", write):
+            sources = sorted({s for old in part if old.place == f.place for s in old.sources if s[1] != without})
+            made.append(replace(f, batches=tuple(sorted({b for _, b in sources})), sources=tuple(sources)))
     return made
 
 

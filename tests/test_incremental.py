@@ -1,0 +1,165 @@
+"""Incremental KPIs against a full recompute, over deliveries, archive runs, compactions and failures."""
+
+import glob
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from plantpulse.plans import incremental, jobs
+from plantpulse.plans.incremental import run_incremental_kpi
+from plantpulse.operators.retention import SizePolicy
+from plantpulse.sinks import tables
+from plantpulse.sinks.hot import compact_hot, delete_hot, open_hot, write_hot_batch
+from plantpulse.sources.readings import archived_readings
+
+AT = "2024-01-01 23:00:00"
+
+
+def some(make, first, last, hour=10):
+    return make(*(
+        {"_id": f"r{i:03d}", "machine_id": f"MAC{i % 4}", "reading_value": [float(i % 40), None, float("nan")][i % 9 % 4 if i % 9 < 3 else 0],
+         "event_timestamp": f"2024-01-01 {hour + i // 60:02d}:{i % 60:02d}:01", "operator_id": f"O{i % 2}" if i % 5 else None,
+         "product_id": i % 2, "is_downtime": i % 3 == 0, "planned_downtime": i % 6 == 0}
+        for i in range(first, last)
+    ))
+
+
+def table(spark, path, *drop):
+    df = spark.read.parquet(path).drop(*drop)
+    return sorted(map(repr, df.select([F.round(c, 6).alias(c) if c == "avg_reading" else c for c in sorted(df.columns)]).collect()))
+
+
+def full(spark, raw, dims, out, **options):
+    jobs.run_minute_kpi(spark, raw, dims, AT, out, **options)
+    return kpis(spark, out)
+
+
+def state_of(out):
+    return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{out}/**/*.parquet", recursive=True)}
+
+
+@pytest.fixture
+def places(tmp_path):
+    return str(tmp_path / "hot"), str(tmp_path / "out")
+
+
+def kpis(spark, out):
+    """KPIs, and alerts once each: a full run writes one per copy of a reading."""
+    return [table(spark, f"{out}/minute_kpi"), sorted(set(table(spark, f"{out}/alert_events")))]
+
+
+def test_batches_one_by_one_equal_a_full_run(spark, make, dims, places, tmp_path):
+    hot, out = places
+    for i, (lo, hi) in enumerate([(0, 50), (30, 90), (90, 150), (10, 20)]):  # hours meet, late readings, copies
+        write_hot_batch(some(make, lo, hi), hot, f"b-{i}")
+        run = run_incremental_kpi(spark, hot, dims, out)
+        assert run.batches == run.hours >= 1 and run.recomputed == 0
+        assert kpis(spark, out) == full(spark, open_hot(spark, hot), dims, str(tmp_path / f"full{i}"))
+    before = state_of(out)
+    assert run_incremental_kpi(spark, hot, dims, out).batches == 0
+    assert state_of(out) == before
+
+
+def test_only_new_folders_and_their_hours_are_read(spark, make, dims, places, monkeypatch):
+    hot, out = places
+    write_hot_batch(some(make, 0, 120), hot, "a")
+    run_incremental_kpi(spark, hot, dims, out)
+    old = state_of(out)
+    write_hot_batch(some(make, 120, 130), hot, "b")
+    seen = []
+    real = incremental.hot_rows
+    monkeypatch.setattr(incremental, "hot_rows", lambda s, p, v, folders: seen.extend(folders) or real(s, p, v, folders))
+    run = run_incremental_kpi(spark, hot, dims, out)
+    assert (run.batches, run.hours) == (1, 1) and {f.batches for f in seen} == {("b",)}
+    new = state_of(out)
+    assert all(new[f] == t for f, t in old.items())  # hours 10 and 11 are as they were
+
+
+def test_archive_runs_and_compactions_change_nothing(spark, make, dims, places, tmp_path):
+    hot, out = places
+    for i in range(6):
+        write_hot_batch(some(make, 20 * i, 20 * i + 20), hot, f"b-{i}")
+    run_incremental_kpi(spark, hot, dims, out)
+    want, before = kpis(spark, out), state_of(out)
+    args = {"run_id": "r", "archived_at": AT, "policy": SizePolicy(threshold_mb=0, keep_minutes=30)}
+    result = jobs.run_size_archive(spark, hot, str(tmp_path / "raw"), str(tmp_path / "meta"), **args)
+    assert result.docs_archived > 60
+    compact_hot(spark, hot, most_files=0)
+    assert run_incremental_kpi(spark, hot, dims, out).batches == 0
+    assert state_of(out) == before
+    write_hot_batch(some(make, 40, 45), hot, "late")  # into an hour that was archived in part
+    assert run_incremental_kpi(spark, hot, dims, out).batches == 1
+    gone = archived_readings(spark, chunks=[result.files])
+    everything = open_hot(spark, hot).drop("event_date", "event_hour", "ingest_batch").unionByName(gone)
+    assert kpis(spark, out) == full(spark, everything, dims, str(tmp_path / "full")) != want
+    run = run_incremental_kpi(spark, hot, dims, out, archived=gone, rebuild=True)
+    assert run.recomputed == run.hours > 0
+
+
+def test_a_batch_delivered_again_recomputes_its_hours(spark, make, dims, places, tmp_path):
+    hot, out = places
+    write_hot_batch(some(make, 0, 40), hot, "a")
+    write_hot_batch(some(make, 40, 80), hot, "b")
+    run_incremental_kpi(spark, hot, dims, out)
+    delete_hot(spark, hot, some(make, 0, 10))
+    gone = some(make, 0, 10)
+    write_hot_batch(some(make, 40, 70), hot, "b")
+    run = run_incremental_kpi(spark, hot, dims, out, archived=gone)
+    assert run.recomputed == 2
+    want = full(spark, some(make, 0, 70), dims, str(tmp_path / "full"))
+    assert kpis(spark, out)[0] == want[0]
+
+
+def test_compaction_before_the_first_run_and_between(spark, make, dims, places, tmp_path):
+    hot, out = places
+    write_hot_batch(some(make, 0, 30), hot, "a")
+    run_incremental_kpi(spark, hot, dims, out)
+    write_hot_batch(some(make, 30, 50), hot, "b")
+    compact_hot(spark, hot, most_files=0)  # consumed and new batches in one folder
+    run = run_incremental_kpi(spark, hot, dims, out)
+    assert (run.batches, run.recomputed) == (1, 0)
+    assert kpis(spark, out) == full(spark, open_hot(spark, hot), dims, str(tmp_path / "full"))
+
+
+@pytest.mark.parametrize("step", [1, 2, 3])
+def test_a_run_that_dies_is_repeated(spark, make, dims, places, tmp_path, monkeypatch, step):
+    hot, out = places
+    write_hot_batch(some(make, 0, 30), hot, "a")
+    run_incremental_kpi(spark, hot, dims, out)
+    write_hot_batch(some(make, 20, 90), hot, "b")
+    real, calls = incremental.swap_partitions, []
+
+    def dying(*args):
+        calls.append(1)
+        if step == len(calls) == 1:
+            raise OSError("killed before the first table")
+        if step == 2 and len(calls) == 2:
+            raise OSError("killed before the state")
+        real(*args)
+        if step == 3 and len(calls) == 1:
+            raise OSError("killed after the first table")
+
+    monkeypatch.setattr(incremental, "swap_partitions", dying)
+    with pytest.raises(OSError):
+        run_incremental_kpi(spark, hot, dims, out)
+    monkeypatch.undo()
+    run_incremental_kpi(spark, hot, dims, out)
+    assert kpis(spark, out) == full(spark, open_hot(spark, hot), dims, str(tmp_path / "full"))
+    assert glob.glob(f"{out}/*/{tables.PENDING}") == []
+
+
+def test_large_dimensions_and_codes_to_clean(spark, make, dims, places, tmp_path):
+    hot, out = places
+    raw = some(make, 0, 60).withColumn("machine_id", F.lower("machine_id"))
+    write_hot_batch(raw, hot, "a")
+    run_incremental_kpi(spark, hot, dims, out, normalise=True, max_bytes=0)
+    assert kpis(spark, out) == full(spark, raw, dims, str(tmp_path / "full"), normalise=True)
+
+
+def test_empty_stores(spark, make, dims, places):
+    hot, out = places
+    assert run_incremental_kpi(spark, hot, dims, out).version is None
+    write_hot_batch(some(make, 0, 1).limit(0), hot, "a")
+    write_hot_batch(make({"event_timestamp": "bad"}), hot, "b")
+    assert run_incremental_kpi(spark, hot, dims, out).batches == 0 and glob.glob(f"{out}/*") == []
