@@ -28,6 +28,8 @@ from plantpulse.plans.jobs import (
     run_size_archive,
     run_to_parquet,
 )
+from plantpulse.plans.incremental import run_incremental_kpi
+from plantpulse.plans.late import replay_late
 from plantpulse.plans.publish import read_kpi_table
 from plantpulse.schemas import MANIFEST, READING
 from plantpulse.session import use_utc, work_path
@@ -374,9 +376,9 @@ def _run_counts(spark: SparkSession, hot: str, result: ArchiveResult) -> DataFra
 
 @query
 def size_archive_run(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts of a capped run of the real job on a hot store of files."""
+    """Counts of a run of the real job, without a cap, on a hot store of files."""
     hot = _hot(spark, sf)
-    return _run_counts(spark, hot, _size_run(spark, hot, RUN_POLICY)[0])
+    return _run_counts(spark, hot, _size_run(spark, hot, ALL_POLICY)[0])
 
 
 @query
@@ -390,11 +392,11 @@ def age_dump_run(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def kpi_after_archive(spark: SparkSession, sf: str) -> DataFrame:
-    """The KPI table after KPI run, capped archive run and KPI run: as if nothing had been archived."""
+    """The KPI table after KPI run, archive run and KPI run: as if nothing had been archived."""
     hot, out, dims = _hot(spark, sf), work_path(spark, "tables"), td.dimensions(spark, sf)
     args = (dims, td.AS_OF, out, td.LOOKBACK)
     run_minute_kpi(spark, open_hot(spark, hot), *args, normalise=True)
-    result, _ = _size_run(spark, hot, RUN_POLICY)
+    result, _ = _size_run(spark, hot, ALL_POLICY)
     gone = archived_readings(spark, chunks=[result.files])
     run_minute_kpi(spark, open_hot(spark, hot), *args, normalise=True, archived=gone)
     table = spark.read.parquet(f"{out}/minute_kpi").drop("kpi_date", "kpi_hour")
@@ -525,6 +527,23 @@ def history_union(spark: SparkSession, sf: str) -> DataFrame:
     return history(hot, read_archive(spark, path), read_ndjson(spark, more))
 
 
+@query
+def kpi_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """KPIs after three runs over new batches alone, an archive run and a compaction among them."""
+    raw, dims = td.readings(spark, sf), td.dimensions(spark, sf)
+    hot, out = work_path(spark, "hot"), work_path(spark, "tables")
+    part = F.crc32(F.col("_id").cast("binary")) % 3
+    for number in range(3):
+        write_hot_batch(raw.where(part == number), hot, f"a-{number}", keep_minutes=60)
+        run_incremental_kpi(spark, hot, dims, out, normalise=True)
+        if number == 1:
+            _size_run(spark, hot, ALL_POLICY)
+            compact_hot(spark, hot, most_files=0, keep_minutes=60)
+    start = F.lit(td.AS_OF).cast("timestamp") - F.make_interval(mins=F.lit(td.LOOKBACK))
+    table = spark.read.parquet(f"{out}/minute_kpi").where(F.col("kpi_minute_start_utc") >= start)
+    return _rounded(table.drop("kpi_date", "kpi_hour"), "avg_reading")
+
+
 # --- streams -------------------------------------------------------------------------------------
 
 
@@ -585,6 +604,49 @@ def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{out}/table").drop("alert_date", "alert_hour")
 
 
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings as messages of a topic; every 17th is cut off, every 19th has a word for its value."""
+    number = F.col("_id").cast("bigint")
+    rows = _stream(spark, sf).withColumn("n", number)
+    fields = [F.when(number % 19 == 0, F.lit("many")).otherwise(F.col(c).cast("string")).alias(c) if c == "reading_value" else F.col(c)
+              for c in READING.fieldNames()]
+    whole = F.to_json(F.struct(*fields))
+    value = F.when(number % 17 == 0, F.substr(whole, F.lit(1), F.lit(20))).otherwise(whole)
+    # a number in quotes would be mistyped too
+    bare = F.regexp_replace(value, '"reading_value":"(-?[0-9][^"]*)"', '"reading_value":$1')
+    return rows.select(bare.alias("value"), F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("n").alias("offset"))
+
+
+@query
+def dq_corrupt(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of a stream that were stored as readings, and dead letters by fault, with their places in the topic."""
+    out = work_path(spark, "messages")
+    live.store_messages(_messages(spark, sf), f"{out}/hot", f"{out}/dead", f"{out}/checkpoint", cadence=None).awaitTermination()
+    stored = open_hot(spark, f"{out}/hot").select(F.lit("stored").alias("kind"), F.col("_id").cast("bigint").alias("offset"))
+    dead = spark.read.parquet(f"{out}/dead").select(F.col("fault").alias("kind"), "offset")
+    return stored.unionAll(dead).groupBy("kind").agg(
+        F.count(F.lit(1)).alias("messages"), F.min("offset").alias("first_offset"), F.sum("offset").alias("offsets")
+    )
+
+
+@query
+def stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """KPIs of a stream with a watermark whose last batch comes too late, after the late readings were replayed."""
+    raw, dims, out = td.readings(spark, sf), td.dimensions(spark, sf), work_path(spark, "late")
+    part = F.when(F.crc32(F.col("_id").cast("binary")) % 10 == 0, 2).otherwise(F.crc32(F.col("_id").cast("binary")) % 2)
+    for number in range(3):
+        raw.where(part == number).coalesce(1).write.parquet(f"{out}/feed/{number}")
+    feed = spark.readStream.schema(READING).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
+    feed = feed.parquet(f"{out}/feed")
+    live.store_stream(feed, f"{out}/hot", f"{out}/stored", cadence=None).awaitTermination()
+    rows = enrich(conform_readings(feed), conform_machines(dims["dim_machine"]), conform_sensors(dims["dim_sensor_type"]))
+    live.kpi_stream(rows, f"{out}/tables/minute_kpi", f"{out}/counted", cadence=None).awaitTermination()
+    replay_late(spark, f"{out}/hot", dims, f"{out}/tables")
+    start = F.lit(td.AS_OF).cast("timestamp") - F.make_interval(mins=F.lit(td.LOOKBACK))
+    table = spark.read.parquet(f"{out}/tables/minute_kpi").where(F.col("kpi_minute_start_utc") >= start)
+    return _rounded(table.drop("kpi_date", "kpi_hour"), "avg_reading")
+
+
 @query
 def stream_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Messages, some delivered twice and some without identity, through the hot store into the KPI table."""

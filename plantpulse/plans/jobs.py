@@ -185,9 +185,25 @@ def update_minute_kpi(
     """
     minute = F.date_trunc("minute", parse_event_time(RAW_TIME))
     touched = batch.select(minute.alias("_minute")).where("_minute IS NOT NULL").distinct()
+    recompute_minutes(spark, hot, dims, out, touched, normalise=normalise, archived=archived, max_bytes=max_bytes)
+
+
+def recompute_minutes(
+    spark: SparkSession,
+    hot: str,
+    dims: Mapping[str, DataFrame],
+    out: str,
+    minutes: DataFrame,
+    *,
+    normalise: bool = True,
+    archived: DataFrame | None = None,
+    max_bytes: int = BROADCAST_BYTES,
+) -> None:
+    """Replace the KPIs of ``minutes`` (one column ``_minute``, each once) by those of the hot store's readings."""
+    minute = F.date_trunc("minute", parse_event_time(RAW_TIME))
     with scratch(spark, "touched") as staged:
-        touched.write.parquet(staged)
-        touched = spark.read.schema(touched.schema).parquet(staged)
+        minutes.write.parquet(staged)
+        touched = spark.read.schema(minutes.schema).parquet(staged)
         hours = touched.select(
             F.to_date("_minute").alias("event_date"), F.hour("_minute").alias("event_hour")
         ).distinct()

@@ -291,10 +291,8 @@ SELECT (SELECT count(*) FROM readings) AS docs_before, count(*) AS docs_selected
        (SELECT count(*) FROM readings) - count(*) AS docs_left, TRUE AS balanced
 FROM leaving""", True, _NEWEST_CUTOFF, _LEAVING),
         "size_archive_run": _sql("""
-SELECT (SELECT count(*) FROM batch) AS docs_archived, (SELECT count(*) FROM batch) AS docs_deleted,
-       (SELECT count(*) FROM leaving) - (SELECT count(*) FROM batch) AS docs_left,
-       (SELECT count(*) FROM batch) AS stored_ids,
-       (SELECT count(*) FROM readings) - (SELECT count(*) FROM batch) AS hot_rows""", True, _NEWEST_CUTOFF, _LEAVING, _BATCH),
+SELECT count(*) AS docs_archived, count(*) AS docs_deleted, CAST(0 AS BIGINT) AS docs_left, count(*) AS stored_ids,
+       (SELECT count(*) FROM readings) - count(*) AS hot_rows FROM leaving""", True, _NEWEST_CUTOFF, _LEAVING),
         "age_dump_run": _sql(f"""
 SELECT count(*) AS docs_archived, count(*) AS docs_deleted, CAST(0 AS BIGINT) AS docs_left, count(*) AS stored_ids,
        (SELECT count(*) FROM readings) - count(*) AS hot_rows
@@ -309,6 +307,13 @@ FROM readings WHERE event_timestamp < strftime(TIMESTAMP '{td.AS_OF}' - INTERVAL
 SELECT CAST(sum(strlen(concat_ws(',', _id, machine_id, event_timestamp)) + 1) AS BIGINT) AS bytes,
        sum(strlen(concat_ws(',', _id, machine_id, event_timestamp)) + 1) > 1024 * 1024 AS due FROM readings"""),
         "stream_chain": minute_kpi,
+        "stream_late": minute_kpi,
+        "kpi_incremental": minute_kpi,
+        "dq_corrupt": _sql("""
+SELECT kind, count(*) AS messages, min(n) AS first_offset, CAST(sum(n) AS BIGINT) AS offsets
+FROM (SELECT CAST(_id AS BIGINT) AS n, unnest(CASE WHEN CAST(_id AS BIGINT) % 17 = 0 THEN ['unparsed']
+        WHEN CAST(_id AS BIGINT) % 19 = 0 THEN ['stored', 'mistyped'] ELSE ['stored'] END) AS kind FROM readings)
+GROUP BY kind"""),
         "archive_ndjson_scan": raw,
         "archive_layout_columns": _sql("SELECT * FROM archived", True, _ARCHIVED),
         "archive_partitioned": _sql("SELECT * FROM archived", True, _ARCHIVED),

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from plantpulse.functions.timing import as_utc, timestamp_literal
 from plantpulse.operators.kpi import KPI_MINUTE
 from plantpulse.operators.star import between
-from plantpulse.session import work_path
-from plantpulse.sinks.tables import new_rows, upsert
+from plantpulse.session import scratch
+from plantpulse.sinks.tables import new_rows, recover, upsert
 from plantpulse.sources.warehouse import Warehouse
 
 
@@ -20,6 +20,7 @@ def read_kpi_table(
     spark: SparkSession, path: str, start: datetime | str | None = None, end: datetime | str | None = None
 ) -> DataFrame:
     """KPI rows of ``[start, end)`` from the stored table; only the days in the range are read."""
+    recover(spark, path)
     table = spark.read.parquet(path)
     if start is not None:
         table = table.where(F.col("kpi_date") >= F.lit(as_utc(start).date()))
@@ -49,13 +50,13 @@ def publish_new(
     sends its rows again.
     """
     names = [c for c in rows.columns if c not in partitions]
-    staged = work_path(spark, "publish")
-    new_rows(spark, rows, ledger, keys, partitions).write.parquet(staged)
-    fresh = spark.read.schema(rows.schema).parquet(staged)
-    count = fresh.count()
-    if count:
-        warehouse.append(fresh.select(*names), table)
-        upsert(spark, fresh, ledger, keys, partitions)
+    with scratch(spark, "publish") as staged:
+        new_rows(spark, rows, ledger, keys, partitions).write.parquet(staged)
+        fresh = spark.read.schema(rows.schema).parquet(staged)
+        count = fresh.count()
+        if count:
+            warehouse.append(fresh.select(*names), table)
+            upsert(spark, fresh, ledger, keys, partitions)
     return count
 
 

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType, TimestampType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType, TimestampType
 
 from plantpulse.constants import EVENT_TIME_PATTERN, TOPIC
 from plantpulse.functions.timing import (
@@ -55,15 +55,24 @@ def topic_options(servers: str | list[str], topic: str = TOPIC, **extra: str) ->
 
 def read_topic(spark: SparkSession, servers: str | list[str], topic: str = TOPIC, **extra: str) -> DataFrame:
     """The event topic as a stream of raw readings; needs the Kafka connector on the class path."""
-    records = spark.readStream.format("kafka").options(**topic_options(servers, topic, **extra)).load()
-    return decode_messages(records)
+    return decode_messages(read_topic_records(spark, servers, topic, **extra))
+
+
+def read_topic_records(spark: SparkSession, servers: str | list[str], topic: str = TOPIC, **extra: str) -> DataFrame:
+    """The event topic as a stream of messages with their places, for ``parse_messages`` or ``live.store_messages``."""
+    return spark.readStream.format("kafka").options(**topic_options(servers, topic, **extra)).load()
+
+
+#: What may be wrong with a message: it is no JSON object, or a field does not have its type (and reads as NULL).
+UNPARSED, MISTYPED = "unparsed", "mistyped"
+_PLACES = ("topic", "partition", "offset", "file")
 
 
 def decode_messages(records: DataFrame) -> DataFrame:
     """Raw readings from UTF-8 JSON messages in ``value``.
 
     A message without ``_id`` is named by its place in the topic, if known, so that reading it
-    again gives the same identity.
+    again gives the same identity. Messages that are no JSON objects come as rows of NULLs; ``parse_messages`` keeps them apart.
     """
     body = F.from_json(F.col("value").cast("string"), READING).alias("body")
     place = [c for c in ("topic", "partition", "offset") if c in records.columns]
@@ -74,6 +83,44 @@ def decode_messages(records: DataFrame) -> DataFrame:
     return rows.select(named, *[F.col(f"body.{f.name}") for f in READING.fields if f.name != "_id"])
 
 
+def parse_messages(records: DataFrame) -> DataFrame:
+    """Messages with their reading and what is wrong with them.
+
+    Columns: those of a raw reading, ``message`` (the text), ``fault`` (NULL, ``unparsed`` or ``mistyped``) and the place
+    (topic, partition and offset, or file) as far as ``records`` has it. A NULL message is unparsed.
+    """
+    text = F.col("value").cast("string")
+    corrupt = "_corrupt_record"
+    schema = StructType([*READING.fields, StructField(corrupt, StringType())])
+    place = [c for c in _PLACES if c in records.columns]
+    # the keys of what is no object are NULL
+    fault = F.when(F.json_object_keys("message").isNull(), UNPARSED).when(F.col(f"body.{corrupt}").isNotNull(), MISTYPED)
+    rows = records.select(
+        text.alias("message"), F.from_json(text, schema, {"columnNameOfCorruptRecord": corrupt}).alias("body"), *place
+    )
+    topic = [c for c in place if c != "file"]
+    named = F.coalesce("body._id", F.concat_ws("-", *topic)) if topic else F.col("body._id")
+    fields = [F.col(f"body.{f.name}") for f in READING.fields if f.name != "_id"]
+    return rows.select(named.alias("_id"), *fields, "message", fault.alias("fault"), *place)
+
+
+def good_readings(parsed: DataFrame) -> DataFrame:
+    """Raw readings of ``parse_messages``: with the dead letters that are unparsed they make up all messages."""
+    return parsed.where(F.col("fault").isNull() | (F.col("fault") != UNPARSED)).select(*READING.fieldNames())
+
+
+def dead_letters(parsed: DataFrame) -> DataFrame:
+    """Messages of ``parse_messages`` that lost something: text, fault and place."""
+    place = [c for c in _PLACES if c in parsed.columns]
+    return parsed.where("fault IS NOT NULL").select("message", "fault", *place)
+
+
+def ndjson_messages(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines of JSON files as messages for ``parse_messages``; blank lines are none."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select("value", F.col("_metadata.file_path").alias("file"))
+
+
 def store_bytes(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
     """Size and number of the files below ``path``, one row. Files are listed, never opened."""
     files = (

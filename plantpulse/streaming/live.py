@@ -17,9 +17,10 @@ from plantpulse.functions.timing import EVENT_TIME
 from plantpulse.operators.kpi import KPI_MINUTE, minute_kpi
 from plantpulse.sinks.hot import READERS_MINUTES, write_hot_batch
 from plantpulse.sinks.tables import upsert
+from plantpulse.sources.readings import dead_letters, good_readings, parse_messages
 
 #: How far behind the newest event a reading may arrive and still count in the stream. Later ones
-#: are left to the batch job, which recomputes the whole lookback.
+#: are left to ``plans.late.replay_late``, or to the batch job, which recomputes the whole lookback.
 LATENESS = "10 minutes"
 CADENCE = "1 minute"
 
@@ -94,6 +95,30 @@ def store_stream(
     return start(raw.writeStream.outputMode("append").foreachBatch(write), checkpoint, cadence)
 
 
+def store_messages(
+    records: DataFrame, path: str, dead: str, checkpoint: str, cadence: str | None = CADENCE, name: str = "s0"
+) -> StreamingQuery:
+    """Messages of a topic into the hot store, as ``store_stream``, and those that lost something into the table ``dead``.
+
+    The dead letters of a micro-batch have a folder of their own, which a repeated batch replaces. They are written first: once a
+    batch shows in the hot store, its dead letters are there.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        parsed = parse_messages(batch)
+        label = f"{name}-{number}"
+        dead_letters(parsed).write.mode("overwrite").parquet(f"{dead}/ingest_batch={label}")
+        write_hot_batch(good_readings(parsed), path, label, keep_minutes=READERS_MINUTES)
+
+    return start(records.writeStream.outputMode("append").foreachBatch(write), checkpoint, cadence)
+
+
+def dropped_by_watermark(query: StreamingQuery) -> int:
+    """Rows that the stateful steps of ``query`` have left out as too late, over the progress it remembers."""
+    steps = [s for p in query.recentProgress for s in p["stateOperators"]]
+    return sum(s["numRowsDroppedByWatermark"] for s in steps)
+
+
 def append_stream(rows: DataFrame, path: str, checkpoint: str, cadence: str | None = CADENCE) -> StreamingQuery:
     """Rows of a stateless stream into a Parquet folder."""
     writer = rows.writeStream.format("parquet").option("path", path).outputMode("append")

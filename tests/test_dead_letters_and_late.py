@@ -1,0 +1,113 @@
+"""Messages that cannot be read are kept with their place; readings too late for a stream's state are replayed."""
+
+import glob
+import json
+
+from pyspark.sql import functions as F
+
+from plantpulse.operators.conform import conform_machines, conform_readings, conform_sensors
+from plantpulse.operators.enrich import enrich
+from plantpulse.operators.alerts import threshold_alerts
+from plantpulse.plans import jobs
+from plantpulse.plans.late import Replayed, replay_late
+from plantpulse.schemas import READING
+from plantpulse.sinks.hot import open_hot
+from plantpulse.sources.readings import dead_letters, decode_messages, good_readings, ndjson_messages, parse_messages
+from plantpulse.streaming import live
+
+AT = "2024-01-01 12:00:00"
+MESSAGES = [
+    json.dumps({"_id": "a", "reading_value": 1.5, "sensor_type_id": 1}),
+    json.dumps({"_id": "b", "reading_value": "many", "sensor_type_id": 1}),
+    json.dumps({"reading_value": 2.0, "more": {"x": 1}}),
+    '{"_id": "c", "reading',
+    "not json",
+    "[1, 2]",
+    '"text"',
+    "",
+    None,
+    "{}",
+    json.dumps({"_id": "d", "event_timestamp": 5}),
+]
+
+
+def topic(spark, texts=MESSAGES):
+    rows = [(None if t is None else t.encode(), "iot", i % 2, i) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "value binary, topic string, partition int, offset bigint")
+
+
+def test_every_message_is_a_reading_or_a_dead_letter(spark):
+    parsed = parse_messages(topic(spark))
+    dead = {r["offset"]: (r["fault"], r["message"]) for r in dead_letters(parsed).collect()}
+    assert {o: f for o, (f, _) in dead.items()} == {1: "mistyped", **{i: "unparsed" for i in range(3, 9)}}
+    assert all(dead[o][1] == MESSAGES[o] for o in dead)
+    good = good_readings(parsed).collect()
+    assert len(good) + sum(f == "unparsed" for f, _ in dead.values()) == len(MESSAGES)
+    assert [r["_id"] for r in good] == ["a", "b", "iot-0-2", "iot-1-9", "d"]
+    assert good[1]["reading_value"] is None and good[1]["sensor_type_id"] == 1
+    same = decode_messages(topic(spark)).where("_id IN ('a', 'b', 'd', 'iot-0-2', 'iot-1-9')").collect()
+    assert same == good
+
+
+def test_lines_of_files_have_their_file_as_place(spark, tmp_path):
+    (tmp_path / "x.json").write_text("\n".join(t for t in MESSAGES if t) + "\n\n  \n")
+    dead = dead_letters(parse_messages(ndjson_messages(spark, str(tmp_path)))).collect()
+    assert len(dead) == 5 and all(r["file"].endswith("x.json") for r in dead)
+
+
+def test_a_repeated_batch_keeps_its_dead_letters_once(spark, tmp_path):
+    feed, hot, dead = (str(tmp_path / n) for n in ("feed", "hot", "dead"))
+    topic(spark).coalesce(1).write.parquet(f"{feed}/0")
+    stream = spark.readStream.schema("value binary, topic string, partition int, offset bigint")
+    for checkpoint in ("a", "b"):  # a new checkpoint starts over with batch 0
+        records = stream.option("recursiveFileLookup", "true").parquet(feed)
+        live.store_messages(records, hot, dead, str(tmp_path / checkpoint), cadence=None).awaitTermination()
+        assert open_hot(spark, hot).count() == 5 and spark.read.parquet(dead).count() == 7
+    assert len(glob.glob(f"{dead}/ingest_batch=*")) == 1
+
+
+def feed_of(spark, path, *batches):
+    for n, rows in enumerate(batches):
+        rows.coalesce(1).write.parquet(f"{path}/{n}")
+    source = spark.readStream.schema(READING).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
+    return source.parquet(path)
+
+
+def test_three_batches_no_reading_lost_and_counts_right(spark, make, dims, tmp_path):
+    def minutes(first, last, tag):
+        return make(*({"_id": f"{tag}{i}", "event_timestamp": f"2024-01-01 10:{i:02d}:05", "reading_value": 50.0} for i in range(first, last)))
+
+    batches = [minutes(0, 30, "a"), minutes(30, 60, "b"), minutes(0, 40, "late")]
+    feed = feed_of(spark, str(tmp_path / "feed"), *batches)
+    hot, out = str(tmp_path / "hot"), str(tmp_path / "out")
+    live.store_stream(feed, hot, str(tmp_path / "c0"), cadence=None).awaitTermination()
+    joined = enrich(conform_readings(feed), conform_machines(dims["dim_machine"]), conform_sensors(dims["dim_sensor_type"]))
+    query = live.kpi_stream(joined, f"{out}/minute_kpi", str(tmp_path / "c1"), cadence=None)
+    query.awaitTermination()
+    short = spark.read.parquet(f"{out}/minute_kpi").agg(F.sum("num_events")).first()[0]
+    assert short < 100 and live.dropped_by_watermark(query) > 0
+    done = replay_late(spark, hot, dims, out)
+    assert done.readings == 100 - short and done.minutes > 0
+    assert replay_late(spark, hot, dims, out) == Replayed()
+    jobs.run_minute_kpi(spark, open_hot(spark, hot), dims, AT, str(tmp_path / "batch"), normalise=True)
+    tables = [sorted(map(repr, spark.read.parquet(f"{p}/minute_kpi").collect())) for p in (out, str(tmp_path / "batch"))]
+    assert tables[0] == tables[1]
+
+
+def test_alerts_that_a_stream_left_out_are_added_once(spark, make, dims, tmp_path):
+    rows = make(*({"_id": f"r{i}", "event_timestamp": f"2024-01-01 10:{i:02d}:05", "reading_value": 50.0} for i in range(40)))
+    early = rows.where("cast(substr(_id, 2) AS int) < 10")
+    # what is late is told from the batch before the last one
+    feed = feed_of(spark, str(tmp_path / "feed"), rows.exceptAll(early).where("_id < 'r30'"), rows.where("_id >= 'r30'").exceptAll(early), early)
+    hot, out = str(tmp_path / "hot"), str(tmp_path / "out")
+    live.store_stream(feed, hot, str(tmp_path / "c0"), cadence=None).awaitTermination()
+    once = live.without_redeliveries(conform_readings(feed))
+    joined = enrich(once, conform_machines(dims["dim_machine"]), conform_sensors(dims["dim_sensor_type"]))
+    alerts = threshold_alerts(joined, "kpi", with_reading_id=True)
+    live.alert_stream(alerts, f"{out}/alerts", str(tmp_path / "c1"), cadence=None).awaitTermination()
+    have = spark.read.parquet(f"{out}/alerts").count()
+    assert have == 30
+    assert replay_late(spark, hot, dims, out, kpi=False, alerts="alerts", since="2024-01-01 10:05:00").alerts == 5
+    assert replay_late(spark, hot, dims, out, kpi=False, alerts="alerts", until="2024-01-01 10:30:00").alerts == 5
+    assert replay_late(spark, hot, dims, out, kpi=False, alerts="alerts") == Replayed()
+    assert sorted(r[0] for r in spark.read.parquet(f"{out}/alerts").select("reading_id").collect()) == sorted(f"r{i}" for i in range(40))
