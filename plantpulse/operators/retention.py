@@ -61,6 +61,13 @@ def newest_cutoff(hot: DataFrame, keep_minutes: int) -> str | None:
     return None if text is None else event_text(as_utc(text) - timedelta(minutes=keep_minutes))
 
 
+def cutoff_before(newest_second: int | None, keep_minutes: int) -> str | None:
+    """``newest_cutoff`` for a newest event given in seconds since 1970."""
+    if newest_second is None:
+        return None
+    return event_text(datetime(1970, 1, 1) + timedelta(seconds=newest_second, minutes=-keep_minutes))
+
+
 def age_cutoff(as_of: datetime | str, hours: int = DUMP_MIN_AGE_HOURS) -> str:
     """Event text ``hours`` before ``as_of``."""
     return event_text(as_utc(as_of) - timedelta(hours=hours))

@@ -22,6 +22,7 @@ from plantpulse.operators.enrich import enrich
 from plantpulse.plans.jobs import (
     ArchiveResult,
     enriched_readings,
+    live_alerts,
     live_kpi,
     run_age_dump,
     run_minute_kpi,
@@ -34,18 +35,20 @@ from plantpulse.plans.publish import read_kpi_table
 from plantpulse.schemas import MANIFEST, READING
 from plantpulse.session import use_utc, work_path
 from plantpulse.sinks.archive import archive_layout, write_chunks, write_snapshot
-from plantpulse.sinks.hot import compact_hot, delete_hot, hot_version, open_hot, write_hot_batch
+from plantpulse.sinks.hot import compact_hot, delete_hot, hot_version, newest_second, open_hot, write_hot_batch
 from plantpulse.sources import testdata as td
 from plantpulse.sources.dimensions import read_csv, read_json_records
 from plantpulse.sources.readings import (
     archived_readings,
     decode_messages,
+    find_readings,
     history,
     read_archive,
     read_ndjson,
     store_bytes,
     unique_readings,
 )
+from plantpulse.sources.snapshots import dimension_source, publish_dimension
 from plantpulse.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -513,6 +516,21 @@ def archive_read_pruned(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def archive_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Archived readings of a few identities, found through the Bloom filters of the files."""
+    wanted = td.readings(spark, sf).where(F.col("_id").cast("bigint") % 997 == 0).select("_id")
+    return find_readings(read_archive(spark, _archived(spark, sf)), wanted)
+
+
+@query
+def hot_newest(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest event time of a hot store, from footers, and the cutoff of an archive run."""
+    newest = newest_second(spark, _hot(spark, sf))
+    row = (newest, retention.cutoff_before(newest, KEEP_MINUTES))
+    return spark.createDataFrame([row], "newest_second bigint, cutoff string")
+
+
 @query
 def history_union(spark: SparkSession, sf: str) -> DataFrame:
     """Hot store, columnar archive and JSON lines together: some readings are in two of them, some in one alone."""
@@ -647,6 +665,30 @@ def stream_late(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(table.drop("kpi_date", "kpi_hour"), "avg_reading")
 
 
+@query
+def stream_dimension_change(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts of a stream whose machines all belong to one factory in the first batch and to their own in the second."""
+    raw, out = td.readings(spark, sf), work_path(spark, "moving")
+    for number in range(2):
+        raw.where(F.col("_id").cast("bigint") % 2 == number).coalesce(1).write.parquet(f"{out}/feed/{number}")
+    feed = spark.readStream.schema(READING).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
+    machines = td.dim_machine(spark, sf)
+    publish_dimension(td.dim_sensor_type(spark), f"{out}/dims", "dim_sensor_type")
+    publish_dimension(machines.withColumn("factory_id", F.lit("FCT999")), f"{out}/dims", "dim_machine")
+    known = dimension_source(spark, f"{out}/dims")
+    asked: list[int] = []
+
+    def now() -> dict[str, DataFrame]:
+        if asked:  # between the first batch and the second
+            publish_dimension(machines, f"{out}/dims", "dim_machine")
+        asked.append(1)
+        return known()
+
+    live_alerts(feed.parquet(f"{out}/feed"), now, f"{out}/alerts", f"{out}/checkpoint", cadence=None).awaitTermination()
+    start = F.lit(td.AS_OF).cast("timestamp") - F.make_interval(mins=F.lit(td.LOOKBACK))
+    return spark.read.parquet(f"{out}/alerts").where(F.col("alert_time_utc") >= start).drop("alert_date", "alert_hour")
+
+
 @query
 def stream_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Messages, some delivered twice and some without identity, through the hot store into the KPI table."""

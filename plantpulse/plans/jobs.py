@@ -25,13 +25,14 @@ from plantpulse.operators.conform import (
 from plantpulse.operators.enrich import MINUTE, enrich, with_factories, with_limits
 from plantpulse.operators.kpi import KPI_MINUTE, MINUTE_LEVELS, daily_machine, minute_kpi, minute_stats_all_levels, one_level
 from plantpulse.operators.lookup import BROADCAST_BYTES, measured_bytes, only_identities
-from plantpulse.operators.retention import SizePolicy, age_cutoff, newest_cutoff, older_than, oldest
+from plantpulse.operators.retention import SizePolicy, age_cutoff, cutoff_before, older_than, oldest
 from plantpulse.sinks.archive import append_archive, manifest, write_chunks, write_manifest, write_snapshot
 from plantpulse.schemas import READING
 from plantpulse.session import scratch
-from plantpulse.sinks.hot import READERS_MINUTES, ReconcileError, delete_hot, hot_bytes, hot_hours, open_hot, write_hot_batch
-from plantpulse.sinks.tables import in_same_partitions, swap_partitions, upsert
+from plantpulse.sinks.hot import READERS_MINUTES, ReconcileError, delete_hot, hot_bytes, hot_hours, newest_second, open_hot, write_hot_batch
+from plantpulse.sinks.tables import append, in_same_partitions, new_rows, swap_partitions, upsert
 from plantpulse.sources.readings import read_ndjson, unique_readings, with_archived
+from plantpulse.sources.snapshots import Dimensions, current
 from plantpulse.streaming.live import (
     ALERT_TABLE_PARTITIONS,
     CADENCE,
@@ -223,7 +224,7 @@ def recompute_minutes(
 
 def live_kpi(
     raw: DataFrame,
-    dims: Mapping[str, DataFrame],
+    dims: Dimensions,
     hot: str,
     out: str,
     checkpoint: str,
@@ -233,12 +234,48 @@ def live_kpi(
 ) -> StreamingQuery:
     """A stream of raw readings into the hot store and, minute by minute, into the KPI table below ``out``.
 
-    ``options`` go to ``update_minute_kpi``. The stream is the only writer of that table while it runs.
+    ``options`` go to ``update_minute_kpi``. The stream is the only writer of that table while it runs. ``dims`` may be a
+    function (see ``sources.snapshots``): every micro-batch then asks for the tables of its time, measures them again and
+    broadcasts or shuffles accordingly.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         write_hot_batch(batch, hot, f"{name}-{number}", keep_minutes=READERS_MINUTES)
-        update_minute_kpi(batch.sparkSession, hot, dims, out, batch, **options)
+        update_minute_kpi(batch.sparkSession, hot, current(dims), out, batch, **options)
+
+    return start(raw.writeStream.outputMode("append").foreachBatch(write), checkpoint, cadence)
+
+
+def live_alerts(
+    raw: DataFrame,
+    dims: Dimensions,
+    out: str,
+    checkpoint: str,
+    style: str = "kpi",
+    cadence: str | None = CADENCE,
+    *,
+    normalise: bool = True,
+    max_bytes: int = BROADCAST_BYTES,
+) -> StreamingQuery:
+    """A stream of raw readings into the alert table ``out``, each reading once, whenever it comes.
+
+    Without state: a micro-batch is joined with the dimensions of its time (``dims`` as in ``live_kpi``) and compared by
+    identity with the alerts of its hours. New alerts are appended; hours are not rewritten, and a batch may come again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, now = batch.sparkSession, current(dims)
+        readings = conform_readings(unique_readings(batch.select(*READING.fieldNames())), normalise=normalise)
+        machines, sensors = conform_machines(now["dim_machine"], normalise=normalise), conform_sensors(now["dim_sensor_type"])
+        size = measured_bytes({"machines": machines, "sensors": sensors})
+        limited = with_limits(readings, sensors, broadcast=size["sensors"] <= max_bytes)
+        rows = _Inputs(limited, machines, size["machines"] <= max_bytes).alert_rows(style)
+        with scratch(spark, "alerts") as staged:
+            rows.write.parquet(f"{staged}/all")
+            stored = spark.read.schema(rows.schema).parquet(f"{staged}/all")
+            keys = ("reading_id", *ALERT_TABLE_PARTITIONS)
+            new_rows(spark, stored, out, keys, ALERT_TABLE_PARTITIONS).write.parquet(f"{staged}/new")
+            append(spark.read.schema(rows.schema).parquet(f"{staged}/new"), out, ALERT_TABLE_PARTITIONS)
 
     return start(raw.writeStream.outputMode("append").foreachBatch(write), checkpoint, cadence)
 
@@ -323,7 +360,7 @@ def run_size_archive(
         if not policy.due(size):
             return ArchiveResult(False, "below_threshold", size_bytes=size)
         readings = open_hot(spark, hot)
-        cutoff = newest_cutoff(readings, policy.keep_minutes)
+        cutoff = cutoff_before(newest_second(spark, hot), policy.keep_minutes)
         if cutoff is None:
             return ArchiveResult(False, "no_data", size_bytes=size)
         stored = _store(

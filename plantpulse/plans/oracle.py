@@ -320,10 +320,17 @@ GROUP BY kind"""),
         "archive_read_pruned": _sql(f"""
 SELECT * FROM archived WHERE event_ts >= TIMESTAMP '{c.READ_START}' AND event_ts < TIMESTAMP '{c.READ_END}'
   AND factory_id IN ({", ".join(f"'{f}'" for f in c.READ_FACTORIES)})""", True, _ARCHIVED),
+        "archive_lookup": _sql("SELECT * FROM archived WHERE CAST(_id AS BIGINT) % 997 = 0", True, _ARCHIVED),
+        "hot_newest": _sql("""
+SELECT epoch_us(max(event_timestamp_utc)) // 1000000 AS newest_second, (SELECT t FROM cutoff) AS cutoff
+FROM conformed""", True, _NEWEST_CUTOFF),
         "history_union": raw,
         "stream_ingest": conformed,
         "stream_dedup": conformed,
         "stream_enriched": enriched,
         "stream_minute_kpi": minute_kpi,
         "stream_alerts": _sql(f"{_ALERTS_B}, _id AS reading_id FROM breaches"),
+        "stream_dimension_change": _sql(f"""
+SELECT * REPLACE (CASE WHEN CAST(reading_id AS BIGINT) % 2 = 0 THEN 'FCT999' ELSE factory_id END AS factory_id)
+FROM ({_ALERTS_B}, _id AS reading_id FROM breaches)"""),
     }

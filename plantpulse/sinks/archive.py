@@ -9,7 +9,7 @@ from plantpulse.constants import ARCHIVE_CHUNK_DOCS, ARCHIVE_MAX_CHUNKS
 from plantpulse.functions.timing import calendar_parts
 from plantpulse.operators.lookup import without_identities
 from plantpulse.schemas import READING
-from plantpulse.sinks.tables import append, open_table
+from plantpulse.sinks.tables import append, bloom_options, open_table
 from plantpulse.sources.readings import (
     ARCHIVE_PARTITIONS,
     read_archive,
@@ -81,7 +81,8 @@ def append_archive(spark: SparkSession, raw: DataFrame, path: str) -> None:
     if open_table(spark, path, rows.schema) is not None:
         past = read_archive(spark, path).where(touched_hours(with_archive_time(raw), "event_ts"))
         rows = without_identities(rows, past)
-    append(rows, path, ARCHIVE_PARTITIONS)
+    # readings are looked up by identity, which is spread over all files
+    append(rows, path, ARCHIVE_PARTITIONS, bloom_options("_id"))
 
 
 def manifest(

@@ -15,7 +15,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, IntegerType, LongType, StringType, StructField, StructType
 
 from plantpulse.functions.timing import RAW_TIME, parse_event_time
 from plantpulse.operators.lookup import only_identities
@@ -29,7 +29,15 @@ from plantpulse.sources.readings import HOT_PARTITIONS, LISTED_HOURS, time_span
 #: Folder level and column that tells writes apart.
 WRITE = "write"
 _PLACE = [StructField("event_date", DateType()), StructField("event_hour", IntegerType())]
-HOT_SCHEMA = StructType([*READING.fields, StructField("ingest_batch", StringType()), *_PLACE, StructField(WRITE, StringType())])
+HOT_SCHEMA = StructType(
+    [
+        *READING.fields,
+        StructField("ingest_batch", StringType()),
+        StructField("event_second", LongType()),
+        *_PLACE,
+        StructField(WRITE, StringType()),
+    ]
+)
 #: Deleted readings: identity, and the write that holds them. ``write`` is that of the list itself.
 GONE_SCHEMA = StructType(
     [StructField("_id", StringType()), StructField("holder", StringType()), *_PLACE, StructField(WRITE, StringType())]
@@ -56,6 +64,7 @@ def write_hot_batch(raw: DataFrame, path: str, batch: str, *, keep_minutes: floa
     rows = raw.select(
         *READING.fieldNames(),
         F.lit(batch).alias("ingest_batch"),
+        F.unix_timestamp(ts).alias("event_second"),
         F.to_date(ts).alias("event_date"),
         F.hour(ts).alias("event_hour"),
     )
@@ -74,7 +83,39 @@ def open_hot(spark: SparkSession, path: str, version: int | None = None) -> Data
     found = versions.version(spark, path, version)
     if found is None:
         return spark.read.schema(HOT_SCHEMA).parquet(path).drop(WRITE)  # says that nothing is there
-    return _rows(spark, path, found, found.rows()).drop(WRITE)
+    return hot_rows(spark, path, found, found.rows())
+
+
+def newest_second(spark: SparkSession, path: str) -> int | None:
+    """Newest event time in the store as seconds since 1970; None without any.
+
+    The version names the newest hour. In folders that have lost no readings the files' footers tell the rest: the maximum
+    is pushed down to them and no column is read. Only where readings were deleted is the column scanned.
+    """
+    found = versions.version(spark, path)
+    timed = sorted({f.place for f in (found.rows() if found else ()) if f.date is not None}, reverse=True)
+    for place in timed:  # an hour whose readings are all deleted has no folder, so the first one answers
+        folders = [f for f in found.rows() if f.place == place]
+        losing = {w for g in found.gone() if g.place == place for w in g.batches}
+        parts = []
+        if whole := [f for f in folders if f.write not in losing]:
+            parts.append(_footers(spark, path, whole))
+        if rest := [f for f in folders if f.write in losing]:
+            parts.append(_rows(spark, path, found, rest).agg(F.max("event_second").alias("newest")))
+        known = [n for (n,) in (p.first() for p in parts) if n is not None]
+        if known:
+            return max(known)
+    return None
+
+
+def _footers(spark: SparkSession, path: str, folders: list[Folder]) -> DataFrame:
+    """Newest second of folders, by a session of its own in which Parquet is a source that aggregates can be pushed to."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    paths = [f"{path.rstrip('/')}/{f.path}" for f in folders]
+    stored = StructType([f for f in HOT_SCHEMA if f.name not in _LEVELS])  # as in the files: footers are read by position
+    return session.read.schema(stored).parquet(*paths).agg(F.max("event_second").alias("newest"))
 
 
 def hot_version(spark: SparkSession, path: str) -> int | None:
@@ -85,7 +126,7 @@ def hot_version(spark: SparkSession, path: str) -> int | None:
 
 def hot_rows(spark: SparkSession, path: str, base: Version, folders: list[Folder]) -> DataFrame:
     """Readings of some of the folders of a version, with partition columns."""
-    return _rows(spark, path, base, folders).drop(WRITE)
+    return _rows(spark, path, base, folders).drop("event_second", WRITE)
 
 
 def hot_bytes(spark: SparkSession, path: str) -> int:
@@ -212,7 +253,7 @@ def _read(spark: SparkSession, root: str, schema: StructType, folders: list[Fold
 
 def _rows(spark: SparkSession, path: str, base: Version, folders: list[Folder]) -> DataFrame:
     """Readings in ``folders``, without deleted ones; only folders that have lost some are joined with the lists."""
-    columns = [*READING.fieldNames(), *HOT_PARTITIONS, WRITE]
+    columns = [*READING.fieldNames(), *HOT_PARTITIONS, "event_second", WRITE]
     if not folders:
         return spark.createDataFrame([], HOT_SCHEMA).select(*columns)
     lists = [g for g in base.gone() if any(f.place == g.place and f.write in g.batches for f in folders)]

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import threading
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
@@ -118,9 +118,18 @@ def clustered(df: DataFrame, partitions: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", *partitions)
 
 
-def append(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
+def append(df: DataFrame, path: str, partitions: Sequence[str] = (), options: Mapping[str, str] | None = None) -> None:
     rows = clustered(df, partitions) if partitions else df
-    rows.write.mode("append").partitionBy(*partitions).parquet(path)
+    rows.write.mode("append").options(**(options or {})).partitionBy(*partitions).parquet(path)
+
+
+def bloom_options(column: str, values: int = 1_000_000) -> dict[str, str]:
+    """Writer options for a Bloom filter on ``column`` in every row group, sized for ``values`` different ones at most."""
+    return {
+        f"parquet.bloom.filter.enabled#{column}": "true",
+        f"parquet.bloom.filter.expected.ndv#{column}": str(values),
+        "parquet.bloom.filter.adaptive.enabled": "true",
+    }
 
 
 def replace_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> None:

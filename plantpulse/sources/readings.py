@@ -17,7 +17,7 @@ from plantpulse.functions.timing import (
     parse_event_time,
     timestamp_literal,
 )
-from plantpulse.operators.lookup import without_identities
+from plantpulse.operators.lookup import only_identities, without_identities
 from plantpulse.schemas import READING
 
 HOT_PARTITIONS = ("event_date", "event_hour", "ingest_batch")
@@ -161,6 +161,30 @@ def read_archive(
     return table
 
 
+#: Identities that are looked up through the Bloom filters of files; more are joined.
+LISTED_IDS = 1000
+
+
+def find_readings(archive: DataFrame, ids: DataFrame) -> DataFrame:
+    """Readings of ``archive`` (see ``read_archive``, bounded in time or not) with an ``_id`` of ``ids``.
+
+    Up to ``LISTED_IDS`` identities are stated as a filter that the file scan checks against Bloom filters, so that
+    row groups without any of them are not read: what is read grows with the hits, not with the archive. More are joined
+    by key, the smaller side broadcast if AQE finds it small.
+    """
+    named = ids.select("_id").where("_id IS NOT NULL").distinct()
+    listed = [r["_id"] for r in named.limit(LISTED_IDS + 1).collect()]
+    if len(listed) > LISTED_IDS:
+        return only_identities(archive, named)
+    if not listed:
+        return archive.where(F.lit(False))
+    # a tree of equalities: a long IN list would reach the scan as a range only
+    terms = [F.col("_id") == i for i in sorted(listed)]
+    while len(terms) > 1:
+        terms = [terms[i] | terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    return archive.where(terms[0])
+
+
 def _archive_schema() -> StructType:
     parts = [StructField(part, IntegerType()) for part in ARCHIVE_PARTITIONS[1:]]
     return StructType([*READING.fields, StructField("event_ts", TimestampType()), *parts])
