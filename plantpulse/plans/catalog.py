@@ -468,8 +468,10 @@ def store_size(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def archive_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of a run: rows in the hot store before, selected, written and left."""
-    raw = td.readings(spark, sf)
-    leaving, _ = _leaving(spark, sf)
+    path = work_path(spark, "readings")
+    td.readings(spark, sf).write.parquet(path)
+    raw = spark.read.schema(READING).parquet(path)
+    leaving = retention.older_than(raw, _cutoff(raw))
     stored = read_ndjson(spark, write_chunks(leaving, work_path(spark, "chunks"), RUN_ID, max_files=None))
     side = [
         df.select(F.lit(name).alias("side"))

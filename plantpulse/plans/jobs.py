@@ -240,8 +240,12 @@ def live_kpi(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        write_hot_batch(batch, hot, f"{name}-{number}", keep_minutes=READERS_MINUTES)
-        update_minute_kpi(batch.sparkSession, hot, current(dims), out, batch, **options)
+        batch.persist(StorageLevel.MEMORY_AND_DISK)  # stored, then asked for its minutes
+        try:
+            write_hot_batch(batch, hot, f"{name}-{number}", keep_minutes=READERS_MINUTES)
+            update_minute_kpi(batch.sparkSession, hot, current(dims), out, batch, **options)
+        finally:
+            batch.unpersist()
 
     return start(raw.writeStream.outputMode("append").foreachBatch(write), checkpoint, cadence)
 

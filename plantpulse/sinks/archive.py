@@ -20,6 +20,10 @@ from plantpulse.sources.readings import (
 )
 
 
+#: Files of a run that its manifest names one by one.
+LISTED_PATHS = 10_000
+
+
 def run_path(root: str, run_id: str) -> str:
     return f"{root.rstrip('/')}/run_id={run_id}"
 
@@ -53,10 +57,11 @@ def _dealt(rows: DataFrame, chunk_docs: int) -> DataFrame:
         offsets[task], total = total, total + n
     if not total:
         return rows
-    starts = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
-    chunk = F.floor((F.try_element_at(starts, F.col("_task")) + F.col("_row")) / chunk_docs).cast("int")
+    starts = rows.sparkSession.createDataFrame(list(offsets.items()), "_task bigint, _start bigint")
+    chunk = F.floor((F.col("_start") + F.col("_row")) / chunk_docs).cast("int")
     chunks = -(-total // chunk_docs)
-    return numbered.withColumn("_chunk", chunk).repartitionById(chunks, "_chunk").drop("_task", "_row", "_chunk")
+    placed = numbered.join(F.broadcast(starts), "_task").withColumn("_chunk", chunk)
+    return placed.repartitionById(chunks, "_chunk").drop("_task", "_row", "_chunk", "_start")
 
 
 def write_snapshot(readings: DataFrame, root: str, run_id: str) -> str:
@@ -98,8 +103,11 @@ def manifest(
 ) -> DataFrame:
     """One row describing an archive run, counted from the files it wrote.
 
-    The list of paths is bounded by the chunks a run may write.
+    Up to ``LISTED_PATHS`` files are named one by one; of more, the folder is named that holds them and nothing else.
     """
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    many = system.getContentSummary(target).getFileCount() > LISTED_PATHS
     written = (
         read_ndjson(spark, files)
         .select("event_timestamp", F.col("_metadata.file_path").alias("file"))
@@ -116,7 +124,7 @@ def manifest(
         F.lit(docs_deleted).cast("bigint").alias("docs_deleted"),
         F.min("lo").alias("min_event_timestamp"),
         F.max("hi").alias("max_event_timestamp"),
-        F.sort_array(F.collect_list("file")).alias("data_paths"),
+        (F.array(F.lit(files)) if many else F.sort_array(F.collect_list("file"))).alias("data_paths"),
     )
 
 

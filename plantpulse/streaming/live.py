@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -105,10 +106,13 @@ def store_messages(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        parsed = parse_messages(batch)
+        parsed = parse_messages(batch).persist(StorageLevel.MEMORY_AND_DISK)
         label = f"{name}-{number}"
-        dead_letters(parsed).write.mode("overwrite").parquet(f"{dead}/ingest_batch={label}")
-        write_hot_batch(good_readings(parsed), path, label, keep_minutes=READERS_MINUTES)
+        try:
+            dead_letters(parsed).write.mode("overwrite").parquet(f"{dead}/ingest_batch={label}")
+            write_hot_batch(good_readings(parsed), path, label, keep_minutes=READERS_MINUTES)
+        finally:
+            parsed.unpersist()
 
     return start(records.writeStream.outputMode("append").foreachBatch(write), checkpoint, cadence)
 

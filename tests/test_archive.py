@@ -199,3 +199,14 @@ def test_nothing_is_deleted_when_the_copy_is_incomplete(spark, hot, tmp_path, mo
     with pytest.raises(jobs.ReconcileError, match="nothing deleted"):
         run_archive(spark, hot, tmp_path, "run1")
     assert ids(open_hot(spark, hot)) == before
+
+
+def test_a_manifest_of_very_many_files_names_their_folder(spark, make, tmp_path, monkeypatch):
+    from plantpulse.sinks import archive as sink
+
+    files = sink.write_chunks(make(*every_minute(9)), str(tmp_path / "raw"), "r", 3, 10)
+    args = {"run_id": "r", "archived_at": AT, "source": "s", "policy": "p", "cutoff": "c", "docs_deleted": 9}
+    assert len(sink.manifest(spark, files, **args).first()["data_paths"]) == 3
+    monkeypatch.setattr(sink, "LISTED_PATHS", 2)
+    row = sink.manifest(spark, files, **args).first()
+    assert row["data_paths"] == [files] and row["docs_archived"] == 9
