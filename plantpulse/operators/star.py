@@ -77,16 +77,29 @@ def measures() -> dict[str, Column]:
     }
 
 
-def _combined() -> dict[str, Column]:
+def combined() -> dict[str, Column]:
     """The same facts from rows that hold them already for parts of a group."""
     how = {"min_reading": F.min, "max_reading": F.max}
     return {name: how.get(name, F.sum)(name) for name in measures()}
 
 
-def _aggregate(rows: DataFrame, by: Sequence[str], facts: Mapping[str, Column]) -> DataFrame:
+def aggregate(rows: DataFrame, by: Sequence[str], facts: Mapping[str, Column]) -> DataFrame:
     return rows.groupBy(*by).agg(*[fact.alias(name) for name, fact in facts.items()])
 
 
+def tells(condition: Column, keys: Sequence[str], where_on: Sequence[str], dims: Mapping[str, DataFrame], rows: DataFrame) -> bool:
+    """Whether ``condition`` speaks of ``keys`` and of the attributes ``where_on`` alone; ``rows`` have the keys."""
+    parts = _parts(dims, [a for a in where_on if a in _OWNER])
+    # an empty table of these columns: a filter on a projection may reach for columns below it
+    bare = rows.sparkSession.createDataFrame([], rows.select(*keys).schema)
+    return _resolves(condition, _joined(bare, parts, dict.fromkeys(parts, True)))
+
+
+def key_of(name: str) -> str:
+    """The KPI key that tells an attribute, or the column itself."""
+    return ATTRIBUTES[_OWNER[name]][0] if name in _OWNER else name
+
+
 def _resolves(condition: Column, rows: DataFrame) -> bool:
     """Whether ``condition`` can be told from the columns of ``rows``."""
     try:
@@ -105,23 +118,25 @@ def summarise(
     where_on: Sequence[str] = (),
     having: Column | None = None,
     max_bytes: int = BROADCAST_BYTES,
+    summed: bool = False,
 ) -> DataFrame:
     """Measures grouped by attributes or KPI keys; ``where`` filters on those and on the attributes
     named by ``where_on``.
 
     With small dimensions, KPI rows are joined and grouped in one shuffle. If one is too large to
     broadcast, rows are first summed up per combination of the join keys, and only the sums go
-    through the joins; unless ``where`` speaks of single KPI rows, as a filter on a measure does.
+    through the joins; unless ``where`` speaks of single KPI rows, as a filter on a measure does. ``summed``: rows hold
+    the measures of several KPI rows already, under the names of ``measures``.
     """
     parts = _parts(dims, [a for a in dict.fromkeys([*by, *where_on]) if a in _OWNER])
     small = _small(parts, max_bytes)
-    rows, facts = kpi, measures()
+    rows, facts = kpi, combined() if summed else measures()
     plain = [c for c in [*by, *where_on] if c not in _OWNER]
     keys = dict.fromkeys([*[ATTRIBUTES[d][0] for d in parts], *plain])
     if not all(small.values()) and (where is None or _resolves(where, _joined(kpi.select(*keys), parts, small))):
-        rows, facts = _aggregate(kpi, list(keys), facts), _combined()
+        rows, facts = aggregate(kpi, list(keys), facts), combined()
     rows = _joined(rows, parts, small)
     if where is not None:
         rows = rows.where(where)
-    out = _aggregate(rows, by, facts)
+    out = aggregate(rows, by, facts)
     return out if having is None else out.where(having)

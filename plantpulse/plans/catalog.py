@@ -32,10 +32,12 @@ from plantpulse.plans.jobs import (
 from plantpulse.plans.incremental import run_incremental_kpi
 from plantpulse.plans.late import replay_late
 from plantpulse.plans.publish import read_kpi_table
+from plantpulse.plans.rollups import refresh_rollups, summarise_rolled
 from plantpulse.schemas import MANIFEST, READING
 from plantpulse.session import use_utc, work_path
 from plantpulse.sinks.archive import archive_layout, write_chunks, write_snapshot
 from plantpulse.sinks.hot import compact_hot, delete_hot, hot_version, newest_second, open_hot, write_hot_batch
+from plantpulse.sinks.tables import swap_partitions
 from plantpulse.sources import testdata as td
 from plantpulse.sources.dimensions import read_csv, read_json_records
 from plantpulse.sources.readings import (
@@ -279,6 +281,17 @@ def bi_machine_criticality(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def bi_rolled(spark: SparkSession, sf: str) -> DataFrame:
+    """``bi_city_capacity`` from half past midnight on: a whole hour from hour sums, half an hour from the KPI table."""
+    out, start = work_path(spark, "rollups"), "2024-01-01 00:30:00"
+    swap_partitions(live.kpi_table_rows(_kpi(spark, sf)), f"{out}/minute_kpi", live.KPI_TABLE_PARTITIONS)
+    refresh_rollups(spark, out)
+    return summarise_rolled(
+        spark, out, td.dimensions(spark, sf), ["city", "capacity_class"], start=start, having=F.col("num_events") > 10
+    )
+
+
 @query
 def bi_downtime_having(spark: SparkSession, sf: str) -> DataFrame:
     return star.summarise(

@@ -263,6 +263,7 @@ ORDER BY event_timestamp_utc DESC, _id LIMIT 10"""),
             "city, capacity_class",
             f"WHERE kpi_minute_start_utc >= TIMESTAMP '{c.BI_START}' AND kpi_minute_start_utc < TIMESTAMP '{c.BI_END}'",
             "HAVING sum(num_events) > 10"),
+        "bi_rolled": _bi("city, capacity_class", "", "HAVING sum(num_events) > 10"),
         "bi_operator_shift": _bi("experience_level, shift_pattern"),
         "bi_product_category": _bi("category, brand"),
         "bi_machine_criticality": _bi("criticality, machine_type", "WHERE capacity_class <> 'Pilot'"),
