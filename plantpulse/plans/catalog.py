@@ -33,6 +33,8 @@ from plantpulse.plans.incremental import run_incremental_kpi
 from plantpulse.plans.late import replay_late
 from plantpulse.plans.publish import read_kpi_table
 from plantpulse.plans.rollups import refresh_rollups, summarise_rolled
+from plantpulse.plans.sketches import refresh_sketches
+from plantpulse.plans.sketches import top_unmatched as top_unmatched_codes
 from plantpulse.schemas import MANIFEST, READING
 from plantpulse.session import use_utc, work_path
 from plantpulse.sinks.archive import archive_layout, write_chunks, write_snapshot
@@ -229,6 +231,15 @@ def top_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return quality.unmatched_machines(_recent(spark, sf), _machines(spark, sf))
 
 
+@query
+def top_unmatched_sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """The same ranking over a hot store, from sketches per hour and an exact count of the candidates."""
+    hot, path = _hot(spark, sf), work_path(spark, "sketches")
+    refresh_sketches(spark, hot, path)
+    readings = within_lookback(conform_readings(open_hot(spark, hot)), td.AS_OF, td.LOOKBACK)
+    return top_unmatched_codes(spark, path, readings, _machines(spark, sf))
+
+
 @query
 def dim_preview(spark: SparkSession, sf: str) -> DataFrame:
     return quality.first_machines(_machines(spark, sf))

@@ -66,7 +66,7 @@ def run_incremental_kpi(
     The tables are those of ``run_minute_kpi``, over all readings that were ever in the store while this ran, whatever their
     age. The store and the dimensions are taken as they are at the start. A batch that was delivered again with
     other files has its hours recomputed, from the store and from ``archived`` (readings that have left it, in the raw
-    schema). ``rebuild`` recomputes all hours the store has, for changed limits or machines; a machine that moves else changes
+    schema); an hour that the store has nothing of keeps its KPIs, as after an archive run. ``rebuild`` recomputes all hours the store has, for changed limits or machines; a machine that moves else changes
     factory in hours that get new readings only.
 
     Order: KPI hours, alerts, then the state with its ledger, each swapped in whole. A run that dies in between is
@@ -87,6 +87,13 @@ def run_incremental_kpi(
     if not fresh:
         return KpiRun(base.number)
     whole = {p for p, sources in fresh.items() if rebuild or any((p, b) in ledger for _, b in sources)}
+    # hours that a batch had readings of before it was delivered again without them
+    renewed = {b: w for sources in fresh.values() for w, b in sources}
+    for (place, batch), write in list(ledger.items()):
+        if renewed.get(batch, write) != write:
+            del ledger[place, batch]
+            fresh.setdefault(place, set())
+            whole.add(place)
     machines = conform_machines(dims["dim_machine"], normalise=normalise)
     sensors = conform_sensors(dims["dim_sensor_type"])
     size = measured_bytes({"machines": machines, "sensors": sensors})
@@ -112,9 +119,11 @@ def run_incremental_kpi(
             kpi_table_rows(kpi_from_partials(merged.select(*PARTIAL_KEYS, *names[5:13]), machines, broadcast=small)),
             f"{out}/minute_kpi",
             KPI_TABLE_PARTITIONS,
+            whole,
         )
         _write_alerts(spark, added, again, machines, small, f"{out}/alert_events")
-        swap_partitions(merged.unionByName(_ledger_rows(spark, ledger, fresh, schema), allowMissingColumns=True), state_path, KPI_TABLE_PARTITIONS)
+        rows = merged.unionByName(_ledger_rows(spark, ledger, fresh), allowMissingColumns=True)
+        swap_partitions(rows, state_path, KPI_TABLE_PARTITIONS, whole)
     return KpiRun(base.number, sum(map(len, fresh.values())), len(fresh), len(whole))
 
 
@@ -139,7 +148,7 @@ def _ledger(state: DataFrame | None, folders: list[Folder]) -> dict[tuple, str]:
     return {((str(r["kpi_date"]), r["kpi_hour"]), r["source_batch"]): r["source_write"] for r in rows}
 
 
-def _ledger_rows(spark: SparkSession, ledger: dict, fresh: dict, schema) -> DataFrame:
+def _ledger_rows(spark: SparkSession, ledger: dict, fresh: dict) -> DataFrame:
     """The ledger of the hours that are written."""
     known = {key: write for key, write in ledger.items() if key[0] in fresh}
     known |= {(place, batch): write for place, sources in fresh.items() for write, batch in sources}

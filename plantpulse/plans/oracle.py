@@ -252,6 +252,9 @@ FROM (SELECT e.*, d.machine_id AS machine,
                 "product_id": "dim_product", "sensor_type_id": "dim_sensor_type"}.items())),
         "top_unmatched": _sql("""
 SELECT machine_id, count(*) AS num_events FROM joined WHERE factory_id IS NULL
+GROUP BY machine_id ORDER BY num_events DESC, machine_id NULLS FIRST LIMIT 20"""),
+        "top_unmatched_sketched": _sql("""
+SELECT machine_id, count(*) AS num_events FROM joined WHERE factory_id IS NULL
 GROUP BY machine_id ORDER BY num_events DESC, machine_id NULLS FIRST LIMIT 20"""),
         "dim_preview": _sql("SELECT machine_id, factory_id FROM dim_machine ORDER BY machine_id, factory_id LIMIT 10"),
         "latest_events": _sql("""

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import threading
 import uuid
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
@@ -45,8 +45,13 @@ def _files(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def swap_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
-    """Replace the partitions that ``df`` has rows for, so that a failure at any point loses nothing."""
+def swap_partitions(
+    df: DataFrame, path: str, partitions: Sequence[str], also: Iterable[Sequence[str | int]] = ()
+) -> None:
+    """Replace the partitions that ``df`` has rows for, so that a failure at any point loses nothing.
+
+    ``also``: values of partitions that are emptied if ``df`` has no rows for them.
+    """
     spark, name = df.sparkSession, uuid.uuid4().hex
     root = f"{path.rstrip('/')}/{PENDING}"
     with _alone(path):
@@ -55,11 +60,12 @@ def swap_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> None
         made, files = _files(spark, f"{root}/{name}/" + "/".join("*=*" for _ in partitions))
         start = files.makeQualified(_files(spark, f"{root}/{name}")[0]).toString() + "/"
         leaves = [s.getPath().toString().removeprefix(start) for s in files.globStatus(made) or ()]
-        _note(spark, f"{root}/{name}.json", leaves)
+        emptied = {"/".join(f"{p}={v}" for p, v in zip(partitions, values)) for values in also} - set(leaves)
+        _note(spark, f"{root}/{name}.json", {"replaced": leaves, "emptied": sorted(emptied)})
         recover(spark, path)
 
 
-def _note(spark: SparkSession, path: str, leaves: list[str]) -> None:
+def _note(spark: SparkSession, path: str, leaves: dict[str, list[str]]) -> None:
     """A file that is there whole or not at all."""
     draft, files = _files(spark, f"{path}.draft")
     out = files.create(draft, True)
@@ -81,7 +87,9 @@ def recover(spark: SparkSession, path: str) -> int:
             stream = files.open(target)
             leaves = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
             stream.close()
-            for leaf in leaves:
+            for leaf in leaves["emptied"]:
+                files.delete(_files(spark, f"{path.rstrip('/')}/{leaf}")[0], True)
+            for leaf in leaves["replaced"]:
                 _take_place(files, _files(spark, f"{root}/{name}/{leaf}")[0], _files(spark, f"{path.rstrip('/')}/{leaf}")[0])
             files.delete(target, False)  # before its folder: without a note the folder counts for nothing
             files.delete(_files(spark, f"{root}/{name}")[0], True)

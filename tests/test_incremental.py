@@ -111,6 +111,23 @@ def test_a_batch_delivered_again_recomputes_its_hours(spark, make, dims, places,
     assert kpis(spark, out)[0] == want[0]
 
 
+def test_a_batch_delivered_again_with_fewer_hours(spark, make, dims, places, tmp_path):
+    hot, out = places
+    write_hot_batch(some(make, 0, 150), hot, "a")  # hours 10, 11 and 12
+    write_hot_batch(some(make, 100, 119), hot, "b")
+    run_incremental_kpi(spark, hot, dims, out)
+    write_hot_batch(some(make, 0, 30), hot, "a")
+    run = run_incremental_kpi(spark, hot, dims, out)
+    assert run.recomputed == 2  # the store has nothing of hour 12 any more
+    assert run_incremental_kpi(spark, hot, dims, out).batches == 0
+    rows = spark.read.parquet(f"{out}/minute_kpi").where("kpi_hour < 12").drop("kpi_date", "kpi_hour")
+    jobs.run_minute_kpi(spark, open_hot(spark, hot), dims, AT, str(tmp_path / "full"))
+    full_rows = spark.read.parquet(str(tmp_path / "full/minute_kpi")).drop("kpi_date", "kpi_hour")
+    assert rows.select("num_events", "machine_id", "kpi_minute_start_utc").exceptAll(
+        full_rows.select("num_events", "machine_id", "kpi_minute_start_utc")
+    ).count() == 0 and rows.count() == full_rows.count()
+
+
 def test_compaction_before_the_first_run_and_between(spark, make, dims, places, tmp_path):
     hot, out = places
     write_hot_batch(some(make, 0, 30), hot, "a")

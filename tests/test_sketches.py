@@ -1,0 +1,82 @@
+"""Rankings and distinct counts from hourly sketches against exact ones."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from plantpulse.operators.conform import conform_machines, conform_readings
+from plantpulse.operators.quality import unmatched_machines
+from plantpulse.plans import sketches
+from plantpulse.plans.sketches import distinct_codes, refresh_sketches, top_unmatched
+from plantpulse.sinks.hot import compact_hot, delete_hot, open_hot, write_hot_batch
+
+
+def skewed(spark, make, n, seed, spread):
+    """A third of all readings from one unknown machine, others by a power law, a long tail of codes seen once."""
+    rank = F.floor(F.pow(F.rand(seed), 3) * spread)
+    code = F.when(F.rand(seed + 1) < 0.33, "GHOST").when(F.rand(seed + 2) < 0.2, F.concat(F.lit("tail"), "id")).otherwise(
+        F.concat(F.lit(" m"), rank.cast("string"))
+    )
+    at = F.date_format(F.timestamp_seconds(1_704_067_200 + F.col("id") % 7200), "yyyy-MM-dd HH:mm:ss")
+    one = make({}).drop("_id", "machine_id", "event_timestamp")
+    rows = spark.range(n).select(F.concat(F.lit(f"{seed}-"), "id").alias("_id"), F.when(F.col("id") % 50 > 0, code).alias("machine_id"), at.alias("event_timestamp"))
+    return rows.crossJoin(one).select(make({}).columns)
+
+
+@pytest.fixture
+def places(tmp_path):
+    return str(tmp_path / "hot"), str(tmp_path / "sketches")
+
+
+@pytest.fixture
+def machines(spark):
+    return conform_machines(spark.createDataFrame([("M0", "F"), ("M3", "F"), ("M5", None)], "machine_id string, factory_id string"))
+
+
+def test_top_unmatched_equals_the_exact_one(spark, make, machines, places, monkeypatch):
+    hot, path = places
+    for i in range(3):
+        write_hot_batch(skewed(spark, make, 8000, 10 * i, 60), hot, f"b-{i}")
+        assert refresh_sketches(spark, hot, path) == 2 and refresh_sketches(spark, hot, path) == 0
+    compact_hot(spark, hot, most_files=0)
+    assert refresh_sketches(spark, hot, path) == 0
+    readings = conform_readings(open_hot(spark, hot))
+    want = [tuple(r) for r in unmatched_machines(readings, machines).collect()]
+    monkeypatch.setattr(sketches, "unmatched_machines", None)  # the sketch is enough
+    assert [tuple(r) for r in top_unmatched(spark, path, readings, machines).collect()] == want
+    assert want[0][0] == "GHOST" and None in [w[0] for w in want] and len(want) == 20
+
+
+@pytest.mark.parametrize("tracked", [8, 64])
+def test_a_tail_that_could_rank_is_counted(spark, make, machines, places, monkeypatch, tracked):
+    hot, path = places
+    write_hot_batch(skewed(spark, make, 6000, 5, 4000), hot, "a")
+    refresh_sketches(spark, hot, path, tracked)
+    readings, asked = conform_readings(open_hot(spark, hot)), []
+    monkeypatch.setattr(sketches, "unmatched_machines", lambda *a: asked.append(1) or unmatched_machines(*a))
+    got = top_unmatched(spark, path, readings, machines, tracked=tracked).collect()
+    assert got == unmatched_machines(readings, machines).collect() and asked == [1]
+
+
+def test_batches_again_deletes_and_distinct_counts(spark, make, machines, places):
+    hot, path = places
+    write_hot_batch(skewed(spark, make, 4000, 1, 500), hot, "a")
+    refresh_sketches(spark, hot, path)
+    again = skewed(spark, make, 3000, 2, 500)
+    write_hot_batch(again, hot, "a")
+    assert refresh_sketches(spark, hot, path) == 1  # the second hour has none of them any more
+    exact = conform_readings(again).agg(F.countDistinct("machine_id"), F.count("*")).first()
+    (row,) = distinct_codes(spark, path).collect()
+    assert row["readings"] == exact[1] and abs(row["codes"] - exact[0]) < 0.05 * exact[0]
+    delete_hot(spark, hot, again.where("event_timestamp < '2024-01-01 01'"))
+    assert refresh_sketches(spark, hot, path) == 0 and distinct_codes(spark, path).first()["readings"] == 3000
+    readings = conform_readings(open_hot(spark, hot))
+    assert top_unmatched(spark, path, readings, machines).collect() == unmatched_machines(readings, machines).collect()
+
+
+def test_empty_stores(spark, make, machines, places):
+    hot, path = places
+    assert refresh_sketches(spark, hot, path) == 0
+    write_hot_batch(make({"event_timestamp": "bad"}), hot, "a")
+    assert refresh_sketches(spark, hot, path) == 0
+    readings = conform_readings(open_hot(spark, hot))
+    assert [r["machine_id"] for r in top_unmatched(spark, path, readings, machines).collect()] == ["MAC1"]

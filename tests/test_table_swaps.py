@@ -85,3 +85,8 @@ def test_a_value_far_away_opens_its_own_partition_only(spark, path, monkeypatch)
     assert in_same_partitions(old, new.limit(0), PARTS).count() == 0
     monkeypatch.setattr(tables, "LISTED_VALUES", 1)
     assert [r["k"] for r in in_same_partitions(old, new, PARTS).collect()] == ["a"]
+
+
+def test_partitions_without_new_rows_are_emptied_when_asked(spark, path):
+    tables.swap_partitions(frame(spark, ("z", 9, "2024-01-01", 1)), path, PARTS, [("2024-01-01", 1), ("2024-01-01", 2), ("2030-01-01", 1)])
+    assert rows(spark, path) == [("c", 1), ("z", 9)]
