@@ -2,19 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantpulse.session import work_path
+from plantpulse.session import remove_path, work_path
+
+_recorded: list[str] = []
+_recording = False
+
+
+def stage_of_pipeline(stage: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """For a stage whose result is written before the next one starts: the tables it stages go when the next one does.
+
+    A table that the next stage's documents still read, because its predecessor was not written, stays.
+    """
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _recording
+        _release(spark, docs)
+        _recording = True
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            _recording = False
+
+    return run
+
+
+def _release(spark: SparkSession, docs: DataFrame) -> None:
+    """Delete recorded tables that ``docs`` does not read, and let Spark drop the shuffles of what is no longer held."""
+    if not _recorded:
+        return
+    read = [f.split("://", 1)[-1].removeprefix("file:") for f in docs.inputFiles()]
+    for path in list(_recorded):
+        bare = path.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
+        if not any(bare.lstrip("/") in f for f in read):
+            remove_path(spark, path)
+            _recorded.remove(path)
+    spark.sparkContext._jvm.System.gc()
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet below ``spark.checkpoint.dir`` and read back.
 
     Cuts the lineage: whatever is computed from the result survives lost executors, and several
-    readers do not compute ``df`` again. The folder expires the files.
+    readers do not compute ``df`` again. The folder expires the files, but for those of pipeline stages.
     """
     path = work_path(df.sparkSession, label)
+    if _recording:
+        _recorded.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -29,3 +29,22 @@ def test_copies_cases(spark):
     wanted = [(1, "a"), (1, "a"), (3, None), (4, None), (5, ""), (7, "b"), (None, "c"), (None, "c")]
     assert got == sorted(map(str, wanted))
     assert cp.without_copies(docs.limit(0)).count() == 0
+
+
+def test_stages_leave_no_tables_of_earlier_stages(spark):
+    import glob
+
+    import corpus_pipeline as cp
+    from conftest import SMALL
+    from plantpulse.llm import staging
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{shared}/*"))
+    docs, kept = cp.table(spark, SMALL, "documents"), set()
+    for name, stage in cp.STAGES:
+        docs = stage(spark, docs, SMALL)
+        docs = staging.staged(docs, f"test-{name}")
+        kept |= {p for p in glob.glob(f"{shared}/test-{name}-*") if p not in before}
+    left = set(glob.glob(f"{shared}/*")) - before - kept
+    assert len(kept) == len(cp.STAGES) and left == set()  # the last two stages stage nothing
+    assert docs.count() > 0
