@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.llm import bpe, decontamination, jaccard_join, language_id, line_dedup
 from plantpulse.llm.queries import table, vocabulary
-from plantpulse.llm.staging import staged, staged_ids
+from plantpulse.llm.staging import stage_of_pipeline, staged, staged_ids
 
 #: Least confidence in a document's language.
 LEAST_CONFIDENCE = 0.2
@@ -44,6 +44,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     return _keyed(docs).join(staged_ids(copies, "text-copies"), _KEY, "left_anti").select(*docs.columns)
 
 
+@stage_of_pipeline
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters, or less than ``LEAST_CONFIDENCE`` in any.
 
@@ -59,6 +60,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.drop("lang_pred", "score").withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"})
 
 
+@stage_of_pipeline
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes chunks of lines that an earlier document has out of texts; documents with nothing left go.
 
@@ -73,6 +75,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.select(*names)
 
 
+@stage_of_pipeline
 def dedup_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents (5-word shingles, 0.8) the smallest doc_id stays, once."""
     keyed = _keyed(docs)
@@ -85,11 +88,13 @@ def dedup_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keyed.join(kept, _KEY, "left_semi").dropDuplicates([_KEY]).select(*docs.columns)
 
 
+@stage_of_pipeline
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage_of_pipeline
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the texts, with digests of the ids and of what they decode to."""
     words = vocabulary()
