@@ -2,14 +2,15 @@
 
 Of all suffixes of the corpus only those are kept that start at a minimiser: the place of the least hash
 among ``WINDOW`` neighbouring runs of words. Which places these are follows from the words alone, so two copies of
-a passage keep the same suffixes. The kept suffixes are brought together by the hash of their first words, and all
-windows of ``PASSAGE`` words around them are compared.
+a passage keep the same suffixes. The kept suffixes are sorted by their words, over all tasks. Neighbours tell how far a match goes to
+the right, a second order by the words before them how far to the left; matches of ``PASSAGE`` words are repeated.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ PASSAGE = 50
 RUN, WINDOW = 8, 32
 #: Words that suffixes must share before they are compared: what a passage has right of its first minimiser.
 BLOCK = PASSAGE - WINDOW + 1
-#: More suffixes with the same first words than this are not compared in one group, but by their windows of ``PASSAGE`` words.
-GROUP = 1000
+#: Suffixes whose matches are worked out at once, at least; a block is never parted.
+CHUNK = 5000
+
+MATCH = "node bigint, start bigint, end bigint, removable boolean"
 
 
 def _anchors(hashes: np.ndarray) -> np.ndarray:
@@ -80,7 +83,10 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Words left and right of every suffix of ``wanted`` (rep, identity, node, suffixes), read from the texts again."""
+    """Words right of every suffix of ``wanted`` (rep, identity, node, suffixes), and left of it from right to left, read from the texts again.
+
+    Every word ends in a space, so that texts with the same first words are neighbours in the order of the strings.
+    """
     fields = "block bigint, node bigint, doc_id {}, place int, left string, right string"
     key = docs.schema["doc_id"].dataType.simpleString()
     names = ["block", "node", "doc_id", "place", "left", "right"]
@@ -98,8 +104,8 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             own = lower[offsets[d - i] : offsets[d - i + 1]].split()
             for s in batch.column(4)[d].as_py():
                 p = s["place"]
-                left, right = own[max(0, p - WINDOW + 1) : p], own[p : p + PASSAGE]
-                rows.append((s["block"], p, b" ".join(left).decode(), b" ".join(right).decode()))
+                left, right = own[max(0, p - WINDOW + 1) : p][::-1], own[p : p + PASSAGE]
+                rows.append((s["block"], p, *(b"".join(w + b" " for w in side).decode() for side in (left, right))))
                 where.append(d)
         block, place, left, right = zip(*rows) if rows else ((),) * 4
         of = pa.array(where, pa.int64())
@@ -122,144 +128,212 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.select("rep_id", "text", "identity", "node", "suffixes").mapInArrow(run, fields.format(key))
 
 
-def _windows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(window, doc_id, identity, start): digests of the windows of ``PASSAGE`` words whose minimiser has one of the blocks ``hot``, in order.
+def _common(a: list[str], b: list[str]) -> int:
+    if a == b:
+        return len(a)
+    return next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
-    Equal windows have equal minimisers, so all holders of a window are found.
-    """
-    key = docs.schema["doc_id"].dataType.simpleString()
-    names = ["window", "doc_id", "identity", "start"]
-    shared = docs.sparkSession.sparkContext.broadcast(hot)  # one number for every GROUP suffixes at most
 
-    def of_slice(batch: pa.RecordBatch, i: int, j: int, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        words, lower, hot = Words(data, offsets, SPACE), FOLD[data].tobytes(), shared.value
-        windows, identities, starts, where = [], [], [], []
-        for d in range(i, j):
-            hashes = words.hashes[words.first[d - i] : words.first[d - i + 1]]
-            anchors = _anchors(hashes)[: max(0, len(hashes) - PASSAGE + 1)]
-            places, of = np.unique(anchors, return_inverse=True)
-            blocks = runs(hashes, places, BLOCK).view(np.int64)
-            found = np.flatnonzero((hot[np.minimum(np.searchsorted(hot, blocks), len(hot) - 1)] == blocks)[of])
-            if not len(found):
-                continue
-            own = lower[offsets[d - i] : offsets[d - i + 1]].split()
-            windows += [hashlib.blake2b(b" ".join(own[s : s + PASSAGE]), digest_size=16).digest() for s in found.tolist()]
-            identities += [_identity(hashes)] * len(found)
-            starts.append(found)
-            where.append(np.full(len(found), d))
-        none = np.zeros(0, np.int64)
-        columns = [
-            pa.array(windows, pa.binary()),
-            batch.column(0).take(pa.array(np.concatenate(where or [none]))),
-            pa.array(identities, pa.binary()),
-            pa.array(np.concatenate(starts or [none])),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names)
+def _neighbours(blocks: list, sides: list[list[str]]) -> np.ndarray:
+    """Words that each row shares with the one before it; -1 where a block begins, and once more after the last row."""
+    shared = np.full(len(blocks) + 1, -1, np.int64)
+    for i in range(1, len(blocks)):
+        if blocks[i] == blocks[i - 1]:
+            shared[i] = _common(sides[i - 1], sides[i])
+    return shared
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch.column(1)):
-                yield of_slice(batch, *part)
 
-    fields = f"window binary, doc_id {key}, identity binary, start bigint"
-    return docs.select("doc_id", "text").mapInArrow(run, fields)
+def _intervals(shared: np.ndarray, size: int) -> np.ndarray:
+    """First row of the rows in order that share ``size`` words with each row."""
+    return np.maximum.accumulate(np.where(shared[:-1] < size, np.arange(len(shared) - 1), 0))
 
 
-def _hot_matches(docs: DataFrame, nodes: DataFrame, hot: np.ndarray) -> DataFrame:
-    """What ``_matches`` returns, for suffixes of the blocks ``hot``.
+def _resolve(group: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """node, start, end, removable of the repeated passages among suffixes (block, node, doc_id, place, left, right) in order.
 
-    A window's least document comes from an aggregate, so that a window that a large part of all documents have is one row
-    per task; the join back is of two written tables, which can be split.
+    A window of ``PASSAGE`` words with ``k`` words left of the suffix is common to the rows that share ``PASSAGE - k`` words in the order
+    to the right and ``k`` in the order to the left: an interval in each. Suffixes whose neighbours in either order share too few words have
+    no such window.
     """
-    windows = staged(_windows(docs, hot), "hot-windows")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "identity")
-    holders = windows.groupBy("window").agg(
-        F.min(order).alias("least"), F.min("identity").alias("lo"), F.max("identity").alias("hi")
-    )
-    holders = staged(holders.where("lo < hi").select("window", F.col("least.identity").alias("keeper")), "hot-shared")
-    held = windows.join(holders, "window")
-    span = F.struct("start", (F.col("start") + PASSAGE).alias("end"))
-    # a document's own; copies give the same ones
-    spans = held.groupBy("identity").agg(
-        _union(F.collect_set(span)).alias("spans"),
-        _union(F.collect_set(F.when(F.col("identity") != F.col("keeper"), span))).alias("removable"),
-    )
-    flagged = F.concat(
-        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(False).alias("removable"))),
-        F.transform("removable", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(True).alias("removable"))),
-    )
-    return nodes.select("identity", "node").join(spans, "identity").select("node", F.explode(flagged).alias("s")).select("node", "s.*")
+    blocks, nodes, doc_ids, places, lefts, rights = zip(*group)
+    n, node, place = len(group), np.array(nodes, np.int64), np.array(places, np.int64)
+    ranks = {of: r for r, (*_, of) in enumerate(sorted({(d is None, d, of) for d, of in zip(doc_ids, nodes)}))}
+    rank = np.fromiter((ranks[of] for of in nodes), np.int64, n)
+    to_right = _neighbours(blocks, rights)
+    reach_right = np.maximum(to_right[:-1], to_right[1:])
+    by_left = sorted(range(n), key=lambda i: (blocks[i], lefts[i]))
+    to_left = _neighbours([blocks[i] for i in by_left], [lefts[i] for i in by_left])
+    reach_left = np.zeros(n, np.int64)
+    reach_left[by_left] = np.maximum(to_left[:-1], to_left[1:])
+    # by row and words to the left: 0 no, 1 repeated and kept here, 2 repeated and removable
+    marks = np.zeros((n, WINDOW + 2), np.int8)
+    left_interval = np.zeros(n, np.int64)
+    for k in range(WINDOW):
+        rows = np.flatnonzero((reach_right >= PASSAGE - k) & (reach_left >= k))
+        if len(rows) < 2:
+            continue
+        left_interval[by_left] = _intervals(to_left, k)
+        window = _intervals(to_right, PASSAGE - k)[rows] * n + left_interval[rows]
+        _, window = np.unique(window, return_inverse=True)
+        least, most = np.full(len(rows), n, np.int64), np.zeros(len(rows), np.int64)
+        np.minimum.at(least, window, rank[rows])
+        np.maximum.at(most, window, rank[rows])
+        least, most = least[window], most[window]
+        marks[rows, k + 1] = (least < most) * (1 + (rank[rows] > least))
+    # runs of equal marks along a row are one span
+    change = np.diff(marks, axis=1) != 0
+    row, first = np.nonzero(change[:, :-1] & (marks[:, 1:-1] > 0))
+    _, last = np.nonzero(change[:, 1:] & (marks[:, 1:-1] > 0))
+    return node[row], place[row] - last, place[row] - first + PASSAGE, marks[row, first + 1] == 2
 
 
 def compare(group: list[tuple]) -> list[tuple[int, int, int, bool]]:
-    """(node, start, end, removable) of the repeated passages among suffixes with the same first words.
+    """(node, start, end, removable) of the repeated passages among suffixes of one block.
 
-    ``group`` has (node, doc_id, place, left words, right words). All windows of ``PASSAGE`` words around the places are
-    compared; those that several nodes have are repeated, and removable in all but the least doc_id. Consecutive ones
-    are joined.
+    ``group`` has (node, doc_id, place, left words, right words). Windows of ``PASSAGE`` words that several nodes have are repeated, and
+    removable in all but the least doc_id. Consecutive ones are joined.
     """
-    # numbers of sequences of words, by the number of the sequence without its last word, and that word
-    longer: dict[tuple[int, str], int] = {}
-
-    def prefixes(start: int, words: list[str]) -> list[int]:
-        numbers = [start]
-        for word in words:
-            numbers.append(longer.setdefault((numbers[-1], word), len(longer) + 2))
-        return numbers
-
-    holders: dict[tuple[int, int], list] = {}  # least order, first node, whether others have it
-    windows = []
-    for node, doc_id, _, left, right in group:
-        order = (doc_id is None, doc_id, node)
-        to_left, to_right = prefixes(0, left[::-1]), prefixes(1, right[:PASSAGE])
-        own = [(k, (to_left[k], to_right[PASSAGE - k])) for k in range(max(0, PASSAGE + 1 - len(to_right)), len(to_left))]
-        for _, window in own:
-            known = holders.setdefault(window, [order, node, False])
-            known[2] |= known[1] != node
-            known[0] = min(known[0], order)
-        windows.append(own)
-    found = []
-    for (node, doc_id, place, _, _), own in zip(group, windows):
-        order, last = (doc_id is None, doc_id, node), None
-        for k, window in own:
-            least, _, repeated = holders[window]
-            if not repeated:
-                continue
-            start, removable = place - k, least != order
-            if last and last[1] == start + 1 and last[3] == removable:
-                last[1] = start
-            else:
-                last = [node, start, start + PASSAGE, removable]
-                found.append(last)
-    return [tuple(f) for f in found]
+    rows = sorted(((0, n, d, p, left[::-1], right) for n, d, p, left, right in group), key=lambda g: g[5])
+    return list(zip(*(c.tolist() for c in _resolve(rows))))
+
+
+def _digest(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
+
+
+def _open_windows(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """(window, node, doc_id, start) of windows that may be repeated, of a block that other tasks may have a part of."""
+    rows = iter(rows)
+    row, before, after = next(rows), PASSAGE, next(rows, None)
+    while row:
+        _, node, doc_id, place, left, right = row
+        shared = _common(right, after[5]) if after else PASSAGE
+        reach = min(len(right), max(before, shared))
+        for k in range(max(0, PASSAGE - reach), len(left) + 1):
+            yield _digest(left[:k][::-1] + right[: PASSAGE - k]), node, doc_id, place - k
+        row, before, after = after, shared, next(rows, None)
+
+
+def _emitted(key: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of (node, start, end, removable, window, doc_id); window is null where the match is settled."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), key)
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    names = ["node", "start", "end", "removable", "window", "doc_id"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for block, node, doc_id, place, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+            yield block, node, doc_id, place, left.split(" ")[:-1], right.split(" ")[:-1]
 
 
 def _matches(contexts: DataFrame) -> DataFrame:
-    """(node, start, end, removable) in words."""
+    """``MATCH``, window, doc_id: settled matches of blocks that one task has whole, windows of the others.
+
+    The order is cut into ranges of about the same size, so a block with many suffixes is dealt over tasks. A task's first and last block
+    may go on in others. The task streams these and holds ``CHUNK`` suffixes, or one whole block, of the rest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emitted(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows)) if rows else [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["node", "start", "end", "removable"]
-            )
+        head = next(batches, None)
+        if head is None:
+            return
+        key, rows = head.schema.field("doc_id").type, _suffixes(chain([head], batches))
+        row = next(rows, None)
+        if row is None:
+            return
+        first, beyond = row[0], []
+
+        def of_first() -> Iterator[tuple]:
+            yield row
+            for r in rows:
+                if r[0] != first:
+                    beyond.append(r)
+                    return
+                yield r
+
+        out = []
+        for window, node, doc_id, start in _open_windows(of_first()):
+            out.append((node, start, start + PASSAGE, None, window, doc_id))
+            if len(out) >= 10_000:
+                yield _emitted(key, out)
+                out = []
+        whole, current = [], beyond
+        for r in rows:
+            if r[0] != current[-1][0]:
+                whole += current if len(current) > 1 else []
+                current = []
+                if len(whole) >= CHUNK:
+                    yield _emitted(key, _settled(whole))
+                    whole = []
+            current.append(r)
+        out += _settled(whole)
+        if current:
+            out += [(n, s, s + PASSAGE, None, w, d) for w, n, d, s in _open_windows(current)]
+        yield _emitted(key, out)
+
+    order = ["block", "right", "left", "node", "place"]
+    ordered = contexts.repartitionByRange(*order).sortWithinPartitions(*order)
+    kind = contexts.schema["doc_id"].dataType.simpleString()
+    return ordered.mapInArrow(run, f"{MATCH}, window binary, doc_id {kind}")
+
+
+def _settled(whole: list[tuple]) -> list[tuple]:
+    found = zip(*(c.tolist() for c in _resolve(whole))) if whole else ()
+    return [(*f, None, None) for f in found]
+
+
+def _window_matches(windows: DataFrame) -> DataFrame:
+    """``MATCH`` of windows (window, node, doc_id, start) from several tasks.
+
+    Sorted by window and document, equal windows are neighbours and the first of them stays. Ranges of the order deal a frequent window
+    over tasks; what a task has of its first and last window is settled by the least document of these, two at most a task.
+    """
+    spark, kind = windows.sparkSession, windows.schema["doc_id"].dataType.simpleString()
+    order = [F.col("window"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("node")]
 
-        group, at, out = [], None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, at, keeper, held, shared = None, None, None, [], False
         for batch in batches:
-            for block, node, doc_id, place, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                if block != at:
-                    out += compare(group) if len(group) > 1 else []
-                    group, at = [], block
-                group.append((node, doc_id, place, left.split(" ") if left else [], right.split(" ")))
-            if len(out) > 10_000:
-                yield emitted(out)
-                out = []
-        out += compare(group) if len(group) > 1 else []
-        yield emitted(out)
+            key, out = batch.schema.field("doc_id").type, []
+            for window, node, doc_id, start in zip(*(c.to_pylist() for c in batch.columns)):
+                first = first or window
+                if window == first:
+                    out.append((node, start, start + PASSAGE, None, window, doc_id))
+                    continue
+                if window != at:
+                    at, keeper, held, shared = window, node, [], False
+                row = (node, start, start + PASSAGE)
+                if node == keeper:
+                    held.append((*row, None, window, doc_id))
+                else:
+                    out += [] if shared else [(*h[:3], False, None, None) for h in held]
+                    shared = True
+                    out.append((*row, True, None, None))
+            yield _emitted(key, out)
+        # the last window may go on in the next task, which then needs its keeper
+        if first:
+            yield _emitted(key, held)
+
+    ordered = windows.select("window", "node", "doc_id", "start").repartitionByRange(*order).sortWithinPartitions(*order)
+    found = staged(ordered.mapInArrow(run, f"{MATCH}, window binary, doc_id {kind}"), "suffix-window-matches")
+    left = found.where(F.col("window").isNotNull())
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node"))["node"]
+    ends = left.groupBy("window").agg(least.alias("keeper"), (F.min("node") < F.max("node")).alias("shared"))
+    keepers = {bytes(r["window"]): r["keeper"] for r in ends.where("shared").collect()}  # two a task at most
+    known = spark.sparkContext.broadcast(keepers)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            rows = [(n, s, s + PASSAGE, n != known.value[w]) for n, s, w in rows if w in known.value]
+            columns = list(zip(*rows)) if rows else [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["node", "start", "end", "removable"])
 
-    ordered = contexts.repartition("block").sortWithinPartitions("block")
-    return ordered.mapInArrow(run, "node bigint, start bigint, end bigint, removable boolean")
+    settled = found.where(F.col("window").isNull()).select("node", "start", "end", "removable")
+    return settled.unionAll(left.select("node", "start", "window").mapInArrow(settle, MATCH))
 
 
 def _union(spans: Column) -> Column:
@@ -287,8 +361,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     Documents with the same words throughout are merged first; all but the least doc_id are removable as a whole. Else a span
     is made of windows of ``PASSAGE`` words that another document has, and the least doc_id of each window keeps it; spans
-    of one document are joined. Windows are compared word by word among suffixes with the same first words, or by digest
-    where more than ``GROUP`` suffixes have these.
+    of one document are joined.
 
     Null and empty texts and texts of fewer words: no row. Repeated rows are copies of each other. Null doc_ids come
     last. Empty table: no rows. Other columns are ignored.
@@ -307,19 +380,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         .select("node", F.col("s.places").alias("place"), F.col("s.blocks").alias("block"))
     )
     posted = staged(posted, "suffixes")
-    repeated = posted.groupBy("block").agg(
-        F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")
-    )
-    repeated = staged(repeated.where("lo < hi").select("block", "n"), "suffix-blocks")
-    few = repeated.where(F.col("n") <= GROUP).select("block")
-    suffixes = posted.join(few, "block").select("node", F.struct("block", "place").alias("s"))
+    repeated = posted.groupBy("block").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    repeated = staged(repeated.where("lo < hi").select("block"), "suffix-blocks")
+    suffixes = posted.join(repeated, "block").select("node", F.struct("block", "place").alias("s"))
     per_node = suffixes.groupBy("node").agg(F.collect_list("s").alias("suffixes"))  # a document's own
     wanted = nodes.select("node", "rep", "identity").join(per_node, "node")
-    found = staged(_matches(_contexts(docs, wanted)), "suffix-matches")
-    # one of GROUP suffixes at most
-    hot = repeated.where(F.col("n") > GROUP).select("block").toArrow()["block"].to_numpy()
-    if len(hot):
-        found = found.unionByName(_hot_matches(docs, nodes, np.sort(hot)))
+    # staged: ranges of the order are drawn from it before it is sorted
+    found = staged(_matches(staged(_contexts(docs, wanted), "suffix-contexts")), "suffix-matches")
+    windows = found.where(F.col("window").isNotNull())
+    found = found.where(F.col("window").isNull()).select("node", "start", "end", "removable").unionAll(_window_matches(windows))
     span = F.struct("start", "end")
     spans = found.groupBy("node").agg(
         _union(F.collect_list(span)).alias("spans"),

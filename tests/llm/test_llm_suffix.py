@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+import pytest
 
-from plantpulse.llm import suffix_dedup
 from plantpulse.llm.suffix_dedup import PASSAGE, WINDOW, compare, minimisers, repeated_passages
 
+SMALL = "/root/testdata/sf0.001"
 FIELDS = "doc_id bigint, text string, spans string"
 
 
@@ -143,14 +144,81 @@ def test_hidden_pairs_are_chained(spark):
     assert {r["doc_id"]: {k for s in r["removable"] for k in range(s["start"], s["end"])} for r in got if r["removable"]} == wanted
 
 
-def test_hot_first_words_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GROUP", 20)
+def lengths(words):
+    """Numbers of a set as (start, end) of its runs."""
+    out = []
+    for k in sorted(words):
+        if out and out[-1][1] == k:
+            out[-1][1] = k + 1
+        else:
+            out.append([k, k + 1])
+    return [tuple(o) for o in out]
+
+
+def brute_spans(rows):
+    """Per row of different texts: spans of repeated windows, and of those that a smaller doc_id has."""
+    owners, texts = {}, {d: words_of(t) for d, t in rows}
+    for d, w in texts.items():
+        for i in range(len(w) - PASSAGE + 1):
+            owners.setdefault(tuple(w[i : i + PASSAGE]), set()).add(d)
+    out = {}
+    for d, w in texts.items():
+        spans, removable = set(), set()
+        for i in range(len(w) - PASSAGE + 1):
+            having = owners[tuple(w[i : i + PASSAGE])]
+            spans |= set(range(i, i + PASSAGE)) if len(having) > 1 else set()
+            removable |= set(range(i, i + PASSAGE)) if min(having) < d else set()
+        if spans:
+            out[d] = lengths(spans), lengths(removable)
+    return out
+
+
+def spans_of(found):
+    def listed(spans):
+        return [(s["start"], s["end"]) for s in spans]
+
+    return {r["doc_id"]: (listed(r["spans"]), listed(r["removable"])) for r in found.collect()}
+
+
+@pytest.fixture
+def many_tasks(spark):
+    """Ranges of the order so small that a frequent block or window lies in many."""
+    names = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_whole_table_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {}  # copies of a text are one node
+    for r in sorted(docs.select("doc_id", "text").collect()):
+        texts.setdefault(tuple(words_of(r["text"])), (r["doc_id"], r["text"]))
+    got, kept = spans_of(repeated_passages(docs)), [t for t in texts.values()]
+    copied = {d for d, _ in kept if d in got and got[d][0] == [(0, len(words_of(dict(kept)[d])))]}
+    wanted = brute_spans(kept)
+    assert wanted
+    for d, _ in kept:
+        if d not in copied:
+            assert got.get(d) == wanted.get(d)
+        elif d in wanted:
+            assert got[d][1] == wanted[d][1]
+
+
+def test_blocks_and_windows_over_many_tasks(spark, many_tasks):
     rows = corpus(random.Random(9))
-    assert [d for d, _ in result(spark, rows)] == [d for d, _ in brute(rows)]
+    assert spans_of(repeated_passages(spark.createDataFrame([(d, t, "x") for d, t in rows], FIELDS))) == brute_spans(rows)
+
+
+def test_repeats_within_a_document_over_many_tasks(spark, many_tasks):
+    rows = [(1, "x " * 3_000), (2, "y " * 2_000 + "x " * 60), (3, "z " * 500 + "y"), (4, "w " * 900)]
+    assert spans_of(repeated_passages(spark.createDataFrame([(d, t, "x") for d, t in rows], FIELDS))) == brute_spans(rows)
 
 
-def test_hot_passages_lose_no_match(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GROUP", 20)
+def test_hot_passages_lose_no_match(spark, many_tasks):
     rng = random.Random(11)
 
     def own(n):
@@ -163,6 +231,8 @@ def test_hot_passages_lose_no_match(spark, monkeypatch):
     rows += [(300, rows[120][1]), (301, rows[120][1].upper())]
     named = [r for r in rows if r[0] is not None and r[0] < 300]
     assert result(spark, named) == brute(named)
+    docs = spark.createDataFrame([(d, t, "x") for d, t in named], FIELDS)
+    assert spans_of(repeated_passages(docs)) == brute_spans(named)
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], FIELDS)
     got = {r["doc_id"]: r for r in repeated_passages(docs).collect()}
     lost = {d: sum(s["end"] - s["start"] for s in r["removable"]) for d, r in got.items()}
