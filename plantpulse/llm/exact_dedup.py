@@ -20,6 +20,9 @@ IGNORED = " \t\n\x0b\x0c\r"
 #: Entries of the index: which row stays for a digest.
 ENTRY = "digest binary, doc_id bigint, n_chars bigint, row bigint, run string"
 
+#: Name of the empty file that tells an index's number of buckets, but for the number.
+NOTE = "_buckets-"
+
 
 def digest_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, row, digest) of every row; the only step that reads texts.
@@ -61,18 +64,33 @@ def best_per_digest(rows: DataFrame) -> DataFrame:
 class DigestIndex:
     """Digests of all rows that stay, as a bucketed and sorted table at ``path``.
 
-    The path is the index: opening it again with the same number of buckets, in any session,
-    continues it. A bucket should hold a few hundred MB at most (4 million entries or so).
+    The path is the index: opening it again, in any session, continues it. The number of buckets is that of its first opening, kept
+    beside the data; ``buckets`` counts for a new index alone. A bucket should hold a few hundred MB at most (4 million entries or so).
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = buckets = self._noted_buckets(buckets)
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} ({ENTRY}) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def _noted_buckets(self, buckets: int) -> int:
+        """Buckets of the index by the name of its note; a new index notes ``buckets``. Data without a note, or two, are refused:
+        read with another number of buckets, entries would not be found."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+        noted = [int(n.removeprefix(NOTE)) for n in names if n.startswith(NOTE)]
+        if len(noted) > 1 or (not noted and any(n.endswith(".parquet") for n in names)):
+            raise ValueError(f"number of buckets of {self.path} is not known")
+        if not noted:
+            files.create(jvm.org.apache.hadoop.fs.Path(folder, f"{NOTE}{buckets}")).close()
+        return noted[0] if noted else buckets
+
     def entries(self) -> DataFrame:
         """All entries as a bucketed scan."""
         return self.spark.table(self.name)

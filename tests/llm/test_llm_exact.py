@@ -2,7 +2,9 @@
 
 import hashlib
 
-from plantpulse.llm.exact_dedup import DigestIndex, deduplicate
+import pytest
+
+from plantpulse.llm.exact_dedup import ENTRY, DigestIndex, deduplicate, digest_rows
 from plantpulse.session import work_path
 
 FIELDS = "doc_id bigint, text string, digest string"
@@ -59,10 +61,24 @@ def test_index_persists(spark):
     assert sorted(r["doc_id"] for r in again.entries().collect()) == [2, 5, 6]
 
 
+def test_index_keeps_its_number_of_buckets(spark):
+    path = work_path(spark, "index")
+    docs = spark.createDataFrame([(i, f"text {i}", "") for i in range(200)], FIELDS)
+    DigestIndex(spark, path, 8).append(digest_rows(docs), "first")
+    for buckets in (4, 16):
+        again = DigestIndex(spark, path, buckets)
+        assert again.buckets == 8 and again.unseen(digest_rows(docs)).count() == 0
+
+
+def test_data_without_their_number_of_buckets_are_refused(spark):
+    path = work_path(spark, "index")
+    spark.createDataFrame([], ENTRY).write.parquet(path)
+    with pytest.raises(ValueError):
+        DigestIndex(spark, path, 8)
+
+
 def test_anti_join_is_a_merge_join_on_the_bucketed_index(spark):
     own = index(spark)
     docs = spark.createDataFrame([(1, "a", "")], FIELDS)
-    from plantpulse.llm.exact_dedup import digest_rows
-
     plan = own.unseen(digest_rows(docs))._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan and "Python" not in plan
