@@ -85,7 +85,8 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Words right of every suffix of ``wanted`` (rep, identity, node, suffixes), and left of it from right to left, read from the texts again.
 
-    Every word ends in a space, so that texts with the same first words are neighbours in the order of the strings.
+    They reach as far as the windows of ``PASSAGE`` words that have the suffix as their minimiser; equal windows have equal minimisers,
+    so every window is looked at once. Every word ends in a space, so that texts with the same first words are neighbours in the order of the strings.
     """
     fields = "block bigint, node bigint, doc_id {}, place int, left string, right string"
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -101,10 +102,13 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if node in seen or _identity(words.hashes[a:b]) != batch.column(2)[d].as_py():
                 continue  # a repeated row, or another text under the same doc_id
             seen.add(node)
-            own = lower[offsets[d - i] : offsets[d - i + 1]].split()
+            own, anchors = lower[offsets[d - i] : offsets[d - i + 1]].split(), _anchors(words.hashes[a:b])[: b - a - PASSAGE + 1]
             for s in batch.column(4)[d].as_py():
                 p = s["place"]
-                left, right = own[max(0, p - WINDOW + 1) : p][::-1], own[p : p + PASSAGE]
+                low, high = np.searchsorted(anchors, [p, p + 1])
+                if low == high:
+                    continue
+                left, right = own[low:p][::-1], own[p : high - 1 + PASSAGE]
                 rows.append((s["block"], p, *(b"".join(w + b" " for w in side).decode() for side in (left, right))))
                 where.append(d)
         block, place, left, right = zip(*rows) if rows else ((),) * 4
@@ -202,15 +206,26 @@ def _digest(words: list[str]) -> bytes:
 
 
 def _open_windows(rows: Iterable[tuple]) -> Iterator[tuple]:
-    """(window, node, doc_id, start) of windows that may be repeated, of a block that other tasks may have a part of."""
+    """(node, start, end, removable, window, doc_id) for suffixes in order, of a block that other tasks may have a part of.
+
+    Of suffixes with the same words on both sides the first has the least document: those of other documents are settled by it,
+    and only it and one more go on as windows that may be repeated.
+    """
     rows = iter(rows)
     row, before, after = next(rows), PASSAGE, next(rows, None)
+    same, first, more = None, None, False
     while row:
         _, node, doc_id, place, left, right = row
         shared = _common(right, after[5]) if after else PASSAGE
-        reach = min(len(right), max(before, shared))
-        for k in range(max(0, PASSAGE - reach), len(left) + 1):
-            yield _digest(left[:k][::-1] + right[: PASSAGE - k]), node, doc_id, place - k
+        if same != (left, right):
+            same, first, more = (left, right), node, False
+        if node != first and more:
+            yield node, place - len(left), place + len(right), True, None, None
+        else:
+            more |= node != first
+            for k in range(max(0, PASSAGE - min(len(right), max(before, shared))), len(left) + 1):
+                start = place - k
+                yield node, start, start + PASSAGE, None, _digest(left[:k][::-1] + right[: PASSAGE - k]), doc_id
         row, before, after = after, shared, next(rows, None)
 
 
@@ -254,8 +269,8 @@ def _matches(contexts: DataFrame) -> DataFrame:
                 yield r
 
         out = []
-        for window, node, doc_id, start in _open_windows(of_first()):
-            out.append((node, start, start + PASSAGE, None, window, doc_id))
+        for found in _open_windows(of_first()):
+            out.append(found)
             if len(out) >= 10_000:
                 yield _emitted(key, out)
                 out = []
@@ -270,10 +285,10 @@ def _matches(contexts: DataFrame) -> DataFrame:
             current.append(r)
         out += _settled(whole)
         if current:
-            out += [(n, s, s + PASSAGE, None, w, d) for w, n, d, s in _open_windows(current)]
+            out += _open_windows(current)
         yield _emitted(key, out)
 
-    order = ["block", "right", "left", "node", "place"]
+    order = [*(F.col(c) for c in ("block", "right", "left")), F.col("doc_id").isNull(), *(F.col(c) for c in ("doc_id", "node", "place"))]
     ordered = contexts.repartitionByRange(*order).sortWithinPartitions(*order)
     kind = contexts.schema["doc_id"].dataType.simpleString()
     return ordered.mapInArrow(run, f"{MATCH}, window binary, doc_id {kind}")
