@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantpulse.llm.staging import staged
+from plantpulse.llm.staging import discard, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(edges.where("a <> b").select("a", "b").distinct(), "edges")
     before = _state(edges)
     while before[0]:
-        edges = staged(_small_star(_large_star(edges).distinct()).where("a <> b").distinct(), "edges")
+        last, edges = edges, staged(_small_star(_large_star(edges).distinct()).where("a <> b").distinct(), "edges")
+        discard(last)
         after = _state(edges)
         if after == before:
             break

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plantpulse.llm.components import components
 from plantpulse.llm.hashing import SPACE, Words, combine, rows_of_lists, shingles, slices
-from plantpulse.llm.staging import staged, staged_ids
+from plantpulse.llm.staging import discard, drop_shuffles, staged, staged_ids
 
 #: A shingle is frequent if at least so many documents are seen to have it ...
 FREQUENT_DOCUMENTS = 8
@@ -36,8 +36,11 @@ _WINDOW = 1 << 22
 _LEAST_IN_WINDOW = 2
 #: Shingles of so many documents are index keys in pairs only.
 PAIRED_DOCUMENTS = 256
-#: Pairs are formed among shingles of a residue class of about this many.
-_CLASS_SIZE = 4
+#: Shingles that a set may lack, per residue class in which pairs are formed, for the smallest sets of a span of sizes.
+#: Few per class mean a longer prefix, but fewer pairs.
+_LACKING_PER_CLASS = 1.5
+#: Logarithm of how far sizes within a span differ: sets of one span form pairs in the same classes.
+_SPAN = math.log(2)
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -105,6 +108,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> Frequent:
     total = counts.where("shingle IS NULL").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     least = max(FREQUENT_DOCUMENTS, total // MOST_FREQUENT)
     found = counts.where((F.col("n") >= least) & F.col("shingle").isNotNull()).toArrow()
+    discard(counts)
     return Frequent(found["shingle"].to_numpy().view(np.uint64), found["n"].to_numpy())
 
 
@@ -122,11 +126,11 @@ def index_keys(tokens: np.ndarray, frequent: Frequent, percent: int) -> np.ndarr
         return rare[:need]
     need -= len(rare)
     keys = [rare]
-    # similar sets are of the same or of adjoining classes of size, so they share one of these tags
-    width = max(math.log(100 / percent) * 1.001, 0.01)
-    first = int(math.log(n) / width)
-    for tag in (first, first + 1):
-        classes = max(1, _allowed(int(math.exp(tag * width)), percent) // _CLASS_SIZE)
+    # the neighbourhoods of the sizes of two similar sets meet, so the sets share the span in which they do
+    reach = 0.5005 * math.log(100 / percent)
+    low, high = (int((math.log(n) + r) // _SPAN) for r in (-reach, reach))
+    for tag in range(low, high + 1):
+        classes = max(1, int(_allowed(int(math.exp(tag * _SPAN)), percent) / _LACKING_PER_CLASS))
         residue = ((often >> np.uint64(11)) % np.uint64(classes)).astype(np.int64)
         # the first shingle of a class makes no pair, every other one makes the loss of one more bearable
         opens = np.zeros(len(often), bool)
@@ -137,7 +141,7 @@ def index_keys(tokens: np.ndarray, frequent: Frequent, percent: int) -> np.ndarr
         cuts = np.flatnonzero(np.diff(residue[:end][order])) + 1
         for group in np.split(tokens_by_class, cuts):
             i, j = np.triu_indices(len(group), 1)
-            keys.append(combine(group[i], group[j], np.full(len(i), tag, np.uint64)))
+            keys.append(combine(group[i], group[j], np.full(len(i), tag + 1, np.uint64)))
     return np.concatenate(keys)
 
 
@@ -202,7 +206,9 @@ def _token_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), rows_of_lists(chosen, pa.int64())], ["node", "tokens"])
 
     found = texts.select("text", "node", "identity").mapInArrow(run, "node bigint, tokens array<bigint>")
-    return staged(found, "token-sets")
+    sets = staged(found, "token-sets")
+    discard(wanted)
+    return sets
 
 
 def _most_differing(n: Column, m: Column, percent: int) -> Column:
@@ -230,15 +236,17 @@ def _close(n: Column, m: Column, percent: int) -> Column:
 
 def _maybe_similar(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b), each once, but for those that sizes or bit maps rule out: the small maps first, as they
-    are what most pairs are joined with."""
+    are what most pairs are joined with. Few pairs are broadcast, so that the maps of all nodes stay where they are."""
     left = pairs.distinct()
     for bits in ("small", "bits"):
+        few = staged_ids(left, "pairs-to-compare")
         first = maps.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col(bits).alias("x"))
         second = maps.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col(bits).alias("y"))
-        both = left.join(first, "a").join(second, "b")
+        both = few.join(first, "a").join(second, "b")
         most = _most_differing(F.col("an"), F.col("bn"), percent)
         both = both.where(_close(F.col("an"), F.col("bn"), percent))
-        left = both.where(_differing_bits(F.col("x"), F.col("y")) <= most).select("a", "b")
+        left = staged(both.where(_differing_bits(F.col("x"), F.col("y")) <= most).select("a", "b"), "pairs")
+        discard(few)
     return left
 
 
@@ -261,6 +269,13 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return placed.where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
 
 
+def _with_links(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components ``found`` after more ``links`` (a, b), both of which are deleted."""
+    merged = staged(components(found.toDF("a", "b").union(links)), "components")
+    discard(found, links)
+    return merged
+
+
 def _without_twins(members: DataFrame) -> DataFrame:
     """Of keys with the same members one each; the members of near copies share many keys. Sets of members are
     compared by size, ends and 128 bits of a hash."""
@@ -274,7 +289,7 @@ def _without_twins(members: DataFrame) -> DataFrame:
 def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members of keys that have nodes of several components: key, node, n, component, the key's ``main``
     component, that of most of its members, and how many pairs ``_cross_pairs`` looks at for the key."""
-    placed = members.join(found, "node", "left").select(
+    placed = members.select("key", "node", "n").join(found, "node", "left").select(
         "key", "node", "n", F.coalesce("component", "node").alias("component")
     )
     placed = staged(placed, "members-placed")
@@ -284,7 +299,9 @@ def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
     )
     work = (F.col("all") - F.col("most.members")) * F.col("all")
     keys = keys.where("parts > 1").select("key", F.col("most.component").alias("main"), work.alias("work"))
-    return staged(placed.join(keys, "key"), "members-unsettled")
+    unsettled = staged(placed.join(keys, "key"), "members-unsettled")
+    discard(placed)
+    return unsettled
 
 
 def _star_pairs(unsettled: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -335,40 +352,52 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, carry: Se
     nodes = staged(
         nodes.select("identity", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("node")), "nodes"
     )
-    posted = prints.select(F.col("row").alias("node"), "n", "keys").join(nodes.select("node"), "node")
-    posted = posted.select(F.explode("keys").alias("key"), "node", "n")
+    sizes = prints.select(F.col("row").alias("node"), "n")
+    posted = prints.select(F.col("row").alias("node"), "keys").join(nodes.select("node"), "node")
+    posted = posted.select(F.explode("keys").alias("key"), "node")
     leaders = posted.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
-    members = staged(posted.join(leaders.where("leader < last").select("key", "leader"), "key"), "members")
-    members = staged(_without_twins(members), "members")
+    every = staged(posted.join(leaders.where("leader < last").select("key", "leader"), "key"), "members")
+    del posted, leaders  # what holds their shuffles
+    members = staged(_without_twins(every).join(sizes, "node"), "members")
+    discard(every)
+    drop_shuffles(docs.sparkSession)
     involved = members.select("node").distinct()
     maps = prints.select(F.col("row").alias("node"), "n", "bits", "small").join(involved, "node", "left_semi")
     maps = staged(maps, "bit-maps")
 
     pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    pairs = staged(_maybe_similar(pairs, maps, percent), "pairs")
+    pairs = _maybe_similar(pairs, maps, percent)
     sets = _token_sets(docs, nodes, pairs, words)
     # one pair of each node first; others only where that leaves two components
     some = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = staged(_similar(some, sets, percent), "links")
     found = staged(components(links), "components")
     more = staged(_similar(_across(pairs.exceptAll(some), found), sets, percent), "links")
-    found = staged(components(found.toDF("a", "b").union(more)), "components")
+    found = _with_links(found, more)
+    discard(sets, pairs, links)
+    drop_shuffles(docs.sparkSession)
     # further leaders, as long as they find links in plenty and comparing everyone with everyone outside the main
     # components is more than a few times the members; then that
     idle = False
     for turn in range(STAR_TURNS + 1):
+        # keys whose members are of one component are done with
         unsettled = _unsettled(members, found)
+        discard(members)
+        members = unsettled
         work, size = unsettled.groupBy("key").agg(F.first("work").alias("work"), F.count("*").alias("size")).agg(
             F.coalesce(F.sum("work"), F.lit(0)), F.count("*") + F.coalesce(F.sum("size"), F.lit(0))
         ).first()
         last = turn == STAR_TURNS or work <= 4 * size or idle
         drawn = _cross_pairs(unsettled, maps, percent) if last else _star_pairs(unsettled, percent, turn)
-        rest = staged(_maybe_similar(drawn, maps, percent), "pairs")
-        more = staged(_similar(rest, _token_sets(docs, nodes, rest, words), percent), "links")
-        found = staged(components(found.toDF("a", "b").union(more)), "components")
+        rest = _maybe_similar(drawn, maps, percent)
+        sets = _token_sets(docs, nodes, rest, words)
+        more = staged(_similar(rest, sets, percent), "links")
+        idle = 100 * more.count() < found.count()
+        found = _with_links(found, more)
+        discard(sets, rest)
         if last:
             break
-        idle = 100 * more.count() < found.count()
+    discard(members, maps)
 
     # the smallest doc_id of each component, by identity of the sets
     placed = nodes.join(found, "node", "left").select(
@@ -376,6 +405,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, carry: Se
     )
     named = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
     classes = staged(placed.select("identity", "group").join(named, "group"), "classes")
+    discard(nodes, found)
     return prints.join(classes, "identity", "left").select(
         "doc_id",
         *carry,

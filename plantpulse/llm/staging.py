@@ -12,6 +12,7 @@ from plantpulse.session import remove_path, work_path
 
 _recorded: list[str] = []
 _recording = False
+_PATH = "_staged_path"
 
 
 def stage_of_pipeline(stage: Callable[[SparkSession, DataFrame, str], DataFrame]):
@@ -43,7 +44,7 @@ def _release(spark: SparkSession, docs: DataFrame) -> None:
         if not any(bare.lstrip("/") in f for f in read):
             remove_path(spark, path)
             _recorded.remove(path)
-    spark.sparkContext._jvm.System.gc()
+    drop_shuffles(spark)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -56,7 +57,24 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     if _recording:
         _recorded.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    setattr(table, _PATH, path)
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``staged`` has returned and no result reads any more. Other DataFrames
+    are left alone."""
+    for table in tables:
+        if path := getattr(table, _PATH, None):
+            remove_path(table.sparkSession, path)
+            if path in _recorded:
+                _recorded.remove(path)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of DataFrames that are no longer held."""
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Rows of ids that may be broadcast; one row takes 100 bytes or so.
@@ -69,7 +87,11 @@ def staged_ids(df: DataFrame, label: str, most: int = BROADCAST_ROWS) -> DataFra
     Joined with texts, many ids cost a shuffle of the texts, few do not.
     """
     ids = staged(df, label)
-    return F.broadcast(ids) if ids.count() <= most else ids
+    if ids.count() > most:
+        return ids
+    hinted = F.broadcast(ids)
+    setattr(hinted, _PATH, getattr(ids, _PATH))
+    return hinted
 
 
 def text_or_empty(column: str = "text"):
