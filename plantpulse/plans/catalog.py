@@ -6,9 +6,9 @@ engines add doubles in different orders.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantpulse.operators import alerts, kpi, quality, retention, star
@@ -673,6 +673,17 @@ def dq_corrupt(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _fed(raw: DataFrame, part: Column, parts: int, path: str) -> Iterator[DataFrame]:
+    """``raw`` put into folders below ``path``, one for each value of ``part``, and after each the stream of them.
+
+    A stream that is run, from its checkpoint, until it stops takes the new folder as one micro-batch, however many
+    files it has; so all tasks write and read it.
+    """
+    for number in range(parts):
+        raw.where(part == number).write.parquet(f"{path}/{number}")
+        yield raw.sparkSession.readStream.schema(READING).option("recursiveFileLookup", "true").parquet(path)
+
+
 @query
 def stream_late(spark: SparkSession, sf: str) -> DataFrame:
     """KPIs of a stream with a watermark whose last batch comes too late, after the late readings were replayed."""
@@ -695,9 +706,6 @@ def stream_late(spark: SparkSession, sf: str) -> DataFrame:
 def stream_dimension_change(spark: SparkSession, sf: str) -> DataFrame:
     """Alerts of a stream whose machines all belong to one factory in the first batch and to their own in the second."""
     raw, out = td.readings(spark, sf), work_path(spark, "moving")
-    for number in range(2):
-        raw.where(F.col("_id").cast("bigint") % 2 == number).coalesce(1).write.parquet(f"{out}/feed/{number}")
-    feed = spark.readStream.schema(READING).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
     machines = td.dim_machine(spark, sf)
     publish_dimension(td.dim_sensor_type(spark), f"{out}/dims", "dim_sensor_type")
     publish_dimension(machines.withColumn("factory_id", F.lit("FCT999")), f"{out}/dims", "dim_machine")
@@ -710,7 +718,8 @@ def stream_dimension_change(spark: SparkSession, sf: str) -> DataFrame:
         asked.append(1)
         return known()
 
-    live_alerts(feed.parquet(f"{out}/feed"), now, f"{out}/alerts", f"{out}/checkpoint", cadence=None).awaitTermination()
+    for feed in _fed(raw, F.col("_id").cast("bigint") % 2, 2, f"{out}/feed"):
+        live_alerts(feed, now, f"{out}/alerts", f"{out}/checkpoint", cadence=None).awaitTermination()
     start = F.lit(td.AS_OF).cast("timestamp") - F.make_interval(mins=F.lit(td.LOOKBACK))
     return spark.read.parquet(f"{out}/alerts").where(F.col("alert_time_utc") >= start).drop("alert_date", "alert_hour")
 
