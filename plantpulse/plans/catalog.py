@@ -689,13 +689,10 @@ def stream_late(spark: SparkSession, sf: str) -> DataFrame:
     """KPIs of a stream with a watermark whose last batch comes too late, after the late readings were replayed."""
     raw, dims, out = td.readings(spark, sf), td.dimensions(spark, sf), work_path(spark, "late")
     part = F.when(F.crc32(F.col("_id").cast("binary")) % 10 == 0, 2).otherwise(F.crc32(F.col("_id").cast("binary")) % 2)
-    for number in range(3):
-        raw.where(part == number).coalesce(1).write.parquet(f"{out}/feed/{number}")
-    feed = spark.readStream.schema(READING).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
-    feed = feed.parquet(f"{out}/feed")
-    live.store_stream(feed, f"{out}/hot", f"{out}/stored", cadence=None).awaitTermination()
-    rows = enrich(conform_readings(feed), conform_machines(dims["dim_machine"]), conform_sensors(dims["dim_sensor_type"]))
-    live.kpi_stream(rows, f"{out}/tables/minute_kpi", f"{out}/counted", cadence=None).awaitTermination()
+    for feed in _fed(raw, part, 3, f"{out}/feed"):
+        live.store_stream(feed, f"{out}/hot", f"{out}/stored", cadence=None).awaitTermination()
+        rows = enrich(conform_readings(feed), conform_machines(dims["dim_machine"]), conform_sensors(dims["dim_sensor_type"]))
+        live.kpi_stream(rows, f"{out}/tables/minute_kpi", f"{out}/counted", cadence=None).awaitTermination()
     replay_late(spark, f"{out}/hot", dims, f"{out}/tables")
     start = F.lit(td.AS_OF).cast("timestamp") - F.make_interval(mins=F.lit(td.LOOKBACK))
     table = spark.read.parquet(f"{out}/tables/minute_kpi").where(F.col("kpi_minute_start_utc") >= start)

@@ -8,11 +8,14 @@ from plantpulse.operators.alerts import threshold_alerts
 from plantpulse.operators.conform import conform_machines, conform_readings, conform_sensors
 from plantpulse.operators.enrich import enrich
 from plantpulse.operators.kpi import KPI_MINUTE, freshness, minute_kpi
+from plantpulse.plans import catalog
 from plantpulse.schemas import READING
 from plantpulse.sinks.hot import open_hot
 from plantpulse.sources.readings import decode_messages
 from plantpulse.streaming import live
 
+SMALL = "/root/testdata/sf0.001"
+
 
 @pytest.fixture
 def feed(spark, tmp_path):
@@ -168,3 +171,23 @@ def test_trigger_is_a_minute_by_default_and_once_without_cadence():
 
     assert live.start(Writer(), "ck", live.CADENCE) == {"checkpointLocation": "ck", "processingTime": "1 minute"}
     assert live.start(Writer(), "ck", None)["availableNow"] is True
+
+
+def test_feeds_are_written_by_all_tasks_and_a_folder_is_one_batch(spark, tmp_path, monkeypatch):
+    tables = tmp_path / "tables"
+    tables.mkdir()
+    for name in ("supplier", "customer", "part", "nation", "region"):
+        (tables / f"{name}.parquet").symlink_to(f"{SMALL}/{name}.parquet")
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    events.repartition(4, "event_id").write.parquet(f"{tables}/events.parquet")
+    monkeypatch.setattr(catalog, "work_path", lambda _, label: str(tmp_path / label))
+    for name, label, parts, log in (
+        ("stream_late", "late", 3, "stored"), ("stream_dimension_change", "moving", 2, "checkpoint")
+    ):
+        query = catalog.queries()[name]
+        found = sorted(map(repr, query(spark, str(tables)).collect()))
+        assert all(len(list((tmp_path / label / "feed" / str(n)).glob("part-*"))) > 1 for n in range(parts))
+        assert len(list((tmp_path / label / log / "commits").glob("[0-9]*"))) == parts
+        monkeypatch.setattr(catalog, "work_path", lambda _, label: str(tmp_path / "whole" / label))
+        assert found == sorted(map(repr, query(spark, SMALL).collect()))
+        monkeypatch.setattr(catalog, "work_path", lambda _, label: str(tmp_path / label))
