@@ -48,6 +48,8 @@ _LEVELS = ("event_date", "event_hour", WRITE)
 READERS_MINUTES = 60
 #: Steps of either axis of the curve that compacted rows follow; a power of two.
 CURVE = 256
+#: Parquet bytes that one task of a compaction sorts; as rows in memory they take up to 25 times as much.
+SORT_BYTES = 8 << 20
 
 
 Change = tuple[list[Folder], list[Folder], list[Folder]]
@@ -189,7 +191,7 @@ def compact_hot(
     keep_minutes: float = 0,
 ) -> int:
     """Rewrite hours that have more than ``most_files`` files, or lists of deleted readings, into few files of about
-    ``file_bytes``; returns how many.
+    ``file_bytes``, or of ``SORT_BYTES`` if that is less, as a task sorts what goes into a file; returns how many.
 
     ``before``: only hours that ended by then, to leave hours alone that are still filling. Rows follow a curve through
     machine and time (bits of both in turn), so that files and row groups can be skipped for either. Readers
@@ -197,6 +199,7 @@ def compact_hot(
     done again.
     """
     done = 0
+    file_bytes = min(file_bytes, SORT_BYTES)
 
     def change(base: Version) -> Change:
         nonlocal done
@@ -301,7 +304,7 @@ def _noted(spark: SparkSession, path: str, base: Version, folders: list[Folder],
 
 
 def _rewritten(
-    spark: SparkSession, path: str, base: Version, folders: list[Folder], *, without: str | None = None, file_bytes: int = 128 << 20
+    spark: SparkSession, path: str, base: Version, folders: list[Folder], *, without: str | None = None, file_bytes: int = SORT_BYTES
 ) -> list[Folder]:
     """The rows of ``folders`` (but those of batch ``without``) anew, in order of the curve.
 

@@ -214,6 +214,20 @@ def test_compacted_files_can_be_skipped_by_machine_and_by_time(spark, make, tmp_
     assert "EqualTo(machine_id,MAC0009)" in plan and found.count() == 1
 
 
+def test_a_large_hour_is_sorted_in_pieces(spark, make, tmp_path, monkeypatch):
+    root = str(tmp_path / "hot")
+    rows = make(*(
+        {"_id": f"{i}", "machine_id": f"MAC{i % 64:04d}", "event_timestamp": f"2024-01-01 10:{i // 64 % 60:02d}:30"} for i in range(64 * 60)
+    ))
+    write_hot_batch(rows, root, "a")
+    monkeypatch.setattr(store, "SORT_BYTES", hot_bytes(spark, root) // 8, raising=False)
+    delete_hot(spark, root, rows.where("_id = '0'"))
+    assert compact_hot(spark, root) == 1
+    held = [pq.read_metadata(f).num_rows for f in files(root)]
+    assert sum(held) == 64 * 60 - 1 and len(held) >= 8 and max(held) < 1000
+    assert len(ids(open_hot(spark, root))) == 64 * 60 - 1
+
+
 def test_hours_of_a_delete_are_listed_one_by_one(spark, make, path):
     write_hot_batch(make({"_id": "old", "event_timestamp": "1970-01-01 00:00:00"}, {"_id": "mid", "event_timestamp": "2001-01-01 00:00:00"}), path, "c")
     times = make({"_id": "old", "event_timestamp": "1970-01-01 00:00:00"}, {"_id": "r001", "event_timestamp": "2024-01-01 10:00:00"})
