@@ -673,15 +673,24 @@ def dq_corrupt(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 def _fed(raw: DataFrame, part: Column, parts: int, path: str) -> Iterator[DataFrame]:
     """``raw`` put into folders below ``path``, one for each value of ``part``, and after each the stream of them.
 
     A stream that is run, from its checkpoint, until it stops takes the new folder as one micro-batch, however many
-    files it has; so all tasks write and read it.
+    files it has; so all tasks write and read it. No batch without rows comes between, which would move the watermark on.
     """
-    for number in range(parts):
-        raw.where(part == number).write.parquet(f"{path}/{number}")
-        yield raw.sparkSession.readStream.schema(READING).option("recursiveFileLookup", "true").parquet(path)
+    spark = raw.sparkSession
+    before = spark.conf.get(_EMPTY_BATCHES)
+    spark.conf.set(_EMPTY_BATCHES, "false")
+    try:
+        for number in range(parts):
+            raw.where(part == number).write.parquet(f"{path}/{number}")
+            yield spark.readStream.schema(READING).option("recursiveFileLookup", "true").parquet(path)
+    finally:
+        spark.conf.set(_EMPTY_BATCHES, before)
 
 
 @query

@@ -182,7 +182,7 @@ def test_feeds_are_written_by_all_tasks_and_a_folder_is_one_batch(spark, tmp_pat
     events.repartition(4, "event_id").write.parquet(f"{tables}/events.parquet")
     monkeypatch.setattr(catalog, "work_path", lambda _, label: str(tmp_path / label))
     for name, label, parts, log in (
-        ("stream_late", "late", 3, "stored"), ("stream_dimension_change", "moving", 2, "checkpoint")
+        ("stream_late", "late", 3, "counted"), ("stream_dimension_change", "moving", 2, "checkpoint")
     ):
         query = catalog.queries()[name]
         found = sorted(map(repr, query(spark, str(tables)).collect()))
