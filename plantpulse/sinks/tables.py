@@ -16,7 +16,7 @@ from contextlib import contextmanager
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, FloatType, StructType
 
 from plantpulse.operators.lookup import BROADCAST_BYTES
 from plantpulse.session import scratch
@@ -26,6 +26,8 @@ from plantpulse.session import scratch
 PENDING = "_pending"
 #: Partition values that are listed one by one when a table is pruned; of more, only the first and last count.
 LISTED_VALUES = 1000
+#: Tasks among which the rows of one table partition are dealt, unless they are few.
+SPREAD = 4
 
 _locks: dict[str, threading.RLock] = {}
 _guard = threading.Lock()
@@ -120,10 +122,14 @@ def open_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame
 def clustered(df: DataFrame, partitions: Sequence[str]) -> DataFrame:
     """``df`` arranged so that each table partition is written by few tasks.
 
-    Rebalancing splits a partition that holds a large share of the rows over several tasks and
-    joins small ones, both from sizes measured at run time.
+    The rows of a partition are dealt into ``SPREAD`` parts, so that few large partitions are not left to as few tasks.
+    Rebalancing splits a part that holds a large share of the rows over several tasks and joins small ones, both from
+    sizes measured at run time.
     """
-    return df.hint("rebalance", *partitions)
+    # sums of doubles may differ when a task is repeated, and its rows must go where they went before
+    exact = [f.name for f in df.schema if f.dataType not in (DoubleType(), FloatType())]
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in exact]), F.lit(SPREAD))
+    return df.withColumn("_part", part).hint("rebalance", *partitions, "_part").drop("_part")
 
 
 def append(df: DataFrame, path: str, partitions: Sequence[str] = (), options: Mapping[str, str] | None = None) -> None:

@@ -90,3 +90,13 @@ def test_a_value_far_away_opens_its_own_partition_only(spark, path, monkeypatch)
 def test_partitions_without_new_rows_are_emptied_when_asked(spark, path):
     tables.swap_partitions(frame(spark, ("z", 9, "2024-01-01", 1)), path, PARTS, [("2024-01-01", 1), ("2024-01-01", 2), ("2030-01-01", 1)])
     assert rows(spark, path) == [("c", 1), ("z", 9)]
+
+
+def test_a_large_partition_is_dealt_among_tasks(spark, tmp_path):
+    path = str(tmp_path / "table")
+    # one hour of well over the least size that adaptive execution leaves to a task
+    rows = spark.range(400_000).selectExpr("sha2(string(id), 256) AS text", "double(id) AS value", "id % 1 AS hour")
+    tables.swap_partitions(rows, path, ["hour"])
+    files = list((tmp_path / "table" / "hour=0").glob("part-*"))
+    assert len(files) > 1 and spark.read.parquet(path).count() == 400_000
+    assert spark.read.parquet(path).columns == ["text", "value", "hour"]
