@@ -1,9 +1,9 @@
 """Similarity join of word-shingle sets with token-combination prefixes.
 
-Shingles have one global order: by how often they occur, then by hash. If two sets
-are similar enough, the first few shingles of either (its prefix) cannot all be missing from the
-other. A shingle of few documents is an index key by itself, those of many are keys only in pairs; the prefix is
-extended until leaving out as many shingles as the threshold allows still leaves a key.
+Hash ranges deal the shingles of a set into classes; those of one class are a combination. Combinations have one
+order: by the rarest of their shingles, then by how many and how rare they are. If two sets are similar enough, the
+first few combinations of either (its prefix) cannot all be missing from the other. They are the index keys: sets
+that have a rare shingle or a passage in common by chance seldom have a combination in common, however many they are.
 Sets that share a key are compared exactly.
 
 Equal sets are merged first. Within the sets of a key, all are compared with one leader; only
@@ -34,12 +34,11 @@ MOST_FREQUENT = 1 << 21
 #: Occurrences that are counted together before those without a second one are left out.
 _WINDOW = 1 << 22
 _LEAST_IN_WINDOW = 2
-#: Shingles of so many documents are index keys in pairs only.
-PAIRED_DOCUMENTS = 256
-#: Shingles that a set may lack, per residue class in which pairs are formed, for the smallest sets of a span of sizes.
-#: Few per class mean a longer prefix, but fewer pairs.
-_LACKING_PER_CLASS = 1.5
-#: Logarithm of how far sizes within a span differ: sets of one span form pairs in the same classes.
+#: Classes of shingles for each that the largest similar sets of a span of sizes may differ in. More make more of the
+#: classes empty, fewer let more sets fall short of combinations.
+_SPARE_CLASSES = 1.15
+#: Logarithm of how far sizes within a span differ: sets of one span have their shingles in the same classes. Wide
+#: spans mean that few sets are in two, but smaller combinations.
 _SPAN = math.log(2)
 
 
@@ -62,15 +61,12 @@ class Frequent:
         self.hashes = hashes[order]
         self.levels = np.log2(np.maximum(counts[order], 1)).astype(np.uint8)
 
-    def split(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted ``tokens`` by level, then hash, in two: those that are keys alone and those that are in pairs."""
+    def levels_of(self, tokens: np.ndarray) -> np.ndarray:
+        """Level of each of ``tokens``; 0 of those that are not frequent."""
         if not len(self.hashes):
-            return tokens, tokens[:0]
+            return np.zeros(len(tokens), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
-        levels = np.where(self.hashes[at] == tokens, self.levels[at], 0)
-        order = np.argsort(levels, kind="stable")
-        alone = int((levels < PAIRED_DOCUMENTS.bit_length() - 1).sum())
-        return tokens[order[:alone]], tokens[order[alone:]]
+        return np.where(self.hashes[at] == tokens, self.levels[at], 0).astype(np.int64)
 
 
 def frequent_shingles(docs: DataFrame, words: int) -> Frequent:
@@ -117,31 +113,43 @@ def _allowed(n: int, percent: int) -> int:
     return n - -(-n * percent // 100)
 
 
+def _differing(n: int, m: int, percent: int) -> int:
+    """Shingles in one alone of two similar sets of ``n`` and ``m``, at most."""
+    return (n + m) * (100 - percent) // (100 + percent)
+
+
 def index_keys(tokens: np.ndarray, frequent: Frequent, percent: int) -> np.ndarray:
-    """Index keys of a set of sorted shingle hashes. Two similar sets have one in common, unless they are equal."""
+    """Index keys of a set of sorted shingle hashes. Two similar sets have one in common, unless they are equal.
+
+    Ranges of hashes are classes of shingles; what a set has in one class makes a combination. Two similar sets differ in no
+    more combinations than in shingles, so their first combinations, one more than that, share one, in any order
+    that depends on the combination alone. A set with too few combinations has all of them as keys, and
+    its first shingles besides: another set with too few meets it there.
+    """
     n = len(tokens)
-    need = _allowed(n, percent) + 1
-    rare, often = frequent.split(tokens)
-    if len(rare) >= need:
-        return rare[:need]
-    need -= len(rare)
-    keys = [rare]
-    # the neighbourhoods of the sizes of two similar sets meet, so the sets share the span in which they do
+    levels = frequent.levels_of(tokens)
+    keys, short = [], False
+    # the neighbourhoods of the sizes of two similar sets meet, so the sets share the span that has their middle
     reach = 0.5005 * math.log(100 / percent)
     low, high = (int((math.log(n) + r) // _SPAN) for r in (-reach, reach))
     for tag in range(low, high + 1):
-        classes = max(1, int(_allowed(int(math.exp(tag * _SPAN)), percent) / _LACKING_PER_CLASS))
-        residue = ((often >> np.uint64(11)) % np.uint64(classes)).astype(np.int64)
-        # the first shingle of a class makes no pair, every other one makes the loss of one more bearable
-        opens = np.zeros(len(often), bool)
-        opens[np.unique(residue, return_index=True)[1]] = True
-        end = int(np.searchsorted(np.cumsum(~opens), need)) + 1
-        order = np.argsort(residue[:end], kind="stable")
-        tokens_by_class = often[:end][order]
-        cuts = np.flatnonzero(np.diff(residue[:end][order])) + 1
-        for group in np.split(tokens_by_class, cuts):
-            i, j = np.triu_indices(len(group), 1)
-            keys.append(combine(group[i], group[j], np.full(len(i), tag + 1, np.uint64)))
+        top = math.exp((tag + 1) * _SPAN)
+        largest = min(n * 100 // percent, int(top * top / n * 1.000001) + 1)
+        need = _differing(n, largest, percent) + 1
+        classes = int(_SPARE_CLASSES * (100 - percent) / percent * top) + 1
+        # equal ranges of hashes are the classes, so the shingles lie in their order
+        dealt = ((tokens >> np.uint64(32)) * np.uint64(classes)) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1]]))
+        found = combine(np.add.reduceat(tokens, starts), dealt[starts], np.full(len(starts), tag + 1, np.uint64))
+        if len(starts) > need:
+            # one rare shingle makes a combination rare, so do many
+            rarest = np.minimum.reduceat(levels, starts)
+            weight = np.add.reduceat(64 - levels, starts)
+            found = found[np.lexsort((-weight, rarest))[:need]]
+        keys.append(found)
+        short |= len(starts) < need
+    if short:
+        keys.append(tokens[np.argsort(levels, kind="stable")[: _allowed(n, percent) + 1]])
     return np.concatenate(keys)
 
 
@@ -354,7 +362,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, carry: Se
     )
     sizes = prints.select(F.col("row").alias("node"), "n")
     posted = prints.select(F.col("row").alias("node"), "keys").join(nodes.select("node"), "node")
-    posted = posted.select(F.explode("keys").alias("key"), "node")
+    # dealt by key once, for the ends of its members and for the join
+    posted = posted.select(F.explode("keys").alias("key"), "node").repartition("key")
     leaders = posted.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
     every = staged(posted.join(leaders.where("leader < last").select("key", "leader"), "key"), "members")
     del posted, leaders  # what holds their shuffles

@@ -122,6 +122,16 @@ def test_keys_of_frequent_shingles_grow_with_the_set_not_its_square():
     assert len(index_keys(tokens, Frequent(tokens, np.full(len(tokens), 999)), 85)) < 5 * len(tokens)
 
 
+def test_sets_that_share_single_shingles_share_few_keys():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**64, 8000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, 200)) for _ in range(400)]
+    tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+    frequent = Frequent(tokens[counts >= 8], counts[counts >= 8])
+    _, sharing = np.unique(np.concatenate([index_keys(s, frequent, 85) for s in sets]), return_counts=True)
+    assert sharing[sharing > 1].sum() < 0.05 * sharing.sum()
+
+
 def test_bit_maps_bound_the_difference(spark):
     from pyspark.sql import functions as F
 
