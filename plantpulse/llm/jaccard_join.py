@@ -69,6 +69,34 @@ class Frequent:
         return np.where(self.hashes[at] == tokens, self.levels[at], 0).astype(np.int64)
 
 
+def repeated(sets: Iterator[np.ndarray], window: int = _WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per ``window`` occurrences of ``sets`` the hashes that occur ``_LEAST_IN_WINDOW`` times or more, and how often.
+
+    The occurrences are held once and sorted where they are.
+    """
+    held, size = np.empty(window, np.uint64), 0
+
+    def counted() -> tuple[np.ndarray, np.ndarray]:
+        part = held[:size]
+        part.sort()
+        again = part[1:][part[1:] == part[:-1]]  # all but the first occurrence of each
+        found, n = np.unique(again, return_counts=True)
+        often = n + 1 >= _LEAST_IN_WINDOW
+        return found[often], n[often] + 1
+
+    for found in sets:
+        while len(found):
+            taken = found[: window - size]
+            held[size : size + len(taken)] = taken
+            size += len(taken)
+            found = found[len(taken) :]
+            if size == window:
+                yield counted()
+                size = 0
+    if size:
+        yield counted()
+
+
 def frequent_shingles(docs: DataFrame, words: int) -> Frequent:
     """Frequent shingles, counted over all documents.
 
@@ -78,25 +106,17 @@ def frequent_shingles(docs: DataFrame, words: int) -> Frequent:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, total = [], 0, 0
+        total = 0
 
-        def counted() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= _LEAST_IN_WINDOW
-            columns = [pa.array(found[often].view(np.int64)), pa.array(n[often])]
-            held.clear()
-            return pa.RecordBatch.from_arrays(columns, ["shingle", "n"])
+        def sets() -> Iterator[np.ndarray]:
+            nonlocal total
+            for batch in batches:
+                for found in _sets(batch.column(0), words):
+                    total += len(found)
+                    yield found
 
-        for batch in batches:
-            for found in _sets(batch.column(0), words):
-                held.append(found)
-                size += len(found)
-                total += len(found)
-                if size >= _WINDOW:
-                    yield counted()
-                    size = 0
-        if held:
-            yield counted()
+        for found, n in repeated(sets()):
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["shingle", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], ["shingle", "n"])
 
     counts = docs.select("text").mapInArrow(run, "shingle bigint, n bigint")

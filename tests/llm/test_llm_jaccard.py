@@ -2,6 +2,8 @@
 
 import random
 import re
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -132,6 +134,23 @@ def test_sets_that_share_single_shingles_share_few_keys():
     assert sharing[sharing > 1].sum() < 0.05 * sharing.sum()
 
 
+def test_repeated_shingles_are_counted_in_little_more_than_their_window():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**15, 1000, dtype=np.uint64) << np.uint64(48)) for _ in range(20)]
+    counts = Counter(int(t) for found in sets for t in found)
+    (got,) = jaccard_join.repeated(iter(sets), 1 << 16)
+    assert {int(t): int(n) for t, n in zip(*got)} == {t: n for t, n in counts.items() if n >= 2}
+    assert sum(int(n.sum()) for _, n in jaccard_join.repeated(iter(sets), 300)) < sum(map(len, sets))
+    window = 1 << 20
+    tokens = rng.integers(0, 2**63, window, dtype=np.uint64)
+    tracemalloc.start()
+    try:
+        assert len(list(jaccard_join.repeated((tokens[i : i + 1024] for i in range(0, window, 1024)), window))) == 1
+        assert tracemalloc.get_traced_memory()[1] < 1.5 * tokens.nbytes
+    finally:
+        tracemalloc.stop()
+
+
 def test_bit_maps_bound_the_difference(spark):
     from pyspark.sql import functions as F
 
